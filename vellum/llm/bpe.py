@@ -38,47 +38,51 @@ class PrefixBpe:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for b, r in ranks.items():
             self.bytes_of[r] = b
-        self.prefixes = {b[:k] for b in ranks for k in range(1, len(b) + 1)}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.valid: dict[int, bool] = {}
+        #: Every ending of a token, with the token that it is, or -1.
+        self.endings = {b[k:]: -1 for b in ranks for k in range(1, len(b))} | ranks
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Plain merging, for the few bytes of two tokens."""
-        parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
-        while len(parts) > 1:
-            rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
+        get, none = self.ranks.get, 1 << 60
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        found = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while found and (rank := min(found)) != none:
+            i = found.index(rank)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [ranks[p] for p in parts]
-
-    def stands_alone(self, token: int) -> bool:
-        if (known := self.valid.get(token)) is None:
-            known = self.valid[token] = self.merge(self.bytes_of[token]) == [token]
-        return known
+            del found[i]
+            if i < len(found):
+                found[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                found[i - 1] = get(parts[i - 1] + parts[i], none)
+        return [self.ranks[p] for p in parts]
 
     def may_follow(self, before: int, token: int) -> bool:
-        if (known := self.pairs.get((before, token))) is None:
-            if len(self.pairs) >= self.pair_limit:
-                self.pairs.clear()
-            known = self.pairs[before, token] = self.merge(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+        """Whether merging gives back the two tokens; ``before`` is -1 at the start of the piece."""
+        if len(self.pairs) >= self.pair_limit:
+            self.pairs.clear()
+        wanted = [before, token] if before >= 0 else [token]
+        known = self.pairs[before << 20 | token] = self.merge(b"".join(self.bytes_of[t] for t in wanted)) == wanted
         return known
 
-    def extend(self, piece: bytes, last: list[int], start: int) -> None:
-        """Set ``last[e]`` for every end ``e`` that a token beginning at ``start`` reaches validly."""
-        before, get, prefixes = last[start], self.ranks.get, self.prefixes
-        for e in range(start + 1, min(len(piece), start + self.longest) + 1):
-            part = piece[start:e]
-            if part not in prefixes:
+    def fill(self, piece: bytes, last: list[int], e: int) -> None:
+        """Set ``last[e]``, given all entries before it. ``last[0]`` is -1."""
+        endings, pairs = self.endings, self.pairs
+        for s in range(e - 1, -1, -1):
+            token = endings.get(piece[s:e])
+            if token is None:
                 break
-            token = get(part)
-            if token is not None and self.stands_alone(token) and (start == 0 or self.may_follow(before, token)):
-                last[e] = token
+            if token >= 0:
+                before = last[s]
+                fits = pairs.get(before << 20 | token)
+                if fits or (fits is None and self.may_follow(before, token)):
+                    last[e] = token
+                    break
 
     def last_tokens(self, piece: bytes) -> list[int]:
         last = [-1] * (len(piece) + 1)
-        for s in range(len(piece)):
-            self.extend(piece, last, s)
+        for e in range(1, len(last)):
+            self.fill(piece, last, e)
         return last
 
     def read(self, last: list[int]) -> list[int]:
@@ -91,23 +95,20 @@ class PrefixBpe:
     def append(self, piece: bytes, last: list[int], more: bytes) -> tuple[bytes, list[int]]:
         """The entries of ``piece + more``; those of ``piece`` stay as they are."""
         whole, last = piece + more, [*last, *[-1] * len(more)]
-        for s in range(max(0, len(piece) - self.longest), len(whole)):
-            self.extend(whole, last, s)
+        for e in range(len(piece) + 1, len(last)):
+            self.fill(whole, last, e)
         return whole, last
 
     def edit(self, piece: bytes, last: list[int], at: int, removed: int, inserted: bytes) -> tuple[bytes, list[int]]:
         """The entries after an edit: recomputed from it on until, for a longest token's length, they are the old ones again."""
         whole = piece[:at] + inserted + piece[at + removed :]
-        shift, fresh = len(inserted) - removed, at + len(inserted)
+        shift, fresh, same = len(inserted) - removed, at + len(inserted), 0
         new = [*last[: at + 1], *[-1] * (len(whole) - at)]
-        for s in range(max(0, at - self.longest), at):
-            self.extend(whole, new, s)
-        same = 0
-        for s in range(at, len(whole)):
-            self.extend(whole, new, s)
-            same = same + 1 if s > fresh and new[s] == last[s - shift] else 0
-            if same > 2 * self.longest:
-                new[s + 1 :] = last[s + 1 - shift :]
+        for e in range(at + 1, len(new)):
+            self.fill(whole, new, e)
+            same = same + 1 if e > fresh and new[e] == last[e - shift] else 0
+            if same >= self.longest:
+                new[e + 1 :] = last[e + 1 - shift :]
                 break
         return whole, new
 

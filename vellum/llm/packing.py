@@ -25,9 +25,9 @@ from vellum.llm.shared import CodeTable, ragged, slices, split_words
 
 SIZE = 4096
 END_ID = 2
-SENTENCE_COST, INNER_COST = 6.0, 24.0
+SENTENCE_COST, INNER_COST = 4.0, 12.0
 #: Within a sentence a cut is possible every so many tokens.
-INNER_STEP = 256
+INNER_STEP = 32
 #: Tokens that a task gathers before it solves and writes them; the last window is carried on.
 BUFFER = 1_500_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
