@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vellum.llm.shared import CodeTable, add_columns, ragged
+from vellum.llm.shared import CodeTable, add_columns, kept_by_worker, ragged
 
 
 #: White space by Unicode, then a space.
@@ -153,8 +153,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id
     """
 
     def make():
-        encoder = Encoder(read_ranks(ranks_path), pattern)
-        table, back = CodeTable(lambda chunks: list(map(encoder.chunk, chunks))), encoder.bpe.bytes_of
+        encoder = kept_by_worker(("bpe", ranks_path, pattern), lambda: Encoder(read_ranks(ranks_path), pattern))
+        table = kept_by_worker(("bpe ids", ranks_path, pattern), lambda: CodeTable(lambda chunks: list(map(encoder.chunk, chunks))))
+        back = encoder.bpe.bytes_of
 
         def work(texts: pa.Array) -> dict[str, object]:
             lists = pc.split_pattern(texts, " ")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import CodeTable, ragged, slices, split_words
+from vellum.llm.shared import CodeTable, kept_by_worker, ragged, slices, split_words
 
 SIZE = 4096
 END_ID = 2
@@ -129,13 +129,59 @@ class Stream:
         return out
 
 
-def encoder(path: str):
-    """Ids of whitespace-separated chunks by the vocabulary file; the vocabulary drops white space, so chunks encode alone."""
-    from tokenizers import Tokenizer
+class ChunkEncoder:
+    """Ids of whitespace-separated chunks by the vocabulary file.
 
-    tokenizer = Tokenizer.from_file(path)
-    fast = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return CodeTable(lambda words: [e.ids for e in fast(words, add_special_tokens=False)])
+    The vocabulary drops white space and its pieces never join a letter or digit with a mark, so chunks encode alone, and
+    so do the marks at their ends. Plain words are encoded many at a time and told apart by their last tokens.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.table = CodeTable(self.encode)
+
+    def encode(self, chunks: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = [None] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if c.isalpha()]
+        for k in range(0, len(plain), 512):
+            part = plain[k : k + 512]
+            ids = np.array(self.batch([" ".join([chunks[i] for i in part])], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and (not len(cuts) or cuts[-1] == len(ids)):
+                flat = ids.tolist()
+                for i, a, b in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                    out[i] = flat[a:b]
+        left = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(left, self.batch([chunks[i] for i in left], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def of(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks of ``vocab``, one after the other, with starts and lengths."""
+        low = pc.if_else(pc.match_substring(vocab, "<|"), vocab, pc.ascii_lower(vocab))
+        core = pc.ascii_rtrim(low, ".,;:!?")
+        cut = pc.match_substring_regex(core, r"[\p{L}\p{N}]$")
+        core = pc.if_else(cut, core, low)
+        tail = self.tails(low, core)
+        cores, tails = core.dictionary_encode(), tail.dictionary_encode()
+        starts, lengths = self.table.lookup(cores.dictionary.to_pylist() + tails.dictionary.to_pylist())
+        at = np.stack([cores.indices.to_numpy(), len(cores.dictionary) + tails.indices.to_numpy()], axis=1).ravel()
+        n = lengths[at].reshape(-1, 2).sum(axis=1)
+        return ragged(self.table.ids, starts[at], lengths[at]), np.cumsum(n) - n, n
+
+    @staticmethod
+    def tails(low: pa.Array, core: pa.Array) -> pa.Array:
+        """What ``core`` leaves of ``low``."""
+        rest = np.flatnonzero(pc.not_equal(pc.binary_length(low), pc.binary_length(core)).to_numpy(zero_copy_only=False))
+        out = np.full(len(low), "", object)
+        take = pa.array(rest)
+        out[rest] = [a[len(b) :] for a, b in zip(low.take(take).to_pylist(), core.take(take).to_pylist(), strict=True)]
+        return pa.array(out, pa.string())
 
 
 def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -143,13 +189,12 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     given = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches):
-        table = encoder(vocabulary)
+        encoder = kept_by_worker(("packing", vocabulary), lambda: ChunkEncoder(vocabulary))
         stream = Stream(TaskContext.get().partitionId() << 33, size)
         for b in slices(batches, "text"):
             codes, vocab, at = split_words(pc.fill_null(b.column("text"), ""))
-            strings = vocab.to_pylist()
-            starts, lengths = table.lookup(strings)
-            ends_sentence = np.fromiter((s[-1:] in ".!?" for s in strings), bool, len(strings)) & (lengths > 0)
+            flat, starts, lengths = encoder.of(vocab)
+            ends_sentence = pc.match_substring_regex(vocab, r"[.!?]$").to_numpy(zero_copy_only=False) & (lengths > 0)
             n = lengths[codes]
             after = np.concatenate([[0], np.cumsum(n)])
             doc_lengths = after[at[1:]] - after[at[:-1]] + 1
@@ -157,7 +202,7 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
             tokens = np.full(int(doc_ends[-1]), end_id, np.uint32)
             inner = np.ones(len(tokens), bool)
             inner[doc_ends - 1] = False
-            tokens[inner] = ragged(table.ids, starts[codes], n)
+            tokens[inner] = ragged(flat, starts[codes], n)
             sentence = np.flatnonzero(ends_sentence[codes])
             of = np.searchsorted(at[1:], sentence, side="right")
             place = after[sentence + 1] + of

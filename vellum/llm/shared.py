@@ -110,49 +110,64 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+_kept: dict[object, object] = {}
+
+
+def kept_by_worker(key: object, build: Callable[[], object]) -> object:
+    """``build()``, kept for later tasks of the same Python worker."""
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
 class CodeTable:
-    """Id sequences of strings, encoded once and then looked up. It is emptied when it has ``limit`` strings, to bound memory."""
+    """Id sequences of strings, encoded once and then looked up.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 500_000):
-        self.encode, self.limit = encode, limit
-        self.clear()
+    When it would hold more than ``limit`` strings, only those of the present lookup stay, to bound memory. Strings are
+    encoded a few thousand at a time, as an encoder may need much room for each.
+    """
 
-    def clear(self) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000, step: int = 4096):
+        self.encode, self.limit, self.step = encode, limit, step
         self.index: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def lookup(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths in ``self.ids``, valid until the next lookup."""
         index = self.index
-        missing = [s for s in strings if s not in index]
+        missing = list(dict.fromkeys(s for s in strings if s not in index))
+        if index and len(index) + len(missing) > self.limit:
+            stay = list(dict.fromkeys(s for s in strings if s in index))
+            at = np.fromiter(map(index.__getitem__, stay), np.int64, len(stay))
+            self.ids, self.lengths = ragged(self.ids, self.starts[at], self.lengths[at]), self.lengths[at]
+            self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+            self.index = index = dict(zip(stay, range(len(stay)), strict=True))
+        flats, sizes = [self.ids], [self.lengths]
+        for i in range(0, len(missing), self.step):
+            found = self.encode(missing[i : i + self.step])
+            sizes.append(np.fromiter(map(len, found), np.int32, len(found)))
+            flats.append(np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes[-1].sum())))
         if missing:
-            if len(index) + len(missing) > self.limit and index:
-                self.clear()
-                index, missing = self.index, strings
-            missing = list(dict.fromkeys(missing))
-            found = self.encode(missing)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, flat])
+            self.ids, self.lengths = np.concatenate(flats), np.concatenate(sizes)
+            self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
             index.update(zip(missing, range(len(index), len(index) + len(missing)), strict=True))
         at = np.fromiter(map(index.__getitem__, strings), np.int64, len(strings))
-        return self.starts[at], self.lengths[at]
+        return self.starts[at], self.lengths[at].astype(np.int64)
 
 
 class RowTable:
     """Rows of figures of strings, computed once and then looked up; emptied like a CodeTable."""
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 500_000):
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 400_000):
         self.compute, self.limit, self.index, self.rows = compute, limit, {}, None
 
     def lookup(self, strings: list[str]) -> np.ndarray:
-        missing = [s for s in strings if s not in self.index]
+        missing = list(dict.fromkeys(s for s in strings if s not in self.index))
+        if self.index and len(self.index) + len(missing) > self.limit:
+            stay = list(dict.fromkeys(s for s in strings if s in self.index))
+            self.rows = self.rows[[self.index[s] for s in stay]]
+            self.index = dict(zip(stay, range(len(stay)), strict=True))
         if missing:
-            if len(self.index) + len(missing) > self.limit and self.index:
-                self.index, self.rows, missing = {}, None, strings
-            missing = list(dict.fromkeys(missing))
             new = self.compute(missing)
             self.index.update(zip(missing, range(len(self.index), len(self.index) + len(missing)), strict=True))
             self.rows = new if self.rows is None else np.concatenate([self.rows, new])
