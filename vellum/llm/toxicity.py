@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from vellum.llm.quality import labelled
 from vellum.llm.shared import add_columns, held_out, split_words, sums, without
 
-TRAIN_DOCS = 8000
+TRAIN_DOCS = 2500
 #: Words with a feature of their own have been in so many training documents at least; toxic ones have this log odds ratio.
 LEAST_DOCS, LEAST_ODDS = 3, 2.5
 BLOCK = 64
@@ -114,7 +114,7 @@ def marginals(scores: np.ndarray, at: np.ndarray, transitions: np.ndarray) -> tu
     return out, pairs
 
 
-def fit(codes: np.ndarray, at: np.ndarray, vocab: list[str], toxic: np.ndarray, steps: int = 60) -> Model | None:
+def fit(codes: np.ndarray, at: np.ndarray, vocab: list[str], toxic: np.ndarray, steps: int = 40) -> Model | None:
     """From word codes of documents and their labels."""
     if not len(toxic):
         return None
