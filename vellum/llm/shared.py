@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that a task handles at once; a single longer text is handled alone.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,7 @@ def add_columns(
         work = make()
         for b in slices(batches, "__text"):
             out = work(pc.fill_null(b.column("__text"), ""))
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(out[n]) if not isinstance(out[n], pa.Array) else out[n] for n in names)], names=[*keep, *names])
 
     schema = T.StructType([*given.schema.fields[:-1], *new.fields])
@@ -106,7 +107,9 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive offsets; empty spans give 0."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), dtype=np.float64 if values.dtype.kind == "f" else np.int64), np.cumsum(values, axis=0, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
+    kind = np.float64 if values.dtype.kind == "f" else np.int64
+    total = np.zeros((len(values) + 1, *values.shape[1:]), kind)
+    np.cumsum(values, axis=0, out=total[1:])
     return total[at[1:]] - total[at[:-1]]
 
 
@@ -127,7 +130,7 @@ class CodeTable:
     encoded a few thousand at a time, as an encoder may need much room for each.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000, step: int = 4096):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 250_000, step: int = 4096):
         self.encode, self.limit, self.step = encode, limit, step
         self.index: dict[str, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -158,7 +161,7 @@ class CodeTable:
 class RowTable:
     """Rows of figures of strings, computed once and then looked up; emptied like a CodeTable."""
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 400_000):
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 250_000):
         self.compute, self.limit, self.index, self.rows = compute, limit, {}, None
 
     def lookup(self, strings: list[str]) -> np.ndarray:
