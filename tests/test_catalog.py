@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import numeric, text
-from vellum.plans import catalog
+from vellum.operators import extraction
+from vellum.plans import catalog, changes
+from vellum.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -44,3 +46,51 @@ def test_cosine_of_a_zero_vector_is_null(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     found = [r[0] for r in df.select(numeric.cosine(F.col("a"), F.col("b"))).collect()]
     assert abs(found[0] - 0.5**0.5) < 1e-9 and found[1] is None
+
+
+def test_chunks_by_hand(spark):
+    text_ = "a" * 450 + ". " + "b" * 300
+    rows = [(1, text_), (2, " short "), (3, None), (4, ""), (5, "x" * 1200)]
+    found = {(r[0], r[1]): r[2] for r in extraction.chunks(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    assert found[1, 0] == "a" * 450 + "." and found[1, 1] == "a" * 48 + ". " + "b" * 300 and (1, 2) not in found
+    assert found[2, 0] == " short " and not any(k[0] in (3, 4) for k in found)
+    assert [len(found[5, i]) for i in range(3)] == [500, 500, 300]
+
+
+@pytest.mark.parametrize("name", ["txt01_chunks", "vec01_embed"])
+def test_chunks_cover_every_document(spark, name):
+    docs = catalog.QUERIES[name](spark, DATA)
+    want = spark.read.parquet(f"{DATA}/documents.parquet").filter("trim(text) <> ''").count()
+    assert docs.select("id").distinct().count() == want
+
+
+def test_admission_against_a_plain_loop(spark):
+    rows = changes.src.read(spark, DATA, "events").selectExpr("event_id", "user_id", "unix_micros(cast(ts as timestamp)) at").orderBy("at", "event_id").collect()
+    logs, wanted = {}, {}
+    for i, client, at in rows:
+        recent = [t for t in logs.get(client, []) if t > at - 86400_000_000]
+        wanted[i] = len(recent) < 2
+        logs[client] = recent + [at] * wanted[i]
+    found = catalog.QUERIES["stm04_admission"](spark, DATA).collect()
+    assert {r["id"]: r["admitted"] for r in found} == wanted and not all(wanted.values())
+    assert all((r["wait"] > 0) != r["admitted"] for r in found)
+
+
+def test_streams_of_an_empty_table_give_no_rows(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("stm01_changes", "stm03_queue_state", "stm04_admission", "stm06_live_counts"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_state_is_kept_between_batches(spark, tmp_path):
+    for i in range(4):
+        spark.createDataFrame([(7, False, i, i), (8, i == 1, i, i)], "item bigint, ok boolean, at bigint, id bigint").coalesce(1).write.mode("append").parquet(f"{tmp_path}/tries.parquet")
+    found = jobs.queue_state(spark, jobs.arriving(spark, str(tmp_path), "tries", 1))
+    assert {r[0]: tuple(r[1:]) for r in found.collect()} == {7: ("failed", 3), 8: ("completed", 2)}
+
+
+def test_vectors_are_decoded(spark):
+    import struct
+
+    df = spark.createDataFrame([(bytearray(struct.pack("<3f", 1.0, -2.0, 0.5)),), (None,)], "b binary")
+    assert [r[0] for r in changes.src.decode_vectors(df, "b").select("embedding").collect()] == [[1.0, -2.0, 0.5], None]

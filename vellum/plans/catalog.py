@@ -33,10 +33,10 @@ def query(name: str, sql: str | None = None, *views: str):
     return add
 
 
-@query("src02_fingerprint", "SELECT doc_id, sha256(CAST(strlen(text) AS VARCHAR) || text) AS fingerprint, sha256(text) AS content_sha256 FROM documents WHERE strlen(text) <= 1048576")
+@query("src02_fingerprint", "SELECT doc_id, sha256(encode(strlen(text)::VARCHAR) || array_slice(encode(text), 1, 1048576)) AS fingerprint, sha256(text) AS content_sha256 FROM documents")
 def fingerprint(s, d):
     content = F.col("text").cast("binary")
-    return src.read(s, d, "documents").filter(F.octet_length("text") <= 1048576).select("doc_id", src.fingerprint(content, F.octet_length("text")).alias("fingerprint"), F.sha2(content, 256).alias("content_sha256"))
+    return src.read(s, d, "documents").select("doc_id", src.fingerprint(content, F.octet_length("text")).alias("fingerprint"), F.sha2(content, 256).alias("content_sha256"))
 
 
 @query("flt01_facet", "SELECT id, publisher FROM products WHERE system IS NULL AND publisher = 'src3'", "products")
@@ -414,12 +414,12 @@ def marketplace(s, d):
     return src.marketplace(exports).withColumn("filenames", F.array_join("filenames", ","))
 
 
-@query("fts03_bm25", """, t AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(title || ' ' || publisher || ' ' || text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM products WHERE length(text) < 50000),
+@query("fts03_bm25", """, t AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(title || ' ' || publisher || ' ' || text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM products),
     l AS (SELECT id, count(*) AS len FROM t GROUP BY id), c AS (SELECT count(*) AS n, avg(len) AS a FROM l),
     h AS (SELECT id, w, count(*) AS tf FROM t, (VALUES ('the'), ('ein')) q(w) WHERE starts_with(term, w) GROUP BY id, w), f AS (SELECT w, count(*) AS df FROM h GROUP BY w)
     SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM h JOIN f USING (w) JOIN l USING (id), c GROUP BY id""", "products")
 def bm25(s, d):
-    p = src.products(s, d).filter(F.length("text") < 50000)
+    p = src.products(s, d)
     return search.bm25(search.postings(p, ["title", "publisher", "text"]), "the ein").select("id", F.round("score", 6).alias("score"))
 
 

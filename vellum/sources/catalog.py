@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,8 +89,6 @@ def fingerprint(content, length):
 
 def decode_vectors(df: DataFrame, column: str, out: str = "embedding") -> DataFrame:
     """Little-endian float32 blobs to arrays; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(blobs: pd.Series) -> pd.Series:
         import numpy as np
