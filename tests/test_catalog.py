@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import numeric, text
 from vellum.operators import extraction
-from vellum.plans import catalog, changes
+from vellum.plans import catalog, changes, documents  # noqa: F401 (registers its queries)
 from vellum.streaming import jobs
 
 DATA = "/root/testdata/sf0.001"

@@ -113,3 +113,40 @@ def vault(entities: DataFrame, folder: str, name: Column, content: Column, order
     """(path, content) of one Markdown file per entity; of equal paths the last in ``order`` wins."""
     path = F.concat(F.lit(f"{folder}/"), names.sanitize(name), F.lit(".md"))
     return entities.select(path.alias("path"), content.alias("content"), order).groupBy("path").agg(F.max_by("content", order).alias("content"))
+
+
+def promote(marked: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``marked`` (id, duplicate_of) after chosen duplicates (id) became canonical: the old canonical row and its other copies point to them.
+    Of several chosen copies of one row the smallest id wins; ids that are no duplicates change nothing."""
+    swaps = marked.filter("duplicate_of is not null").join(chosen.select("id"), "id", "left_semi").groupBy(F.col("duplicate_of").alias("__old")).agg(F.min("id").alias("__new"))
+    j = marked.join(swaps, F.coalesce("duplicate_of", "id") == F.col("__old"), "left")
+    target = F.when(F.col("__new").isNull(), F.col("duplicate_of")).when(F.col("id") != F.col("__new"), F.col("__new"))
+    return j.select(*(target.alias(c) if c == "duplicate_of" else F.col(c) for c in marked.columns))
+
+
+def delete_duplicates(marked: DataFrame, requested: DataFrame) -> DataFrame:
+    """(id, outcome) of requested ids: deleted, not a duplicate, or not found."""
+    found = marked.select("id", "duplicate_of", F.lit(True).alias("found"))
+    outcome = F.when(F.col("found").isNull(), "not found").when(F.col("duplicate_of").isNull(), "not a duplicate").otherwise("deleted")
+    return requested.select("id").distinct().join(found, "id", "left").select("id", outcome.alias("outcome"))
+
+
+def bury(tombstones: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Tombstones (path, ...) with those of deleted rows; a path has one."""
+    return tombstones.unionByName(deleted.join(tombstones.select("path"), "path", "left_anti").dropDuplicates(["path"]), allowMissingColumns=True)
+
+
+def mark_missing(products: DataFrame, listed: DataFrame, now: Column) -> DataFrame:
+    """Products with ``is_missing`` by whether ``listed`` (path) holds them; ``missing_since`` is kept while missing and cleared on return."""
+    there = listed.select(F.col("path").alias("__path")).distinct()
+    j = products.join(there, F.col("file_path") == F.col("__path"), "left")
+    gone = F.col("__path").isNull()
+    since = F.when(gone, F.coalesce("missing_since", now))
+    return j.select(*(gone.alias(c) if c == "is_missing" else since.alias(c) if c == "missing_since" else F.col(c) for c in products.columns))
+
+
+def repair(products: DataFrame, artefacts: DataFrame, flag: str) -> DataFrame:
+    """Products whose flag is cleared where no artefact (id) backs it; ``requeue`` marks those."""
+    backed = artefacts.select("id", F.lit(True).alias("__backed")).distinct()
+    lost = F.col(flag) & F.col("__backed").isNull()
+    return products.join(backed, "id", "left").select(*((F.col(flag) & ~lost).alias(c) if c == flag else F.col(c) for c in products.columns), F.coalesce(lost, F.lit(False)).alias("requeue"))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from vellum.functions.numeric import cosine
 from vellum.functions.text import tokens
 
-K1, B, BODY_CHARS = 1.2, 0.75, 50_000
+K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """(term, id, tf) over all fields together; the body is cut to its first characters, as the index definition has it."""
-    text = F.concat_ws(" ", *(F.substring(F.coalesce(F.col(f), F.lit("")), 1, BODY_CHARS) for f in fields))
+    """(term, id, tf) over all fields together, whole texts."""
+    text = F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) for f in fields))
     return docs.select("id", F.explode(tokens(text)).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -56,3 +56,16 @@ def best_chunks(scored: DataFrame) -> DataFrame:
 def centroids(vectors: DataFrame) -> DataFrame:
     """(product_id, pos, mean) of the vectors of each product."""
     return vectors.select("product_id", F.posexplode("embedding").alias("pos", "x")).groupBy("product_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+
+
+def snippets(docs: DataFrame, query: str, width: int = 32, mark: bool = True, around: int = 4) -> DataFrame:
+    """(id, snippet) of texts with a word that begins with the query: ``width`` words from ``around`` before the first hit; hits are marked and cuts shown by dots."""
+    words = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    hit = lambda w: F.startswith(F.lower(w), F.lit(query.lower()))
+    rows = docs.select("id", words.alias("words")).withColumn("at", F.array_position(F.transform("words", hit), True)).filter("at > 0")
+    start = F.greatest(F.col("at") - around, F.lit(1))
+    cut = F.slice("words", start, F.lit(width))
+    if not mark:
+        return rows.select("id", F.array_join(cut, " ").alias("snippet"))
+    marked = F.array_join(F.transform(cut, lambda w: F.when(hit(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)), " ")
+    return rows.select("id", F.concat(F.when(start > 1, "...").otherwise(""), marked, F.when(start + width <= F.size("words"), "...").otherwise("")).alias("snippet"))
