@@ -71,11 +71,11 @@ def low_text(s, d):
     return src.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.when(small, "Art/Maps").alias("product_type"))
 
 
-@query("txt05_needs_ocr", r"""SELECT page_id // 5 AS doc, avg(length(regexp_replace(regexp_replace(regexp_replace(left(html, 600), '\S+@\S+', '', 'g'), '(?i)transaction:\s*\d+', '', 'g'), '\s+', '', 'g'))) < 540
+@query("txt05_needs_ocr", r"""SELECT page_id // 5 AS doc, avg(length(regexp_replace(regexp_replace(regexp_replace(html, '\S+@\S+', '', 'g'), '(?i)transaction:\s*\d+', '', 'g'), '\s+', '', 'g'))) < 2000
     AND sum(page_id % 2) > 0 AS needs_ocr FROM pages WHERE page_id % 5 < 3 GROUP BY 1""")
 def needs_ocr(s, d):
-    pages = src.read(s, d, "pages").select(F.expr("page_id div 5").alias("doc"), (F.col("page_id") % 5 + 1).alias("page"), F.substring("html", 1, 600).alias("text"), (F.col("page_id") % 2).alias("image_count"))
-    return docs.needs_ocr(pages, least=540)
+    pages = src.read(s, d, "pages").select(F.expr("page_id div 5").alias("doc"), (F.col("page_id") % 5 + 1).alias("page"), F.col("html").alias("text"), (F.col("page_id") % 2).alias("image_count"))
+    return docs.needs_ocr(pages, least=2000)
 
 
 @query("txt06_text_metadata", f"""SELECT id, {first_sql('t', SYSTEMS)} AS system, {first_sql('t', PUBLISHERS)} AS publisher,
@@ -176,7 +176,7 @@ def delete_duplicates(s, d):
 @query("dup08_tombstones", "SELECT DISTINCT publisher AS path FROM products", "products")
 def tombstones(s, d):
     p = src.products(s, d).select(F.col("publisher").alias("path"), "id")
-    return changes.bury(p.filter("path <= 'src2'").select("path").distinct(), p.filter("id % 2 >= 0")).select("path")
+    return changes.bury(p.filter("path <= 'src2'").select("path").distinct(), p).select("path")
 
 
 @query("ing03_missing", "SELECT id, id % 10 = 1 AS is_missing, CASE WHEN id % 10 = 1 THEN CASE WHEN id % 23 = 0 THEN 1 ELSE 2 END END AS missing_since FROM products", "products")
