@@ -131,6 +131,29 @@ def test_chunked_clusters_keep_every_link(spark, monkeypatch, docs):
     assert {(r["doc_id"], r["component_id"]) for r in neardup.find(docs).collect()} == whole
 
 
+@pytest.mark.parametrize("dense", [None, 16])
+def test_large_regions_lose_no_candidate(spark, monkeypatch, dense):
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 256, (700, neardup.COMPONENTS), dtype=np.uint8)
+    for i in range(350):  # a pair far apart in most orders: 80 components, anywhere
+        same = rng.permutation(neardup.COMPONENTS)[:80]
+        sig[350 + i, same] = sig[i, same]
+    sig[600:] = sig[0]  # and a group that the region's largest component comes from
+    rows = [(i, 100, [7], bytes(r)) for i, r in enumerate(sig)]
+    label = np.arange(700)
+    same = np.array([(sig == r).sum(axis=1) >= neardup.AGREE for r in sig])
+    for _ in range(5):
+        label = np.array([label[s].min() for s in same])
+    wanted = {i: label[i] for i in range(700) if same[i].sum() > 1}
+    if dense:
+        monkeypatch.setattr(neardup, "DENSE", dense)
+        monkeypatch.setattr(neardup, "ASKED", 3 * dense, raising=False)
+    found = neardup.forest(spark.createDataFrame(rows, "rep bigint, n bigint, keys array<bigint>, sig binary"))
+    if "v" not in found.columns:
+        found = neardup.components(found)
+    assert {r["v"]: r["label"] for r in found.collect()} == wanted
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi <|im_end|>\n<\\|x"), (1, 1, "user", None), (1, 2, "assistant", "<|im_turn|> \\ <"), (2, 0, None, ""), (None, 0, "a\nb", "x"), (1, 3, "assistant", "|end")]
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")

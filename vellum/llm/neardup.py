@@ -2,12 +2,12 @@
 
 1. A document's set holds its distinct five-word shingles (A-Z lower-cased). Documents with the same set form one class, represented by
    its smallest id; only representatives go on.
-2. Every tree of the forest sorts the signatures in an order of its own: the components from the tree's first one on, around.
-   Representatives that share a tree's first ``BASE`` components form a region. Regions of up to ``DENSE`` are compared
-   whole; larger ones are taken deeper, by as many further components as their size calls for, and where that leaves
-   more than ``DENSE`` together, each is compared with its ``NEIGHBOURS`` next by longest common prefix. What agrees in
-   enough components is joined, and connected components over all trees give candidate clusters. A task reports only
-   which rows hang together, so a large group gives one row per member and tree, not pairs.
+2. Every tree of the forest has ``BASE`` components of its own; representatives that share them form a region. Regions of up
+   to ``DENSE`` are compared whole, larger ones in blocks of about ``DENSE`` that share a few leaders. What agrees in enough
+   components is joined, and connected components over all trees give candidate clusters. Then the members of a large
+   region outside the region's largest component are compared with all its blocks, so every pair of a region has met or
+   hangs together anyway. A task reports only which rows hang together, so a large group gives one row per member and
+   tree, not pairs.
 3. Within a cluster, links are confirmed on the full sets: a search from document to document over an inverted index
    of their shingles, so every link between members counts. Clusters too large for a task are dealt out in chunks that share
    a few members; then the members outside the cluster's largest component are compared, in blocks, with all its chunks.
@@ -34,7 +34,8 @@ from vellum.llm.shared import add_columns, materialize, ragged, split_words, sum
 WORDS = 5
 PERCENT = 75
 COMPONENTS, TREES, BASE = 128, 24, 3
-DENSE, NEIGHBOURS, REGION = 512, 64, 8192
+#: Rows of a block of a region, leaders in all blocks of a large region, and rows that one task compares with a block afterwards.
+DENSE, LEADERS, ASKED = 512, 8, 8192
 #: Candidates agree in so many of the components: at similarity 0.75 five standard deviations below the mean.
 AGREE = 71
 #: Documents and shingles of a cluster that one task confirms together.
@@ -155,48 +156,41 @@ def settle(g: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def agreeing(sig: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one region that are candidates."""
-    g = len(sig)
-    if g <= DENSE:
-        same = np.zeros((g, g), np.uint8)
-        for c in range(COMPONENTS):
-            same += sig[:, c, None] == sig[None, :, c]
-        small, large = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
-        return np.nonzero(np.triu((same >= AGREE) & (100 * small >= PERCENT * large), 1))
-    a, b = [], []
-    for k in range(1, NEIGHBOURS + 1):
-        ok = ((sig[k:] == sig[:-k]).sum(axis=1) >= AGREE) & (100 * np.minimum(n[k:], n[:-k]) >= PERCENT * np.maximum(n[k:], n[:-k]))
-        i = np.flatnonzero(ok)
-        a.append(i)
-        b.append(i + k)
-    return np.concatenate(a), np.concatenate(b)
+def agreeing(sig: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which rows (signatures, sizes) are candidates with which others."""
+    same = np.zeros((len(sig), len(other)), np.uint8)
+    for c in range(COMPONENTS):
+        same += sig[:, c, None] == other[None, :, c]
+    return (same >= AGREE) & (100 * np.minimum(n[:, None], m[None]) >= PERCENT * np.maximum(n[:, None], m[None]))
+
+
+def bytes_of(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COMPONENTS)
 
 
 def forest(reps: DataFrame) -> DataFrame:
-    """Links (a, b) of representatives whose connected components are the candidate clusters."""
-    rows = reps.select("rep", F.posexplode("keys").alias("tree", "key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    order = F.expr(f"concat(substring(sig, {BASE} * tree + {BASE + 1}, {COMPONENTS}), substring(sig, 1, {BASE} * tree + {BASE}))")
-    deeper = F.ceil(F.log2(F.col("size") / DENSE)).cast("int")
-    part = F.when(F.col("size") <= DENSE, F.lit(0).cast("bigint")).otherwise(
-        F.xxhash64(F.substring("order", F.lit(1), deeper), F.when(F.col("size") > REGION, F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("size") / REGION))).otherwise(0))
-    )
-    members = rows.join(sizes, "key").join(reps.select("rep", "n", "sig"), "rep").withColumn("order", order)
-    dealt = members.select("key", part.alias("part"), "order", "rep", "n").repartition("key", "part").sortWithinPartitions("key", "part", "order")
+    """(v, label) of the representatives in candidate clusters: connected components of the candidates of all trees."""
+    rows = reps.select("rep", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).filter("size > 1")
+    blocks = F.ceil(F.col("size") / DENSE).cast("int")
+    leads = (F.col("rep") == F.col("first")) | (F.pmod(F.xxhash64(F.lit(3), "rep", "key"), F.col("size")) < LEADERS)
+    home = F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int")
+    placed = materialize(rows.join(sizes, "key").select("key", "rep", blocks.alias("blocks"), leads.alias("leads")).withColumn("home", home))
+    to = F.when((F.col("blocks") > 1) & F.col("leads"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
+    members = placed.select("key", "rep", F.explode(to).alias("part")).join(reps.select("rep", "n", "sig"), "rep")
+    dealt = members.select("key", "part", "sig", "rep", "n").repartition("key", "part").sortWithinPartitions("key", "part")
 
     def link(batches):
         for t in groups(batches, ["key", "part"]):
             at = starts_of(t, ["key", "part"])
-            rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("order").to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+            rep, n, sig = t.column("rep").to_numpy(), t.column("n").to_numpy(), bytes_of(t)
             size = np.diff(at)
             two = at[:-1][size == 2]
             ok = ((sig[two] == sig[two + 1]).sum(axis=1) >= AGREE) & (100 * np.minimum(n[two], n[two + 1]) >= PERCENT * np.maximum(n[two], n[two + 1]))
             a, b = [rep[two[ok]]], [rep[two[ok] + 1]]
             for i in np.flatnonzero(size > 2).tolist():
                 x, y = at[i], at[i + 1]
-                label = settle(y - x, *agreeing(sig[x:y], n[x:y]))
+                label = settle(y - x, *np.nonzero(np.triu(agreeing(sig[x:y], n[x:y], sig[x:y], n[x:y]), 1)))
                 least = np.full(y - x, rep[x:y].max())
                 np.minimum.at(least, label, rep[x:y])
                 a.append(least[label])
@@ -204,7 +198,41 @@ def forest(reps: DataFrame) -> DataFrame:
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return dealt.mapInArrow(link, "a bigint, b bigint").filter("a <> b").distinct()
+    links = materialize(dealt.mapInArrow(link, "a bigint, b bigint").filter("a <> b").distinct())
+    labels = components(links)
+    large = placed.filter("blocks > 1")
+    if large.isEmpty():
+        return labels
+    # Pairs that blocks have kept apart: whoever is not in its region's largest component, against every block.
+    inside = large.join(labels, F.col("rep") == F.col("v"), "left").select("key", "rep", "home", "blocks", F.coalesce("label", "rep").alias("label"))
+    inside = materialize(inside)
+    main = inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    apart = materialize(inside.join(main, "key").filter("label <> main"))
+    if apart.isEmpty():
+        return labels
+    shares = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("shares"))
+    share = F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("shares")).cast("int")
+    base = inside.join(shares, "key").select("key", "rep", "label", "home", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(False).alias("asked"))
+    asked = apart.join(shares, "key").select("key", "rep", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("home"), share.alias("share"), F.lit(True).alias("asked"))
+    met = base.unionByName(asked).join(reps.select("rep", "n", "sig"), "rep").drop("rep")
+    met = met.repartition("key", "home", "share").sortWithinPartitions("key", "home", "share")
+
+    def meet(batches):
+        for t in groups(batches, ["key", "home", "share"]):
+            at = starts_of(t, ["key", "home", "share"])
+            label, n, sig, asks = t.column("label").to_numpy(), t.column("n").to_numpy(), bytes_of(t), t.column("asked").to_numpy()
+            pairs = [np.zeros((0, 2), np.int64)]
+            for x, y in zip(at.tolist(), at[1:].tolist(), strict=False):
+                own, there = x + np.flatnonzero(asks[x:y]), x + np.flatnonzero(~asks[x:y])
+                for k in range(0, len(own), DENSE):
+                    some = own[k : k + DENSE]
+                    i, j = np.nonzero(agreeing(sig[some], n[some], sig[there], n[there]) & (label[some][:, None] != label[there][None]))
+                    pairs.append(np.unique(np.stack([label[some[i]], label[there[j]]], axis=1), axis=0))
+            a, b = np.concatenate(pairs).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    more = met.select("key", "home", "share", "label", "n", "sig", "asked").mapInArrow(meet, "a bigint, b bigint").distinct()
+    return components(links.unionByName(more))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -310,7 +338,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     rows = materialize(signatures(docs))
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     reps = materialize(classes)
-    labels = components(forest(reps))
+    labels = forest(reps)
     clusters = labels.join(reps.select("rep", "n"), F.col("v") == F.col("rep")).select("rep", "n", F.col("label").alias("cluster"))
     found = confirmed_components(clusters, docs).groupBy("v").agg(F.min("label").alias("label"))
     named = reps.select("s1", "s2", "n", "rep").join(found, F.col("rep") == F.col("v"), "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("component"))
