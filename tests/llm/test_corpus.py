@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import bpe, chat, exact, fingerprint, langid, lines, neardup, packing, quality, toxicity
-from vellum.llm.shared import split_words
+from vellum.llm.shared import bounded_sample, held_out, split_words
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, score string"
 RANKS, WORDS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -228,6 +228,29 @@ def test_classifiers_take_odd_rows(spark, docs):
     assert neardup.find(docs.limit(0)).count() == 0 and exact.deduplicate(docs.limit(0)).count() == 0 and fingerprint.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_samples_fill_their_bound(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("g"))
+    count = lambda *a: [r["doc_id"] for r in bounded_sample(df, "doc_id", *a).select("doc_id").collect()]
+    for rows, size in ((count(3000), 3000), (count(5000), 3000), (count(1234), 1234), (count(400, "g"), 1200), (count(2000, "g"), 3000)):
+        assert len(rows) == len(set(rows)) == size
+    labels = df.select("doc_id", F.lit(1).alias("quality"))
+    texts = df.select("doc_id", F.lit("x").alias("text"))
+    assert quality.labelled(texts, labels, "quality", quality.TRAIN_DOCS).count() == labels.filter(~held_out("doc_id", 4, 2)).count()
+
+
+def test_toxicity_learns_in_slices_as_whole(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 90)) + ["Vile!"] * (i % 5 == 0))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    whole = toxicity.train(docs, labels)
+    assert whole.weights["vile"] > 1 and set(whole.weights) <= {*words, "vile"}
+    monkeypatch.setattr(toxicity, "SLICE_TOKENS", 64)
+    parts = toxicity.train(docs, labels)
+    assert set(parts.weights) == set(whole.weights) and all(abs(parts.weights[w] - v) < 1e-6 for w, v in whole.weights.items())
+
+
 def test_language(spark):
     rows = [(i, "the cat and the other thing with them", "en") if i % 2 else (i, "der hund und die katze nicht mit ihnen", "de") for i in range(60)] + [(200, None, "en"), (201, "12 34 !!", "de"), (202, "", None)]
     found = {r["doc_id"]: r for r in langid.languages_of(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}

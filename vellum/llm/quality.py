@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from vellum.llm.shared import add_columns, bounded_sample, held_out, split_words, sums, without
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 6000
 #: Passages of one training document that are used, spread evenly over it.
 TRAIN_PASSAGES = 24
 PASSAGE = 64
@@ -80,7 +80,7 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray) -> tuple[np
     return 1 / (1 + np.exp(-np.clip(bag @ w["out"] + w["out_b"][0], -30, 30))), (h, v, u, a, bag)
 
 
-def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.02, decay: float = 1e-4) -> Model:
+def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> Model:
     """Adam on the logistic loss of whole bags."""
     center, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = np.clip((x - center) / scale, -8, 8)

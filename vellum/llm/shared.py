@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,8 +177,16 @@ class RowTable:
         return self.rows[np.fromiter(map(self.index.__getitem__, strings), np.int64, len(strings))]
 
 
-def bounded_sample(df: DataFrame, key: str, per_group: int, group: str | None = None) -> DataFrame:
-    """At most ``per_group`` values of ``key`` (per value of ``group``), spread by hash: one per hash bucket, in one aggregation."""
-    spread = F.xxhash64(F.lit(11), F.col(key))
-    by = [F.pmod(F.xxhash64(F.lit(12), F.col(key)), F.lit(per_group)).alias("__bucket")] + ([F.col(group)] if group else [])
-    return df.groupBy(*by).agg(F.min_by(F.col(key), spread).alias(key)).select(key, *([group] if group else []))
+def bounded_sample(df: DataFrame, key: str, per_group: int, group: str | None = None, buckets: int = 4096) -> DataFrame:
+    """``per_group`` values of ``key`` (per value of ``group``), spread by hash; all of them where there are no more. Keys must be distinct.
+
+    Whole hash buckets up to the bound, and of the bucket that crosses it as many as still fit.
+    """
+    by = ["__bucket", *([group] if group else [])]
+    rows = df.select(key, *([group] if group else []), F.pmod(F.xxhash64(F.lit(12), F.col(key)), F.lit(buckets)).alias("__bucket"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    order = Window.partitionBy(*([group] if group else [])).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    room = sizes.select(*by, (F.lit(per_group) - (F.sum("__n").over(order) - F.col("__n"))).alias("__room")).filter("__room > 0")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(11), F.col(key)), key))
+    taken = rows.join(F.broadcast(room), by).withColumn("__place", place).filter("__place <= __room")
+    return taken.select(key, *([group] if group else []))

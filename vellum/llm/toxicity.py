@@ -6,7 +6,7 @@ case, without marks at its ends) and a bias; neighbouring tags interact by trans
 token's marginal; a document's score is a logistic function of the expected number of toxic tokens, and its spans are runs
 of tokens that are toxic more likely than not.
 
-Trained on at most ``TRAIN_DOCS`` labelled documents. Every text is scored whole; null and empty texts have no tokens.
+Trained on at most ``TRAIN_DOCS`` labelled documents, as hashes of their words, which tasks compute. Every text is scored whole; null and empty texts have no tokens.
 Without training labels every token is clean and the score 0. Several labels of one document count as their largest.
 """
 
@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.quality import labelled
-from vellum.llm.shared import add_columns, held_out, split_words, sums, without
+from vellum.llm.shared import add_columns, held_out, materialize, split_words, sums, without
 
-TRAIN_DOCS = 2500
+TRAIN_DOCS = 8000
 #: Words with a feature of their own have been in so many training documents at least; toxic ones have this log odds ratio.
 LEAST_DOCS, LEAST_ODDS = 3, 2.5
 BLOCK = 64
+#: Tokens whose marginals training computes at once; a longer document is handled alone.
+SLICE_TOKENS = 400_000
 THRESHOLD = 0.3
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
 
@@ -114,39 +116,50 @@ def marginals(scores: np.ndarray, at: np.ndarray, transitions: np.ndarray) -> tu
     return out, pairs
 
 
-def fit(codes: np.ndarray, at: np.ndarray, vocab: list[str], toxic: np.ndarray, steps: int = 40) -> Model | None:
-    """From word codes of documents and their labels."""
+def marginals_in_slices(scores: np.ndarray, at: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``marginals`` of a slice of the sequences at a time, to bound memory."""
+    p, pairs, i = np.empty(int(at[-1])), np.zeros((2, 2)), 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE_TOKENS, side="right")) - 1)
+        p[at[i] : at[j]], some = marginals(scores[at[i] : at[j]], at[i : j + 1] - at[i], transitions)
+        pairs += some
+        i = j
+    return p, pairs
+
+
+def fit(codes: np.ndarray, at: np.ndarray, vocab: list, toxic: np.ndarray, steps: int = 60) -> Model | None:
+    """From word codes of documents and their labels; an empty or 0 word of ``vocab`` has no feature."""
     if not len(toxic):
         return None
-    doc = np.repeat(np.arange(len(toxic)), np.diff(at))
-    pair = np.unique(doc * max(1, len(vocab)) + codes)
+    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(at))
+    pair = np.unique(doc * np.int64(max(1, len(vocab))) + codes)
     word, owner = pair % max(1, len(vocab)), pair // max(1, len(vocab))
     bad = np.bincount(word, toxic[owner], len(vocab))
     good = np.bincount(word, 1 - toxic[owner], len(vocab))
+    del pair, word, owner
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((1 - toxic).sum() + 1))
     own = (bad + good >= LEAST_DOCS) & np.array([bool(w) for w in vocab], bool)
     lexicon = own & (bad >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (bad * bad >= bad + good * bad)
     # Words that few toxic documents use can reach the odds by chance: ask for more than chance gives among so many words.
     lexicon &= bad * np.log1p((1 - toxic).sum() / max(1.0, toxic.sum())) > np.log(max(2, own.sum())) + 3 + good
     tag = lexicon[codes] & (toxic[doc] > 0)
-    feature = np.where(own, np.arange(len(vocab)), len(vocab))[codes]
+    feature = np.where(own, np.arange(len(vocab)), len(vocab)).astype(np.int32)[codes]
     weights, bias, transitions = np.zeros(len(vocab) + 1), -3.0, np.zeros((2, 2))
-    tags = tag.astype(int)
+    tags = tag.astype(np.int8)
     inner = np.ones(len(codes), bool)
     inner[at[:-1][np.diff(at) > 0]] = False
-    seen_pairs = np.zeros((2, 2))
-    np.add.at(seen_pairs, (tags[np.flatnonzero(inner) - 1], tags[inner]), 1)
+    seen_pairs = np.bincount((2 * tags[:-1] + tags[1:])[inner[1:]], minlength=4).reshape(2, 2).astype(float)
     seen = np.bincount(feature, tag, len(vocab) + 1)
     uses = np.bincount(feature, minlength=len(vocab) + 1)
     for _ in range(steps):
-        p, pairs = marginals((weights[feature] + bias), at, transitions)
+        p, pairs = marginals_in_slices(weights[feature] + bias, at, transitions)
         # Quasi-Newton: each weight moves by its gradient over its own curvature, with a Gaussian prior.
         slack = np.bincount(feature, p * (1 - p), len(vocab) + 1)
         weights += np.clip((seen - np.bincount(feature, p, len(vocab) + 1) - 0.02 * weights) / (slack + 0.02 + 1e-3 * uses), -1, 1)
         weights[-1] = 0
         bias += float(np.clip((tag.sum() - p.sum()) / ((p * (1 - p)).sum() + 1), -0.5, 0.5))
         transitions += np.clip((seen_pairs - pairs - transitions) / (np.minimum(seen_pairs, pairs) + 50), -0.2, 0.2)
-    p, _ = marginals(weights[feature] + bias, at, transitions)
+    p, _ = marginals_in_slices(weights[feature] + bias, at, transitions)
     x = np.log1p(20 * sums(p, at))
     slope, intercept = 1.0, -1.0
     for _ in range(200):
@@ -158,12 +171,46 @@ def fit(codes: np.ndarray, at: np.ndarray, vocab: list[str], toxic: np.ndarray,
     return Model({w: float(v) for w, v, o in zip(vocab, weights, own, strict=False) if o and abs(v) > 1e-3}, bias, transitions, slope, intercept)
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word, 0 of the empty one."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(w) if w else 0 for w in words.to_pylist()), np.uint64, len(words)).view(np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_DOCS) -> Model | None:
-    rows = labelled(docs, labels, label, most).collect()  # bounded by ``most`` documents
-    rows.sort(key=lambda r: (r["text"] or "", r["__label"]))
-    codes, vocab, at = split_words(pa.array([r["text"] or "" for r in rows], pa.string()))
-    words = bare(vocab).dictionary_encode()
-    return fit(words.indices.to_numpy(zero_copy_only=False)[codes] if len(codes) else codes, at, words.dictionary.to_pylist(), np.array([r["__label"] for r in rows], float))
+    texts = materialize(labelled(docs, labels, label, most))  # bounded by ``most`` documents
+
+    def make():
+        def work(texts: pa.Array) -> dict[str, object]:
+            codes, vocab, at = split_words(texts)
+            hashes = word_hashes(bare(vocab))[codes]
+            return {"words": pa.array([hashes[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)], pa.binary())}
+
+        return work
+
+    rows = add_columns(texts, "text", ["__label"], T.StructType([T.StructField("words", T.BinaryType())]), make).collect()
+    if not rows:
+        return None
+    rows.sort(key=lambda r: (len(r["words"]), bytes(r["words"]), r["__label"]))  # the same model however the rows arrive; long texts share slices
+    at, toxic = np.concatenate([[0], np.cumsum([len(r["words"]) // 8 for r in rows])]), np.array([r["__label"] for r in rows], float)
+    hashes = np.frombuffer(b"".join(r["words"] for r in rows), np.int64)
+    del rows
+    vocab, codes = np.unique(hashes, return_inverse=True)
+    del hashes
+    model = fit(codes.astype(np.int32), at, vocab.tolist(), toxic)
+    known = np.fromiter(model.weights, np.int64, len(model.weights))
+
+    def name(batches):
+        for b in batches:
+            words = pc.unique(bare(split_words(b.column("text"))[1]))
+            hashes = word_hashes(words)
+            mine = np.isin(hashes, known)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[mine]), words.filter(pa.array(mine))], names=["hash", "word"])
+
+    named = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(name, "hash bigint, word string").distinct().collect()
+    model.weights = {r["word"]: model.weights[r["hash"]] for r in sorted(named)}
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, text: str = "text", score_col: str = "score", spans_col: str | None = None) -> DataFrame:
