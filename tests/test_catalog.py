@@ -94,3 +94,11 @@ def test_vectors_are_decoded(spark):
 
     df = spark.createDataFrame([(bytearray(struct.pack("<3f", 1.0, -2.0, 0.5)),), (None,)], "b binary")
     assert [r[0] for r in changes.src.decode_vectors(df, "b").select("embedding").collect()] == [[1.0, -2.0, 0.5], None]
+
+
+def test_searches_answer_every_query(spark, db):
+    wanted = {r[0] for r in db.sql("SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0").fetchall()}
+    found = {n: {r["query_id"] for r in catalog.QUERIES[n](spark, DATA).collect()} for n in ("vec02_search_all", "vec04_filtered_all")}
+    assert len(wanted) > 1 and found["vec02_search_all"] == wanted and 1 < len(found["vec04_filtered_all"])  # hits of some may lie outside the levels
+    one = {(r["product_id"], r["score"]) for r in catalog.QUERIES["vec02_search"](spark, DATA).collect()}
+    assert {(r["product_id"], r["score"]) for r in catalog.QUERIES["vec02_search_all"](spark, DATA).collect() if r["query_id"] == 0} == one

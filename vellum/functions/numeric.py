@@ -50,5 +50,16 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm, F.lit(0.0))
 
 
+def unit(v: Column) -> Column:
+    """An array in double arithmetic, divided by its norm; of nulls where that is zero."""
+    wide = F.transform(v, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(wide, lambda x: x / F.nullif(norm, F.lit(0.0)))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(F.round(100.0 * part / whole, 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.numeric import cosine
+from vellum.functions.numeric import cosine, dot, unit
 from vellum.functions.text import tokens
 
 K1, B = 1.2, 0.75
@@ -47,10 +47,20 @@ def similar(vectors: DataFrame, query: list[float], k: int, threshold: float = 0
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def best_chunks(scored: DataFrame) -> DataFrame:
-    """Best chunk per product."""
-    best = scored.groupBy("product_id").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("b"))
-    return best.select("product_id", F.col("b.id").alias("id"), F.col("b.score").alias("score"))
+def scores(vectors: DataFrame, queries: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Every row of ``queries`` (query_id and a vector) against every row of ``vectors``, with ``score``, the cosine.
+
+    Spark compares blocks of the one with blocks of the other, or sends the queries to all tasks where they are small.
+    """
+    asked = queries.select("query_id", unit(F.col(vector)).alias("__q"))
+    pairs = vectors.withColumn("__v", unit(F.col(vector))).drop(vector).crossJoin(asked)
+    return pairs.withColumn("score", dot(F.col("__v"), F.col("__q"))).drop("__v", "__q")
+
+
+def best_chunks(scored: DataFrame, *by: str) -> DataFrame:
+    """Best chunk per product (and per value of the columns ``by``)."""
+    best = scored.groupBy(*by, "product_id").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("b"))
+    return best.select(*by, "product_id", F.col("b.id").alias("id"), F.col("b.score").alias("score"))
 
 
 def centroids(vectors: DataFrame) -> DataFrame:

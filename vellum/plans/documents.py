@@ -234,6 +234,16 @@ def similar_product(s, d):
     return c.filter("product_id <> 0").crossJoin(F.broadcast(one)).select(F.lit(0).alias("product_id"), F.col("product_id").alias("other"), F.round(numeric.cosine(F.col("v"), F.col("q")), 4).alias("score"))
 
 
+@query("vec03_similar_product_all", """, e AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL),
+    c AS (SELECT label, list(m ORDER BY pos) AS v FROM e GROUP BY label)
+    SELECT a.label AS product_id, b.label AS other, round(list_cosine_similarity(a.v, b.v), 4) AS score FROM c a JOIN c b ON a.label <> b.label WHERE a.label % 100 = 0""", "items")
+def similar_product_all(s, d):
+    v = src.read(s, d, "embeddings").select(F.col("label").alias("product_id"), "embedding")
+    c = search.centroids(v).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("pos", "mean")))["mean"].alias("v"))
+    scored = search.scores(c.withColumnRenamed("product_id", "other"), c.filter("product_id % 100 = 0").withColumnRenamed("product_id", "query_id"), "v")
+    return scored.filter("other <> query_id").select(F.col("query_id").alias("product_id"), "other", F.round("score", 4).alias("score"))
+
+
 @query("jsn02_setting", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'raw' WHEN event_id % 3 = 1 THEN json_extract_string(props, '$.k') ELSE 'default' END AS value FROM events")
 def setting(s, d):
     k = F.col("event_id") % 3
@@ -265,3 +275,12 @@ def filtered(s, d):
     best = search.best_chunks(v.crossJoin(F.broadcast(one)).withColumn("score", numeric.cosine(F.col("embedding"), F.col("q"))).filter("score >= 0.4"))
     wanted = ops.overlaps(src.items(s, d), "level_min", "level_max", low=2).select(F.col("id").alias("product_id"))
     return best.join(wanted, "product_id", "left_semi").select("product_id", F.round("score", 4).alias("score"))
+
+
+@query("vec04_filtered_all", """, v AS (SELECT q.vec_id AS query_id, e.label AS product_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0)
+    SELECT query_id, product_id, round(max(score), 4) AS score FROM v JOIN items i ON i.id = product_id WHERE score >= 0.4 AND (level_max >= 2 OR level_max IS NULL) GROUP BY ALL""", "items")
+def filtered_all(s, d):
+    v = src.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("product_id"), "embedding")
+    best = search.best_chunks(search.scores(v, v.filter("id % 100 = 0").withColumnRenamed("id", "query_id").drop("product_id")).filter("score >= 0.4"), "query_id")
+    wanted = ops.overlaps(src.items(s, d), "level_min", "level_max", low=2).select(F.col("id").alias("product_id"))
+    return best.join(wanted, "product_id", "left_semi").select("query_id", "product_id", F.round("score", 4).alias("score"))
