@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.shared import RowTable, add_columns, bounded_sample, held_out, slices, split_words, sums
+from vellum.llm.shared import RowTable, add_columns, bounded_sample, held_out, slices, split_words, strings_of, sums
 
 PER_LANGUAGE = 400
 ORDER = 5
@@ -149,7 +149,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
             if not model.languages:
                 return {"lang_pred": pa.array([UNKNOWN] * len(texts)), "score": np.zeros(len(texts))}
             codes, vocab, at = split_words(texts)
-            bits = sums(table.lookup(pc.utf8_lower(vocab).to_pylist())[codes], at) if len(codes) else np.zeros((len(texts), len(model.languages)))
+            bits = sums(table.lookup(strings_of(pc.utf8_lower(vocab)))[codes], at) if len(codes) else np.zeros((len(texts), len(model.languages)))
             best = bits.argmin(axis=1)
             gap = np.clip(bits - bits.min(axis=1, keepdims=True), 0, 1000)
             letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.shared import add_columns, materialize, ragged, split_words, sums
+from vellum.llm.shared import add_columns, materialize, ragged, split_words, strings_of, sums
 
 WORDS = 5
 PERCENT = 75
@@ -59,7 +59,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     import xxhash
 
     codes, vocab, at = split_words(texts)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in pc.ascii_lower(vocab).to_pylist()), np.uint64, len(vocab))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in strings_of(pc.ascii_lower(vocab))), np.uint64, len(vocab))
     words, n = hashes[codes], np.diff(at)
     rolled = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
     for k in range(WORDS):
@@ -165,7 +165,7 @@ def agreeing(sig: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -
 
 
 def bytes_of(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COMPONENTS)
+    return np.frombuffer(b"".join(strings_of(t.column("sig").combine_chunks())), np.uint8).reshape(-1, COMPONENTS)
 
 
 def forest(reps: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def confirm(dealt: DataFrame, docs: DataFrame) -> DataFrame:
     def search(batches):
         for t in groups(batches, ["cluster", "chunk"]):
             at = starts_of(t, ["cluster", "chunk"])
-            rep, sets = t.column("rep").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+            rep, sets = t.column("rep").to_numpy(), [np.frombuffer(x, np.uint64) for x in strings_of(t.column("set").combine_chunks())]
             root = np.empty(len(rep), np.int64)
             for x, y in zip(at.tolist(), at[1:].tolist(), strict=False):
                 root[x:y] = rep[x + linked(sets[x:y])]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.quality import labelled
-from vellum.llm.shared import add_columns, held_out, materialize, split_words, sums, without
+from vellum.llm.shared import add_columns, held_out, materialize, split_words, strings_of, sums, without
 
 TRAIN_DOCS = 8000
 #: Words with a feature of their own have been in so many training documents at least; toxic ones have this log odds ratio.
@@ -175,7 +175,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     """64 bits of each word, 0 of the empty one."""
     import xxhash
 
-    return np.fromiter((xxhash.xxh64_intdigest(w) if w else 0 for w in words.to_pylist()), np.uint64, len(words)).view(np.int64)
+    return np.fromiter((xxhash.xxh64_intdigest(w) if w else 0 for w in strings_of(words)), np.uint64, len(words)).view(np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_DOCS) -> Model | None:
