@@ -17,6 +17,27 @@ from vellum.operators.changes import sparse_json
 SIZES = ["Tiny", "Small", "Medium", "Large", "Huge", "Gargantuan"]
 KINDS = ["aberration", "beast", "celestial", "construct", "dragon", "elemental", "fey", "fiend", "giant", "humanoid", "monstrosity", "ooze", "plant", "undead"]
 
+ABILITIES = ["str", "dex", "con", "int", "wis", "cha"]
+
+#: Labels of the fields of a stat block.
+STAT_LABELS = {
+    "ac": ["Armor Class", "AC"], "hp": ["Hit Points", "HP"], "speed": ["Speed"], "challenge": ["Challenge"], "level": ["Creature"],
+    "perception": ["Perception"], "hd": ["HD"], "thac0": ["THAC0"], "morale": ["Morale", "ML"],
+}
+#: Families of stat blocks with words that all occur in them, and others of which one does.
+FAMILIES = [
+    ("5e", ["challenge", "xp", *ABILITIES], []), ("pf2e", ["creature", "perception", "strike"], []),
+    ("osr", ["hd"], ["thac0", "morale"]), ("5e", ["armor", "class", "hit", "points"], []),
+]
+
+#: Marks between a title and its page number, and lines above a table of contents.
+LEADERS = ".·…-_"
+CONTENTS_HEADERS = ["content", "contents", "table of content", "table of contents", "index", "chapter", "chapters"]
+
+#: Words before an author's name, and of credits that may follow it.
+AUTHOR_CUES = ["written by", "author", "writing", "by", "designer", "designed by", "created by"]
+OTHER_CREDITS = ["layout", "design", "art", "editing"]
+
 #: Product types under other names, and the types themselves.
 TYPE_NAMES = {
     "core rulebook": "core_rules", "setting": "sourcebook", "character options": "supplement", "gm tools": "tools", "map": "other",
@@ -58,23 +79,35 @@ def reflow(docs: DataFrame) -> DataFrame:
     return grouped.select("id", "block", "kind", F.array_join(F.col("parts.line"), " ").alias("content"))
 
 
+def contents_line(line: Column) -> Column:
+    """Struct (title, target) of a contents line: a title, a leader, a page number at the end. A leader is two marks in a row, three blanks, or,
+    after a title that begins with a chapter number, any blank. Null if the line is none."""
+    number = F.regexp_extract(line, r"[0-9]+$", 0)
+    left = F.substr(line, F.lit(1), F.length(line) - F.length(number))
+    title = F.rtrim(left, F.lit(f" \t{LEADERS}"))
+    gap = F.substr(left, F.length(title) + 1)
+    marks = F.translate(gap, LEADERS, "." * len(LEADERS))
+    numbered = F.rtrim(F.element_at(F.split(title, " "), 1), F.lit(".)"))
+    leads = F.contains(marks, F.lit("..")) | F.contains(gap, F.lit("   ")) | ((gap != "") & numbered.rlike("^[0-9]+$") & F.contains(title, F.lit(" ")))
+    target = F.try_to_number(F.nullif(number, F.lit("")), F.lit("999999999")).cast("int")
+    return F.when((title != "") & leads & (target > 0), F.struct(F.trim(title).alias("title"), target.alias("target")))
+
+
 def contents(pages: DataFrame, gap: int = 1) -> DataFrame:
     """(doc, page, pos, title, target) of contents lines: a header line opens the section, and more than ``gap`` pages in a row without
     entries end it. Pages without text do not count as such."""
     lines = page_lines(pages.filter("trim(text) <> ''")).filter("line <> ''")
-    header = F.col("line").rlike(r"(?i)^((table\s+of\s+)?contents?|index|chapters?)$")
-    shapes = [r"^(.+?)\s*[.·…\-_]{2,}\s*(\d+)\s*$", r"^(.+?)\s{3,}(\d+)\s*$", r"^(\d+[.)]\s+.+?)\s+(\d+)\s*$"]
-    first = lambda group: F.coalesce(*(F.nullif(F.regexp_extract("line", s, group), F.lit("")) for s in shapes))
-    rows = lines.select("doc", "page", "pos", header.alias("header"), first(1).alias("title"), F.try_to_number(first(2), F.lit("999999999")).cast("int").alias("target"))
+    header = F.lower(F.regexp_replace("line", r"\s+", " ")).isin(CONTENTS_HEADERS)
+    rows = lines.select("doc", "page", "pos", header.alias("header"), contents_line(F.col("line")).alias("found"))
     by_line = Window.partitionBy("doc").orderBy("page", "pos")
     rows = rows.withColumn("open", F.max("header").over(by_line))
-    rows = rows.withColumn("entry", F.col("open") & (F.trim("title") != "") & (F.col("target") > 0))
-    per_page = rows.groupBy("doc", "page").agg(F.max("open").alias("open"), F.coalesce(F.max(F.col("entry") | F.col("header")), F.lit(False)).alias("hit")).filter("open")
+    rows = rows.withColumn("entry", F.col("open") & F.col("found").isNotNull())
+    per_page = rows.groupBy("doc", "page").agg(F.max("open").alias("open"), F.max(F.col("entry") | F.col("header")).alias("hit")).filter("open")
     by_page = Window.partitionBy("doc").orderBy("page")
     islands = per_page.withColumn("hits", F.count_if("hit").over(by_page))
     misses = islands.withColumn("misses", F.count_if(~F.col("hit")).over(Window.partitionBy("doc", "hits").orderBy("page")))
     inside = misses.withColumn("worst", F.max("misses").over(by_page)).filter(F.col("worst") <= gap).select("doc", "page")
-    return rows.filter("entry").join(inside, ["doc", "page"], "left_semi").select("doc", "page", "pos", F.trim("title").alias("title"), "target")
+    return rows.filter("entry").join(inside, ["doc", "page"], "left_semi").select("doc", "page", "pos", "found.title", "found.target")
 
 
 def stat_blocks(docs: DataFrame, longest: int = 100) -> DataFrame:
@@ -82,11 +115,12 @@ def stat_blocks(docs: DataFrame, longest: int = 100) -> DataFrame:
     at the next start or two blank lines after its first six lines, or at ``longest`` lines. ``fields`` is a struct; what is not found is null."""
     w = Window.partitionBy("id").orderBy("pos")
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    sized = f"(?i)^({'|'.join(SIZES)})\\s+({'|'.join(KINDS)})"
-    after = [F.coalesce(F.lead("line", k).over(w).rlike(sized), F.lit(False)) for k in (1, 2, 3)]
-    creature = r"(?i)^([A-Z][A-Za-z\s'\-]+)\s+Creature\s+(\d+)"
-    title = F.when(F.col("line").rlike(r"^[A-Z][A-Za-z\s'\-]+$") & reduce(lambda a, b: a | b, after), F.col("line"))
-    title = F.coalesce(title, F.nullif(F.regexp_extract("line", creature, 1), F.lit("")))
+    after = [F.coalesce(size_and_kind(F.lead("line", k).over(w)).isNotNull(), F.lit(False)) for k in (1, 2, 3)]
+    words = F.split("line", r"\s+")
+    leveled = (F.size(words) > 2) & F.element_at(words, -1).rlike("^[0-9]+$") & (F.lower(F.try_element_at(words, F.lit(-2))) == "creature")
+    named = F.when(leveled, F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), " ")).when(reduce(lambda a, b: a | b, after), F.col("line"))
+    # Names are words of letters, the first one capitalised.
+    title = F.when(F.translate(named, " '-", "").rlike(r"^\p{Lu}\p{L}*$"), named)
     rows = lines.select("id", "pos", "line", title.alias("title"), F.lead("line").over(w).alias("following"))
     # A title within the first six lines of a block belongs to it, so starts depend on the start before: a fold over the titles of a text.
     at = rows.filter("title is not null").groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
@@ -103,29 +137,48 @@ def stat_blocks(docs: DataFrame, longest: int = 100) -> DataFrame:
     return blocks.select("id", "start", "name", system_of(F.col("body")).alias("system"), stat_fields(F.col("body")).alias("fields"))
 
 
+def words_of(body: Column) -> Column:
+    return F.split(F.lower(body), "[^a-z0-9]+")
+
+
 def system_of(body: Column) -> Column:
-    """Family of a stat block by its words."""
-    low = F.lower(body)
-    fifth = F.contains(low, F.lit("challenge")) & F.contains(low, F.lit("xp)")) & body.rlike(r"(?i)STR\s+DEX\s+CON\s+INT\s+WIS\s+CHA")
-    second = low.rlike(r"creature\s+\d+") & F.contains(low, F.lit("perception")) & F.contains(low, F.lit("strike"))
-    old = low.rlike(r"\b(thac0|morale)\b") & low.rlike(r"\bhd\b")
-    plain = F.contains(low, F.lit("armor class")) & F.contains(low, F.lit("hit points"))
-    return F.when(fifth, "5e").when(second, "pf2e").when(old, "osr").when(plain, "5e").otherwise("unknown")
+    """Family of a stat block: the first of ``FAMILIES`` of which all words, and of a set of alternatives one, occur."""
+    found = words_of(body)
+    rules = [(F.size(F.array_except(F.array(*map(F.lit, every)), found)) == 0) & (F.arrays_overlap(found, F.array(*map(F.lit, some))) if some else F.lit(True)) for _, every, some in FAMILIES]
+    return F.coalesce(*(F.when(rule, F.lit(name)) for rule, (name, _, _) in zip(rules, FAMILIES, strict=True)), F.lit("unknown"))
+
+
+def size_and_kind(line: Column) -> Column:
+    """Struct (size, kind) of a line that begins with a size and a kind of creature; null otherwise."""
+    words = F.transform(F.split(F.trim(line), r"\s+"), lambda x: F.rtrim(x, F.lit(",.;:()")))
+    size, kind = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    return F.when(F.lower(size).isin([x.lower() for x in SIZES]) & F.lower(kind).isin(KINDS), F.struct(size.alias("size"), kind.alias("kind")))
+
+
+def labelled(body: Column, label: Column) -> Column:
+    """What follows ``label``, where it stands as a word of its own, to the end of its line, without the separator; null if it does not."""
+    at = F.regexp_instr(body, F.concat(F.lit(r"(?i)\b"), label, F.lit(r"\b")))
+    return F.when(at > 0, F.ltrim(F.substring_index(F.substr(body, at + F.length(label)), "\n", 1), F.lit(" \t:+*")))
 
 
 def stat_fields(body: Column) -> Column:
-    """Fields of a stat block of any family."""
-    part = lambda p, g=1: F.nullif(F.regexp_extract(body, p, g), F.lit(""))
-    number = lambda *ps: F.coalesce(*(F.try_to_number(part(p), F.lit("999999999")) for p in ps)).cast("int")
-    sized = f"(?im)^({'|'.join(SIZES)})\\s+({'|'.join(KINDS)})"
-    six = r"\s*".join([r"(\d{1,2})\s*\([+-]?\d+\)"] * 6)
-    abilities = F.when(body.rlike(six), F.array(*(part(six, k).cast("int") for k in range(1, 7))))
+    """Fields of a stat block of any family, each the value after its label; numbers are the leading digits, notes stand in brackets."""
+    value = {name: F.coalesce(*(labelled(body, F.lit(x)) for x in labels)) for name, labels in STAT_LABELS.items()}
+    digits = lambda c: F.try_to_number(F.nullif(F.regexp_extract(c, "^[0-9]+", 0), F.lit("")), F.lit("999999999")).cast("int")
+    first_word = lambda c: F.nullif(F.substring_index(c, " ", 1), F.lit(""))
+    in_brackets = lambda c: F.when(F.contains(c, F.lit("(")) & F.contains(c, F.lit(")")), F.substring_index(F.substring_index(c, ")", 1), "(", -1))
+    xp = in_brackets(value["challenge"])
+    lines = F.split(body, "\n")
+    sized = F.get(F.filter(F.transform(lines, size_and_kind), lambda x: x.isNotNull()), F.lit(0))
+    # Scores stand in the line below the six names, each with its modifier in brackets.
+    names_at = F.array_position(F.transform(lines, lambda x: F.array_join(F.slice(words_of(F.trim(x)), 1, 6), " ")), " ".join(ABILITIES))
+    scores = F.regexp_extract_all(F.regexp_replace(F.get(lines, names_at.cast("int")), r"\([^)]*\)", " "), F.lit("[0-9]+"), F.lit(0))
+    abilities = F.when((names_at > 0) & (F.size(scores) == len(ABILITIES)), scores.cast("array<int>"))
     return F.struct(
-        part(sized).alias("size"), part(sized, 2).alias("kind"), number(r"(?i)Armor Class\s*(\d+)", r"(?i)\bAC[:\s]*(\d+)").alias("ac"), number(r"(?i)Hit Points\s*(\d+)", r"(?i)\bHP\s*(\d+)").alias("hp"),
-        part(r"(?i)Hit Points\s*\d+\s*\(([^)]+)\)").alias("hit_dice"), part(r"(?i)Speed\s*(\d+\s*(?:ft\.?|feet))").alias("speed"), part(r"(?i)Challenge\s*(\d+(?:/\d+)?)").alias("cr"),
-        part(r"(?i)Challenge\s*\d+(?:/\d+)?\s*\(([^)]+)\s*XP\)").alias("xp"), abilities.alias("abilities"), number(r"(?i)Creature\s+(\d+)").alias("level"),
-        number(r"(?i)Perception\s*\+(\d+)").alias("perception"), part(r"(?i)\bHD[:\s]*(\d+(?:d\d+)?(?:[+-]\d+)?)").alias("hd"), number(r"(?i)THAC0[:\s]*(\d+)").alias("thac0"),
-        number(r"(?i)\b(?:Morale|ML)[:\s]*(\d+)").alias("morale"),
+        sized["size"].alias("size"), sized["kind"].alias("kind"), digits(value["ac"]).alias("ac"), digits(value["hp"]).alias("hp"), in_brackets(value["hp"]).alias("hit_dice"),
+        F.nullif(F.substring_index(value["speed"], ",", 1), F.lit("")).alias("speed"), first_word(value["challenge"]).alias("cr"),
+        F.when(F.contains(xp, F.lit("XP")), F.substring_index(xp, "XP", 1)).alias("xp"), abilities.alias("abilities"), digits(value["level"]).alias("level"),
+        digits(value["perception"]).alias("perception"), first_word(value["hd"]).alias("hd"), digits(value["thac0"]).alias("thac0"), digits(value["morale"]).alias("morale"),
     )
 
 
@@ -144,13 +197,13 @@ def best_by_words(text: Column, dictionary: dict[str, list[str]], least: int, st
 
 
 def author_of(text: Column) -> Column:
-    """Author after "written by" and the like; trailing credits are cut, 4 to 199 characters count."""
-    name = "[A-Z][a-z]+ [A-Z][a-z]+"
-    found = []
-    for pattern in (f"(?i)(?:written|writing|author|by)[:\\s]+((?-i:{name}(?:\\s*(?:,|and|&)\\s*{name})*))", f"(?i)designe?r?[:\\s]+((?-i:{name}))", f"(?i)created by[:\\s]+((?-i:{name}))"):
-        a = F.trim(F.regexp_replace(F.regexp_extract(text, pattern, 1), r"(?i)\s*(?:,\s*)?(?:layout|design|art|editing).*$", ""))
-        found.append(F.when(F.length(a).between(4, 199), a))
-    return F.coalesce(*found)
+    """Author after the first of ``AUTHOR_CUES`` that a name follows: capitalised words, at least two, up to the end of the line or to another
+    credit; 4 to 199 characters count."""
+    lines = F.transform(F.array(*map(F.lit, AUTHOR_CUES)), lambda cue: labelled(text, cue))
+    own = F.transform(lines, lambda line: F.get(F.split(line, f"(?i){'|'.join(OTHER_CREDITS)}", 2), F.lit(0)))
+    runs = F.transform(own, lambda line: F.regexp_extract(line, r"^(\p{Lu}\p{Ll}+|and|&|,|\s)+", 0))
+    found = F.transform(runs, lambda run: F.trim(F.regexp_replace(F.trim(run), r"(\s*(and|&|,))+$", "")))
+    return F.get(F.filter(found, lambda name: name.rlike(r"^\p{Lu}\p{Ll}+\s+\p{Lu}") & F.length(name).between(4, 199)), F.lit(0))
 
 
 def text_metadata(text: Column, systems: dict, publishers: dict, genres: dict, types: dict) -> Column:
