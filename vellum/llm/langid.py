@@ -1,17 +1,20 @@
 """Language identification by prediction by partial matching.
 
-Per language, a tree of byte contexts up to five bytes long counts which byte followed. The code length of a byte is that of
+Per language, a tree of byte contexts up to ``ORDER`` bytes long counts which byte followed. The code length of a byte is that of
 the longest context seen in training; where a context never saw the byte, its escape is paid and the next shorter context
-is tried, down to a uniform code (method C: the escape counts as often as the context has distinct bytes). Contexts begin
-at the space before a word, so that words have code lengths of their own, computed once per distinct word. Statistics are
+is tried, down to a uniform code (method C: the escape counts as often as the context has distinct bytes). Contexts run through
+the whole UTF-8 text as it is, over words, lines and marks, and begin anew with each text. A byte's code length
+depends on it and the ``ORDER`` bytes before it only, so it is computed once per different window of bytes. Statistics are
 frozen after training; the language with the shortest code wins.
 
-Trained on at most ``PER_LANGUAGE`` documents a language. Null texts and texts without a letter give ``und`` and score 0,
-as does a model without training rows; ties go to the language first in order. Repeated rows are scored one by one.
+Trained on at most ``PER_LANGUAGE`` whole documents a language; tasks count the windows. Null texts and texts without a letter give
+``und`` and score 0, as does a model without training rows; ties go to the language first in order. Repeated rows are scored one by
+one. A text of any length is scored in blocks of ``BLOCK`` bytes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,94 +24,140 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.shared import RowTable, add_columns, bounded_sample, held_out, slices, split_words, strings_of, sums
+from vellum.llm.shared import add_columns, bounded_sample, held_out, slices
 
 PER_LANGUAGE = 400
 ORDER = 5
-#: Longer words are cut into parts of so many bytes, to bound a lookup.
-WORD_BYTES = 64
+BLOCK = 1 << 20
 UNKNOWN = "und"
+LENGTH_BITS = 8 * (ORDER + 1)
+
+
+@dataclass
+class Tree:
+    """Contexts of one language: byte strings as sorted keys (length in the high bits, then the bytes)."""
+
+    nodes: np.ndarray
+    code: np.ndarray  # bits of a string's last byte after its others
+    escape: np.ndarray  # bits of an escape from a string as context; 0 where it never was one
+    unseen: float  # bits of a byte that no context saw: the escape from the empty one, and the uniform code
 
 
 @dataclass
 class Model:
     languages: list[str]
-    nodes: np.ndarray  # sorted keys of byte strings: length in the high bits, then the bytes
-    code: np.ndarray  # bits of a string's last byte after its others, by node and language; inf where unseen
-    escape: np.ndarray  # bits of an escape from a string as context; 0 where the context is unseen
+    trees: list[Tree]
 
 
-def word_bytes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All words as ``space, bytes, space``, and where each begins."""
-    raw = [b" " + w.encode() + b" " for w in words]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of all texts, and where each text's begin."""
+    wide = texts.cast(pa.large_string())
+    at = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
+    data = wide.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)), at - at[0]
 
 
-def suffix_keys(flat: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """For k = 1 .. ORDER + 1 the key of the last k bytes up to each position; 0 where the word has fewer."""
-    inside = np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))
-    keys, value = [], np.zeros(len(flat), np.int64)
-    for k in range(1, ORDER + 2):
-        shifted = np.zeros(len(flat), np.int64)
-        shifted[k - 1 :] = flat[: len(flat) - k + 1]
-        value = value | shifted << 8 * (k - 1)
-        keys.append(np.where(inside >= k - 1, value | k << 56, 0))
-    return keys
+def windows(flat: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Per block of bytes its start, and per byte the key of the window that ends with it: up to ``ORDER`` bytes before it, and itself."""
+    for a in range(0, len(flat), BLOCK):
+        b = min(a + BLOCK, len(flat))
+        near = np.zeros(b - a + ORDER, np.int64)
+        near[max(0, ORDER - a) :] = flat[max(0, a - ORDER) : b]
+        value = near[ORDER:].copy()
+        for k in range(1, ORDER + 1):
+            value |= near[ORDER - k : len(near) - k] << 8 * k
+        keys = value | (ORDER + 1) << LENGTH_BITS
+        for k in range(1, ORDER + 1):  # the k-th byte of a text has k bytes to its window
+            place = at[:-1] + k - 1
+            place = place[(place < at[1:]) & (place >= a) & (place < b)] - a
+            keys[place] = suffix(value[place] | k << LENGTH_BITS, k)
+        yield a, keys
 
 
-def fit(counts: list[tuple[str, str, int]]) -> Model:
-    """From (language, word, count) rows."""
-    languages = sorted({lang for lang, _, _ in counts})
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for language in languages:
-        rows = [(w, n) for lang, w, n in counts if lang == language]
-        flat, at = word_bytes([w for w, _ in rows])
-        weight = np.repeat(np.array([n for _, n in rows], np.int64), np.diff(at))
-        weight[at[:-1]] = 0  # the space before a word is context only
-        keys = np.concatenate(suffix_keys(flat, at))
-        unique, place = np.unique(keys, return_inverse=True)
-        total = np.bincount(place, np.tile(weight, ORDER + 1)).astype(np.int64)
-        found.append((unique[unique > 0], total[unique > 0]))
-    nodes = np.unique(np.concatenate([k for k, _ in found])) if found else np.zeros(0, np.int64)
-    code = np.full((len(nodes), len(languages)), np.inf, np.float32)
-    escape = np.zeros((len(nodes), len(languages)), np.float32)
-    length = nodes >> 56
-    parent_key = np.where(length > 1, (nodes & ((1 << 56) - 1)) >> 8 | (length - 1) << 56, 0)
-    parent = np.where(length > 1, np.searchsorted(nodes, parent_key), len(nodes))
-    for c, (keys, total) in enumerate(found):
-        n = np.zeros(len(nodes), np.int64)
-        n[np.searchsorted(nodes, keys)] = total
-        seen = np.bincount(parent, n, len(nodes) + 1)
-        kinds = np.bincount(parent, n > 0, len(nodes) + 1)
-        for_root = length == 1
-        seen[-1], kinds[-1] = n[for_root].sum(), (n[for_root] > 0).sum()
-        with np.errstate(divide="ignore"):
-            code[:, c] = np.where(n > 0, -np.log2(n / np.maximum(1, seen[parent] + kinds[parent])), np.inf)
-            escape[:, c] = np.where(seen[:-1] > 0, -np.log2(kinds[:-1] / np.maximum(1, seen[:-1] + kinds[:-1])), 0)
-    return Model(languages, nodes, code, escape)
-
-
-def code_lengths(model: Model, words: list[str]) -> np.ndarray:
-    """Bits of each word in each language."""
-    flat, at = word_bytes(words)
-    bits = np.zeros((len(flat), len(model.languages)), np.float32)
-    open_ = np.ones_like(bits, bool)
-    open_[at[:-1]] = False
-    node = []
-    for keys in suffix_keys(flat, at):
-        place = np.minimum(np.searchsorted(model.nodes, keys), len(model.nodes) - 1)
-        node.append(np.where((keys > 0) & (model.nodes[place] == keys), place, -1))
+def suffix(keys: np.ndarray, k: int) -> np.ndarray:
+    """Key of the last k bytes of each string; 0 where it is shorter."""
+    return np.where(keys >> LENGTH_BITS >= k, keys & ((1 << 8 * k) - 1) | k << LENGTH_BITS, 0)
+
+
+def parent(keys: np.ndarray) -> np.ndarray:
+    """Key of each string without its last byte; 0 for single bytes."""
+    n = keys >> LENGTH_BITS
+    return np.where(n > 1, (keys & ((1 << LENGTH_BITS) - 1)) >> 8 | (n - 1) << LENGTH_BITS, 0)
+
+
+def grow(keys: np.ndarray, counts: np.ndarray) -> Tree:
+    """The tree of one language from its windows and how often each was seen."""
+    nodes, total = [], []
+    for k in range(1, ORDER + 2):
+        own, place = np.unique(suffix(keys, k), return_inverse=True)
+        n = np.bincount(place, counts, len(own))
+        nodes.append(own[own > 0])
+        total.append(n[own > 0])
+    nodes, total = np.concatenate(nodes), np.concatenate(total)
+    place = np.searchsorted(nodes, parent(nodes))
+    place[parent(nodes) == 0] = len(nodes)  # the empty context
+    seen, kinds = np.bincount(place, total, len(nodes) + 1), np.bincount(place, minlength=len(nodes) + 1)
+    code = -np.log2(total / (seen + kinds)[place])
+    escape = np.where(kinds > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(1, seen + kinds)), 0)
+    return Tree(nodes, code.astype(np.float32), escape[:-1].astype(np.float32), 8 + float(escape[-1]))
+
+
+def lookup(tree: Tree, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in the tree, -1 where they are not."""
+    place = np.minimum(np.searchsorted(tree.nodes, keys), len(tree.nodes) - 1)
+    return np.where(tree.nodes[place] == keys, place, -1)
+
+
+def code_lengths(tree: Tree, keys: np.ndarray) -> np.ndarray:
+    """Bits of the last byte of each window."""
+    bits, left = np.zeros(len(keys), np.float32), np.arange(len(keys))
     for k in range(ORDER + 1, 0, -1):
-        own = node[k - 1]
-        cost = np.where((own >= 0)[:, None], model.code[own], np.inf)
-        hit = open_ & np.isfinite(cost)
-        bits[hit] += cost[hit]
-        open_ &= ~hit
-        if k > 1:  # the context is the string that ends one byte before
-            before = np.concatenate([[-1], node[k - 2][:-1]])
-            bits += np.where(open_ & (before >= 0)[:, None], model.escape[before], 0)
-    bits += 8.0 * open_
-    return sums(bits, at)
+        long = np.flatnonzero(keys[left] >> LENGTH_BITS >= k)
+        own = suffix(keys[left[long]], k)
+        place = lookup(tree, own)
+        hit = place >= 0
+        bits[left[long[hit]]] += tree.code[place[hit]]
+        if k > 1:
+            context = lookup(tree, parent(own[~hit]))
+            bits[left[long[~hit]]] += np.where(context >= 0, tree.escape[context], 0)
+        left = np.delete(left, long[hit])
+    bits[left] += tree.unseen
+    return bits
+
+
+class Lengths:
+    """Code lengths of windows in every language; each window's are kept at a place that its hash names, until another takes it over."""
+
+    CACHE_BITS = 18
+
+    def __init__(self, model: Model):
+        self.trees = model.trees
+        self.keys = np.full(1 << self.CACHE_BITS, -1, np.int64)
+        self.bits = np.zeros((1 << self.CACHE_BITS, len(model.trees)), np.float32)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        place = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.CACHE_BITS)).view(np.int64)
+        new = np.flatnonzero(self.keys[place] != keys)
+        out = self.bits[place]
+        if len(new):
+            out[new] = np.stack([code_lengths(t, keys[new]) for t in self.trees], axis=1)
+            self.bits[place[new]], self.keys[place[new]] = out[new], keys[new]
+            # Of several new windows with one place, the bits of the last one stay, as its key does.
+        return out
+
+    def sums(self, texts: pa.Array) -> np.ndarray:
+        """Bits of each text in each language."""
+        flat, at = text_bytes(texts)
+        total = np.zeros((len(texts), len(self.trees)))
+        for a, keys in windows(flat, at):
+            coded = pa.array(keys).dictionary_encode()
+            bits, which = self.of(coded.dictionary.to_numpy()), coded.indices.to_numpy()
+            first, last = np.searchsorted(at[1:], a, side="right"), np.searchsorted(at[:-1], a + len(keys), side="left")
+            begin = np.maximum(at[first:last] - a, 0)
+            full = np.flatnonzero(at[first + 1 : last + 1] - a > begin)
+            for c in range(len(self.trees)):
+                total[first + full, c] += np.add.reduceat(bits[:, c].astype(np.float64)[which], begin[full])
+        return total
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -119,15 +168,18 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     def count(batches):
         for b in slices(batches, "text"):
-            codes, vocab, at = split_words(b.column("text"))
-            langs = b.column("lang").dictionary_encode()
-            of = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(at))
-            pair, n = np.unique(of.astype(np.int64) * len(vocab) + codes, return_counts=True)
-            words = pc.utf8_lower(pc.utf8_slice_codeunits(vocab, 0, WORD_BYTES))
-            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(pair // max(1, len(vocab)))), words.take(pa.array(pair % max(1, len(vocab)))), pa.array(n)], names=["lang", "word", "n"])
-
-    counted = sample.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return fit([tuple(r) for r in counted.collect()])
+            for lang in pc.unique(b.column("lang")):
+                for _, keys in windows(*text_bytes(b.column("text").filter(pc.equal(b.column("lang"), lang)))):
+                    found = pa.array(keys).value_counts()
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(found)), found.field("values"), found.field("counts")], names=["lang", "window", "n"])
+
+    counted = sample.mapInArrow(count, "lang string, window bigint, n bigint").groupBy("lang", "window").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(pc.unique(counted.column("lang")).to_pylist())
+    trees = []
+    for language in languages:
+        own = counted.filter(pc.equal(counted.column("lang"), language))
+        trees.append(grow(own.column("window").to_numpy(), own.column("n").to_numpy()))
+    return Model(languages, trees)
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,18 +190,12 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     def make():
         model = shared.value
 
-        def parts(words: list[str]) -> np.ndarray:
-            pieces = [[w[i : i + WORD_BYTES] for i in range(0, max(1, len(w)), WORD_BYTES)] for w in words]
-            at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-            return sums(code_lengths(model, [x for p in pieces for x in p]), at)
-
-        table = RowTable(parts)
+        lengths = Lengths(model)
 
         def work(texts: pa.Array) -> dict[str, object]:
             if not model.languages:
                 return {"lang_pred": pa.array([UNKNOWN] * len(texts)), "score": np.zeros(len(texts))}
-            codes, vocab, at = split_words(texts)
-            bits = sums(table.lookup(strings_of(pc.utf8_lower(vocab)))[codes], at) if len(codes) else np.zeros((len(texts), len(model.languages)))
+            bits = lengths.sums(texts)
             best = bits.argmin(axis=1)
             gap = np.clip(bits - bits.min(axis=1, keepdims=True), 0, 1000)
             letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)

@@ -99,6 +99,20 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes, coded.dictionary, at
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spread 64 bits (the finaliser of splitmix64)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word, 0 of the empty one."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(w) if w else 0 for w in strings_of(words)), np.uint64, len(words))
+
+
 def strings_of(values: pa.Array) -> list:
     """``values.to_pylist()`` of strings or binaries, in a tenth of the time."""
     return values.to_numpy(zero_copy_only=False).tolist()
@@ -169,25 +183,6 @@ class CodeTable:
         return self.starts[at], self.lengths[at].astype(np.int64)
 
 
-class RowTable:
-    """Rows of figures of strings, computed once and then looked up; emptied like a CodeTable."""
-
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], limit: int = 250_000):
-        self.compute, self.limit, self.index, self.rows = compute, limit, {}, None
-
-    def lookup(self, strings: list[str]) -> np.ndarray:
-        missing = list(dict.fromkeys(s for s in strings if s not in self.index))
-        if self.index and len(self.index) + len(missing) > self.limit:
-            stay = list(dict.fromkeys(s for s in strings if s in self.index))
-            self.rows = self.rows[[self.index[s] for s in stay]]
-            self.index = dict(zip(stay, range(len(stay)), strict=True))
-        if missing:
-            new = self.compute(missing)
-            self.index.update(zip(missing, range(len(self.index), len(self.index) + len(missing)), strict=True))
-            self.rows = new if self.rows is None else np.concatenate([self.rows, new])
-        return self.rows[np.fromiter(map(self.index.__getitem__, strings), np.int64, len(strings))]
-
-
 def bounded_sample(df: DataFrame, key: str, per_group: int, group: str | None = None, buckets: int = 4096) -> DataFrame:
     """``per_group`` values of ``key`` (per value of ``group``), spread by hash; all of them where there are no more. Keys must be distinct.
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.quality import labelled
-from vellum.llm.shared import add_columns, held_out, materialize, split_words, strings_of, sums, without
+from vellum.llm.shared import add_columns, held_out, materialize, split_words, sums, without, word_hashes
 
 TRAIN_DOCS = 8000
 #: Words with a feature of their own have been in so many training documents at least; toxic ones have this log odds ratio.
@@ -171,20 +171,13 @@ def fit(codes: np.ndarray, at: np.ndarray, vocab: list, toxic: np.ndarray, steps
     return Model({w: float(v) for w, v, o in zip(vocab, weights, own, strict=False) if o and abs(v) > 1e-3}, bias, transitions, slope, intercept)
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """64 bits of each word, 0 of the empty one."""
-    import xxhash
-
-    return np.fromiter((xxhash.xxh64_intdigest(w) if w else 0 for w in strings_of(words)), np.uint64, len(words)).view(np.int64)
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_DOCS) -> Model | None:
     texts = materialize(labelled(docs, labels, label, most))  # bounded by ``most`` documents
 
     def make():
         def work(texts: pa.Array) -> dict[str, object]:
             codes, vocab, at = split_words(texts)
-            hashes = word_hashes(bare(vocab))[codes]
+            hashes = word_hashes(bare(vocab)).view(np.int64)[codes]
             return {"words": pa.array([hashes[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)], pa.binary())}
 
         return work
@@ -204,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     def name(batches):
         for b in batches:
             words = pc.unique(bare(split_words(b.column("text"))[1]))
-            hashes = word_hashes(words)
+            hashes = word_hashes(words).view(np.int64)
             mine = np.isin(hashes, known)
             yield pa.RecordBatch.from_arrays([pa.array(hashes[mine]), words.filter(pa.array(mine))], names=["hash", "word"])
 
