@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 START, TURN, END = "<|im_start|>", "<|im_turn|>", "<|im_end|>\n"
 #: Stands for a line feed within a role.
 ROLE_BREAK = "<|im_nl|>"
+#: Runs of a mask that are read together.
+MASK_RUNS = 64
 
 
 def escape(text: Column) -> Column:
@@ -30,29 +32,53 @@ def split_at(text: Column, marker: str) -> Column:
     return F.split(text, "\\Q" + marker + "\\E")
 
 
+def blocks_of(turns: Column) -> Column:
+    """Sorted turns, neighbours of the same role merged: an array of (role, texts)."""
+    last = F.size(turns) - 1
+    opens = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(turns, i - 1)["role"] != F.get(turns, i)["role"]))
+
+    def block(at: Column, k: Column) -> Column:
+        own = F.slice(turns, at + 1, F.coalesce(F.get(opens, k + 1), last + 1) - at)
+        return F.struct(F.get(own, F.lit(0))["role"].alias("role"), F.transform(own, lambda t: t["text"]).alias("texts"))
+
+    return F.transform(opens, block)
+
+
 def format_conversations(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, and the loss mask as runs of characters: (loss, chars), over the whole formatted string."""
     given = turns.select(
         "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
     ).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    head = lambda r: F.concat(F.lit(START), F.replace(escape(r), F.lit("\n"), F.lit(ROLE_BREAK)), F.lit("\n"))
-
-    def piece(t: Column, i: Column) -> Column:
-        turns = F.col("turns")
-        opens = (i == 0) | (F.get(turns, i - 1)["role"] != t["role"])
-        closes = (i == F.size(turns) - 1) | (F.get(turns, i + 1)["role"] != t["role"])
-        return F.struct(
-            F.when(opens, head(t["role"])).otherwise(TURN).alias("before"), escape(t["text"]).alias("text"),
-            F.when(closes, END).otherwise("").alias("after"), (t["role"] == trained_role).alias("loss"),
-        )
-
-    pieces = given.select("conv_id", F.transform("turns", piece).alias("p"))
-    run = lambda loss, text: F.struct(loss.alias("loss"), F.length(text).alias("chars"))
-    return pieces.select(
-        "conv_id",
-        F.array_join(F.transform("p", lambda x: F.concat(x["before"], x["text"], x["after"])), "").alias("formatted"),
-        F.flatten(F.transform("p", lambda x: F.array(run(F.lit(False), x["before"]), run(x["loss"], x["text"]), run(F.lit(False), x["after"])))).alias("loss_runs"),
-    )
+    merged = given.select("conv_id", blocks_of(F.col("turns")).alias("blocks"))
+
+    def pieces(block: Column) -> Column:
+        head = F.concat(F.lit(START), F.replace(escape(block["role"]), F.lit("\n"), F.lit(ROLE_BREAK)), F.lit("\n"))
+        mark = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+        texts = F.transform(block["texts"], lambda t, i: F.array(mark(F.when(i == 0, head).otherwise(TURN), F.lit(False)), mark(escape(t), block["role"] == trained_role)))
+        return F.concat(F.flatten(texts), F.array(mark(F.lit(END), F.lit(False))))
+
+    parts = merged.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("p"))
+    return parts.select("conv_id", F.array_join(F.col("p.text"), "").alias("formatted"), F.transform("p", lambda x: F.struct(x["loss"].alias("loss"), F.length(x["text"]).alias("chars"))).alias("loss_runs"))
+
+
+def under_mask(formatted: Column, runs: Column) -> Column:
+    """The texts that the loss mask covers, each unescaped, one after the other.
+
+    The string is cut into pieces of ``MASK_RUNS`` runs first, so that finding a run's place never counts through the whole string.
+    """
+    total = lambda part: F.aggregate(part, F.lit(0), lambda t, r: t + r["chars"])
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(runs) / MASK_RUNS).cast("int") - 1, F.lit(0))), lambda k: F.slice(runs, k * MASK_RUNS + 1, F.lit(MASK_RUNS)))
+    starts = F.aggregate(F.transform(parts, total), F.array(F.lit(0)), lambda ends, n: F.concat(ends, F.array(F.element_at(ends, -1) + n)))
+    cut = F.transform(parts, lambda part, k: F.struct(F.substr(formatted, F.get(starts, k) + 1, F.get(starts, k + 1) - F.get(starts, k)).alias("text"), part.alias("runs")))
+
+    def read(part: Column) -> Column:
+        def step(acc: Column, r: Column) -> Column:
+            text = F.when(r["loss"], unescape(F.substr(part["text"], acc["at"] + 1, r["chars"]))).otherwise("")
+            return F.struct((acc["at"] + r["chars"]).alias("at"), F.concat(acc["out"], text).alias("out"))
+
+        return F.aggregate(part["runs"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    return F.array_join(F.transform(cut, read), "")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -68,13 +94,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("*", F.flatten(F.transform(blocks, turns)).alias("turns"))
 
 
-def digests(formatted: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """Figures and digests read back from the formatted strings."""
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == trained_role), lambda t: t["text"]), "")
+def digests(formatted: DataFrame) -> DataFrame:
+    """Figures and digests read back from the formatted strings and their masks."""
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read_back(formatted).select(
+    rows = read_back(formatted.withColumn("loss", under_mask(F.col("formatted"), F.col("loss_runs"))))
+    return rows.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
 
