@@ -8,8 +8,12 @@
    region outside the region's largest component are compared with all its blocks, so every pair of a region has met or
    hangs together anyway. A task reports only which rows hang together, so a large group gives one row per member and
    tree, not pairs.
-3. Within a cluster, links are confirmed on the full sets: a search from document to document over an inverted index
-   of their shingles, so every link between members counts. Clusters too large for a task are dealt out in chunks that share
+3. Clusters too large for a task are split first, as documents that share a template are alike without being linked. With
+   shingles ordered by how often they occur, rarest first, a linked pair shares one of the first n - ceil(6/7 n) + 1 of its smaller
+   document and of the first n - ceil(3/4 n) + 1 of its larger one. Documents that share none part, so a shingle of the template
+   brings nobody together.
+4. Within a cluster, links are confirmed on the full sets: a search from document to document over an inverted index
+   of their shingles, so every link between members counts. Clusters that are still large are dealt out in chunks that share
    a few members; then the members outside the cluster's largest component are compared, in blocks, with all its chunks.
 
 At similarity 0.75 a tree misses a pair with probability 1 - 0.75 ** 3, all 24 with 2e-6.
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.shared import add_columns, materialize, ragged, split_words, strings_of, sums
+from vellum.llm.shared import add_columns, materialize, mix, ragged, split_words, strings_of, sums, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -39,7 +43,11 @@ DENSE, LEADERS, ASKED = 512, 8, 8192
 #: Candidates agree in so many of the components: at similarity 0.75 five standard deviations below the mean.
 AGREE = 71
 #: Documents and shingles of a cluster that one task confirms together.
-CHUNK_DOCS, CHUNK_SHINGLES = 1000, 2_000_000
+CHUNK_DOCS, CHUNK_SHINGLES = 256, 2_000_000
+#: Members that all chunks of a large cluster share.
+SHARED = 6
+#: Cells of the counts that order shingles from rare to frequent; any order gives right links, a good one small groups.
+CELL_BITS = 18
 
 _rng = np.random.default_rng(20240607)
 WORD_KEYS = _rng.integers(0, 1 << 63, 2 * WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -47,20 +55,10 @@ MULTIPLY = _rng.integers(0, 1 << 31, COMPONENTS, dtype=np.uint32) * np.uint32(2)
 ADD = _rng.integers(0, 1 << 32, COMPONENTS, dtype=np.uint32)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Spread 64 bits (the finaliser of splitmix64)."""
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, and where each text's begin."""
-    import xxhash
-
     codes, vocab, at = split_words(texts)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in strings_of(pc.ascii_lower(vocab))), np.uint64, len(vocab))
-    words, n = hashes[codes], np.diff(at)
+    words, n = word_hashes(pc.ascii_lower(vocab))[codes], np.diff(at)
     rolled = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
     for k in range(WORDS):
         rolled += words[k : len(words) - WORDS + 1 + k] * WORD_KEYS[k]
@@ -278,9 +276,8 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
     return root
 
 
-def confirm(dealt: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, root) by confirmed links within each (cluster, chunk) of ``dealt`` (rep, cluster, chunk)."""
-    new = T.StructType([T.StructField("set", T.BinaryType())])
+def with_sets(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (rep, ...) with the sorted shingle hashes of each rep's text, as bytes in ``set``."""
 
     def make():
         def work(texts: pa.Array) -> dict[str, object]:
@@ -289,8 +286,64 @@ def confirm(dealt: DataFrame, docs: DataFrame) -> DataFrame:
 
         return work
 
-    wanted = docs.join(dealt.select("rep").distinct(), docs["doc_id"] == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    sets = add_columns(wanted, "text", ["rep"], new, make).join(dealt, "rep")
+    wanted = docs.join(rows.select("rep").distinct(), docs["doc_id"] == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    return add_columns(wanted, "text", ["rep"], T.StructType([T.StructField("set", T.BinaryType())]), make).join(rows, "rep")
+
+
+def split_large(clusters: DataFrame, docs: DataFrame) -> DataFrame:
+    """``clusters`` (rep, n, cluster), the large ones split where rare shingles are not shared."""
+    sizes = clusters.groupBy("cluster").agg(((F.count(F.lit(1)) > CHUNK_DOCS) | (F.sum("n") > CHUNK_SHINGLES)).alias("large"))
+    marked = materialize(clusters.join(sizes, "cluster"))
+    if marked.filter("large").isEmpty():
+        return clusters
+    sets = materialize(with_sets(docs, marked.filter("large").select("rep", "cluster")).select("cluster", "rep", "set"))
+
+    def count(batches):
+        for b in batches:
+            total = np.bincount(cell(np.frombuffer(b"".join(strings_of(b.column("set"))), np.uint64)), minlength=1 << CELL_BITS)
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
+
+    counted = sets.select("set").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** CELL_BITS rows
+    often = np.zeros(1 << CELL_BITS, np.int64)
+    often[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def rarest(batches):
+        often = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out, early, of = [], [], []
+            for i, raw in enumerate(strings_of(b.column("set"))):
+                own = np.frombuffer(raw, np.uint64)
+                n = len(own)
+                order = np.lexsort((own, often[cell(own)]))[: n - -(-PERCENT * n // 100) + 1]
+                out.append(own[order].view(np.int64))
+                early.append(np.arange(len(order)) < n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1)
+                of.append(np.full(len(order), i))
+            of = np.concatenate(of)
+            n = pc.divide(pc.binary_length(b.column("set")), 8).cast(pa.int64())
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays([b.column("cluster").take(take), b.column("rep").take(take), n.take(take), pa.array(np.concatenate(out)), pa.array(np.concatenate(early))], names=["cluster", "rep", "n", "shingle", "early"])
+
+    rows = materialize(sets.mapInArrow(rarest, "cluster bigint, rep bigint, n bigint, shingle bigint, early boolean"))
+    first = lambda f, c: f(F.when(F.col("early"), F.col(c)))
+    meets = rows.groupBy("cluster", "shingle").agg(first(F.min, "rep").alias("center"), first(F.min, "n").alias("least"), first(F.max, "n").alias("most"), F.count(F.lit(1)).alias("k"))
+    meets = meets.filter("k > 1 and center is not null").drop("k")
+    near = rows.join(meets, ["cluster", "shingle"]).filter((F.col("n") >= F.col("least")) & (PERCENT * F.col("n") <= 100 * F.col("most")) & (F.col("rep") != F.col("center")))
+    found = components(near.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct())
+    parts = marked.join(found, F.col("rep") == F.col("v")).filter("large").select("rep", "n", F.col("label").alias("cluster"))
+    return marked.filter("not large").select("rep", "n", "cluster").unionByName(parts)
+
+
+def cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def confirm(dealt: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, root) by confirmed links within each (cluster, chunk) of ``dealt`` (rep, cluster, chunk)."""
+    sets = with_sets(docs, dealt)
 
     def search(batches):
         for t in groups(batches, ["cluster", "chunk"]):
@@ -307,10 +360,11 @@ def confirm(dealt: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirmed_components(clusters: DataFrame, docs: DataFrame) -> DataFrame:
     """(v, label) by confirmed links, from clusters (rep, n, cluster)."""
+    clusters = split_large(clusters, docs)
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     sizes = sizes.withColumn("chunks", F.ceil(F.greatest(F.col("docs") / CHUNK_DOCS, F.col("shingles") / CHUNK_SHINGLES)).cast("int"))
     placed = materialize(clusters.join(sizes, "cluster").select("cluster", "rep", "docs", "chunks", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("home")))
-    everywhere = (F.col("rep") == F.col("cluster")) | (F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("docs")) < 3)
+    everywhere = (F.col("rep") == F.col("cluster")) | (F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("docs")) < SHARED)
     to = F.when((F.col("chunks") > 1) & everywhere, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("home"))
     links = materialize(confirm(placed.select("rep", "cluster", F.explode(to).alias("chunk")).withColumn("chunk", F.col("chunk").cast("bigint")), docs))
     large = placed.filter("chunks > 1")
