@@ -18,6 +18,11 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def has_part(path: Column, part: str) -> Column:
+    """Whether a folder of the path, or its file name, is exactly ``part``."""
+    return F.array_contains(F.split(path, "/"), part)
+
+
 def normalize_name(name: Column) -> Column:
     """Lower case, separators to spaces, one variant word taken from the end."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(stem(name)), r"[-_.]", " "), r" +", " "))

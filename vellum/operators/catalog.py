@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import glob_regex
@@ -44,8 +47,28 @@ def contains_any(df: DataFrame, text: str, *columns: str) -> DataFrame:
     return df.filter(reduce(lambda a, b: a | b, (F.col(c).ilike(f"%{text}%") for c in columns)))
 
 
+def valid_regex(pattern: str) -> bool:
+    """Whether Java takes the pattern."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
+def rule_table(spark: SparkSession, rules: list[tuple[int, str, str, int]]) -> DataFrame:
+    """Rules (id, kind, pattern, priority) as a table with ``regex`` and ``number``, without those that can never match."""
+    rows = []
+    for rule_id, kind, pattern, priority in rules:
+        number = int(pattern) if pattern.strip().isdigit() else None
+        regex = glob_regex(pattern) if kind in ("folder_path", "filename") else pattern if kind == "regex" else None
+        if (kind not in ("size_min", "size_max") or number is not None) and (kind != "regex" or valid_regex(pattern)):
+            rows.append((rule_id, kind, pattern, priority, regex, number))
+    return spark.createDataFrame(rows, "rule_id int, kind string, pattern string, priority int, regex string, number bigint")
+
+
 def rule_predicate(kind: str, pattern: str, path: Column, size: Column) -> Column:
-    """Whether an exclusion rule matches a file; rules with invalid numbers never do."""
+    """Whether an exclusion rule matches a file; rules with invalid numbers or patterns never do."""
     parent = F.regexp_replace(path, r"/?[^/]*$", "")
     number = int(pattern) if pattern.strip().isdigit() else None
     return {
@@ -54,7 +77,7 @@ def rule_predicate(kind: str, pattern: str, path: Column, size: Column) -> Colum
         "filename": lambda: F.element_at(F.split(path, "/"), -1).rlike(glob_regex(pattern)),
         "size_min": lambda: F.lit(False) if number is None else size < number,
         "size_max": lambda: F.lit(False) if number is None else size > number,
-        "regex": lambda: path.rlike(pattern),
+        "regex": lambda: path.rlike(pattern) if valid_regex(pattern) else F.lit(False),
     }[kind]()
 
 
@@ -85,11 +108,16 @@ def child_counts(parents: DataFrame, children: DataFrame, key: str, name: str =
     return parents.join(children.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
 
 
-def fuzzy_titles(df: DataFrame, title: str, patterns: DataFrame, least: float = 0.5) -> DataFrame:
-    """Best of the (pattern, confidence, pattern_id) rows that contain or are contained in a title. ``patterns`` is a literal table, bound by its author."""
-    t, p = F.lower(title), F.lower("pattern")
-    best = df.join(F.broadcast(patterns), F.contains(t, p) | F.contains(p, t)).filter(F.col("confidence") > least)
-    best = best.groupBy(*df.columns).agg(F.max_by(F.struct("pattern_id", "confidence"), F.struct("confidence", -F.col("pattern_id"))).alias("b"))
+def fuzzy_titles(df: DataFrame, title: str, patterns: DataFrame, least: float = 0.5, most: int = 10_000) -> DataFrame:
+    """Best of the (pattern, confidence, pattern_id) rows that contain or are contained in a title, for each row of ``df``. ``patterns`` is a table
+    bound by its author; more than ``most`` are refused, as every title meets every pattern."""
+    if patterns.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} title patterns")
+    p = patterns.filter(F.col("confidence") > least).select(F.lower("pattern").alias("p"), F.struct("confidence", (-F.col("pattern_id")).alias("order"), "pattern_id").alias("b"))
+    known = F.broadcast(p.agg(F.collect_list(F.struct("p", "b")).alias("__patterns")))  # one row
+    t = F.lower(title)
+    hits = F.filter("__patterns", lambda x: F.contains(t, x["p"]) | F.contains(x["p"], t))
+    best = df.crossJoin(known).withColumn("b", F.array_max(F.transform(hits, lambda x: x["b"]))).filter("b is not null").drop("__patterns")
     return best.select(*df.columns, "b.pattern_id", "b.confidence", F.when(F.col("b.confidence") > 0.9, "exact").otherwise("fuzzy").alias("match_kind"))
 
 
@@ -129,6 +157,11 @@ def duplicate_groups(products: DataFrame) -> DataFrame:
     return grouped.filter("copies > 1").select("file_hash", "keep_id", "copies", (F.col("bytes") - F.col("kept_bytes")).alias("wasted"))
 
 
+def duplicate_members(products: DataFrame) -> DataFrame:
+    """(file_hash, keep_id, id) of the other members of each group, one row each, so that no group has to fit a row."""
+    return canonical(products).filter("is_duplicate").select("file_hash", "keep_id", "id")
+
+
 def keep_policy(products: DataFrame, source_of_truth: str) -> DataFrame:
     """Which copy of each duplicated hash stays: the source of truth, else the latest change, else the oldest, with the reason."""
     w = Window.partitionBy("file_hash")
@@ -152,12 +185,24 @@ def chapter_ends(outline: DataFrame) -> DataFrame:
     return outline.withColumn("end_page", F.first("page", ignorenulls=True).over(w) - 1)
 
 
-def outline_parents(outline: DataFrame, levels: int = 3) -> DataFrame:
-    """Parent of each outline entry: the last earlier entry of a smaller level."""
-    w = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    above = [F.max(F.when(F.col("level") == k, F.col("seq"))).over(w).alias(f"__{k}") for k in range(1, levels)]
-    nearest = [F.when(F.col("level") > k, F.col(f"__{k}")) for k in range(1, levels)]
-    return outline.select("*", *above).withColumn("parent_seq", F.greatest(*nearest)).drop(*(f"__{k}" for k in range(1, levels)))
+def outline_parents(outline: DataFrame) -> DataFrame:
+    """Parent of each outline entry, the last earlier entry of a smaller level, and ``path``, the titles from the top down to it.
+
+    A fold over the entries of a document in order keeps the open entry of each level, at any depth.
+    """
+    entry = F.struct("seq", "level", "title")
+    docs = outline.groupBy("doc").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    open_type = "array<struct<seq:bigint,level:int,title:string>>"
+
+    def step(acc: Column, e: Column) -> Column:
+        above = F.filter(acc["open"], lambda o: o["level"] < e["level"])
+        opened = F.concat(above, F.array(F.struct(e["seq"].cast("bigint").alias("seq"), e["level"].cast("int").alias("level"), e["title"].alias("title"))))
+        row = F.struct(e["seq"].cast("bigint").alias("seq"), F.try_element_at(above, F.lit(-1))["seq"].alias("parent_seq"), F.array_join(opened["title"], "/").alias("path"))
+        return F.struct(opened.alias("open"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    start = F.struct(F.array().cast(open_type).alias("open"), F.array().cast("array<struct<seq:bigint,parent_seq:bigint,path:string>>").alias("rows"))
+    found = docs.select("doc", F.inline(F.aggregate("entries", start, step, lambda acc: acc["rows"])))
+    return outline.join(found.withColumn("seq", F.col("seq").cast(outline.schema["seq"].dataType)), ["doc", "seq"])
 
 
 def fill_fields(target: DataFrame, source: DataFrame, key: str, fields: list[str], overwrite: bool = False) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import zlib
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.numeric import cosine, dot, unit
 from vellum.functions.text import tokens
+from vellum.operators.catalog import facet
 
 K1, B = 1.2, 0.75
 
@@ -17,25 +21,109 @@ def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
     return docs.select("id", F.explode(tokens(text)).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, query: str) -> DataFrame:
-    """(id, score): every word of the query is a prefix; words are alternatives."""
-    words = [w for w in dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split())]
-    sizes = index.groupBy("id").agg(F.sum("tf").alias("len"))
-    corpus = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    wanted = F.explode(F.filter(F.array(*(F.when(F.col("term").startswith(w), F.lit(w)) for w in words)), lambda w: w.isNotNull()))
-    hits = index.select("id", "tf", wanted.alias("word")).groupBy("id", "word").agg(F.sum("tf").alias("tf"))
-    df = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    joined = hits.join(df, "word").join(sizes, "id").crossJoin(F.broadcast(corpus))  # one row
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return joined.groupBy("id").agg(F.sum(part).alias("score"))
+def query_words(query: str) -> list[str]:
+    return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split()))
+
+
+def idf(n_docs: Column, df: Column) -> Column:
+    return F.greatest(F.log((n_docs - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+
+
+def weight(tf: Column, length: Column, average: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
+def bm25(docs: DataFrame, fields: list[str], query: str) -> DataFrame:
+    """(id, score) without an index: every word of the query is a prefix, words are alternatives. Counts stay in the rows of their
+    documents, so nothing but totals is shuffled."""
+    words = query_words(query)
+    text = F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) for f in fields))
+    begins = lambda word: F.size(F.filter("t", lambda x: F.startswith(x, F.lit(word))))
+    counts = docs.select("id", tokens(text).alias("t")).select(
+        "id", F.size("t").alias("len"), *(begins(w).alias(f"tf{i}") for i, w in enumerate(words))
+    ).filter("len > 0")
+    totals = counts.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
+    parts = [idf(F.col("n_docs"), F.col(f"df{i}")) * weight(F.col(f"tf{i}"), F.col("len"), F.col("avg_len")) for i in range(len(words))]
+    hits = counts.filter(reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(len(words))), F.lit(False)))
+    return hits.crossJoin(F.broadcast(totals)).select("id", reduce(lambda a, b: a + b, parts, F.lit(0.0)).alias("score"))  # one row of totals
+
+
+SHARDS = 64
+
+
+def shard_of(term: Column) -> Column:
+    """Words that begin with the same two characters share a shard, so a prefix of two or more reads one."""
+    return (F.crc32(F.substring(term, 1, 2)) % SHARDS).cast("int")
+
+
+def index_rows(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """Postings (term, id, tf, len, shard) of whole texts; a document without words has none."""
+    text = F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) for f in fields))
+    rows = docs.select("id", tokens(text).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    return rows.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).withColumn("shard", shard_of(F.col("term")))
+
+
+def write_index(docs: DataFrame, fields: list[str], root: str) -> None:
+    """Store postings by shard, and the length of each document."""
+    index_rows(docs, fields).repartition("shard").sortWithinPartitions("shard", "term").write.partitionBy("shard").parquet(f"{root}/postings")
+    docs.sparkSession.read.parquet(f"{root}/postings").groupBy("id").agg(F.first("len").alias("len")).write.parquet(f"{root}/sizes")
 
 
-def matching_lines(docs: DataFrame, query: str, most: int = 3) -> DataFrame:
-    """The first lines of each text that hold the query, with the lines around them."""
+def update_index(spark: SparkSession, old: str, new: str, docs: DataFrame, fields: list[str], gone: DataFrame) -> None:
+    """A new version of a stored index: the postings of ``docs`` replace those of the same ids, and ``gone`` (id) are taken out. Only ``docs`` are read."""
+    out = gone.select("id").unionByName(docs.select("id")).distinct()
+    kept = spark.read.parquet(f"{old}/postings").join(out, "id", "left_anti")
+    rows = kept.unionByName(index_rows(docs, fields)).repartition("shard").sortWithinPartitions("shard", "term")
+    rows.write.partitionBy("shard").parquet(f"{new}/postings")
+    sizes = spark.read.parquet(f"{old}/sizes").join(out, "id", "left_anti")
+    sizes.unionByName(index_rows(docs, fields).groupBy("id").agg(F.first("len").alias("len"))).write.parquet(f"{new}/sizes")
+
+
+def search_index(spark: SparkSession, root: str, query: str) -> DataFrame:
+    """(id, score) as ``bm25``, from a stored index; only the shards of the query's words are read."""
+    words = query_words(query)
+    postings, sizes = spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/sizes")
+    shards = {zlib.crc32(w[:2].encode()) % SHARDS for w in words if len(w) > 1} if all(len(w) > 1 for w in words) else set(range(SHARDS))
+    any_word = reduce(lambda a, b: a | b, (F.col("term").startswith(w) for w in words), F.lit(False))
+    found = postings.filter(F.col("shard").isin(sorted(shards)) & any_word)
+    word = F.explode(F.filter(F.array(*(F.when(F.col("term").startswith(w), F.lit(w)) for w in words)), lambda w: w.isNotNull()))
+    hits = found.select("id", "tf", "len", word.alias("word")).groupBy("id", "len", "word").agg(F.sum("tf").alias("tf"))
+    df = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))  # a row per word of the query
+    totals = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
+    part = idf(F.col("n_docs"), F.col("df")) * weight(F.col("tf"), F.col("len"), F.col("avg_len"))
+    return hits.join(F.broadcast(df), "word").crossJoin(F.broadcast(totals)).groupBy("id").agg(F.sum(part).alias("score"))
+
+
+def visible_hits(hits: DataFrame, products: DataFrame, **facets: str | None) -> DataFrame:
+    """Hits (id, score) with the columns of their products, without duplicates and missing ones, by facets."""
+    shown = facet(products.filter("duplicate_of is null and not is_missing"), **facets)
+    return hits.join(shown, "id")
+
+
+def best_hits(hits: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` by score, to six decimals so that equal scores tie, then by id."""
+    return hits.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(n)
+
+
+def find(products: DataFrame, query: str, fields: list[str], metadata: list[str], body: str) -> DataFrame:
+    """(id, how): keyword hits, or where no keyword hits at all, substring hits in metadata and body."""
+    hits = bm25(products, fields, query)
+    if not hits.isEmpty():
+        return hits.select("id", F.lit("keyword").alias("how"))
+    inside = lambda c: F.contains(F.lower(c), F.lit(query.lower()))
+    by_metadata = reduce(lambda a, b: a | b, (F.coalesce(inside(c), F.lit(False)) for c in metadata))
+    return products.select("id", F.when(by_metadata, "metadata").when(inside(body), "content").alias("how")).filter("how is not null")
+
+
+def matching_lines(docs: DataFrame, query: str, most: int = 3, longest: int = 300, around: int = 100) -> DataFrame:
+    """The first lines of each text that hold the query, with the line before and after; a context of over ``longest`` characters is cut to
+    what is up to ``around`` characters from the hit in its line."""
     lines = docs.select("id", F.split("text", "\n").alias("lines")).select("id", "lines", F.posexplode("lines").alias("line_no", "line"))
-    hits = lines.filter(F.contains(F.lower("line"), F.lit(query.lower())))
-    hits = hits.withColumn("context", F.concat_ws("\n", F.slice("lines", F.greatest(F.col("line_no"), F.lit(1)), F.when(F.col("line_no") == 0, 2).otherwise(3))))
+    at = F.locate(query.lower(), F.lower("line"))
+    hits = lines.filter(at > 0).withColumn("near", F.concat_ws("\n", F.slice("lines", F.greatest(F.col("line_no"), F.lit(1)), F.when(F.col("line_no") == 0, 2).otherwise(3))))
+    begin = F.greatest(at - around, F.lit(1))
+    cut = F.substr("line", begin, at + len(query) + around - begin)
+    hits = hits.withColumn("context", F.when(F.length("near") > longest, cut).otherwise(F.col("near")))
     ranked = hits.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("line_no")))
     return ranked.filter(F.col("k") <= most).select("id", "line_no", "context")
 
@@ -68,11 +156,41 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return vectors.select("product_id", F.posexplode("embedding").alias("pos", "x")).groupBy("product_id", "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
+def top(scored: DataFrame, k: int, *by: str, threshold: float = 0.0) -> DataFrame:
+    """The ``k`` best rows by score, at or above the threshold, of each value of the columns ``by``."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))
+    return scored.filter(F.col("score") >= threshold).withColumn("__place", place).filter(F.col("__place") <= k).drop("__place")
+
+
+def nearest_products(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 0.5, candidates: int = 2) -> DataFrame:
+    """(query_id, product_id, score) of the ``k`` nearest products of each query vector: the best ``candidates * k`` chunks (id, product_id, embedding),
+    of which the best of each product counts; the score is rounded last."""
+    chunks = top(scores(vectors, queries).filter("id <> query_id"), candidates * k, "query_id", threshold=threshold)
+    best = top(best_chunks(chunks, "query_id"), k, "query_id")
+    return best.select("query_id", "product_id", F.round("score", 4).alias("score"))
+
+
+def without_product(vectors: DataFrame, product_id: int) -> DataFrame:
+    return vectors.filter(F.col("product_id") != product_id)
+
+
 def snippets(docs: DataFrame, query: str, width: int = 32, mark: bool = True, around: int = 4) -> DataFrame:
-    """(id, snippet) of texts with a word that begins with the query: ``width`` words from ``around`` before the first hit; hits are marked and cuts shown by dots."""
+    """(id, snippet) of texts with a word that begins with the query: ``width`` words from ``around`` before the first hit of the densest such window,
+    the earliest of equals; hits are marked and cuts shown by dots."""
     words = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
     hit = lambda w: F.startswith(F.lower(w), F.lit(query.lower()))
-    rows = docs.select("id", words.alias("words")).withColumn("at", F.array_position(F.transform("words", hit), True)).filter("at > 0")
+    rows = docs.select("id", words.alias("words")).withColumn("hits", F.filter(F.transform("words", lambda w, i: F.when(hit(w), i + 1)), lambda i: i.isNotNull())).filter("size(hits) > 0")
+    # One pass over the hits: the window of hits grows where a hit fits and moves on by one where it does not, so it never shrinks below the best.
+    nth = lambda i: F.get(F.col("hits"), i)
+    state = F.struct(F.lit(0).alias("low"), F.lit(0).alias("best"), F.lit(0).alias("at"))
+
+    def step(acc: Column, k: Column) -> Column:
+        low = acc["low"] + F.when(nth(k) - nth(acc["low"]) >= width, 1).otherwise(0)
+        more = k - low + 1 > acc["best"]
+        return F.struct(low.alias("low"), F.when(more, k - low + 1).otherwise(acc["best"]).alias("best"), F.when(more, low).otherwise(acc["at"]).alias("at"))
+
+    densest = F.aggregate(F.sequence(F.lit(0), F.size("hits") - 1), state, step, lambda acc: acc["at"])
+    rows = rows.withColumn("at", nth(densest)).drop("hits")
     start = F.greatest(F.col("at") - around, F.lit(1))
     cut = F.slice("words", start, F.lit(width))
     if not mark:

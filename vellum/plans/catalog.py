@@ -169,9 +169,9 @@ def not_embedded(s, d):
 
 @query("jn13_missing_links", "SELECT id AS product_id, r_regionkey AS tag_id FROM items, region WHERE (id, r_regionkey) NOT IN (SELECT (product_id, tag_id) FROM links)", "items", "links")
 def missing_links(s, d):
-    # Regions stand for the few tags of a request, given by its author.
-    tags = src.read(s, d, "region").select(F.col("r_regionkey").cast("long").alias("tag_id"))
-    asked = src.items(s, d).select(F.col("id").alias("product_id"), F.explode(F.array(*(F.lit(r["tag_id"]) for r in tags.limit(100).collect()))).alias("tag_id"))
+    # Regions stand for the tags of a request: every product is asked for every one of them, so the result itself is the product of both.
+    tags = src.read(s, d, "region").agg(F.collect_list(F.col("r_regionkey").cast("long")).alias("tag_ids"))  # one row
+    asked = src.items(s, d).select(F.col("id").alias("product_id")).crossJoin(F.broadcast(tags)).select("product_id", F.explode("tag_ids").alias("tag_id"))
     return asked.join(src.links(s, d), ["product_id", "tag_id"], "left_anti").select("product_id", F.col("tag_id").cast("int").alias("tag_id"))
 
 
@@ -181,12 +181,6 @@ def campaigns(s, d):
     return turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["role"]), ",").alias("roles"), F.size("t").cast("long").alias("sessions"), F.concat(F.lit("Session "), F.element_at("t", -1)["turn"] + 2).alias("next"))
 
 
-@query("jn15_registry", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON sha256(d.text) = sha256(b.text)")
-def registry(s, d):
-    b = src.read(s, d, "benchmark").select("item_id", F.sha2("text", 256).alias("h"))
-    return src.read(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")).join(b, "h").select("doc_id", "item_id")
-
-
 PATTERNS = [("cold", 0.6, 1), ("widget", 0.95, 2), ("hot gadget", 0.8, 3), ("zz", 0.4, 4)]
 
 
@@ -312,10 +306,10 @@ def latest(s, d):
 def outline(s, d):
     rows = src.read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("seq")).agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
     page = F.when(F.col("supp") % 4 != 0, F.col("seq") * 3)
-    return rows.select("doc", "seq", (1 + F.col("part") % 3).cast("int").alias("level"), F.concat(F.lit("S"), "part").alias("title"), page.alias("page"))
+    return rows.select("doc", "seq", (1 + F.col("part") % 4).cast("int").alias("level"), F.concat(F.lit("S"), "part").alias("title"), page.alias("page"))
 
 
-OUTLINE_SQL = """o AS (SELECT l_orderkey AS doc, l_linenumber AS seq, 1 + min(l_partkey) % 3 AS level,
+OUTLINE_SQL = """o AS (SELECT l_orderkey AS doc, l_linenumber AS seq, 1 + min(l_partkey) % 4 AS level, 'S' || min(l_partkey) AS title,
     CASE WHEN min(l_suppkey) % 4 <> 0 THEN l_linenumber * 3 END AS page FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 
 
@@ -324,11 +318,15 @@ def chapter_ends(s, d):
     return ops.chapter_ends(outline(s, d)).select("doc", "seq", "end_page")
 
 
-@query("win07_parents", f"""WITH {OUTLINE_SQL} SELECT doc, seq, CASE level WHEN 2 THEN one WHEN 3 THEN greatest(one, two) END AS parent_seq FROM (SELECT *,
-    max(CASE WHEN level = 1 THEN seq END) OVER w AS one, max(CASE WHEN level = 2 THEN seq END) OVER w AS two FROM o
-    WINDOW w AS (PARTITION BY doc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
+@query(
+    "win07_parents",
+    f"""WITH {OUTLINE_SQL}, p AS (SELECT a.doc, a.seq, max(b.seq) AS parent_seq FROM o a LEFT JOIN o b ON a.doc = b.doc AND b.seq < a.seq AND b.level < a.level GROUP BY ALL),
+    r AS (SELECT o.doc, o.seq, parent_seq, title FROM o JOIN p ON o.doc = p.doc AND o.seq = p.seq)
+    SELECT a.doc, a.seq, a.parent_seq, coalesce(coalesce(coalesce(d.title || '/', '') || c.title || '/', '') || b.title || '/', '') || a.title AS path FROM r a LEFT JOIN r b ON b.doc = a.doc AND b.seq = a.parent_seq
+      LEFT JOIN r c ON c.doc = b.doc AND c.seq = b.parent_seq LEFT JOIN r d ON d.doc = c.doc AND d.seq = c.parent_seq""",
+)
 def parents(s, d):
-    return ops.outline_parents(outline(s, d)).select("doc", "seq", "parent_seq")
+    return ops.outline_parents(outline(s, d)).select("doc", "seq", "parent_seq", "path")
 
 
 @query("win09_session_numbers", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number FROM conversations")
@@ -420,30 +418,21 @@ def marketplace(s, d):
     SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM h JOIN f USING (w) JOIN l USING (id), c GROUP BY id""", "products")
 def bm25(s, d):
     p = src.products(s, d)
-    return search.bm25(search.postings(p, ["title", "publisher", "text"]), "the ein").select("id", F.round("score", 6).alias("score"))
+    return search.bm25(p, ["title", "publisher", "text"], "the ein").select("id", F.round("score", 6).alias("score"))
 
 
-@query("fts05_lines", """SELECT id, line_no, line FROM (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)
-    WHERE contains(lower(line), 'tion') QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no) <= 3""")
+@query("fts05_lines", """SELECT id, line_no, CASE WHEN length(near) > 300 THEN line[greatest(p - 100, 1):p + 103] ELSE near END AS context FROM (
+    SELECT id, line_no, line, strpos(lower(line), 'tion') AS p, array_to_string(lines[greatest(line_no, 1):line_no + 2], chr(10)) AS near
+    FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS lines, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents) WHERE contains(lower(line), 'tion'))
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no) <= 3""")
 def lines(s, d):
     docs = src.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = search.matching_lines(docs, "tion")
-    split = F.split("context", "\n")
-    return found.select("id", F.col("line_no").cast("long").alias("line_no"), F.when(F.col("line_no") == 0, F.get(split, F.lit(0))).otherwise(F.get(split, F.lit(1))).alias("line"))
+    return search.matching_lines(docs, "tion").select("id", F.col("line_no").cast("long").alias("line_no"), "context")
 
 
-@query("vec02_search", """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT label AS product_id, list_cosine_similarity(embedding::DOUBLE[], v) AS score FROM embeddings, q WHERE vec_id <> 0)
-    SELECT product_id, round(max(score), 4) AS score FROM s WHERE score >= 0.1 GROUP BY product_id""")
-def vector_search(s, d):
-    v = src.read(s, d, "embeddings")
-    q = v.filter("vec_id = 0").first()["embedding"]
-    scored = v.filter("vec_id <> 0").select(F.col("label").alias("product_id"), F.col("vec_id").alias("id"), numeric.cosine(F.col("embedding"), F.array(*map(F.lit, q))).alias("score")).filter("score >= 0.1")
-    return search.best_chunks(scored).select("product_id", F.round("score", 4).alias("score"))
-
-
-@query("vec02_search_all", """WITH s AS (SELECT q.vec_id AS query_id, e.label AS product_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
+@query("vec02_search", """WITH s AS (SELECT q.vec_id AS query_id, e.label AS product_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
     FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) SELECT query_id, product_id, round(max(score), 4) AS score FROM s WHERE score >= 0.1 GROUP BY ALL""")
-def vector_search_all(s, d):
+def vector_search(s, d):
     v = src.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("product_id"), "embedding")
     asked = v.filter("id % 100 = 0").withColumnRenamed("id", "query_id").drop("product_id")
     scored = search.scores(v, asked).filter("id <> query_id and score >= 0.1")

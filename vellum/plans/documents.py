@@ -225,19 +225,9 @@ def cost_totals(s, d):
 
 
 @query("vec03_similar_product", """, e AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL),
-    c AS (SELECT label, list(m ORDER BY pos) AS v FROM e GROUP BY label)
-    SELECT a.label AS product_id, b.label AS other, round(list_cosine_similarity(a.v, b.v), 4) AS score FROM c a JOIN c b ON a.label <> b.label WHERE a.label = 0""", "items")
-def similar_product(s, d):
-    v = src.read(s, d, "embeddings").select(F.col("label").alias("product_id"), "embedding")
-    c = search.centroids(v).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("pos", "mean")))["mean"].alias("v"))
-    one = c.filter("product_id = 0").select(F.col("v").alias("q"))  # one row
-    return c.filter("product_id <> 0").crossJoin(F.broadcast(one)).select(F.lit(0).alias("product_id"), F.col("product_id").alias("other"), F.round(numeric.cosine(F.col("v"), F.col("q")), 4).alias("score"))
-
-
-@query("vec03_similar_product_all", """, e AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL),
     c AS (SELECT label, list(m ORDER BY pos) AS v FROM e GROUP BY label)
     SELECT a.label AS product_id, b.label AS other, round(list_cosine_similarity(a.v, b.v), 4) AS score FROM c a JOIN c b ON a.label <> b.label WHERE a.label % 100 = 0""", "items")
-def similar_product_all(s, d):
+def similar_product(s, d):
     v = src.read(s, d, "embeddings").select(F.col("label").alias("product_id"), "embedding")
     c = search.centroids(v).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("pos", "mean")))["mean"].alias("v"))
     scored = search.scores(c.withColumnRenamed("product_id", "other"), c.filter("product_id % 100 = 0").withColumnRenamed("product_id", "query_id"), "v")
@@ -252,34 +242,26 @@ def setting(s, d):
 
 
 @query("fts04_snippet", r"""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
-    h AS (SELECT id, w, list_position(list_transform(w, lambda x: starts_with(lower(x), 'ein')), true) AS k FROM w)
-    SELECT id, array_to_string(w[k:k + 7], ' ') AS snippet FROM h WHERE k > 0""")
+    h AS (SELECT id, unnest(list_filter(range(1, len(w) + 1), lambda i: starts_with(lower(w[i]), 'ein'))) AS p FROM w),
+    c AS (SELECT a.id, a.p, count(*) AS n FROM h a JOIN h b ON a.id = b.id AND b.p >= a.p AND b.p < a.p + 8 GROUP BY ALL), best AS (SELECT id, arg_max(p, (n, -p)) AS p FROM c GROUP BY id)
+    SELECT id, CASE WHEN p > 1 THEN '...' ELSE '' END || array_to_string(list_transform(w[p:p + 7], lambda x: CASE WHEN starts_with(lower(x), 'ein') THEN '<mark>' || x || '</mark>' ELSE x END), ' ')
+      || CASE WHEN p + 8 <= len(w) THEN '...' ELSE '' END AS snippet FROM best JOIN w USING (id)""")
 def snippet(s, d):
     docs_ = src.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.snippets(docs_, "ein", 8, mark=False, around=0)
+    return search.snippets(docs_, "ein", 8, around=0)
 
 
 @query("fts08_index_health", """SELECT count(*) AS documents, count(*) FILTER (n > 0) AS indexed, CAST(sum(n) AS BIGINT) AS tokens FROM
     (SELECT len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS n FROM documents)""")
 def index_health(s, d):
     p = src.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    index = search.postings(p, ["text"]).groupBy("id").agg(F.sum("tf").alias("n"))
+    index = search.index_rows(p, ["text"]).groupBy("id").agg(F.sum("tf").alias("n"))
     return p.select("id").join(index, "id", "left").agg(F.count(F.lit(1)).alias("documents"), F.count("n").alias("indexed"), F.sum("n").alias("tokens"))
 
 
-@query("vec04_filtered", """, v AS (SELECT vec_id AS id, label AS product_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings)
-    SELECT product_id, round(max(score), 4) AS score FROM v JOIN items i ON i.id = product_id WHERE score >= 0.4 AND (level_max >= 2 OR level_max IS NULL) GROUP BY 1""", "items")
-def filtered(s, d):
-    v = src.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("product_id"), "embedding")
-    one = v.filter("id = 0").select(F.col("embedding").alias("q"))  # one row
-    best = search.best_chunks(v.crossJoin(F.broadcast(one)).withColumn("score", numeric.cosine(F.col("embedding"), F.col("q"))).filter("score >= 0.4"))
-    wanted = ops.overlaps(src.items(s, d), "level_min", "level_max", low=2).select(F.col("id").alias("product_id"))
-    return best.join(wanted, "product_id", "left_semi").select("product_id", F.round("score", 4).alias("score"))
-
-
-@query("vec04_filtered_all", """, v AS (SELECT q.vec_id AS query_id, e.label AS product_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0)
+@query("vec04_filtered", """, v AS (SELECT q.vec_id AS query_id, e.label AS product_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0)
     SELECT query_id, product_id, round(max(score), 4) AS score FROM v JOIN items i ON i.id = product_id WHERE score >= 0.4 AND (level_max >= 2 OR level_max IS NULL) GROUP BY ALL""", "items")
-def filtered_all(s, d):
+def filtered(s, d):
     v = src.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("product_id"), "embedding")
     best = search.best_chunks(search.scores(v, v.filter("id % 100 = 0").withColumnRenamed("id", "query_id").drop("product_id")).filter("score >= 0.4"), "query_id")
     wanted = ops.overlaps(src.items(s, d), "level_min", "level_max", low=2).select(F.col("id").alias("product_id"))

@@ -115,3 +115,18 @@ def marketplace(exports: DataFrame, column: str = "json") -> DataFrame:
         F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: n != "").alias("filenames"),
     )
     return out.filter((F.col("id") != "") & (F.col("title") != ""))
+
+
+def write_texts(texts: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Store extracted texts (id, value: one JSON document) in folders by bucket of the id, so that a few ids read a few folders."""
+    rows = texts.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(folder)
+
+
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, markdown) of stored texts; an unreadable document has no text."""
+    return spark.read.parquet(folder).select("id", F.get_json_object("value", "$.markdown").alias("markdown"))
+
+
+def with_text(products: DataFrame, texts: DataFrame) -> DataFrame:
+    return products.join(texts.select("id", "markdown"), "id", "left")

@@ -6,23 +6,13 @@ and the stream's own checkpoint lie in ``spark.checkpoint.dir``. Jobs drain what
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-
-def folder(spark: SparkSession) -> str:
-    """A new path in the shared folder; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="vellum-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/stream-{uuid.uuid4().hex}"
+from vellum.sources.shared import new_folder
 
 
 def arriving(spark: SparkSession, sf_dir: str, name: str, files: int = 8) -> DataFrame:
@@ -33,7 +23,7 @@ def arriving(spark: SparkSession, sf_dir: str, name: str, files: int = 8) -> Dat
 
 def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """All rows that the batches wrote, with their batch."""
-    at = folder(spark)
+    at = new_folder(spark, "stream")
     spark.createDataFrame([], stream.schema).write.parquet(f"{at}/rows/batch=-1")
     write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
@@ -90,3 +80,31 @@ def live_counts(spark: SparkSession, rows: DataFrame, by: Column | str) -> DataF
     """(value, n) after the last batch of a running count."""
     seen = drain(spark, rows.groupBy(F.col(by).alias("value") if isinstance(by, str) else by.alias("value")).agg(F.count(F.lit(1)).alias("n")), "update")
     return seen.groupBy("value").agg(F.max_by("n", "batch").alias("n"))
+
+
+def arrivals(spark: SparkSession, rows: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
+    """The rows of a stream (with an event time) of which no other of the same key arrived before; copies are known for ``delay``."""
+    return drain(spark, rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)).drop("batch")
+
+
+def first_arrivals(spark: SparkSession, rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The same for ever: of all rows of a key the one that came first, by batch and ``order``. A batch reports its own first rows; they meet at the end."""
+    fields = [c for c in rows.columns if c not in key]
+    seen = drain(spark, rows.groupBy(*key).agg(F.min_by(F.struct(*fields), order).alias("r")), "update")
+    return seen.groupBy(*key).agg(F.min_by("r", "batch").alias("r")).select(*key, "r.*")
+
+
+def drain_contributions(spark: SparkSession, queue: DataFrame, send, polls: int, most: int = 50, tries: int = 3) -> DataFrame:
+    """The queue (id, status, attempts, created_at) after ``polls`` bounded polls: each sends the oldest ``most`` rows that are pending with tries left.
+    ``send`` maps a DataFrame (id) to (id, ok). What was not sent is what it was."""
+    now = queue
+    for _ in range(polls):
+        batch = now.filter((F.col("status") == "pending") & (F.col("attempts") < tries)).orderBy("created_at", "id").limit(most)
+        at = new_folder(spark, "poll")
+        send(batch.select("id")).write.parquet(at)
+        result = spark.read.parquet(at)
+        sent = F.col("ok").isNotNull()
+        status = F.when(F.col("ok"), "submitted").when(sent, F.when(F.col("attempts") + 1 >= tries, "failed").otherwise("pending")).otherwise(F.col("status"))
+        joined = now.join(result, "id", "left")
+        now = joined.select("id", status.alias("status"), (F.col("attempts") + sent.cast("int")).alias("attempts"), "created_at")
+    return now
