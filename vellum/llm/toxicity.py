@@ -1,12 +1,13 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Words are tagged clean or toxic. Training tokens are labelled from document labels: in toxic documents, words that toxic
-documents use far more often than others are toxic; every other token is clean. Features of a token are its word (lower
-case, without marks at its ends) and a bias; neighbouring tags interact by transition weights. Forward-backward gives each
-token's marginal; a document's score is a logistic function of the expected number of toxic tokens, and its spans are runs
-of tokens that are toxic more likely than not.
-
-Trained on at most ``TRAIN_DOCS`` labelled documents, as hashes of their words, which tasks compute. Every text is scored whole; null and empty texts have no tokens.
+Words are tagged clean or toxic. Features of a token are its word (lower case, without marks at its ends), the beginnings of the
+word of ``BEGINNINGS`` characters, written with a star, and a bias; neighbouring tags interact by transition weights. Training tokens
+are labelled from document labels: in toxic documents, words with a feature that toxic documents use far more often than others
+are toxic; every other token is clean. Forward-backward gives each token's marginal; a document's score is a logistic function
+of the expected number of toxic tokens and its length, and its spans are runs of tokens that are toxic more likely than not.
+
+Trained on at most ``TRAIN_DOCS`` labelled documents, as hashes of their words, which tasks compute, and a list of the different words.
+Every text is scored whole; null and empty texts have no tokens.
 Without training labels every token is clean and the score 0. Several labels of one document count as their largest.
 """
 
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.quality import labelled
-from vellum.llm.shared import add_columns, held_out, materialize, split_words, sums, without, word_hashes
+from vellum.llm.shared import add_columns, held_out, materialize, slices, split_words, sums, without, word_hashes
 
 TRAIN_DOCS = 8000
 #: Words with a feature of their own have been in so many training documents at least; toxic ones have this log odds ratio.
 LEAST_DOCS, LEAST_ODDS = 3, 2.5
+#: Lengths of the beginnings of words that are features; a word has those that are shorter than it is.
+BEGINNINGS = (5, 6, 7)
 BLOCK = 64
 #: Tokens whose marginals training computes at once; a longer document is handled alone.
 SLICE_TOKENS = 400_000
@@ -41,11 +44,17 @@ def bare(vocab: pa.Array) -> pa.Array:
 
 @dataclass
 class Model:
-    weights: dict[str, float]  # of known words; what a word adds to the toxic tag's score
+    weights: dict[str, float]  # of known words and beginnings; what they add to the toxic tag's score
     bias: float
     transitions: np.ndarray  # by tag before and tag
-    slope: float
-    intercept: float
+    document: np.ndarray  # weights of what ``describe`` says about a document
+
+
+def features_of(words: pa.Array) -> list[pa.Array]:
+    """The features of each word, null where it has none: itself, and its beginnings."""
+    size = pc.utf8_length(words)
+    cut = lambda n: pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, n), "*", "")
+    return [pc.if_else(pc.greater(size, 0), words, None), *(pc.if_else(pc.greater(size, n), cut(n), None) for n in BEGINNINGS)]
 
 
 def marginals(scores: np.ndarray, at: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,48 +136,65 @@ def marginals_in_slices(scores: np.ndarray, at: np.ndarray, transitions: np.ndar
     return p, pairs
 
 
-def fit(codes: np.ndarray, at: np.ndarray, vocab: list, toxic: np.ndarray, steps: int = 60) -> Model | None:
-    """From word codes of documents and their labels; an empty or 0 word of ``vocab`` has no feature."""
+def describe(p: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per document, from its tokens' marginals: the expected number of toxic tokens and the number of tokens, both as logarithms, and 1."""
+    return np.stack([np.log1p(20 * sums(p, at)), np.log1p(np.diff(at)), np.ones(len(at) - 1)], axis=1)
+
+
+def fit(codes: np.ndarray, at: np.ndarray, words: pa.Array, toxic: np.ndarray, steps: int = 60) -> Model | None:
+    """From word codes of documents, the words and the documents' labels."""
     if not len(toxic):
         return None
+    found = pa.chunked_array(features_of(words)).combine_chunks().dictionary_encode()
+    names, none = found.dictionary, len(found.dictionary)
+    has = pc.fill_null(found.indices, none).to_numpy(zero_copy_only=False).reshape(-1, len(words))  # features of each word
     doc = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(at))
-    pair = np.unique(doc * np.int64(max(1, len(vocab))) + codes)
-    word, owner = pair % max(1, len(vocab)), pair // max(1, len(vocab))
-    bad = np.bincount(word, toxic[owner], len(vocab))
-    good = np.bincount(word, 1 - toxic[owner], len(vocab))
-    del pair, word, owner
+    pair = np.unique(doc * np.int64(max(1, len(words))) + codes)
+    word, owner = pair % max(1, len(words)), pair // max(1, len(words))
+    del pair
+    bad, good = np.zeros(none + 1), np.zeros(none + 1)
+    for k, own in enumerate(has):  # documents that have each feature
+        both = np.unique(owner * np.int64(none + 1) + own[word]) if k else owner * np.int64(none + 1) + own[word]
+        feature, doc_of = both % (none + 1), both // (none + 1)
+        bad += np.bincount(feature, toxic[doc_of], none + 1)
+        good += np.bincount(feature, 1 - toxic[doc_of], none + 1)
+    del word, owner, both, feature, doc_of
     odds = np.log((bad + 0.5) / (toxic.sum() + 1)) - np.log((good + 0.5) / ((1 - toxic).sum() + 1))
-    own = (bad + good >= LEAST_DOCS) & np.array([bool(w) for w in vocab], bool)
-    lexicon = own & (bad >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (bad * bad >= bad + good * bad)
-    # Words that few toxic documents use can reach the odds by chance: ask for more than chance gives among so many words.
+    own = bad + good >= LEAST_DOCS
+    own[none] = False
+    lexicon = own & (bad >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (bad * bad >= bad + 4 * good * bad)
+    # Features that few toxic documents have can reach the odds by chance: ask for more than chance gives among so many.
     lexicon &= bad * np.log1p((1 - toxic).sum() / max(1.0, toxic.sum())) > np.log(max(2, own.sum())) + 3 + good
-    tag = lexicon[codes] & (toxic[doc] > 0)
-    feature = np.where(own, np.arange(len(vocab)), len(vocab)).astype(np.int32)[codes]
-    weights, bias, transitions = np.zeros(len(vocab) + 1), -3.0, np.zeros((2, 2))
+    tag = lexicon[has].any(axis=0)[codes] & (toxic[doc] > 0)
+    del doc
+    has = np.where(own[has], has, none)
+    weights, bias, transitions = np.zeros(none + 1), -3.0, np.zeros((2, 2))
     tags = tag.astype(np.int8)
     inner = np.ones(len(codes), bool)
     inner[at[:-1][np.diff(at) > 0]] = False
     seen_pairs = np.bincount((2 * tags[:-1] + tags[1:])[inner[1:]], minlength=4).reshape(2, 2).astype(float)
-    seen = np.bincount(feature, tag, len(vocab) + 1)
-    uses = np.bincount(feature, minlength=len(vocab) + 1)
+
+    def by_feature(values: np.ndarray | None) -> np.ndarray:
+        per_word = np.bincount(codes, values, len(words))
+        return sum(np.bincount(f, per_word, none + 1) for f in has)
+
+    seen, uses = by_feature(tag), by_feature(None)
     for _ in range(steps):
-        p, pairs = marginals_in_slices(weights[feature] + bias, at, transitions)
-        # Quasi-Newton: each weight moves by its gradient over its own curvature, with a Gaussian prior.
-        slack = np.bincount(feature, p * (1 - p), len(vocab) + 1)
-        weights += np.clip((seen - np.bincount(feature, p, len(vocab) + 1) - 0.02 * weights) / (slack + 0.02 + 1e-3 * uses), -1, 1)
+        p, pairs = marginals_in_slices((weights[has].sum(axis=0) + bias)[codes], at, transitions)
+        # Quasi-Newton: each weight moves by its gradient over its own curvature, with a Gaussian prior; the features of a word share the way.
+        slack = by_feature(p * (1 - p))
+        weights += np.clip((seen - by_feature(p) - 0.02 * weights) / (slack + 0.02 + 1e-3 * uses), -1, 1) / len(has)
         weights[-1] = 0
         bias += float(np.clip((tag.sum() - p.sum()) / ((p * (1 - p)).sum() + 1), -0.5, 0.5))
         transitions += np.clip((seen_pairs - pairs - transitions) / (np.minimum(seen_pairs, pairs) + 50), -0.2, 0.2)
-    p, _ = marginals_in_slices(weights[feature] + bias, at, transitions)
-    x = np.log1p(20 * sums(p, at))
-    slope, intercept = 1.0, -1.0
+    p, _ = marginals_in_slices((weights[has].sum(axis=0) + bias)[codes], at, transitions)
+    x, w = describe(p, at), np.array([1.0, 0.0, -1.0])
     for _ in range(200):
-        q = 1 / (1 + np.exp(-(slope * x + intercept)))
-        r = np.maximum(q * (1 - q), 1e-6)
-        h = np.array([[(r * x * x).sum() + 0.1, (r * x).sum()], [(r * x).sum(), r.sum() + 0.1]])
-        move = np.linalg.solve(h, np.array([((toxic - q) * x).sum(), (toxic - q).sum()]))
-        slope, intercept = slope + float(np.clip(move[0], -1, 1)), intercept + float(np.clip(move[1], -1, 1))
-    return Model({w: float(v) for w, v, o in zip(vocab, weights, own, strict=False) if o and abs(v) > 1e-3}, bias, transitions, slope, intercept)
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = (x * np.maximum(q * (1 - q), 1e-6)[:, None]).T @ x + 0.1 * np.eye(3)
+        w = w + np.clip(np.linalg.solve(curve, x.T @ (toxic - q)), -1, 1)
+    kept = np.flatnonzero(own[:-1] & (np.abs(weights[:-1]) > 1e-3))
+    return Model(dict(zip(names.take(pa.array(kept)).to_pylist(), weights[kept].tolist(), strict=True)), bias, transitions, w)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_DOCS) -> Model | None:
@@ -182,28 +208,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
         return work
 
-    rows = add_columns(texts, "text", ["__label"], T.StructType([T.StructField("words", T.BinaryType())]), make).collect()
-    if not rows:
+    found = add_columns(texts, "text", ["__label"], T.StructType([T.StructField("words", T.BinaryType())]), make).toArrow()
+    if not found.num_rows:
         return None
-    rows.sort(key=lambda r: (len(r["words"]), bytes(r["words"]), r["__label"]))  # the same model however the rows arrive; long texts share slices
-    at, toxic = np.concatenate([[0], np.cumsum([len(r["words"]) // 8 for r in rows])]), np.array([r["__label"] for r in rows], float)
-    hashes = np.frombuffer(b"".join(r["words"] for r in rows), np.int64)
+    # The same model however the rows arrive; long texts share slices.
+    rows = sorted(zip(found.column("words").to_pylist(), found.column("__label").to_pylist(), strict=True), key=lambda r: (len(r[0]), *r))
+    del found
+    at, toxic = np.concatenate([[0], np.cumsum([len(w) // 8 for w, _ in rows])]), np.array([y for _, y in rows], float)
+    hashes = np.frombuffer(b"".join([w for w, _ in rows]), np.int64)
     del rows
-    vocab, codes = np.unique(hashes, return_inverse=True)
-    del hashes
-    model = fit(codes.astype(np.int32), at, vocab.tolist(), toxic)
-    known = np.fromiter(model.weights, np.int64, len(model.weights))
 
     def name(batches):
-        for b in batches:
+        for b in slices(batches, "text"):
             words = pc.unique(bare(split_words(b.column("text"))[1]))
-            hashes = word_hashes(words).view(np.int64)
-            mine = np.isin(hashes, known)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[mine]), words.filter(pa.array(mine))], names=["hash", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words).view(np.int64)), words], names=["hash", "word"])
 
-    named = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(name, "hash bigint, word string").distinct().collect()
-    model.weights = {r["word"]: model.weights[r["hash"]] for r in sorted(named)}
-    return model
+    named = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(name, "hash bigint, word string").distinct().toArrow().combine_chunks()
+    named = named.take(pc.sort_indices(named, sort_keys=[("hash", "ascending"), ("word", "ascending")]))
+    vocab, codes = np.unique(hashes, return_inverse=True)
+    del hashes
+    words = named.column("word").combine_chunks().take(pa.array(np.searchsorted(named.column("hash").to_numpy(), vocab)))
+    return fit(codes.astype(np.int32), at, words, toxic)
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, text: str = "text", score_col: str = "score", spans_col: str | None = None) -> DataFrame:
@@ -221,9 +246,9 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, t
 
         def work(texts: pa.Array) -> dict[str, object]:
             codes, vocab, at = split_words(texts)
-            row = pc.fill_null(pc.index_in(bare(vocab), known), len(known)).to_numpy(zero_copy_only=False)
-            p, _ = marginals(weights[row][codes] + model.bias, at, model.transitions) if len(codes) else (np.zeros(0), None)
-            out = {score_col: 1 / (1 + np.exp(-(model.slope * np.log1p(20 * sums(p, at)) + model.intercept)))}
+            total = sum(weights[pc.fill_null(pc.index_in(f, known), len(known)).to_numpy(zero_copy_only=False)] for f in features_of(bare(vocab)))
+            p, _ = marginals(total[codes] + model.bias, at, model.transitions) if len(codes) else (np.zeros(0), None)
+            out = {score_col: 1 / (1 + np.exp(-np.clip(describe(p, at) @ model.document, -30, 30)))}
             if spans_col:
                 spans: list[list[dict]] = [[] for _ in range(len(texts))]
                 for i in np.unique(np.searchsorted(at[1:], np.flatnonzero(p > 0.5), side="right")).tolist():
