@@ -5,13 +5,15 @@ choose its bin and each bin keeps its smallest hash. Empty bins take the hash of
 drawn for the empty bin alone, meets first (optimal densification). The fingerprint is the low ``BITS`` bits of every bin in
 hex. Equal low bits by chance are taken out of the likeness: ``(equal share - c) / (1 - c)`` with ``c = 2 ** -BITS``, at least 0.
 
-The next document by ascending id is found within ranges of ids, whose bounds are quantiles; the first document of a range also
-comes last in the range before. Null text is empty. Texts without words have the fingerprint of all zeros, like only each
-other. Rows with equal ids follow each other by text. Rows without an id come first. An empty table gives no rows.
+The next document by ascending id is found within ranges of ids, whose bounds are quantiles and whose number follows the bytes of all
+texts; the first document of a range also comes last in the range before. An id that would fill several ranges is dealt to them by hash. Null text is empty. Texts without words have the fingerprint of all zeros, like only each
+other. Rows with equal ids follow each other by a hash of the text. Rows without an id come first. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ HASH_BITS = 48
 EMPTY = (1 << HASH_BITS) - 1
 #: Probes of an empty bin until bins are simply tried in order.
 PROBES = 24
+#: Bytes of text of a range of ids; a small table has ranges of at least ``LEAST_BYTES``, as many as the session's shuffle partitions.
+RANGE_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
 
 
 def probe(j: int, k: int) -> int:
@@ -92,19 +96,28 @@ def likeness(a: str, b: str) -> Column:
     return F.when(none, 1.0).when(~both, 0.0).otherwise(F.greatest(F.lit(0.0), ((1 - different / BINS) - chance) / (1 - chance)))
 
 
+def below(limits: list[int], value: Column, equal: bool) -> Column:
+    """How many of the ascending ``limits`` lie below a value (or are equal): a search among every n-th, then among the n after it."""
+    n = max(1, math.isqrt(len(limits)))
+    before = (lambda x: x <= value) if equal else (lambda x: x < value)
+    coarse = F.size(F.filter(constants(limits[n - 1 :: n], "bigint"), before)) if limits else F.lit(0)
+    return coarse * n + (F.size(F.filter(F.slice(constants(limits, "bigint"), coarse * n + 1, F.lit(n)), before)) if limits else F.lit(0))
+
+
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, and bucket and place, such that the next row of a bucket is the next document; ``extra`` rows only serve their forerunner."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    ids = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"))
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
-    bounds = ids.agg(F.percentile_approx("i", [k / parts for k in range(1, parts)], 10_000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
     of = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    limits = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(limits, lambda b: b < F.col("i")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2, -(-size // RANGE_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES)))
+    bounds = rows.select(of.alias("i")).agg(F.percentile_approx("i", [k / parts for k in range(1, parts)], max(10_000, 4 * parts)).alias("b")).first()["b"] or []
+    # An id with several bounds has more rows than a range should: they are dealt by hash of the text, which is their order.
+    low, spread = below(bounds, F.col("i"), False), below(bounds, F.col("i"), True) - below(bounds, F.col("i"), False)
+    part = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * (spread + 1)).cast("int")
+    bucket = low + F.least(part, spread)
     # The first row of each bucket, by id and text hash: at most one per bucket, found in one aggregation.
     key = F.struct(of.alias("i"), F.xxhash64("text").alias("h"))
-    placed = rows.withColumn("i", of).withColumn("bucket", bucket).withColumn("h", F.xxhash64("text"))
+    placed = rows.withColumn("i", of).withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket)
     heads = placed.groupBy("bucket").agg(F.min(key).alias("k")).collect()
     order = sorted((r["bucket"], r["k"]["i"], r["k"]["h"]) for r in heads)
     if not order:
@@ -113,7 +126,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     wanted = docs.sparkSession.createDataFrame([(i, h, before[b], b == order[0][0]) for b, i, h in order], "i bigint, h bigint, to bigint, wraps boolean")
     extra = placed.join(F.broadcast(wanted), ["i", "h"]).dropDuplicates(["i", "h"])
     extra = extra.select("doc_id", "text", "i", F.col("to").cast("int").alias("bucket"), "h", F.lit(True).alias("extra"))
-    return placed.withColumn("extra", F.lit(False)).unionByName(extra)
+    return placed.withColumn("extra", F.lit(False)).unionByName(extra).repartition(parts, "bucket")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
