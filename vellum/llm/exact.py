@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import materialize
+from vellum.llm.shared import discard, materialize
 
 RUNS = 8
 KEY = ["text_sha256", "n_chars", "check"]
@@ -49,7 +49,8 @@ def tree_merge(rows: DataFrame, runs: int = RUNS) -> DataFrame:
     merged = materialize(merged.sortWithinPartitions("run", *KEY))
     step = 1
     while step < runs:
-        merged = materialize(meet(merged, step))
+        before, merged = merged, materialize(meet(merged, step))
+        discard(before)
         step *= 2
     return merged.drop("run")
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.shared import add_columns, materialize, mix, ragged, split_words, strings_of, sums, word_hashes
+from vellum.llm.shared import add_columns, discard, materialize, mix, ragged, split_words, strings_of, sums, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -237,14 +237,17 @@ def components(links: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex that each vertex of the links is connected with. Rounds of smallest neighbour and shortcut."""
     both = materialize(links.select("a", "b").union(links.select("b", "a")))
     labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
+    table = labels
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m"))
         step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("v").alias("label"), F.col("label").alias("root"))
         new = materialize(step.join(up, "label").select("v", "old", F.least("label", "root").alias("label")))
         changed = not new.filter("label <> old").isEmpty()
-        labels = new.select("v", "label")
+        discard(table)
+        table, labels = new, new.select("v", "label")
         if not changed:
+            discard(both)
             return labels
 
 

@@ -36,10 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: short lineage, column pruning, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: short lineage, column pruning, survives lost executors.
+
+    The folder stays until ``discard`` or whoever owns ``spark.checkpoint.dir`` clears it, as results are computed from it later.
+    """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and that nothing reads any more."""
+    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def held_out(doc_id: str, modulus: int, remainder: int):
