@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARKS = (". ", "! ", "? ", "\n\n", "\n")
@@ -36,11 +36,12 @@ def chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            for i in range(b.num_rows):
-                pieces = list(cuts(texts[i].as_py() or "", size, overlap))
-                if pieces:
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i].as_py()] * len(pieces), pa.int64()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces)], names=["id", "chunk_index", "chunk"])
+            for k in range(0, b.num_rows, 256):  # a few texts at a time, as pieces are about as long as texts
+                part = b.slice(k, 256)
+                pieces = [list(cuts(t or "", size, overlap)) for t in part.column(1).to_pylist()]
+                of = pa.array([i for i, p in enumerate(pieces) for _ in p], pa.int32())
+                index = pa.array([n for p in pieces for n in range(len(p))], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), index, pa.array([x for p in pieces for x in p], pa.string())], names=["id", "chunk_index", "chunk"])
 
     return docs.select(F.col("id").cast("bigint"), "text").mapInArrow(work, "id bigint, chunk_index int, chunk string")
 
@@ -69,9 +70,36 @@ def encode(rows: DataFrame, column: str = "chunk", encoder: Callable[[list[str]]
     return rows.withColumn("embedding", run(column))
 
 
-def rollable_tables(docs: DataFrame) -> DataFrame:
-    """(id, table_no, title, die, entries) of texts (id, text): a line that ends in a die opens a table, numbered lines are its entries.
+def die_of(line: Column) -> Column:
+    """Faces of the die that a line ends in; ``d%`` has a hundred."""
+    die = F.regexp_extract(line, r"\(?d(4|6|8|10|12|20|100|%)\)?\s*$", 1)
+    return F.when(die == "%", 100).when(die != "", F.try_to_number(die, F.lit("999"))).cast("int")
+
+
+def table_entries(docs: DataFrame, longest: int = 50) -> DataFrame:
+    """(id, table_no, title, die, low, high, result) of the entries of rollable tables in texts (id, text): a line that ends in a die opens a table of up
+    to ``longest`` lines; a line that begins with a number or a range on the die opens an entry, lines after it go on with it until a blank one.
     Tables have two entries or more, up to twice the die's faces."""
+    w = Window.partitionBy("id").orderBy("pos")
+    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).withColumn("die", die_of(F.col("line")))
+    rows = lines.withColumn("table_no", F.count("die").over(w)).filter("table_no > 0")
+    inner = Window.partitionBy("id", "table_no").orderBy("pos")
+    rows = rows.withColumn("faces", F.first("die").over(inner)).withColumn("title", F.first("line").over(inner)).withColumn("start", F.first("pos").over(inner))
+    number = lambda g: F.try_to_number(F.nullif(F.regexp_extract("line", r"^([0-9]+)(?:\s*[-–]\s*([0-9]+))?[.:)]?\s+\S", g), F.lit("")), F.lit("9999")).cast("int")
+    rows = rows.filter(F.col("pos").between(F.col("start") + 1, F.col("start") + longest)).withColumn("low", number(1)).withColumn("high", F.coalesce(number(2), number(1)))
+    fits = (F.col("low") >= 1) & (F.col("low") <= F.col("high")) & (F.col("high") <= F.col("faces"))
+    rows = rows.withColumn("opens", F.coalesce(fits, F.lit(False))).withColumn("entry", F.count_if("opens").over(inner)).withColumn("block", F.count_if(F.col("opens") | (F.col("line") == "")).over(inner))
+    first = F.min("block").over(Window.partitionBy("id", "table_no", "entry"))
+    rows = rows.withColumn("own", F.col("block") == first).filter("entry > 0 and own and line <> ''")
+    said = F.regexp_replace("line", r"^[0-9]+(\s*[-–]\s*[0-9]+)?[.:)]?\s+", "")
+    parts = F.array_join(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("opens"), said).otherwise(F.col("line")).alias("line"))))["line"], " ")
+    found = rows.groupBy("id", "table_no", "entry").agg(F.first("title").alias("title"), F.first("faces").alias("die"), F.max("low").alias("low"), F.max("high").alias("high"), parts.alias("result"))
+    whole = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id", "table_no"))).filter("n >= 2 and n <= 2 * die")
+    return whole.select("id", "table_no", "title", "die", "low", "high", "result")
+
+
+def rollable_tables(docs: DataFrame) -> DataFrame:
+    """(id, table_no, title, die, entries) of the tables of ``table_entries``, without the range check and the continuation lines: numbered lines are counted."""
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     die = F.regexp_extract("line", r"\(?d(4|6|8|10|12|20|100|%)\)?\s*$", 1)
     w = Window.partitionBy("id").orderBy("pos")

@@ -133,3 +133,27 @@ def seed(rules: DataFrame, defaults: DataFrame) -> DataFrame:
     """``rules`` with ``defaults``, unless a default rule is there already."""
     there = rules.filter("is_default").limit(1).select(F.lit(True).alias("__there"))
     return rules.unionByName(defaults.join(there, F.col("__there"), "left_anti"))
+
+
+def owning_folders(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """(path, folder): the longest of the folders (folder) above each path, by equality on every parent path."""
+    parts = F.split("path", "/")
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    found = files.select("path", F.explode(parents).alias("folder")).join(folders.select("folder").distinct(), "folder")
+    return found.groupBy("path").agg(F.max_by("folder", F.length("folder")).alias("folder"))
+
+
+def routed_changes(last: DataFrame, stored: DataFrame, folders: DataFrame) -> DataFrame:
+    """(path, folder, action) of the last change of each path (path, kind, file_hash) against stored rows (path, file_hash): added, modified only where
+    the hash differs, deleted only where it was stored. Paths outside all folders are left out."""
+    j = last.join(stored.select("path", F.col("file_hash").alias("__old"), F.lit(True).alias("__stored")), "path", "left")
+    known, gone = F.coalesce("__stored", F.lit(False)), F.col("kind") == "deleted"
+    action = F.when(gone & known, "deleted").when(gone, None).when(~known, "added").when(~F.col("file_hash").eqNullSafe(F.col("__old")), "modified")
+    acted = j.select("path", action.alias("action")).filter("action is not null")
+    return acted.join(owning_folders(acted, folders), "path").select("path", "folder", "action")
+
+
+def delete_list(ranked: DataFrame) -> DataFrame:
+    """(file_hash, keep_id, id, file_size) of the copies that a resolution would delete, from ``keep_policy``."""
+    keepers = ranked.filter("keep").select("file_hash", F.col("id").alias("keep_id"))
+    return ranked.filter("not keep").join(keepers, "file_hash").select("file_hash", "keep_id", "id", "file_size")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions.text import outermost_json
+from vellum.functions.text import normalize_name, outermost_json, stem
 from vellum.operators.catalog import fill_fields, fuzzy_titles
 
 #: Characters of a text that a prompt holds, by kind of job.
@@ -138,3 +138,50 @@ def code_by_word(value: Column, codes: dict[str, str], default: str) -> Column:
     """The code of the first word, in order, that the value holds."""
     low = F.lower(value)
     return F.coalesce(*(F.when(F.contains(low, F.lit(w)), F.lit(c)) for w, c in codes.items()), F.lit(default))
+
+
+def cascade(products: DataFrame, hashes: DataFrame, titles: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, method, confidence, confirm): by hash (1.0), else by title (id, confidence; to confirm below 0.8), else by a model's answer (id, sure: high,
+    medium, low or other; to confirm below 0.9), else by hand."""
+    known = hashes.select("file_hash").distinct().withColumn("known", F.lit(True))
+    table = F.create_map(*(F.lit(x) for pair in SURE.items() for x in pair))
+    said = answers.select("id", F.coalesce(F.try_element_at(table, F.coalesce("sure", F.lit(""))), F.lit(0.6)).alias("__model"))
+    j = products.select("id", "file_hash").join(known, "file_hash", "left").join(titles.select("id", F.col("confidence").alias("__title")), "id", "left").join(said, "id", "left")
+    method = F.when(F.col("known"), "hash").when(F.col("__title").isNotNull(), "title").when(F.col("__model").isNotNull(), "model").otherwise("manual")
+    confidence = F.when(F.col("known"), 1.0).otherwise(F.coalesce("__title", "__model", F.lit(0.0)))
+    return j.select("id", method.alias("method"), confidence.alias("confidence")).withColumn("confirm", F.col("confidence") < F.when(F.col("method") == "model", 0.9).otherwise(0.8))
+
+
+def import_entries(products: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, title, publisher, changed): products (id, file_name, title, publisher) filled from marketplace entries (id, title, publisher) of the same normalised
+    name: an empty publisher, and a title that only repeats the file name. Of several entries of a name the smallest id counts. A dry run is this
+    without writing it."""
+    index = entries.groupBy(normalize_name(F.col("title")).alias("__name")).agg(F.min_by(F.struct("title", "publisher"), "id").alias("e"))
+    j = products.withColumn("__name", normalize_name(F.col("file_name"))).join(index, "__name", "left")
+    bare = F.coalesce(F.col("title") == stem(F.col("file_name")), F.lit(True)) | (F.col("title") == "")
+    no_publisher = F.coalesce(F.trim("publisher"), F.lit("")) == ""
+    takes = {"title": bare & F.col("e.title").isNotNull() & ~F.col("e.title").eqNullSafe(F.col("title")), "publisher": no_publisher & F.col("e.publisher").isNotNull()}
+    changed = F.array_compact(F.array(*(F.when(takes[f], F.lit(f)) for f in takes)))
+    return j.select("id", *(F.when(takes[f], F.col(f"e.{f}")).otherwise(F.col(f)).alias(f) for f in takes), changed.alias("changed"))
+
+
+def book_submissions(queue: DataFrame, results: DataFrame, tries: int = 3) -> DataFrame:
+    """The queue (id, status, attempts) after results (id, ok, message) of what was sent: tries count up, success is submitted, failure failed with its
+    message; rows that were not pending or had no tries left are skipped."""
+    j = queue.join(results.select("id", "ok", F.col("message").alias("__said")), "id", "left")
+    sent = F.col("ok").isNotNull() & (F.col("status") == "pending") & (F.col("attempts") < tries)
+    status = F.when(sent, F.when(F.col("ok"), "submitted").otherwise("failed")).otherwise(F.col("status"))
+    return j.select("id", status.alias("status"), (F.col("attempts") + sent.cast("int")).alias("attempts"), F.when(sent & ~F.col("ok"), F.col("__said")).alias("message"))
+
+
+def replace_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``old`` with all rows of the keys of ``new`` replaced by those of ``new``."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def first_source(*sources: DataFrame, key: str = "doc") -> DataFrame:
+    """Rows of the first table that has any for a key, with ``source``, the table's number: outlines before contents found in text."""
+    out = sources[0].withColumn("source", F.lit(1))
+    for k, more in enumerate(sources[1:], 2):
+        out = out.unionByName(more.join(out.select(key).distinct(), key, "left_anti").withColumn("source", F.lit(k)))
+    return out

@@ -146,6 +146,17 @@ def tables(s, d):
     return extraction.rollable_tables(src.read(s, d, "part").select(F.col("p_partkey").alias("id"), body.alias("text")))
 
 
+@query(
+    "txt13_entries",
+    """SELECT p_partkey AS id, p_name || ' (d' || [4, 6, 8, 10, 12, 20][p_size % 6 + 1] || ')' AS title, low, high, CASE low WHEN 1 THEN 'one ' || p_brand || ' more of it' ELSE 'two ' || p_size END AS result
+    FROM part, (VALUES (1, 2), (3, 3)) v(low, high)""",
+)
+def entries(s, d):
+    die = F.element_at(F.array(*map(F.lit, (4, 6, 8, 10, 12, 20))), F.col("p_size") % 6 + 1)
+    body = F.concat(F.lit("intro\n"), F.col("p_name"), F.lit(" (d"), die, F.lit(")\n1-2. one "), "p_brand", F.lit("\nmore of it\n3) two "), "p_size", F.lit("\n\nnot of it\n99. too high"))
+    return extraction.table_entries(src.read(s, d, "part").select(F.col("p_partkey").alias("id"), body.alias("text"))).select("id", "title", "low", "high", "result")
+
+
 @query("txt01_chunks")
 def chunks(s, d):
     return extraction.chunks(src.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
@@ -166,14 +177,14 @@ def last_changes(s, d):
 @query("stm03_queue_state", """SELECT item, CASE WHEN f <= 3 THEN 'completed' WHEN n >= 3 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN f <= 3 THEN f WHEN n >= 3 THEN 3 ELSE n END AS attempts
     FROM (SELECT item, min(k) FILTER (ok) AS f, count(*) AS n FROM (SELECT user_id AS item, event_type <> 'error' AND event_type <> 'click' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) GROUP BY item)""")
 def queue_state(s, d):
-    tries = jobs.arriving(s, d, "events", 1 << 30).select(F.col("user_id").cast("bigint").alias("item"), F.coalesce(~F.col("event_type").isin("error", "click"), F.lit(False)).alias("ok"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    tries = src.read(s, d, "events").select(F.col("user_id").cast("bigint").alias("item"), F.coalesce(~F.col("event_type").isin("error", "click"), F.lit(False)).alias("ok"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"))
     return jobs.queue_state(s, tries)
 
 
 @query("stm04_admission")
 def admission(s, d):
     at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
-    return jobs.admit(s, jobs.arriving(s, d, "events", 1 << 30).select(F.col("event_id").cast("bigint").alias("id"), F.col("user_id").cast("bigint").alias("client"), at), 2, 86400)
+    return jobs.admit(s, src.read(s, d, "events").select(F.col("event_id").cast("bigint").alias("id"), F.col("user_id").cast("bigint").alias("client"), at), 2, 86400)
 
 
 @query("stm06_live_counts", "SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type")

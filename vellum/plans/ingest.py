@@ -150,6 +150,12 @@ def dup05_totals(s, d):
     return ingest.resolve_duplicates(p.join(ops.keep_policy(p, "src2").select("id", "keep"), "id", "left"))[1]
 
 
+@query("dup04_delete_list", """, r AS (SELECT file_hash, id, file_size, count(*) OVER w AS c, row_number() OVER o AS k, first_value(id) OVER o AS keep_id FROM products
+    WINDOW w AS (PARTITION BY file_hash), o AS (PARTITION BY file_hash ORDER BY publisher = 'src2' DESC, modified_at DESC NULLS LAST, created_at, id)) SELECT file_hash, keep_id, id, file_size FROM r WHERE c > 1 AND k > 1""", "products")
+def dup04(s, d):
+    return ingest.delete_list(ops.keep_policy(src.products(s, d), "src2"))
+
+
 @query("dup03_members", """, m AS (SELECT file_hash, id, first_value(id) OVER (PARTITION BY file_hash ORDER BY created_at, id) AS keep_id FROM products WHERE NOT is_missing)
     SELECT file_hash, keep_id, id FROM m WHERE id <> keep_id""", "products")
 def dup03(s, d):

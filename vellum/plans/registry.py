@@ -7,9 +7,12 @@ import re
 
 from pyspark.sql import functions as F
 
-from vellum.operators import changes, registry
+from vellum.functions.text import sanitize
+from vellum.operators import changes, entities, ingest, registry
 from vellum.plans.catalog import query
 from vellum.sources import catalog as src
+from vellum.sources import snapshots
+from vellum.sources.shared import new_folder
 from vellum.streaming import jobs
 
 
@@ -164,3 +167,101 @@ def stm02_watermark(s, d):
 def stm05(s, d):
     q = src.queue(s, d).select("id", "status", "attempts", "created_at")
     return jobs.drain_contributions(s, q, lambda batch: batch.select("id", (F.col("id") % 3 == 0).alias("ok")), polls=1).select("id", "status", "attempts")
+
+
+@query(
+    "idn01_with_model",
+    """SELECT id, method, confidence, confidence < CASE method WHEN 'model' THEN 0.9 ELSE 0.8 END AS confirm FROM (SELECT id,
+      CASE WHEN known THEN 'hash' WHEN t IS NOT NULL THEN 'title' WHEN m IS NOT NULL THEN 'model' ELSE 'manual' END AS method, (CASE WHEN known THEN 1.0 ELSE coalesce(t, m, 0.0) END)::DOUBLE AS confidence
+      FROM (SELECT id, file_hash IN (SELECT file_hash FROM products WHERE id % 5 = 0) AS known, CASE WHEN id % 3 = 0 THEN 0.75 END AS t,
+        CASE WHEN id % 2 = 0 THEN CASE id % 4 WHEN 0 THEN 0.9 ELSE 0.6 END WHEN id % 7 = 0 THEN 0.5 END AS m FROM products))""",
+    "products",
+)
+def idn01(s, d):
+    p = src.products(s, d)
+    k = F.col("id")
+    answers = p.select("id", F.when(k % 4 == 0, "high").when(k % 2 == 0, "perhaps").when(k % 7 == 0, "low").alias("sure")).filter("sure is not null")
+    return registry.cascade(p, p.filter(k % 5 == 0).select("file_hash"), p.filter(k % 3 == 0).select("id", F.lit(0.75).alias("confidence")), answers)
+
+
+@query(
+    "mkt01_filled",
+    """, e AS (SELECT title AS name, arg_min(upper(title), id) AS t, arg_min('E' || publisher, id) AS p FROM items WHERE size > 25 GROUP BY title)
+    SELECT id, CASE WHEN size % 2 = 0 AND t IS NOT NULL THEN t WHEN size % 2 = 0 THEN title ELSE 'own ' || title END AS title, CASE WHEN size % 3 = 0 THEN coalesce(p, '') ELSE publisher END AS publisher,
+      concat_ws(',', CASE WHEN size % 2 = 0 AND t IS NOT NULL THEN 'title' END, CASE WHEN size % 3 = 0 AND p IS NOT NULL THEN 'publisher' END) AS changed FROM items LEFT JOIN e ON name = title WHERE size <= 25""",
+    "items",
+)
+def mkt01(s, d):
+    i = src.items(s, d)
+    title = F.when(F.col("size") % 2 == 0, F.col("title")).otherwise(F.concat(F.lit("own "), "title"))
+    ours = i.filter("size <= 25").select("id", "file_name", title.alias("title"), F.when(F.col("size") % 3 == 0, "").otherwise(F.col("publisher")).alias("publisher"))
+    entries_ = i.filter("size > 25").select("id", F.upper("title").alias("title"), F.concat(F.lit("E"), "publisher").alias("publisher"))
+    return registry.import_entries(ours, entries_).withColumn("changed", F.array_join("changed", ","))
+
+
+@query(
+    "syn05_bookkeeping",
+    """SELECT id, CASE WHEN sent THEN CASE WHEN id % 3 = 0 THEN 'submitted' ELSE 'failed' END ELSE status END AS status, CAST(attempts + sent::INTEGER AS BIGINT) AS attempts, CASE WHEN sent AND id % 3 <> 0 THEN 'refused ' || id END AS message
+    FROM (SELECT *, status = 'pending' AND attempts < 3 AND id % 5 <> 0 AS sent FROM queue)""",
+    "queue",
+)
+def syn05(s, d):
+    q = src.queue(s, d).select("id", "status", "attempts")
+    k = F.col("id")
+    results = q.filter(k % 5 != 0).select("id", (k % 3 == 0).alias("ok"), F.concat(F.lit("refused "), k).alias("message"))
+    return registry.book_submissions(q, results)
+
+
+@query("vec01_replaced", "SELECT vec_id AS id, CASE WHEN label = 3 THEN 0.0 ELSE embedding[1]::DOUBLE END AS first FROM embeddings WHERE label <> 3 OR vec_id % 2 = 0")
+def vec01(s, d):
+    v = src.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("product_id"), "embedding")
+    new = v.filter("product_id = 3 and id % 2 = 0").withColumn("embedding", F.transform("embedding", lambda x: F.lit(0).cast("float")))
+    return registry.replace_rows(v, new, "product_id").select("id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+
+
+@query("txt12_first_source", "SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS source FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+def txt12(s, d):
+    o = src.read(s, d, "orders").select(F.col("o_orderkey").alias("doc"))
+    return registry.first_source(o.filter("doc % 2 = 0"), o.filter("doc % 3 = 0"))
+
+
+@query("snk02_versions", "SELECT p_partkey AS id, p_size + 1 AS size FROM part WHERE p_partkey % 2 = 0")
+def snk02(s, d):
+    """Two versions of a table are committed; the second is computed from the first and read back."""
+    root = new_folder(s, "table")
+    snapshots.commit(s, src.items(s, d).select("id", "size"), root)
+    snapshots.commit(s, snapshots.current(s, root).filter("id % 2 = 0").withColumn("size", F.col("size") + 1), root)
+    return snapshots.current(s, root)
+
+
+@query("snk04_written", """SELECT 'monster' AS kind, p_partkey AS id, 'Monsters/' || replace(p_name, ' ', '_') || '-' || p_partkey || '.md' AS path FROM part""")
+def snk04(s, d):
+    """Notes are stored by kind and read back."""
+    at = new_folder(s, "vault")
+    rows = src.read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("creature_type"))
+    path = F.concat(F.lit("Monsters/"), sanitize(F.concat("name", F.lit("-"), "id")), F.lit(".md"))
+    entities.write_vault(entities.notes(rows, "monster").select("id", F.lit("monster").alias("kind"), path.alias("path"), "content"), at)
+    return s.read.parquet(at).filter("content like '%type: monster%'").select("kind", "id", "path")
+
+
+@query("src01_listing")
+def src01(s, d):
+    return src.listing(s, d, "parquet").select("path", "file_size").filter("file_size > 0")
+
+
+@query(
+    "stm01_routed",
+    """WITH last AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id),
+    a AS (SELECT user_id, CASE WHEN kind = 'error' THEN CASE WHEN user_id % 2 = 0 THEN 'deleted' END WHEN user_id % 2 = 1 THEN 'added' WHEN kind <> 'view' THEN 'modified' END AS action FROM last)
+    SELECT '/f' || user_id % 3 || '/sub/u' || user_id AS path, '/f' || user_id % 3 || CASE WHEN user_id % 3 = 1 THEN '/sub' ELSE '' END AS folder, action FROM a WHERE action IS NOT NULL""",
+)
+def stm01(s, d):
+    path = F.concat(F.lit("/f"), F.col("user_id") % 3, F.lit("/sub/u"), "user_id")
+    kind = F.when(F.col("event_type") == "error", "deleted").otherwise("changed")
+    feed = jobs.arriving(s, d, "events").select(path.alias("path"), F.concat_ws(":", kind, "event_type").alias("kind"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    seen = jobs.latest_changes(s, feed)
+    last = seen.select("path", F.substring_index("kind", ":", 1).alias("kind"), F.substring_index("kind", ":", -1).alias("file_hash"))
+    users = src.read(s, d, "events").select("user_id").distinct()
+    stored = users.filter("user_id % 2 = 0").select(path.alias("path"), F.lit("view").alias("file_hash"))
+    folders = users.select(F.explode(F.array(*map(F.lit, ("/f0", "/f1", "/f2", "/f1/sub")))).alias("folder")).distinct()
+    return ingest.routed_changes(last, stored, folders)

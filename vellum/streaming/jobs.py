@@ -6,6 +6,9 @@ and the stream's own checkpoint lie in ``spark.checkpoint.dir``. Jobs drain what
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import pairwise
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +33,43 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataF
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{at}/rows")
 
 
-def last_changes(spark: SparkSession, changes: DataFrame) -> DataFrame:
-    """The state after a feed of (path, kind, at, id): the last change of each path, deleted ones left out."""
+def drain_in_order(spark: SparkSession, rows: DataFrame, time: str, job: Callable[[DataFrame], DataFrame], spans: int, mode: str = "append") -> DataFrame:
+    """What ``job`` (a stream to a stream) gives for a table, fed to it in spans of time, oldest first, so that a batch holds one span and state carries
+    over from one to the next. Spans are quantiles of ``time``; rows without a time come first. Every span is one run of the same query."""
+    at = new_folder(spark, "stream")
+    key = F.coalesce(F.col(time).cast("double"), F.lit(float("-inf")))
+    bounds = rows.agg(F.percentile_approx(key, [k / spans for k in range(1, spans)], 10_000)).first()[0] if spans > 1 else []
+    edges = [None, *sorted(set(bounds or [])), None]
+    made = job(spark.readStream.schema(rows.schema).parquet(f"{_feed(spark, rows, at)}"))
+    spark.createDataFrame([], made.schema).write.parquet(f"{at}/rows/batch=-1")
+    write = lambda out, n: out.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
+    for low, high in pairwise(edges):
+        span = rows if low is None else rows.filter(key > low)
+        span = span if high is None else span.filter(key <= high)
+        span.write.mode("append").parquet(f"{at}/in")
+        made.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(T.StructType([*made.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{at}/rows")
+
+
+def _feed(spark: SparkSession, rows: DataFrame, at: str) -> str:
+    rows.limit(0).write.parquet(f"{at}/in")
+    return f"{at}/in"
+
+
+def latest_changes(spark: SparkSession, changes: DataFrame) -> DataFrame:
+    """(path, kind, id): the last change of each path in a feed of (path, kind, at, id)."""
     seen = drain(spark, changes.groupBy("path").agg(F.max_by(F.struct("at", "id", "kind"), F.struct("at", "id")).alias("last")), "update")
-    return seen.groupBy("path").agg(F.max_by("last", F.struct("last.at", "last.id")).alias("last")).select("path", "last.kind", "last.id").filter("kind <> 'deleted'")
+    return seen.groupBy("path").agg(F.max_by("last", F.struct("last.at", "last.id")).alias("last")).select("path", "last.kind", "last.id")
+
+
+def last_changes(spark: SparkSession, changes: DataFrame) -> DataFrame:
+    """The state after a feed: the last change of each path, deleted ones left out."""
+    return latest_changes(spark, changes).filter("kind <> 'deleted'")
 
 
-def queue_state(spark: SparkSession, outcomes: DataFrame, most: int = 3) -> DataFrame:
-    """(item, status, attempts) after a stream of tries (item, ok, at, id): a success completes an item, ``most`` failures fail it; later tries are ignored.
-    Tries of an item must not arrive in a batch before older ones."""
+def queue_state(spark: SparkSession, outcomes: DataFrame, most: int = 3, spans: int = 4) -> DataFrame:
+    """(item, status, attempts) after tries (item, ok, at, id): a success completes an item, ``most`` failures fail it; later tries are ignored.
+    A table is fed in spans of time; in a stream, tries of an item must not arrive in a batch before older ones."""
 
     def advance(key, frames, state):
         status, attempts = state.get if state.exists else ("pending", 0)
@@ -50,14 +81,17 @@ def queue_state(spark: SparkSession, outcomes: DataFrame, most: int = 3) -> Data
         state.update((status, attempts))
         yield pd.DataFrame({"item": [key[0]], "status": [status], "attempts": [attempts]})
 
-    out = outcomes.groupBy("item").applyInPandasWithState(advance, "item bigint, status string, attempts bigint", "status string, attempts bigint", "update", GroupStateTimeout.NoTimeout)
-    return drain(spark, out, "update").groupBy("item").agg(F.max_by(F.struct("status", "attempts"), "batch").alias("s")).select("item", "s.status", "s.attempts")
+    def job(stream: DataFrame) -> DataFrame:
+        return stream.groupBy("item").applyInPandasWithState(advance, "item bigint, status string, attempts bigint", "status string, attempts bigint", "update", GroupStateTimeout.NoTimeout)
 
+    found = drain(spark, job(outcomes), "update") if outcomes.isStreaming else drain_in_order(spark, outcomes, "at", job, spans, "update")
+    return found.groupBy("item").agg(F.max_by(F.struct("status", "attempts"), "batch").alias("s")).select("item", "s.status", "s.attempts")
 
-def admit(spark: SparkSession, requests: DataFrame, limit: int, seconds: int) -> DataFrame:
+
+def admit(spark: SparkSession, requests: DataFrame, limit: int, seconds: int, spans: int = 4) -> DataFrame:
     """(id, client, admitted, wait) of requests (id, client, at in microseconds): admitted while fewer than ``limit`` were admitted in the last
-    ``seconds``; ``wait`` is the time until one would be. The state of a client holds at most ``limit`` times. Requests of a client must not
-    arrive in a batch before older ones."""
+    ``seconds``; ``wait`` is the time until one would be. The state of a client holds at most ``limit`` times. A table is fed in spans of
+    time; in a stream, requests of a client must not arrive in a batch before older ones."""
     window = seconds * 1_000_000
 
     def check(key, frames, state):
@@ -72,8 +106,10 @@ def admit(spark: SparkSession, requests: DataFrame, limit: int, seconds: int) ->
         state.update((log,))
         yield pd.DataFrame({"id": rows["id"], "client": key[0], "admitted": admitted, "wait": wait})
 
-    out = requests.groupBy("client").applyInPandasWithState(check, "id bigint, client bigint, admitted boolean, wait bigint", "log array<bigint>", "append", GroupStateTimeout.NoTimeout)
-    return drain(spark, out).drop("batch")
+    def job(stream: DataFrame) -> DataFrame:
+        return stream.groupBy("client").applyInPandasWithState(check, "id bigint, client bigint, admitted boolean, wait bigint", "log array<bigint>", "append", GroupStateTimeout.NoTimeout)
+
+    return (drain(spark, job(requests)) if requests.isStreaming else drain_in_order(spark, requests, "at", job, spans)).drop("batch")
 
 
 def live_counts(spark: SparkSession, rows: DataFrame, by: Column | str) -> DataFrame:
