@@ -114,7 +114,7 @@ def prj06(s, d):
     return listing.progress(src.queue(s, d), "product_id", F.col("status") == "completed")
 
 
-IMAGES_SQL = """images AS (SELECT l_orderkey AS doc, l_linenumber AS page, l_suppkey AS pos, l_partkey % 3 AS hash, l_quantity * 30 AS width, l_partkey % 600 + 50 AS height, ['png', 'jpeg'][l_suppkey % 2 + 1] AS format, l_tax * 12 AS page_share FROM lineitem),
+IMAGES_SQL = """images AS (SELECT l_orderkey AS doc, l_linenumber AS page, l_suppkey AS pos, l_partkey % 3 AS hash, l_quantity * 30 + 0.371 AS width, l_partkey % 600 + 50 AS height, ['png', 'jpeg'][l_suppkey % 2 + 1] AS format, l_tax * 12 AS page_share FROM lineitem),
   inv AS (SELECT * FROM images WHERE width >= 100 AND height >= 100 QUALIFY row_number() OVER (PARTITION BY doc, hash ORDER BY page, pos, width, height, page_share) = 1)"""
 MAP_SQL = "width >= 200 AND height >= 200 AND width / height BETWEEN 0.5 AND 3 AND width * height >= 100000"
 
@@ -122,7 +122,7 @@ MAP_SQL = "width >= 200 AND height >= 200 AND width / height BETWEEN 0.5 AND 3 A
 def images(s, d):
     fmt = F.element_at(F.array(F.lit("png"), F.lit("jpeg")), (F.col("l_suppkey") % 2 + 1).cast("int"))
     return src.read(s, d, "lineitem").select(
-        F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), F.col("l_suppkey").alias("pos"), (F.col("l_partkey") % 3).alias("hash"), (F.col("l_quantity") * 30).alias("width"),
+        F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), F.col("l_suppkey").alias("pos"), (F.col("l_partkey") % 3).alias("hash"), (F.col("l_quantity") * 30 + 0.371).alias("width"),
         (F.col("l_partkey") % 600 + 50).alias("height"), fmt.alias("format"), (F.col("l_tax") * 12).alias("page_share"),
     )
 
