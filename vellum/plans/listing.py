@@ -32,10 +32,10 @@ def srt05(s, d):
     return ops.facet_counts(src.items(s, d), "publisher", top=20)
 
 
-@query("srt07_latest", "SELECT o_orderkey AS id, o_orderdate::VARCHAR AS at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+@query("srt07_latest", "SELECT o_orderkey AS id, o_orderdate::VARCHAR AS ordered_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
 def srt07(s, d):
     found = listing.latest(src.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate"), "o_orderdate", 20)
-    return found.select("id", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return found.select("id", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("ordered_at"))
 
 
 @query("srt08_lists", "SELECT r_name AS category, n_name AS name, row_number() OVER (PARTITION BY r_name ORDER BY n_name, n_nationkey) AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
