@@ -25,8 +25,9 @@ HASH_BITS = 48
 EMPTY = (1 << HASH_BITS) - 1
 #: Probes of an empty bin until bins are simply tried in order.
 PROBES = 24
-#: Bytes of text of a range of ids; a small table has ranges of at least ``LEAST_BYTES``, as many as the session's shuffle partitions.
-RANGE_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
+#: Bytes of text of a range of ids; a small table has ranges of at least ``LEAST_BYTES``, up to eight for each of the session's shuffle partitions.
+#: A partition holds several ranges, so that their hashes spread them evenly.
+RANGE_BYTES, LEAST_BYTES = 32 << 20, 1 << 20
 
 
 def probe(j: int, k: int) -> int:
@@ -109,7 +110,8 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     of = F.coalesce("doc_id", F.lit(-(1 << 63)))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(2, -(-size // RANGE_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES)))
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2, -(-size // RANGE_BYTES), min(8 * usual, -(-size // LEAST_BYTES)))
     bounds = rows.select(of.alias("i")).agg(F.percentile_approx("i", [k / parts for k in range(1, parts)], max(10_000, 4 * parts)).alias("b")).first()["b"] or []
     # An id with several bounds has more rows than a range should: they are dealt by hash of the text, which is their order.
     low, spread = below(bounds, F.col("i"), False), below(bounds, F.col("i"), True) - below(bounds, F.col("i"), False)
@@ -118,15 +120,15 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     # The first row of each bucket, by id and text hash: at most one per bucket, found in one aggregation.
     key = F.struct(of.alias("i"), F.xxhash64("text").alias("h"))
     placed = rows.withColumn("i", of).withColumn("h", F.xxhash64("text")).withColumn("bucket", bucket)
-    heads = placed.groupBy("bucket").agg(F.min(key).alias("k")).collect()
-    order = sorted((r["bucket"], r["k"]["i"], r["k"]["h"]) for r in heads)
+    heads = placed.groupBy("bucket").agg(F.min(key).alias("k")).select("bucket", "k.i", "k.h").toArrow()  # a row per range
+    order = sorted(zip(*(heads.column(c).to_pylist() for c in ("bucket", "i", "h")), strict=True))
     if not order:
         return placed.withColumn("extra", F.lit(False))
     before = {b: order[n - 1][0] for n, (b, _, _) in enumerate(order)}
     wanted = docs.sparkSession.createDataFrame([(i, h, before[b], b == order[0][0]) for b, i, h in order], "i bigint, h bigint, to bigint, wraps boolean")
     extra = placed.join(F.broadcast(wanted), ["i", "h"]).dropDuplicates(["i", "h"])
     extra = extra.select("doc_id", "text", "i", F.col("to").cast("int").alias("bucket"), "h", F.lit(True).alias("extra"))
-    return placed.withColumn("extra", F.lit(False)).unionByName(extra).repartition(parts, "bucket")
+    return placed.withColumn("extra", F.lit(False)).unionByName(extra).repartition(max(min(parts, usual), -(-size // (2 * RANGE_BYTES))), "bucket")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
