@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from vellum.llm import bpe, chat, exact, fingerprint, langid, lines, merkle, neardup, packing, quality, toxicity
+from vellum.llm import bpe, chat, exact, fingerprint, langid, lines, merkle, neardup, negatives, packing, quality, toxicity
 from vellum.llm.shared import table
 
 
@@ -55,12 +55,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages_of(table(spark, sf_dir, "documents"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_chat, op3_lines, op4_toxicity, op5_exact, op6_bpe, op7_near, op8_packing, op9_fingerprint, op10_language, op13_merkle)
+    f.__name__: f for f in (op1_quality, op2_chat, op3_lines, op4_toxicity, op5_exact, op6_bpe, op7_near, op8_packing, op9_fingerprint, op10_language, op12_negatives, op13_merkle)
 } | {"pipeline": corpus_pipeline.run}
 
 SAID = "<|im_end|><|im_start|>assistant ok"
@@ -89,4 +93,4 @@ g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-ORACLE_SQL = {"op2_chat": CHAT_SQL, "op3_lines": lines.SQL, "op5_exact": EXACT_SQL, "op13_merkle": merkle.SQL}
+ORACLE_SQL = {"op2_chat": CHAT_SQL, "op3_lines": lines.SQL, "op5_exact": EXACT_SQL, "op12_negatives": negatives.SQL, "op13_merkle": merkle.SQL}
