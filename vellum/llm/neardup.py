@@ -24,8 +24,6 @@ without an id are their own, with a null component_id, and kept. Other columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.shared import add_columns, discard, materialize, mix, ragged, split_words, strings_of, sums, word_hashes
+from vellum.llm.regions import components, groups, settle, starts_of
+from vellum.llm.shared import add_columns, materialize, mix, ragged, split_words, strings_of, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -116,44 +115,6 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return add_columns(docs.withColumnRenamed(doc_id, "doc_id"), text, ["doc_id"], new, make)
 
 
-def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Sorted batches as tables that hold whole groups of equal keys."""
-    held = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = t if held is None else pa.concat_tables([held, t])
-        last = np.ones(t.num_rows, bool)
-        for k in keys:
-            v = t.column(k).to_numpy()
-            last &= v == v[-1]
-        cut = t.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
-        if cut:
-            yield t.slice(0, cut)
-        held = t.slice(cut)
-    if held is not None and held.num_rows:
-        yield held
-
-
-def starts_of(t: pa.Table, keys: list[str]) -> np.ndarray:
-    new = np.ones(t.num_rows, bool)
-    if t.num_rows > 1:
-        new[1:] = np.any([np.diff(t.column(k).to_numpy()) != 0 for k in keys], axis=0)
-    return np.append(np.flatnonzero(new), t.num_rows)
-
-
-def settle(g: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member that each of g hangs together with by the links a - b."""
-    label = np.arange(g)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def agreeing(sig: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Which rows (signatures, sizes) are candidates with which others."""
     same = np.zeros((len(sig), len(other)), np.uint8)
@@ -233,24 +194,6 @@ def forest(reps: DataFrame) -> DataFrame:
     return components(links.unionByName(more))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, label): the smallest vertex that each vertex of the links is connected with. Rounds of smallest neighbour and shortcut."""
-    both = materialize(links.select("a", "b").union(links.select("b", "a")))
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
-    table = labels
-    while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("v").alias("label"), F.col("label").alias("root"))
-        new = materialize(step.join(up, "label").select("v", "old", F.least("label", "root").alias("label")))
-        changed = not new.filter("label <> old").isEmpty()
-        discard(table)
-        table, labels = new, new.select("v", "label")
-        if not changed:
-            discard(both)
-            return labels
-
-
 def linked(sets: list[np.ndarray]) -> np.ndarray:
     """For each set the first one that it is connected with by links."""
     g, size = len(sets), np.array([len(s) for s in sets], np.int64)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.neardup import groups, starts_of
+from vellum.llm.regions import groups, starts_of
 from vellum.llm.shared import materialize
 
 SCALE, EVERY = 256, 100

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from vellum.llm import bpe, chat, exact, fingerprint, langid, lines, merkle, neardup, negatives, packing, quality, toxicity
+from vellum.llm import bpe, chat, exact, fingerprint, langid, lines, merkle, neardup, negatives, packing, quality, simhash, toxicity
 from vellum.llm.shared import table
 
 
@@ -55,6 +55,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages_of(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.find(table(spark, sf_dir, "documents"))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -64,7 +68,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_chat, op3_lines, op4_toxicity, op5_exact, op6_bpe, op7_near, op8_packing, op9_fingerprint, op10_language, op12_negatives, op13_merkle)
+    f.__name__: f for f in (op1_quality, op2_chat, op3_lines, op4_toxicity, op5_exact, op6_bpe, op7_near, op8_packing, op9_fingerprint, op10_language, op11_simhash, op12_negatives, op13_merkle)
 } | {"pipeline": corpus_pipeline.run}
 
 SAID = "<|im_end|><|im_start|>assistant ok"
