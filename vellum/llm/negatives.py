@@ -32,7 +32,7 @@ POSITIVES, NEGATIVES = 5, 5
 LEAST, MOST = 80, 100
 #: Every so manieth id is mislabelled on purpose, to see what mining finds.
 RELABEL, LABELS = 7, 10
-PRIMES = (251, 241, 239, 233, 229, 227, 223, 211)
+PRIMES = (251, 241, 239, 233, 229, 227, 223, 211, 199)
 #: With residues of at most 125, sums of so many products stay under 2 ** 24.
 SPAN = 1024
 #: Anchors and rows of a block.
@@ -46,7 +46,7 @@ def primes_for(bound: int) -> list[int]:
     product = 1
     for n, p in enumerate(PRIMES, 1):
         product *= p
-        if product > 2 * bound + 1:
+        if product > 2 * bound + 1 and bound < 1 << 63:
             return list(PRIMES[:n])
     raise ValueError(f"scores of up to {bound} do not fit in a long")
 
