@@ -61,23 +61,6 @@ def test_pages_of_nothing_and_unknown_columns(spark):
     assert listing.page_of(df.limit(0), listing.order_by(None), 1, 2).count() == 0
 
 
-def test_index_equals_scan_and_takes_short_words(spark, tmp_path):
-    rows = [(1, "the Cat sat", None), (2, "a cat; a Catalog", "cats"), (3, "", ""), (4, None, "dog")]
-    df = spark.createDataFrame(rows, "id bigint, a string, b string")
-    search.write_index(df, ["a", "b"], f"{tmp_path}/i")
-    for query in ("cat", "a dog", "zz", "cat THE"):
-        one = {r["id"]: round(r["score"], 9) for r in search.bm25(df, ["a", "b"], query).collect()}
-        assert {r["id"]: round(r["score"], 9) for r in search.search_index(spark, f"{tmp_path}/i", query).collect()} == one
-    search.update_index(spark, f"{tmp_path}/i", f"{tmp_path}/j", spark.createDataFrame([(1, "dogs", "x")], df.schema), ["a", "b"], spark.createDataFrame([(4,)], "id bigint"))
-    assert {r["id"] for r in search.search_index(spark, f"{tmp_path}/j", "dog cat").collect()} == {1, 2}
-
-
-def test_search_falls_back_to_substrings(spark):
-    df = spark.createDataFrame([(1, "Xylophone", "text", None), (2, "b", "fox yloph", None), (3, "c", None, None)], "id int, title string, text string, publisher string")
-    assert {r["id"]: r["how"] for r in search.find(df, "yloph", ["title", "text"], ["title", "publisher"], "text").collect()} == {2: "keyword"}
-    assert {r["id"]: r["how"] for r in search.find(df, "loph", ["title", "text"], ["title", "publisher"], "text").collect()} == {1: "metadata", 2: "content"}
-
-
 def test_snippets_take_the_densest_window(spark):
     words = ["hit"] + ["x"] * 20 + ["hit", "hit", "y", "hit"] + ["z"] * 9
     found = search.snippets(spark.createDataFrame([(1, " ".join(words))], "id int, text string"), "HI", 4, around=0).first()["snippet"]

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import zlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.numeric import cosine, dot, unit
 from vellum.functions.text import tokens
 from vellum.operators.catalog import facet
+from vellum.sources.shared import new_folder
 
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """(term, id, tf) over all fields together, whole texts."""
-    text = F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) for f in fields))
-    return docs.select("id", F.explode(tokens(text)).alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def query_words(query: str) -> list[str]:
     return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in query.lower()).split()))
 
@@ -35,69 +29,28 @@ def weight(tf: Column, length: Column, average: Column) -> Column:
 
 def bm25(docs: DataFrame, fields: list[str], query: str) -> DataFrame:
     """(id, score) without an index: every word of the query is a prefix, words are alternatives. Counts stay in the rows of their
-    documents, so nothing but totals is shuffled."""
+    documents, so nothing but totals is shuffled. Texts are cut to words once: the counts are written, and totals and hits come from them."""
     words = query_words(query)
     text = F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) for f in fields))
     begins = lambda word: F.size(F.filter("t", lambda x: F.startswith(x, F.lit(word))))
-    counts = docs.select("id", tokens(text).alias("t")).select(
-        "id", F.size("t").alias("len"), *(begins(w).alias(f"tf{i}") for i, w in enumerate(words))
-    ).filter("len > 0")
+    counted = docs.select("id", tokens(text).alias("t")).select("id", F.size("t").alias("len"), *(begins(w).alias(f"tf{i}") for i, w in enumerate(words)))
+    at = new_folder(docs.sparkSession, "counts")
+    counted.write.parquet(at)
+    counts = docs.sparkSession.read.schema(counted.schema).parquet(at).filter("len > 0")
     totals = counts.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
     parts = [idf(F.col("n_docs"), F.col(f"df{i}")) * weight(F.col(f"tf{i}"), F.col("len"), F.col("avg_len")) for i in range(len(words))]
     hits = counts.filter(reduce(lambda a, b: a | b, (F.col(f"tf{i}") > 0 for i in range(len(words))), F.lit(False)))
     return hits.crossJoin(F.broadcast(totals)).select("id", reduce(lambda a, b: a + b, parts, F.lit(0.0)).alias("score"))  # one row of totals
 
 
-SHARDS = 64
-
-
-def shard_of(term: Column) -> Column:
-    """Words that begin with the same two characters share a shard, so a prefix of two or more reads one."""
-    return (F.crc32(F.substring(term, 1, 2)) % SHARDS).cast("int")
-
-
-def index_rows(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """Postings (term, id, tf, len, shard) of whole texts; a document without words has none."""
-    text = F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) for f in fields))
-    rows = docs.select("id", tokens(text).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    return rows.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).withColumn("shard", shard_of(F.col("term")))
-
-
-def write_index(docs: DataFrame, fields: list[str], root: str) -> None:
-    """Store postings by shard, and the length of each document."""
-    index_rows(docs, fields).repartition("shard").sortWithinPartitions("shard", "term").write.partitionBy("shard").parquet(f"{root}/postings")
-    docs.sparkSession.read.parquet(f"{root}/postings").groupBy("id").agg(F.first("len").alias("len")).write.parquet(f"{root}/sizes")
-
-
-def update_index(spark: SparkSession, old: str, new: str, docs: DataFrame, fields: list[str], gone: DataFrame) -> None:
-    """A new version of a stored index: the postings of ``docs`` replace those of the same ids, and ``gone`` (id) are taken out. Only ``docs`` are read."""
-    out = gone.select("id").unionByName(docs.select("id")).distinct()
-    kept = spark.read.parquet(f"{old}/postings").join(out, "id", "left_anti")
-    rows = kept.unionByName(index_rows(docs, fields)).repartition("shard").sortWithinPartitions("shard", "term")
-    rows.write.partitionBy("shard").parquet(f"{new}/postings")
-    sizes = spark.read.parquet(f"{old}/sizes").join(out, "id", "left_anti")
-    sizes.unionByName(index_rows(docs, fields).groupBy("id").agg(F.first("len").alias("len"))).write.parquet(f"{new}/sizes")
-
-
-def search_index(spark: SparkSession, root: str, query: str) -> DataFrame:
-    """(id, score) as ``bm25``, from a stored index; only the shards of the query's words are read."""
-    words = query_words(query)
-    postings, sizes = spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/sizes")
-    shards = {zlib.crc32(w[:2].encode()) % SHARDS for w in words if len(w) > 1} if all(len(w) > 1 for w in words) else set(range(SHARDS))
-    any_word = reduce(lambda a, b: a | b, (F.col("term").startswith(w) for w in words), F.lit(False))
-    found = postings.filter(F.col("shard").isin(sorted(shards)) & any_word)
-    word = F.explode(F.filter(F.array(*(F.when(F.col("term").startswith(w), F.lit(w)) for w in words)), lambda w: w.isNotNull()))
-    hits = found.select("id", "tf", "len", word.alias("word")).groupBy("id", "len", "word").agg(F.sum("tf").alias("tf"))
-    df = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))  # a row per word of the query
-    totals = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))  # one row
-    part = idf(F.col("n_docs"), F.col("df")) * weight(F.col("tf"), F.col("len"), F.col("avg_len"))
-    return hits.join(F.broadcast(df), "word").crossJoin(F.broadcast(totals)).groupBy("id").agg(F.sum(part).alias("score"))
+def visible(products: DataFrame, **facets: str | None) -> DataFrame:
+    """Products without duplicates and missing ones, by facets."""
+    return facet(products.filter("duplicate_of is null and not is_missing"), **facets)
 
 
 def visible_hits(hits: DataFrame, products: DataFrame, **facets: str | None) -> DataFrame:
-    """Hits (id, score) with the columns of their products, without duplicates and missing ones, by facets."""
-    shown = facet(products.filter("duplicate_of is null and not is_missing"), **facets)
-    return hits.join(shown, "id")
+    """Hits (id, score) with the columns of their visible products."""
+    return hits.join(visible(products, **facets), "id")
 
 
 def best_hits(hits: DataFrame, n: int) -> DataFrame:
@@ -105,27 +58,19 @@ def best_hits(hits: DataFrame, n: int) -> DataFrame:
     return hits.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(n)
 
 
-def find(products: DataFrame, query: str, fields: list[str], metadata: list[str], body: str) -> DataFrame:
-    """(id, how): keyword hits, or where no keyword hits at all, substring hits in metadata and body."""
-    hits = bm25(products, fields, query)
-    if not hits.isEmpty():
-        return hits.select("id", F.lit("keyword").alias("how"))
-    inside = lambda c: F.contains(F.lower(c), F.lit(query.lower()))
-    by_metadata = reduce(lambda a, b: a | b, (F.coalesce(inside(c), F.lit(False)) for c in metadata))
-    return products.select("id", F.when(by_metadata, "metadata").when(inside(body), "content").alias("how")).filter("how is not null")
-
-
 def matching_lines(docs: DataFrame, query: str, most: int = 3, longest: int = 300, around: int = 100) -> DataFrame:
     """The first lines of each text that hold the query, with the line before and after; a context of over ``longest`` characters is cut to
-    what is up to ``around`` characters from the hit in its line."""
-    lines = docs.select("id", F.split("text", "\n").alias("lines")).select("id", "lines", F.posexplode("lines").alias("line_no", "line"))
-    at = F.locate(query.lower(), F.lower("line"))
-    hits = lines.filter(at > 0).withColumn("near", F.concat_ws("\n", F.slice("lines", F.greatest(F.col("line_no"), F.lit(1)), F.when(F.col("line_no") == 0, 2).otherwise(3))))
+    what is up to ``around`` characters from the hit in its line. Only texts that hold the query are split, and only hits leave their row."""
+    low = query.lower()
+    lines = docs.filter(F.contains(F.lower("text"), F.lit(low))).select("id", F.split("text", "\n").alias("lines"))
+    numbered = F.transform("lines", lambda x, i: F.when(F.contains(F.lower(x), F.lit(low)), i))
+    hits = lines.withColumn("at", F.slice(F.array_compact(numbered), 1, most))
+    near = lambda i: F.array_join(F.slice("lines", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), "\n")
+    cut = hits.select("id", F.explode(F.transform("at", lambda i: F.struct(i.alias("line_no"), F.get("lines", i).alias("line"), near(i).alias("near")))).alias("h")).select("id", "h.*")
+    at = F.locate(low, F.lower("line"))
     begin = F.greatest(at - around, F.lit(1))
-    cut = F.substr("line", begin, at + len(query) + around - begin)
-    hits = hits.withColumn("context", F.when(F.length("near") > longest, cut).otherwise(F.col("near")))
-    ranked = hits.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("line_no")))
-    return ranked.filter(F.col("k") <= most).select("id", "line_no", "context")
+    context = F.when(F.length("near") > longest, F.substr("line", begin, at + len(query) + around - begin)).otherwise(F.col("near"))
+    return cut.select("id", "line_no", context.alias("context"))
 
 
 def similar(vectors: DataFrame, query: list[float], k: int, threshold: float = 0.0) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import numeric, text
 from vellum.operators import catalog as ops
-from vellum.operators import search
+from vellum.operators import search, substrings
 from vellum.sources import catalog as src
 from vellum.sources.catalog import ITEMS_SQL, LINKS_SQL, PRODUCTS_SQL, QUEUE_SQL
 
@@ -417,8 +417,17 @@ def marketplace(s, d):
     h AS (SELECT id, w, count(*) AS tf FROM t, (VALUES ('the'), ('ein')) q(w) WHERE starts_with(term, w) GROUP BY id, w), f AS (SELECT w, count(*) AS df FROM h GROUP BY w)
     SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM h JOIN f USING (w) JOIN l USING (id), c GROUP BY id""", "products")
 def bm25(s, d):
-    p = src.products(s, d)
-    return search.bm25(p, ["title", "publisher", "text"], "the ein").select("id", F.round("score", 6).alias("score"))
+    from vellum.plans.search import index
+
+    return index(s, d, "the ein").hits().select("id", F.round("score", 6).alias("score"))
+
+
+@query("fts03_scan", f""", t AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(title || ' ' || text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS term FROM products), l AS (SELECT id, count(*) AS len FROM t GROUP BY id),
+    c AS (SELECT count(*) AS n, avg(len) AS a FROM l), h AS (SELECT id, count(*) AS tf FROM t WHERE starts_with(term, 'que') GROUP BY id), f AS (SELECT count(*) AS df FROM h)
+    SELECT id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a)), 6) AS score FROM h JOIN l USING (id), c, f""", "products")
+def bm25_scan(s, d):
+    """Without an index, over two of the fields."""
+    return search.bm25(src.products(s, d), ["title", "text"], "que").select("id", F.round("score", 6).alias("score"))
 
 
 @query("fts05_lines", """SELECT id, line_no, CASE WHEN length(near) > 300 THEN line[greatest(p - 100, 1):p + 103] ELSE near END AS context FROM (
@@ -426,8 +435,9 @@ def bm25(s, d):
     FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS lines, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents) WHERE contains(lower(line), 'tion'))
     QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no) <= 3""")
 def lines(s, d):
-    docs = src.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.matching_lines(docs, "tion").select("id", F.col("line_no").cast("long").alias("line_no"), "context")
+    from vellum.plans.search import texts
+
+    return search.matching_lines(substrings.holding(s, texts(s, d), "tion"), "tion").select("id", F.col("line_no").cast("long").alias("line_no"), "context")
 
 
 @query("vec02_search", """WITH s AS (SELECT q.vec_id AS query_id, e.label AS product_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import numeric
 from vellum.operators import catalog as ops
-from vellum.operators import changes, search
+from vellum.operators import changes, keyword_index, search
 from vellum.operators import documents as docs
 from vellum.plans.catalog import query
 from vellum.sources import catalog as src
@@ -255,7 +255,7 @@ def snippet(s, d):
     (SELECT len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS n FROM documents)""")
 def index_health(s, d):
     p = src.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    index = search.index_rows(p, ["text"]).groupBy("id").agg(F.sum("tf").alias("n"))
+    index = keyword_index.occurrences(p, ["text"]).filter(F.length("key") == 1).groupBy("id").agg(F.sum("tf").alias("n"))
     return p.select("id").join(index, "id", "left").agg(F.count(F.lit(1)).alias("documents"), F.count("n").alias("indexed"), F.sum("n").alias("tokens"))
 
 

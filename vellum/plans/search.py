@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.operators import search
+from vellum.operators import keyword_index, search, substrings
 from vellum.plans.catalog import query
 from vellum.sources import catalog as src
-from vellum.sources.shared import new_folder
+from vellum.sources.shared import new_folder, stored_once
 
 FIELDS = ["title", "publisher", "text"]
 
@@ -20,6 +20,17 @@ def hits_sql(words: list[str], source: str = "products") -> str:
     hits AS (SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM h JOIN f USING (w) JOIN l USING (id), c GROUP BY id)"""
 
 
+def index(s, d, asked):
+    """A search in the stored index of the catalog, which the first one builds."""
+    root = stored_once(src.read(s, d, "documents"), "keyword-index", lambda at: keyword_index.write(src.products(s, d), FIELDS, at))
+    return keyword_index.Search(s, root, asked)
+
+
+def texts(s, d):
+    """The folder of stored texts with bitmaps, which the first search fills."""
+    return stored_once(src.read(s, d, "documents"), "texts", lambda at: substrings.write(src.products(s, d), at))
+
+
 VISIBLE = "shown AS (SELECT id, title, system FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY created_at, id) AS k FROM products WHERE NOT is_missing) WHERE k = 1)"
 
 
@@ -31,19 +42,18 @@ def shown(s, d):
 
 @query("jn18_visible_hits", f", {hits_sql(['ein'])}, {VISIBLE} SELECT id, score, title FROM hits JOIN shown USING (id) WHERE system = 'de'", "products")
 def jn18(s, d):
-    hits = search.bm25(src.products(s, d), FIELDS, "ein")
-    return search.visible_hits(hits, shown(s, d), system="de").select("id", F.round("score", 6).alias("score"), "title")
+    return search.visible_hits(index(s, d, "ein").hits(), shown(s, d), system="de").select("id", F.round("score", 6).alias("score"), "title")
 
 
 @query("srt06_best_hits", f", {hits_sql(['th', 'a'])} SELECT id, score FROM hits ORDER BY score DESC, id LIMIT 20", "products")
 def srt06(s, d):
-    return search.best_hits(search.bm25(src.products(s, d), FIELDS, "th a"), 20)
+    return search.best_hits(index(s, d, "th a").hits(), 20)
 
 
 @query("fts07_membership", f", {hits_sql(['en'])} SELECT id, title FROM products WHERE text_extracted AND id IN (SELECT id FROM hits)", "products")
 def fts07(s, d):
     p = src.products(s, d)
-    return p.filter("text_extracted").join(search.bm25(p, FIELDS, "en").select("id"), "id", "left_semi").select("id", "title")
+    return p.filter("text_extracted").join(index(s, d, "en").hits().select("id"), "id", "left_semi").select("id", "title")
 
 
 def front_door_sql(word: str) -> str:
@@ -53,19 +63,31 @@ def front_door_sql(word: str) -> str:
 
 @query("fts06_front_door", front_door_sql("Tion"), "products")
 def fts06(s, d):
-    return search.find(src.products(s, d), "Tion", FIELDS, ["title", "publisher"], "text")
+    return keyword_index.find(src.products(s, d), index(s, d, "Tion"), substrings.holding(s, texts(s, d), "Tion"), ["title", "publisher"])
 
 
 @query("fts06_substring", front_door_sql("hing"), "products")
 def fts06_substring(s, d):
-    return search.find(src.products(s, d), "hing", FIELDS, ["title", "publisher"], "text")
+    return keyword_index.find(src.products(s, d), index(s, d, "hing"), substrings.holding(s, texts(s, d), "hing"), ["title", "publisher"])
 
 
 @query("fts01_stored_index", f", {hits_sql(['the', 'ein', 'q'])} SELECT id, score FROM hits", "products")
 def fts01(s, d):
     at = new_folder(s, "index")
-    search.write_index(src.products(s, d), FIELDS, at)
-    return search.search_index(s, at, "the ein q").select("id", F.round("score", 6).alias("score"))
+    keyword_index.write(src.products(s, d), FIELDS, at)
+    return keyword_index.Search(s, at, "the ein q").hits().select("id", F.round("score", 6).alias("score"))
+
+
+@query("fts03_ranked", f", {hits_sql(['th', 'ei', 'qu'])}, {VISIBLE} SELECT id, score, title FROM hits JOIN shown USING (id) WHERE system = 'en' ORDER BY score DESC, id LIMIT 25", "products")
+def fts03_ranked(s, d):
+    """The best visible hits of one system; blocks that cannot hold one are left out."""
+    best, _ = index(s, d, "th ei qu").top(25, search.visible(shown(s, d), system="en").select("id", "title"))
+    return best
+
+
+@query("fts03_long_words", f", {hits_sql(['verantwortungsvolle', 'x' * 20, 'de'])} SELECT id, score FROM hits", "products")
+def fts03_long_words(s, d):
+    return index(s, d, f"verantwortungsvolle {'x' * 20} de").hits().select("id", F.round("score", 6).alias("score"))
 
 
 LATER = "later AS (SELECT id, title, publisher, text || CASE WHEN id % 10 = 2 THEN ' zebra' ELSE '' END AS text FROM products WHERE id % 10 <> 1)"
@@ -75,10 +97,10 @@ LATER = "later AS (SELECT id, title, publisher, text || CASE WHEN id % 10 = 2 TH
 def fts02(s, d):
     """An index of the catalog without some documents; then these are added, changed ones replaced and others taken out."""
     p, old, new = src.products(s, d).select("id", *FIELDS), new_folder(s, "index"), new_folder(s, "index")
-    search.write_index(p.filter("id % 10 <> 0"), FIELDS, old)
+    keyword_index.write(p.filter("id % 10 <> 0"), FIELDS, old)
     text = F.concat("text", F.when(F.col("id") % 10 == 2, " zebra").otherwise(""))
-    search.update_index(s, old, new, p.filter("id % 10 in (0, 2)").withColumn("text", text), FIELDS, p.filter("id % 10 = 1"))
-    return search.search_index(s, new, "zebra the").select("id", F.round("score", 6).alias("score"))
+    keyword_index.update(s, old, new, p.filter("id % 10 in (0, 2)").withColumn("text", text), FIELDS, p.filter("id % 10 = 1"))
+    return keyword_index.Search(s, new, "zebra the").hits().select("id", F.round("score", 6).alias("score"))
 
 
 VECTORS = "v AS (SELECT vec_id AS id, label AS product_id, embedding::DOUBLE[] AS e FROM embeddings)"
