@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import changes, search
+from vellum.operators import changes, scanner, search
 from vellum.operators import documents as docs
 from vellum.sources import snapshots
 
@@ -24,7 +24,7 @@ def test_stat_blocks_by_hand(spark):
     beast = "Cave Bear\nLarge beast, unaligned\nArmor Class 12\nHit Points 42 (5d10 + 15)\nSpeed 40 ft.\nSTR DEX CON INT WIS CHA\n20 (+5) 10 (+0) 16 (+3) 2 (-4) 13 (+1) 7 (-2)\nChallenge 2 (450 XP)"
     second = "Rat King Creature 4\nPerception +9\nAC 20 HP 60\nSpeed 25 feet\nStrike"
     text = f"intro\n{beast}\n{second}\nmore\n\n\nafter"
-    found = docs.stat_blocks(spark.createDataFrame([(1, text), (2, "no block"), (3, None)], "id int, text string")).orderBy("start").collect()
+    found = scanner.stat_blocks(spark.createDataFrame([(1, text), (2, "no block"), (3, None)], "id int, text string")).orderBy("start").collect()
     assert [(r["id"], r["name"], r["system"]) for r in found] == [(1, "Cave Bear", "5e"), (1, "Rat King", "pf2e")]
     a, b = found[0]["fields"], found[1]["fields"]
     assert (a["ac"], a["hp"], a["hit_dice"], a["cr"], a["abilities"]) == (12, 42, "5d10 + 15", "2", [20, 10, 16, 2, 13, 7])
@@ -33,7 +33,7 @@ def test_stat_blocks_by_hand(spark):
 
 def test_titles_close_to_a_start_do_not_open_a_block(spark):
     lines = ["Ape Creature 1", "x", "x", "x", "Bee Creature 2", "x", "x", "x", "Cat Creature 3", "x"]
-    found = docs.stat_blocks(spark.createDataFrame([(1, "\n".join(lines))], "id int, text string")).orderBy("start").collect()
+    found = scanner.stat_blocks(spark.createDataFrame([(1, "\n".join(lines))], "id int, text string")).orderBy("start").collect()
     assert [(r["start"], r["name"]) for r in found] == [(0, "Ape"), (8, "Cat")]
 
 

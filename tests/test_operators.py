@@ -22,8 +22,6 @@ def test_equal_titles_are_matched_one_by_one(spark):
     patterns = spark.createDataFrame([("ab", 0.6, 1), ("abc", 0.95, 2), ("x", 0.2, 3)], "pattern string, confidence double, pattern_id int")
     df = spark.createDataFrame([("ABCD",), ("ABCD",), ("ab",), ("x",), (None,)], "title string")
     assert sorted((r["title"], r["pattern_id"]) for r in ops.fuzzy_titles(df, "title", patterns).collect()) == [("ABCD", 2), ("ABCD", 2), ("ab", 2)]
-    with pytest.raises(ValueError, match="patterns"):
-        ops.fuzzy_titles(df, "title", patterns, most=2)
 
 
 def test_rules_that_make_no_sense_never_match(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import glob_regex
+from vellum.operators.containment import containing
 
 UNKNOWN = "Unknown"
 
@@ -108,17 +109,23 @@ def child_counts(parents: DataFrame, children: DataFrame, key: str, name: str =
     return parents.join(children.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
 
 
-def fuzzy_titles(df: DataFrame, title: str, patterns: DataFrame, least: float = 0.5, most: int = 10_000) -> DataFrame:
-    """Best of the (pattern, confidence, pattern_id) rows that contain or are contained in a title, for each row of ``df``. ``patterns`` is a table
-    bound by its author; more than ``most`` are refused, as every title meets every pattern."""
-    if patterns.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} title patterns")
-    p = patterns.filter(F.col("confidence") > least).select(F.lower("pattern").alias("p"), F.struct("confidence", (-F.col("pattern_id")).alias("order"), "pattern_id").alias("b"))
-    known = F.broadcast(p.agg(F.collect_list(F.struct("p", "b")).alias("__patterns")))  # one row
-    t = F.lower(title)
-    hits = F.filter("__patterns", lambda x: F.contains(t, x["p"]) | F.contains(x["p"], t))
-    best = df.crossJoin(known).withColumn("b", F.array_max(F.transform(hits, lambda x: x["b"]))).filter("b is not null").drop("__patterns")
-    return best.select(*df.columns, "b.pattern_id", "b.confidence", F.when(F.col("b.confidence") > 0.9, "exact").otherwise("fuzzy").alias("match_kind"))
+def fuzzy_titles(df: DataFrame, title: str, patterns: DataFrame, least: float = 0.5) -> DataFrame:
+    """Best of the (pattern, confidence, pattern_id) rows that contain or are contained in a title, whatever the case, for each row of ``df`` that has one.
+
+    Different titles and patterns meet over rare grams in both directions. An empty pattern is in every title, and an empty title in every pattern.
+    """
+    own = [c for c in df.columns if c not in ("pattern_id", "confidence", "match_kind")]
+    best = F.max(F.struct("confidence", (-F.col("pattern_id")).alias("order"), "pattern_id")).alias("b")
+    p = patterns.filter(F.col("confidence") > least).groupBy(F.lower("pattern").alias("p")).agg(best).filter("p is not null")
+    titles = df.select(F.lower(title).alias("t")).distinct().filter("t <> ''")
+    named, known = titles.select(F.col("t").alias("text")), p.filter("p <> ''").select(F.col("p").alias("needle"))
+    inside = containing(known, named).select(F.col("text").alias("t"), F.col("needle").alias("p"))
+    around = containing(titles.select(F.col("t").alias("needle")), known.select(F.col("needle").alias("text"))).select(F.col("needle").alias("t"), F.col("text").alias("p"))
+    found = inside.union(around).join(p, "p").groupBy("t").agg(F.max("b").alias("b"))
+    both = p.agg(F.max("b").alias("any"), F.max(F.when(F.col("p") == "", F.col("b"))).alias("empty"))  # one row
+    rows = df.withColumn("t", F.lower(title)).filter("t is not null").join(found, "t", "left").crossJoin(F.broadcast(both))
+    rows = rows.withColumn("b", F.when(F.col("t") == "", F.col("any")).otherwise(F.greatest("b", "empty"))).filter("b is not null")
+    return rows.select(*own, "b.pattern_id", "b.confidence", F.when(F.col("b.confidence") > 0.9, "exact").otherwise("fuzzy").alias("match_kind"))
 
 
 def facet_counts(df: DataFrame, column: str, keep_null: bool = False, top: int | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Structure and metadata from document text: repeated lines, reflow, contents, stat blocks, metadata, exports.
+"""Structure and metadata from document text: repeated lines, reflow, contents, metadata, exports.
 
 Texts come as (id, text), pages as (doc, page, text). A null text has no lines. Windows run within one document.
 """
@@ -11,35 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as names
+from vellum.operators import dictionary
 from vellum.operators.changes import sparse_json
 
-#: Creature sizes and kinds that a stat block names after its title.
-SIZES = ["Tiny", "Small", "Medium", "Large", "Huge", "Gargantuan"]
-KINDS = ["aberration", "beast", "celestial", "construct", "dragon", "elemental", "fey", "fiend", "giant", "humanoid", "monstrosity", "ooze", "plant", "undead"]
-
 #: Codes of sizes in virtual tabletops.
 SIZE_CODES = {"tiny": "tiny", "small": "sm", "medium": "med", "large": "lg", "huge": "huge", "gargantuan": "grg"}
-ABILITIES = ["str", "dex", "con", "int", "wis", "cha"]
-
-#: Labels of the fields of a stat block.
-STAT_LABELS = {
-    "ac": ["Armor Class", "AC"], "hp": ["Hit Points", "HP"], "speed": ["Speed"], "challenge": ["Challenge"], "level": ["Creature"],
-    "perception": ["Perception"], "hd": ["HD"], "thac0": ["THAC0"], "morale": ["Morale", "ML"],
-}
-#: Families of stat blocks with words that all occur in them, and others of which one does.
-FAMILIES = [
-    ("5e", ["challenge", "xp", *ABILITIES], []), ("pf2e", ["creature", "perception", "strike"], []),
-    ("osr", ["hd"], ["thac0", "morale"]), ("5e", ["armor", "class", "hit", "points"], []),
-]
 
-#: Marks between a title and its page number, and lines above a table of contents.
+#: Marks between a title and its page number, and words of lines above a table of contents.
 LEADERS = ".·…-_"
-CONTENTS_HEADERS = ["content", "contents", "table of content", "table of contents", "index", "chapter", "chapters"]
+CONTENTS_WORDS = ["contents", "content", "chapters", "chapter", "index"]
 
-#: Words before an author's name, and of credits that may follow it.
-AUTHOR_CUES = ["written by", "author", "writing", "by", "designer", "designed by", "created by"]
+#: Words that credit someone with a text, and beginnings of words of other credits, which end a name.
+AUTHOR_WORDS = ["by", "author", "authors", "writer", "writers", "writing", "written", "designer", "designers"]
 OTHER_CREDITS = ["layout", "design", "art", "editing"]
 
+#: How sure what a text says is.
+SURE = {"system": 0.8, "publisher": 0.8, "author": 0.7, "year": 0.8}
+
 #: Product types under other names, and the types themselves.
 TYPE_NAMES = {
     "core rulebook": "core_rules", "setting": "sourcebook", "character options": "supplement", "gm tools": "tools", "map": "other",
@@ -96,12 +84,14 @@ def contents_line(line: Column) -> Column:
 
 
 def contents(pages: DataFrame, gap: int = 1) -> DataFrame:
-    """(doc, page, pos, title, target) of contents lines: a header line opens the section, and more than ``gap`` pages in a row without
-    entries end it. Pages without text do not count as such."""
+    """(doc, page, pos, title, target) of contents lines: a header, a few words of which one is of ``CONTENTS_WORDS``, with an entry in the next line, opens
+    the section, and more than ``gap`` pages in a row without entries end it. Pages without text do not count as such."""
     lines = page_lines(pages.filter("trim(text) <> ''")).filter("line <> ''")
-    header = F.lower(F.regexp_replace("line", r"\s+", " ")).isin(CONTENTS_HEADERS)
-    rows = lines.select("doc", "page", "pos", header.alias("header"), contents_line(F.col("line")).alias("found"))
     by_line = Window.partitionBy("doc").orderBy("page", "pos")
+    rows = lines.select("doc", "page", "pos", "line", contents_line(F.col("line")).alias("found"))
+    words = F.split(F.lower("line"), r"[^\p{L}\p{N}]+")
+    header = (F.size(words) <= 4) & F.arrays_overlap(words, F.array(*map(F.lit, CONTENTS_WORDS))) & F.col("found").isNull() & F.lead("found").over(by_line).isNotNull()
+    rows = rows.withColumn("header", F.coalesce(header, F.lit(False))).drop("line")
     rows = rows.withColumn("open", F.max("header").over(by_line))
     rows = rows.withColumn("entry", F.col("open") & F.col("found").isNotNull())
     per_page = rows.groupBy("doc", "page").agg(F.max("open").alias("open"), F.max(F.col("entry") | F.col("header")).alias("hit")).filter("open")
@@ -112,86 +102,14 @@ def contents(pages: DataFrame, gap: int = 1) -> DataFrame:
     return rows.filter("entry").join(inside, ["doc", "page"], "left_semi").select("doc", "page", "pos", "found.title", "found.target")
 
 
-def stat_blocks(docs: DataFrame, longest: int = 100) -> DataFrame:
-    """(id, start, name, system, fields): a title line with a size and kind in the next three lines, or with ``Creature N``, opens a block. It ends
-    at the next start or two blank lines after its first six lines, or at ``longest`` lines. ``fields`` is a struct; what is not found is null."""
-    w = Window.partitionBy("id").orderBy("pos")
-    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    after = [F.coalesce(size_and_kind(F.lead("line", k).over(w)).isNotNull(), F.lit(False)) for k in (1, 2, 3)]
-    words = F.split("line", r"\s+")
-    leveled = (F.size(words) > 2) & F.element_at(words, -1).rlike("^[0-9]+$") & (F.lower(F.try_element_at(words, F.lit(-2))) == "creature")
-    named = F.when(leveled, F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), " ")).when(reduce(lambda a, b: a | b, after), F.col("line"))
-    # Names are words of letters, the first one capitalised.
-    title = F.when(F.translate(named, " '-", "").rlike(r"^\p{Lu}\p{L}*$"), named)
-    rows = lines.select("id", "pos", "line", title.alias("title"), F.lead("line").over(w).alias("following"))
-    # A title within the first six lines of a block belongs to it, so starts depend on the start before: a fold over the titles of a text.
-    at = rows.filter("title is not null").groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    fold = F.aggregate(
-        "at", F.struct(F.lit(-longest).alias("last"), F.array().cast("array<int>").alias("all")),
-        lambda acc, p: F.when(p - acc["last"] > 5, F.struct(p.alias("last"), F.concat(acc["all"], F.array(p)).alias("all"))).otherwise(acc),
-    )
-    opens = at.select("id", F.explode(fold["all"]).alias("pos"), F.lit(True).alias("opens"))
-    rows = rows.join(opens, ["id", "pos"], "left").withColumn("start", F.max(F.when(F.col("opens"), F.col("pos"))).over(w)).filter("start is not null")
-    inner = Window.partitionBy("id", "start").orderBy("pos")
-    stop = (F.col("pos") - F.col("start") > 5) & (F.col("line") == "") & (F.coalesce("following", F.lit("x")) == "")
-    rows = rows.filter(F.col("pos") - F.col("start") < longest).withColumn("stopped", F.max(stop).over(inner)).filter("not stopped")
-    blocks = rows.groupBy("id", "start").agg(F.min_by("title", "pos").alias("name"), F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("body"))
-    return blocks.select("id", "start", "name", system_of(F.col("body")).alias("system"), stat_fields(F.col("body")).alias("fields"))
-
-
-def words_of(body: Column) -> Column:
-    return F.split(F.lower(body), "[^a-z0-9]+")
-
-
-def system_of(body: Column) -> Column:
-    """Family of a stat block: the first of ``FAMILIES`` of which all words, and of a set of alternatives one, occur."""
-    found = words_of(body)
-    rules = [(F.size(F.array_except(F.array(*map(F.lit, every)), found)) == 0) & (F.arrays_overlap(found, F.array(*map(F.lit, some))) if some else F.lit(True)) for _, every, some in FAMILIES]
-    return F.coalesce(*(F.when(rule, F.lit(name)) for rule, (name, _, _) in zip(rules, FAMILIES, strict=True)), F.lit("unknown"))
-
-
-def size_and_kind(line: Column) -> Column:
-    """Struct (size, kind) of a line that begins with a size and a kind of creature; null otherwise."""
-    words = F.transform(F.split(F.trim(line), r"\s+"), lambda x: F.rtrim(x, F.lit(",.;:()")))
-    size, kind = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    return F.when(F.lower(size).isin([x.lower() for x in SIZES]) & F.lower(kind).isin(KINDS), F.struct(size.alias("size"), kind.alias("kind")))
-
-
-def labelled(body: Column, label: Column) -> Column:
-    """What follows ``label``, where it stands as a word of its own, to the end of its line, without the separator; null if it does not."""
-    at = F.regexp_instr(body, F.concat(F.lit(r"(?i)\b"), label, F.lit(r"\b")))
-    return F.when(at > 0, F.ltrim(F.substring_index(F.substr(body, at + F.length(label)), "\n", 1), F.lit(" \t:+*")))
-
-
-def stat_fields(body: Column) -> Column:
-    """Fields of a stat block of any family, each the value after its label; numbers are the leading digits, notes stand in brackets."""
-    value = {name: F.coalesce(*(labelled(body, F.lit(x)) for x in labels)) for name, labels in STAT_LABELS.items()}
-    digits = lambda c: F.try_to_number(F.nullif(F.regexp_extract(c, "^[0-9]+", 0), F.lit("")), F.lit("999999999")).cast("int")
-    first_word = lambda c: F.nullif(F.substring_index(c, " ", 1), F.lit(""))
-    in_brackets = lambda c: F.when(F.contains(c, F.lit("(")) & F.contains(c, F.lit(")")), F.substring_index(F.substring_index(c, ")", 1), "(", -1))
-    xp = in_brackets(value["challenge"])
-    lines = F.split(body, "\n")
-    sized = F.get(F.filter(F.transform(lines, size_and_kind), lambda x: x.isNotNull()), F.lit(0))
-    # Scores stand in the line below the six names, each with its modifier in brackets.
-    names_at = F.array_position(F.transform(lines, lambda x: F.array_join(F.slice(words_of(F.trim(x)), 1, 6), " ")), " ".join(ABILITIES))
-    scores = F.regexp_extract_all(F.regexp_replace(F.get(lines, names_at.cast("int")), r"\([^)]*\)", " "), F.lit("[0-9]+"), F.lit(0))
-    abilities = F.when((names_at > 0) & (F.size(scores) == len(ABILITIES)), scores.cast("array<int>"))
-    return F.struct(
-        sized["size"].alias("size"), sized["kind"].alias("kind"), digits(value["ac"]).alias("ac"), digits(value["hp"]).alias("hp"), in_brackets(value["hp"]).alias("hit_dice"),
-        F.nullif(F.substring_index(value["speed"], ",", 1), F.lit("")).alias("speed"), first_word(value["challenge"]).alias("cr"),
-        F.when(F.contains(xp, F.lit("XP")), F.substring_index(xp, "XP", 1)).alias("xp"), abilities.alias("abilities"), digits(value["level"]).alias("level"),
-        digits(value["perception"]).alias("perception"), first_word(value["hd"]).alias("hd"), digits(value["thac0"]).alias("thac0"), digits(value["morale"]).alias("morale"),
-    )
-
-
 def first_entry(text: Column, dictionary: dict[str, list[str]]) -> Column:
-    """First name, in order, of which an alias occurs in the text."""
+    """First name, in order, of which an alias occurs anywhere in the text, inside words too."""
     low = F.lower(text)
     return F.coalesce(*(F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(a.lower())) for a in aliases)), F.lit(name)) for name, aliases in dictionary.items()))
 
 
 def best_by_words(text: Column, dictionary: dict[str, list[str]], least: int, step: float) -> Column:
-    """Struct (value, confidence) of the name with most of its words in the text, the first of equals; null below ``least`` words."""
+    """Struct (value, confidence) of the name with most of its words anywhere in the text, the first of equals; null below ``least`` words."""
     low = F.lower(text)
     scores = [(n, reduce(lambda a, b: a + b, (F.contains(low, F.lit(w.lower())).cast("int") for w in words))) for n, words in dictionary.items()]
     best = F.array_max(F.array(*(F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("value")) for i, (n, s) in enumerate(scores))))
@@ -199,21 +117,30 @@ def best_by_words(text: Column, dictionary: dict[str, list[str]], least: int, st
 
 
 def author_of(text: Column) -> Column:
-    """Author after the first of ``AUTHOR_CUES`` that a name follows: capitalised words, at least two, up to the end of the line or to another
-    credit; 4 to 199 characters count."""
-    lines = F.transform(F.array(*map(F.lit, AUTHOR_CUES)), lambda cue: labelled(text, cue))
-    own = F.transform(lines, lambda line: F.get(F.split(line, f"(?i){'|'.join(OTHER_CREDITS)}", 2), F.lit(0)))
-    runs = F.transform(own, lambda line: F.regexp_extract(line, r"^(\p{Lu}\p{Ll}+|and|&|,|\s)+", 0))
-    found = F.transform(runs, lambda run: F.trim(F.regexp_replace(F.trim(run), r"(\s*(and|&|,))+$", "")))
-    return F.get(F.filter(found, lambda name: name.rlike(r"^\p{Lu}\p{Ll}+\s+\p{Lu}") & F.length(name).between(4, 199)), F.lit(0))
-
-
-def text_metadata(text: Column, systems: dict, publishers: dict, genres: dict, types: dict) -> Column:
-    """Struct of what a text tells about its document; fields that it does not tell are null."""
-    return F.struct(
-        first_entry(text, systems).alias("system"), first_entry(text, publishers).alias("publisher"), best_by_words(text, genres, 2, 0.1).alias("genre"),
-        best_by_words(text, types, 1, 0.15).alias("type"), author_of(text).alias("author"), names.year_of_text(text).alias("year"),
-    )
+    """The first name in a text that a word of ``AUTHOR_WORDS`` credits: two capitalised words or more, joined by blanks, commas, ``&`` or "and", of
+    4 to 199 characters together. Every place of every such word is tried; words of other credits end a name."""
+    word = rf"(?!(?i:{'|'.join(OTHER_CREDITS)}))\p{{Lu}}[\p{{L}}.'’-]*"
+    name = rf"{word}(?:(?:[ \t]*(?:,|&|\band\b)[ \t]*|[ \t]+){word})+"
+    found = F.regexp_extract_all(text, F.lit(rf"(?i:\b(?:{'|'.join(AUTHOR_WORDS)})\b)[ \t:–-]*({name})"), F.lit(1))
+    return F.get(F.filter(found, lambda x: F.length(x).between(4, 199)), F.lit(0))
+
+
+def text_metadata(docs: DataFrame, systems: dict, publishers: dict, genres: dict, types: dict, inside: bool = False) -> DataFrame:
+    """(id, system, publisher, genre, type, author, year, confidence, sources) of what texts (id, text) tell about their documents; fields that a text does not tell are
+    null and not in the maps. Names stand on word bounds, found in one pass over all texts; with ``inside`` they may stand within words too."""
+    rules = {"genre": (2, 0.1), "type": (1, 0.15)}
+    if inside:
+        t = F.col("text")
+        named = docs.select("id", first_entry(t, systems).alias("system"), first_entry(t, publishers).alias("publisher"), *(best_by_words(t, d, *rules[n]).alias(n) for n, d in (("genre", genres), ("type", types))))
+    else:
+        hits = dictionary.found(docs, dictionary.dictionary(docs.sparkSession, {"system": systems, "publisher": publishers, "genre": genres, "type": types}))
+        named = dictionary.first_names(hits, ["system", "publisher"]).join(dictionary.best_names(hits, rules), "id", "full_outer")
+    rows = docs.select("id", author_of(F.col("text")).alias("author"), names.year_of_text(F.col("text")).alias("year")).join(named, "id", "left")
+    fields = ["system", "publisher", "genre", "type", "author", "year"]
+    sure = {f: F.col(f)["confidence"] if f in rules else F.lit(SURE[f]) for f in fields}
+    told = lambda value: F.map_from_entries(F.array_compact(F.array(*(F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("k"), value(f).alias("v"))) for f in fields))))
+    values = [F.col(f)["value"].alias(f) if f in rules else F.col(f) for f in fields]
+    return rows.select("id", *values, told(lambda f: sure[f]).alias("confidence"), told(lambda f: F.lit("text")).alias("sources"))
 
 
 def name_metadata(file_name: Column, systems: dict, publishers: dict) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import first_integer
-from vellum.operators.documents import ABILITIES, SIZE_CODES, note
+from vellum.operators.documents import SIZE_CODES, note
+from vellum.operators.scanner import ABILITIES
 from vellum.operators.registry import code_by_word, code_of
 
 #: Codes of schools of magic, of activations and of units of time in virtual tabletops.

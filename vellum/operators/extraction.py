@@ -1,11 +1,11 @@
-"""Content from text: overlapping chunks, chunk vectors, rollable tables."""
+"""Content from text: overlapping chunks and chunk vectors."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARKS = (". ", "! ", "? ", "\n\n", "\n")
@@ -13,18 +13,21 @@ REACH = 100
 
 
 def cuts(text: str, size: int, overlap: int) -> Iterator[str]:
-    """Pieces of a text; each ends at a mark near its end if there is one. A text of up to ``size`` is one piece as it is."""
+    """Pieces of a text; each ends at a mark near its end if there is one. A text of up to ``size`` is one piece as it is. The overlap must leave at least ``REACH``
+    characters of a piece to itself, and a last piece that lies within the one before is left out."""
+    if overlap >= size - REACH:
+        raise ValueError(f"an overlap of {overlap} is too much for pieces of {size}")
     if len(text) <= size:
         if text.strip():
             yield text
         return
     start, end = 0, 0
     while end < len(text):
-        end = min(start + size, len(text))
+        before, end = end, min(start + size, len(text))
         if end < len(text):
             ends = ((text.rfind(m, max(start, end - REACH), end), len(m)) for m in MARKS)
             end = next((at + n for at, n in ends if at >= 0), end)
-        if piece := text[start:end].strip():
+        if end > before and (piece := text[start:end].strip()):
             yield piece
         start = max(end - overlap, start + 1)
 
@@ -68,41 +71,3 @@ def encode(rows: DataFrame, column: str = "chunk", encoder: Callable[[list[str]]
         return pd.Series(encoder(texts.fillna("").tolist()))
 
     return rows.withColumn("embedding", run(column))
-
-
-def die_of(line: Column) -> Column:
-    """Faces of the die that a line ends in; ``d%`` has a hundred."""
-    die = F.regexp_extract(line, r"\(?d(4|6|8|10|12|20|100|%)\)?\s*$", 1)
-    return F.when(die == "%", 100).when(die != "", F.try_to_number(die, F.lit("999"))).cast("int")
-
-
-def table_entries(docs: DataFrame, longest: int = 50) -> DataFrame:
-    """(id, table_no, title, die, low, high, result) of the entries of rollable tables in texts (id, text): a line that ends in a die opens a table of up
-    to ``longest`` lines; a line that begins with a number or a range on the die opens an entry, lines after it go on with it until a blank one.
-    Tables have two entries or more, up to twice the die's faces."""
-    w = Window.partitionBy("id").orderBy("pos")
-    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).withColumn("die", die_of(F.col("line")))
-    rows = lines.withColumn("table_no", F.count("die").over(w)).filter("table_no > 0")
-    inner = Window.partitionBy("id", "table_no").orderBy("pos")
-    rows = rows.withColumn("faces", F.first("die").over(inner)).withColumn("title", F.first("line").over(inner)).withColumn("start", F.first("pos").over(inner))
-    number = lambda g: F.try_to_number(F.nullif(F.regexp_extract("line", r"^([0-9]+)(?:\s*[-–]\s*([0-9]+))?[.:)]?\s+\S", g), F.lit("")), F.lit("9999")).cast("int")
-    rows = rows.filter(F.col("pos").between(F.col("start") + 1, F.col("start") + longest)).withColumn("low", number(1)).withColumn("high", F.coalesce(number(2), number(1)))
-    fits = (F.col("low") >= 1) & (F.col("low") <= F.col("high")) & (F.col("high") <= F.col("faces"))
-    rows = rows.withColumn("opens", F.coalesce(fits, F.lit(False))).withColumn("entry", F.count_if("opens").over(inner)).withColumn("block", F.count_if(F.col("opens") | (F.col("line") == "")).over(inner))
-    first = F.min("block").over(Window.partitionBy("id", "table_no", "entry"))
-    rows = rows.withColumn("own", F.col("block") == first).filter("entry > 0 and own and line <> ''")
-    said = F.regexp_replace("line", r"^[0-9]+(\s*[-–]\s*[0-9]+)?[.:)]?\s+", "")
-    parts = F.array_join(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("opens"), said).otherwise(F.col("line")).alias("line"))))["line"], " ")
-    found = rows.groupBy("id", "table_no", "entry").agg(F.first("title").alias("title"), F.first("faces").alias("die"), F.max("low").alias("low"), F.max("high").alias("high"), parts.alias("result"))
-    whole = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id", "table_no"))).filter("n >= 2 and n <= 2 * die")
-    return whole.select("id", "table_no", "title", "die", "low", "high", "result")
-
-
-def rollable_tables(docs: DataFrame) -> DataFrame:
-    """(id, table_no, title, die, entries) of the tables of ``table_entries``, without the range check and the continuation lines: numbered lines are counted."""
-    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    die = F.regexp_extract("line", r"\(?d(4|6|8|10|12|20|100|%)\)?\s*$", 1)
-    w = Window.partitionBy("id").orderBy("pos")
-    rows = lines.withColumn("die", F.when(die == "%", "100").when(die != "", die)).withColumn("table_no", F.count("die").over(w)).filter("table_no > 0")
-    found = rows.groupBy("id", "table_no").agg(F.max("die").cast("int").alias("die"), F.min_by("line", "pos").alias("title"), F.count_if(F.col("line").rlike(r"^\s*\d+(\s*[-–]\s*\d+)?[.:)]?\s+\S") & F.col("die").isNull()).alias("entries"))
-    return found.filter("entries >= 2 and entries <= 2 * die")

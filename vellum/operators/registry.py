@@ -42,7 +42,7 @@ def pull(products: DataFrame, registry: DataFrame, patterns: DataFrame, fields:
     asked = products if everything else products.filter("not coalesce(identified, false)")
     by_hash = asked.select("id", "file_hash").join(entries_by_hash(registry, fields), "file_hash").select("id", *fields, F.lit(1.0).alias("__sure"))
     left = asked.join(by_hash.select("id"), "id", "left_anti").select("id", F.col("title").alias("__title"))
-    by_title = fuzzy_titles(left, "__title", patterns).join(F.broadcast(patterns.select("pattern_id", *fields)), "pattern_id").select("id", *fields, F.col("confidence").alias("__sure"))
+    by_title = fuzzy_titles(left, "__title", patterns).join(patterns.select("pattern_id", *fields), "pattern_id").select("id", *fields, F.col("confidence").alias("__sure"))
     found = by_hash.unionByName(by_title)
     filled = fill_fields(products, found, "id", fields)
     sure = filled.join(found.select("id", "__sure"), "id", "left")

@@ -192,6 +192,16 @@ def fuzzy(s, d):
     return ops.fuzzy_titles(src.items(s, d).select("id", "title"), "title", patterns).select("id", "pattern_id", "confidence", "match_kind")
 
 
+@query("jn16_many_patterns", """, p AS (SELECT substr(p_name, CAST(p_partkey % 4 + 1 AS BIGINT), CAST(p_partkey % 9 + 1 AS BIGINT)) AS t, round(0.3 + p_size / 60, 4) AS c, p_partkey AS i FROM part)
+    SELECT i.id, p.i AS pattern_id, p.c AS confidence, CASE WHEN p.c > 0.9 THEN 'exact' ELSE 'fuzzy' END AS match_kind
+    FROM items i JOIN p ON p.c > 0.5 AND (contains(lower(title), lower(p.t)) OR contains(lower(p.t), lower(title))) QUALIFY row_number() OVER (PARTITION BY i.id ORDER BY p.c DESC, p.i) = 1""", "items")
+def many_patterns(s, d):
+    """As many patterns as titles: pieces of names, of one character to nine."""
+    k = F.col("p_partkey")
+    patterns = src.read(s, d, "part").select(F.substr("p_name", k % 4 + 1, k % 9 + 1).alias("pattern"), F.round(0.3 + F.col("p_size") / 60, 4).alias("confidence"), k.alias("pattern_id"))
+    return ops.fuzzy_titles(src.items(s, d).select("id", "title"), "title", patterns).select("id", "pattern_id", "confidence", "match_kind")
+
+
 @query("jn17_name_match", """SELECT a.id, count(*) AS copies FROM items a JOIN items b ON
     trim(regexp_replace(lower(regexp_replace(a.file_name, '\\.[^.]*$', '')), '[-_. ]+', ' ', 'g')) = trim(regexp_replace(lower(b.title), '[-_. ]+', ' ', 'g')) GROUP BY a.id""", "items")
 def name_match(s, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import text
-from vellum.operators import catalog as ops
+from vellum.operators import catalog as ops, scanner
 from vellum.operators import changes, extraction
 from vellum.plans.catalog import query
 from vellum.sources import catalog as src
@@ -139,22 +139,36 @@ def vault(s, d):
     return changes.vault(src.items(s, d), "items", F.col("title"), content, "id")
 
 
-@query("txt13_tables", "SELECT p_partkey AS id, 1 AS table_no, p_name || ' (d' || [4, 6, 8, 10, 12, 20][p_size % 6 + 1] || ')' AS title, [4, 6, 8, 10, 12, 20][p_size % 6 + 1] AS die, 4 AS entries FROM part")
+DICE = "[4, 6, 8, 10, 12, 20][p_size % 6 + 1]"
+
+
+def dice():
+    return F.element_at(F.array(*map(F.lit, (4, 6, 8, 10, 12, 20))), F.col("p_size") % 6 + 1)
+
+
+@query("txt13_tables", f"SELECT p_partkey AS id, 1 AS table_no, p_name AS title, {DICE} AS die, 4 AS entries FROM part")
 def tables(s, d):
-    die = F.element_at(F.array(*map(F.lit, (4, 6, 8, 10, 12, 20))), F.col("p_size") % 6 + 1)
-    body = F.concat(F.col("p_name"), F.lit(" (d"), die, F.lit(")\n1. one\n2. two\n3. three\n4. four\nend"))
-    return extraction.rollable_tables(src.read(s, d, "part").select(F.col("p_partkey").alias("id"), body.alias("text")))
+    body = F.concat(F.col("p_name"), F.lit(" (d"), dice(), F.lit(")\n1. one\n2. two\n3. three\n4. four\nend"))
+    found = scanner.table_entries(src.read(s, d, "part").select(F.col("p_partkey").alias("id"), body.alias("text")))
+    return found.groupBy("id", "table_no", "title", "die").agg(F.count(F.lit(1)).alias("entries"))
 
 
 @query(
     "txt13_entries",
-    """SELECT p_partkey AS id, p_name || ' (d' || [4, 6, 8, 10, 12, 20][p_size % 6 + 1] || ')' AS title, low, high, CASE low WHEN 1 THEN 'one ' || p_brand || ' more of it' ELSE 'two ' || p_size END AS result
-    FROM part, (VALUES (1, 2), (3, 3)) v(low, high)""",
+    f"""SELECT p_partkey AS id, p_name AS title, low, high, CASE low WHEN 1 THEN 'one ' || p_brand || ' more of it' ELSE 'two ' || p_size || ' goes on after a blank line' END AS result
+    FROM part, (VALUES (1, 2), (3, 3)) v(low, high)
+    UNION ALL SELECT p_partkey, 'Roll ' || p_brand, n, n, 'x' || n FROM part, range(1, 4) r(n)
+    UNION ALL SELECT p_partkey, p_name || ' of odds', n * 2 - 1, n * 2, 'y' || p_size FROM part, range(1, 51) r(n) WHERE p_partkey % 2 = 0""",
 )
 def entries(s, d):
-    die = F.element_at(F.array(*map(F.lit, (4, 6, 8, 10, 12, 20))), F.col("p_size") % 6 + 1)
-    body = F.concat(F.lit("intro\n"), F.col("p_name"), F.lit(" (d"), die, F.lit(")\n1-2. one "), "p_brand", F.lit("\nmore of it\n3) two "), "p_size", F.lit("\n\nnot of it\n99. too high"))
-    return extraction.table_entries(src.read(s, d, "part").select(F.col("p_partkey").alias("id"), body.alias("text"))).select("id", "title", "low", "high", "result")
+    """A table with its die behind the title, one that begins with the roll, one of d%; ranges off the die, lines that end one, and tables with too few or too many entries."""
+    many = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda n: F.concat(n * 2 - 1, F.lit("-"), n * 2, F.lit(" y"), F.col("p_size"))), "\n")
+    body = F.concat(
+        F.lit("intro\n"), F.col("p_name"), F.lit(" (d"), dice(), F.lit(")\n1-2. one "), "p_brand", F.lit("\nmore of it\n3) two "), "p_size", F.lit("\n\ngoes on after a blank line\n99. too high\n4-3. backwards\n0: zero\n\n\nnot of it\n"),
+        F.lit("roll d20: Roll "), "p_brand", F.lit("\n1. x1\n2: x2\n3  x3\nLonely d8\n1. only one\nToo many d4\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda n: F.concat(F.lit("1) again "), n)), "\n"),
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\n\n"), F.col("p_name"), F.lit(" of odds d%:\n"), many)).otherwise(""),
+    )
+    return scanner.table_entries(src.read(s, d, "part").select(F.col("p_partkey").alias("id"), body.alias("text"))).select("id", "title", "low", "high", "result")
 
 
 @query("txt01_chunks")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import numeric
 from vellum.operators import catalog as ops
-from vellum.operators import changes, keyword_index, search
+from vellum.operators import changes, keyword_index, scanner, search
 from vellum.operators import documents as docs
 from vellum.plans.catalog import query
 from vellum.sources import catalog as src
@@ -78,13 +78,53 @@ def needs_ocr(s, d):
     return docs.needs_ocr(pages, least=2000)
 
 
-@query("txt06_text_metadata", f"""SELECT id, {first_sql('t', SYSTEMS)} AS system, {first_sql('t', PUBLISHERS)} AS publisher,
-    CASE WHEN greatest({', '.join(score_sql('t', w) for w in GENRES.values())}) >= 2 THEN CASE WHEN {score_sql('t', GENRES['dark'])} >= {score_sql('t', GENRES['light'])} THEN 'dark' ELSE 'light' END END AS genre,
-    CASE WHEN {score_sql('t', KINDS['one'])} + {score_sql('t', KINDS['two'])} > 0 THEN CASE WHEN {score_sql('t', KINDS['one'])} >= {score_sql('t', KINDS['two'])} THEN 'one' ELSE 'two' END END AS type
-    FROM (SELECT doc_id AS id, lower(text) AS t FROM documents)""")
+def inside_sql(t: str) -> str:
+    return f"""{first_sql(t, SYSTEMS)} AS system, {first_sql(t, PUBLISHERS)} AS publisher,
+    CASE WHEN greatest({', '.join(score_sql(t, w) for w in GENRES.values())}) >= 2 THEN CASE WHEN {score_sql(t, GENRES['dark'])} >= {score_sql(t, GENRES['light'])} THEN 'dark' ELSE 'light' END END AS genre,
+    CASE WHEN {score_sql(t, KINDS['one'])} + {score_sql(t, KINDS['two'])} > 0 THEN CASE WHEN {score_sql(t, KINDS['one'])} >= {score_sql(t, KINDS['two'])} THEN 'one' ELSE 'two' END END AS type"""
+
+
+@query("txt06_inside_words", f"SELECT id, {inside_sql('t')} FROM (SELECT doc_id AS id, lower(text) AS t FROM documents)")
+def inside_words(s, d):
+    found = docs.text_metadata(src.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), SYSTEMS, PUBLISHERS, GENRES, KINDS, inside=True)
+    return found.select("id", "system", "publisher", "genre", "type")
+
+
+#: Words that stand in the given texts, in names of several words and with a mark too.
+WORDS = {
+    "system": {"alpha": ["ein", "der"], "beta": ["the", "and then"]}, "publisher": {"north": ["que", "of the"], "south": ["les", "und die"]},
+    "genre": {"dark": ["the", "of", "was"], "light": ["der", "ein", "und", "."]}, "type": {"one": ["el", "la"], "two": ["in", "et la"]},
+}
+
+
+def hits_sql(names: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """Name and number of its aliases on word bounds; a mark needs none."""
+    one = lambda a: f"contains(t, '{a}')" if not a[0].isalnum() else f"regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_]){a}($|[^\\p{{L}}\\p{{N}}_])')"
+    return [(n, "(" + " + ".join(f"{one(a)}::INTEGER" for a in aliases) + ")") for n, aliases in names.items()]
+
+
+def pick_sql(field: str, least: int, step: float | None) -> str:
+    scores = hits_sql(WORDS[field])
+    if step is None:
+        return "CASE " + " ".join(f"WHEN {n} > 0 THEN '{name}' END" if i == len(scores) - 1 else f"WHEN {n} > 0 THEN '{name}'" for i, (name, n) in enumerate(scores)) + f" AS {field}"
+    (a, x), (b, y) = scores
+    return f"CASE WHEN greatest({x}, {y}) >= {least} THEN CASE WHEN {x} >= {y} THEN '{a}' ELSE '{b}' END END AS {field}, CASE WHEN greatest({x}, {y}) >= {least} THEN round(least(0.9, 0.5 + {step} * greatest({x}, {y})), 2)::DOUBLE END AS {field}_sure"
+
+
+@query("txt06_text_metadata", f"""SELECT *, array_to_string(list_filter([CASE WHEN system IS NOT NULL THEN 'system' END, CASE WHEN publisher IS NOT NULL THEN 'publisher' END, CASE WHEN genre IS NOT NULL THEN 'genre' END, CASE WHEN type IS NOT NULL THEN 'type' END,
+    'author', CASE WHEN year IS NOT NULL THEN 'year' END], lambda x: x IS NOT NULL), ',') AS told, CASE WHEN system IS NOT NULL THEN 0.8::DOUBLE END AS system_sure, 0.7::DOUBLE AS author_sure FROM (SELECT id, {pick_sql('system', 1, None)}, {pick_sql('publisher', 1, None)}, {pick_sql('genre', 2, 0.1)}, {pick_sql('type', 1, 0.15)},
+    CASE id % 3 WHEN 0 THEN 'Jane Doe' WHEN 1 THEN 'Ann Lee and Bo Ray-Smith' ELSE 'Émile Zola, Max Brod' END AS author, CASE WHEN id % 4 = 0 THEN 1970 + id % 40 END::INTEGER AS year
+    FROM (SELECT doc_id AS id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents WHERE NOT regexp_matches(text, '(?i)(author|writer|writing|written|designer|copyright|©|published|edition)')))""")
 def text_metadata(s, d):
-    found = docs.text_metadata(F.col("text"), SYSTEMS, PUBLISHERS, GENRES, KINDS)
-    return src.read(s, d, "documents").select(F.col("doc_id").alias("id"), found.alias("m")).select("id", "m.system", "m.publisher", F.col("m.genre.value").alias("genre"), F.col("m.type.value").alias("type"))
+    given = src.read(s, d, "documents").filter(~F.col("text").rlike("(?i)(author|writer|writing|written|designer|copyright|©|published|edition)")).select(F.col("doc_id").alias("id"), "text")
+    credit = F.when(F.col("id") % 3 == 0, "stand by the river\nby Jane Doe\n").when(F.col("id") % 3 == 1, "Written by: Ann Lee and Bo Ray-Smith, Layout by Nobody Else\n").otherwise("AUTHORS Émile Zola, Max Brod\n")
+    year = F.when(F.col("id") % 4 == 0, F.concat(F.lit("Copyright "), F.lit(1970) + F.col("id") % 40, F.lit("\n"))).otherwise("")
+    # The lines added are taken from what is looked up, since the dictionary's words could stand in them.
+    found = docs.text_metadata(given, *(WORDS[f] for f in ("system", "publisher", "genre", "type"))).drop("author", "year")
+    added = docs.text_metadata(given.withColumn("text", F.concat(credit, year)), {}, {}, {}, {}).select("id", "author", "year", F.col("confidence").alias("c"), F.col("sources").alias("s"))
+    rows = found.join(added, "id").withColumn("told", F.array_join(F.concat(F.map_keys("sources"), F.map_keys("s")), ","))
+    sure = lambda f: F.try_element_at("confidence", F.lit(f)).alias(f"{f}_sure")
+    return rows.select("id", "system", "publisher", "genre", "type", "author", "year", "told", sure("system"), sure("genre"), sure("type"), F.col("c.author").alias("author_sure"))
 
 
 @query("txt07_name_metadata", """SELECT p_partkey AS id, p_name AS title, CASE WHEN p_partkey % 3 <> 2 THEN CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'north' END END AS publisher
@@ -103,22 +143,43 @@ def merge(s, d):
     return src.items(s, d).select("id", docs.merged(F.col("title"), when(3, F.upper("title"))).alias("title"), docs.merged(F.col("publisher"), when(3, F.col("product_type")), when(4, F.lit("file"))).alias("publisher"))
 
 
-@query("txt11_contents", """SELECT l_orderkey AS doc, l_linenumber AS page, 'Section ' || l_partkey AS title, l_linenumber AS target
+@query("txt11_contents", """SELECT l_orderkey AS doc, l_linenumber AS page, CASE WHEN l_linenumber % 3 = 1 THEN l_partkey || '. ' ELSE '' END || 'Section ' || l_partkey AS title, l_linenumber AS target
     FROM lineitem QUALIFY l_linenumber >= min(l_linenumber) FILTER (l_linenumber % 3 = 0) OVER (PARTITION BY l_orderkey)""")
 def contents(s, d):
-    dots = F.concat(F.lit("Section "), "l_partkey", F.lit(" .... "), "l_linenumber", F.lit("\nplain words"))
-    head = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("Contents\n"), dots)).otherwise(dots)
-    return docs.contents(src.read(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), head.alias("text"))).select("doc", "page", "title", "target")
+    """Entries with dots, with a gap, and with a chapter number; a header without an entry below it opens nothing."""
+    n, key = F.col("l_linenumber"), F.col("l_partkey")
+    entry = F.when(n % 3 == 0, F.concat(F.lit("Section "), key, F.lit(" .... "), n)).when(n % 3 == 1, F.concat(key, F.lit(". Section "), key, F.lit(" "), n)).otherwise(F.concat(F.lit("Section "), key, F.lit("    "), n))
+    text = F.concat(F.when(n % 3 == 0, "TABLE  of Contents\n").otherwise(""), entry, F.lit("\nindex of words\nplain words"))
+    return docs.contents(src.read(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), n.alias("page"), text.alias("text"))).select("doc", "page", "title", "target")
 
 
-@query("txt14_stat_blocks", """SELECT p_partkey AS id, 'Old Beast' AS name, '5e' AS system, 'Large' AS size, p_size AS ac, p_partkey AS hp, '3d8' AS hit_dice, '30 ft.' AS speed, '2' AS cr, '450 ' AS xp FROM part""")
+@query("txt14_stat_blocks", """SELECT p_partkey AS id, 'Old Beast' AS name, '5e' AS system, 'Large' AS size, p_size AS ac, p_partkey AS hp, '3d8' AS hit_dice, '30 ft.' AS speed, '2' AS cr, '450' AS xp FROM part""")
 def stat_blocks(s, d):
     body = F.concat(F.lit("intro line\nOld Beast\nLarge beast, unaligned\nArmor Class "), "p_size", F.lit("\nHit Points "), "p_partkey", F.lit(" (3d8)\nSpeed 30 ft.\nChallenge 2 (450 XP)\n\n\nafter"))
-    found = docs.stat_blocks(src.read(s, d, "part").select(F.col("p_partkey").alias("id"), body.alias("text")))
+    found = scanner.stat_blocks(src.read(s, d, "part").select(F.col("p_partkey").alias("id"), body.alias("text")))
     f = [F.col(f"fields.{c}").alias(c) for c in ("size", "ac", "hp", "hit_dice", "speed", "cr", "xp")]
     return found.select("id", "name", "system", *f)
 
 
+@query(
+    "txt14_systems",
+    """SELECT p_partkey AS id, 1 AS start, 'Cave Bear' AS name, '5e' AS system, p_size AS ac, p_partkey AS hp, '1/2' AS cr, '1,' || p_size AS xp, '20,10,16,2,13,' || p_size AS abilities, NULL AS level, NULL AS perception, NULL AS hd, NULL AS thac0, NULL AS morale FROM part
+    UNION ALL SELECT p_partkey, 9, 'Rat King', 'pf2e', 20, p_size, NULL, NULL, NULL, p_size % 9, 9, NULL, NULL, NULL FROM part WHERE p_partkey % 2 = 0
+    UNION ALL SELECT p_partkey, 9, 'Old Ghoul', 'osr', 6, NULL, NULL, NULL, NULL, NULL, NULL, '2d8+' || p_size, 17, 9 FROM part WHERE p_partkey % 2 = 1
+    UNION ALL SELECT p_partkey, 18, 'Plain Talk', 'unknown', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM part""",
+)
+def systems(s, d):
+    """Three blocks in a text, of three families and of none; words of labels that are no labels."""
+    bear = F.concat(F.lit("intro\nCave Bear\nLarge beast, unaligned\nArmor Class "), "p_size", F.lit("\nHit Points: "), "p_partkey", F.lit("\nSTR DEX CON INT WIS CHA\n20 (+5) 10 (+0) 16 (+3) 2 (-4) 13 (+1) "), "p_size", F.lit(" (-2)\nChallenge 1/2 (1,"), "p_size", F.lit(" XP)\nno more\n"))
+    king = F.concat(F.lit("Rat King Creature "), F.col("p_size") % 9, F.lit("\nPerception +9; darkvision\nAC 20 HP "), "p_size", F.lit("\nStrike\nx\nx\nx\nx\nx\n"))
+    ghoul = F.concat(F.lit("Old Ghoul\nMedium undead\nAC: 6 HD: 2d8+"), "p_size", F.lit("\nTHAC0 17\nMorale 9\nx\nx\nx\nx\n"))
+    talk = F.lit("Plain Talk\nsmall humanoid\nShe hit several points of class armor\na creature with perception may strike\nfast speed\nx\n\n\nAC 9 HP 9")
+    text = F.concat(bear, F.when(F.col("p_partkey") % 2 == 0, king).otherwise(ghoul), talk)
+    found = scanner.stat_blocks(src.read(s, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text")))
+    f = [F.col(f"fields.{c}").alias(c) for c in ("ac", "hp", "cr", "xp", "level", "perception", "hd", "thac0", "morale")]
+    return found.select("id", "start", "name", "system", *f, F.nullif(F.array_join(F.coalesce("fields.abilities", F.array().cast("array<int>")), ","), F.lit("")).alias("abilities"))
+
+
 @query("txt16_cascade", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'first' WHEN page_id % 3 = 1 THEN 'second' ELSE 'none' END AS method, CASE WHEN page_id % 3 < 2 THEN length(html) END AS chars FROM pages""")
 def cascade(s, d):
     tries = {"first": F.when(F.col("page_id") % 3 == 0, F.col("html")), "second": F.when(F.col("page_id") % 3 == 1, F.col("html"))}
