@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, chat, exact, fingerprint, langid, lines, neardup, packing, quality, toxicity
+from vellum.llm import bpe, chat, exact, fingerprint, langid, lines, neardup, packing, quality, regions, toxicity
 from vellum.llm.shared import bounded_sample, held_out, split_words
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, score string"
@@ -139,21 +139,37 @@ def test_large_regions_lose_no_candidate(spark, monkeypatch, dense):
         same = rng.permutation(neardup.COMPONENTS)[:80]
         sig[350 + i, same] = sig[i, same]
     sig[600:] = sig[0]  # and a group that the region's largest component comes from
-    rows = [(i, 100, [7], bytes(r)) for i, r in enumerate(sig)]
+    rows = [(i, 100, bytes(r)) for i, r in enumerate(sig)]
     label = np.arange(700)
     same = np.array([(sig == r).sum(axis=1) >= neardup.AGREE for r in sig])
     for _ in range(5):
         label = np.array([label[s].min() for s in same])
     wanted = {i: label[i] for i in range(700) if same[i].sum() > 1}
     if dense:
-        monkeypatch.setattr(neardup, "DENSE", dense)
-        monkeypatch.setattr(neardup, "ASKED", 3 * dense, raising=False)
-    found = neardup.forest(spark.createDataFrame(rows, "rep bigint, n bigint, keys array<bigint>, sig binary"))
-    if "v" not in found.columns:
-        found = neardup.components(found)
+        monkeypatch.setattr(regions, "ASKED", 3 * dense)
+    reps = spark.createDataFrame(rows, "v bigint, n bigint, sig binary")
+    region = reps.select(F.lit(7).cast("bigint").alias("key"), "v", F.xxhash64("sig").alias("o"))
+    found = regions.components(regions.region_links(region, dense or neardup.DENSE, neardup.within, neardup.cross, lambda df: df.join(reps, "v")))
     assert {r["v"]: r["label"] for r in found.collect()} == wanted
 
 
+def test_regions_of_unlike_texts_are_cut_deeper(spark, monkeypatch):
+    """All signatures share the first components of every tree's region, so depth must tell them apart; pairs agree in 100 of 128 components."""
+    rng = np.random.default_rng(6)
+    sig = rng.integers(0, 256, (900, neardup.COMPONENTS), dtype=np.uint8)
+    for i in range(300):
+        same = rng.permutation(neardup.COMPONENTS)[:100]
+        sig[600 + i, same] = sig[i, same]
+    monkeypatch.setattr(neardup, "DENSE", 64)
+    met = []
+    links = regions.region_links
+    monkeypatch.setattr(neardup, "region_links", lambda rows, *a, **k: met.append(rows) or links(rows, *a, **k))
+    rows = [(i, 100, list(range(neardup.TREES)), bytes(r)) for i, r in enumerate(sig)]
+    found = neardup.forest(spark.createDataFrame(rows, "rep bigint, n bigint, keys array<bigint>, sig binary"))
+    assert {r["v"]: r["label"] for r in found.collect()} == {k: i for i in range(300) for k in (i, 600 + i)}
+    assert len(met) == 2
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi <|im_end|>\n<\\|x"), (1, 1, "user", None), (1, 2, "assistant", "<|im_turn|> \\ <"), (2, 0, None, ""), (None, 0, "a\nb", "x"), (1, 3, "assistant", "|end")]
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")

@@ -2,12 +2,14 @@
 
 1. A document's set holds its distinct five-word shingles (A-Z lower-cased). Documents with the same set form one class, represented by
    its smallest id; only representatives go on.
-2. Every tree of the forest has ``BASE`` components of its own; representatives that share them form a region. Regions of up
-   to ``DENSE`` are compared whole, larger ones in blocks of about ``DENSE`` that share a few leaders. What agrees in enough
-   components is joined, and connected components over all trees give candidate clusters. Then the members of a large
-   region outside the region's largest component are compared with all its blocks, so every pair of a region has met or
-   hangs together anyway. A task reports only which rows hang together, so a large group gives one row per member and
-   tree, not pairs.
+2. The forest is several sorted orders of the signatures: each tree puts the components in a sequence of its own, and sorts representatives by it. Those that share
+   a prefix of ``BASE`` components are a region; the longer the common prefix, the closer two stand in it. The depth is adapted to each region:
+   a. up to ``DENSE`` members have each other as candidates;
+   b. in a larger one, candidates are the neighbours of longest common prefix: blocks of about ``DENSE`` in sorted order, which share a few leaders. If all but one in eight then hang
+      together, the region is a family, and the rest meets all its blocks;
+   c. otherwise it holds many unlike texts with a piece in common, and its members go on to prefixes of ``DEEP`` components, in ``DEEP_TREES`` orders to make up
+      for what longer prefixes miss. Regions that are large even there are handled as in b.
+   Candidates agree in enough components. A task reports only which rows hang together, so a large group gives one row per member and tree, not pairs.
 3. Clusters too large for a task are split first, as documents that share a template are alike without being linked. With
    shingles ordered by how often they occur, rarest first, a linked pair shares one of the first n - ceil(6/7 n) + 1 of its smaller
    document and of the first n - ceil(3/4 n) + 1 of its larger one. Documents that share none part, so a shingle of the template
@@ -16,7 +18,7 @@
    of their shingles, so every link between members counts. Clusters that are still large are dealt out in chunks that share
    a few members; then the members outside the cluster's largest component are compared, in blocks, with all its chunks.
 
-At similarity 0.75 a tree misses a pair with probability 1 - 0.75 ** 3, all 24 with 2e-6.
+At similarity 0.75 a tree misses a pair with probability 1 - 0.75 ** 3, all 24 with 2e-6; the 64 deep ones together with less than 1e-5.
 
 Documents without words (null or empty text) have no set and link with nothing. Rows of one id are one document. Rows
 without an id are their own, with a null component_id, and kept. Other columns are ignored; an empty table gives no rows.
@@ -31,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.regions import components, groups, settle, starts_of
+from vellum.llm.regions import components, groups, region_links, settle, starts_of
 from vellum.llm.shared import add_columns, materialize, mix, ragged, split_words, strings_of, word_hashes
 
 WORDS = 5
 PERCENT = 75
 COMPONENTS, TREES, BASE = 128, 24, 3
-#: Rows of a block of a region, leaders in all blocks of a large region, and rows that one task compares with a block afterwards.
-DENSE, LEADERS, ASKED = 512, 8, 8192
+#: Members of a region that are compared whole, and the prefix and number of trees of what is in larger regions of unlike texts.
+DENSE = 512
+DEEP, DEEP_TREES = 5, 64
 #: Candidates agree in so many of the components: at similarity 0.75 five standard deviations below the mean.
 AGREE = 71
 #: Documents and shingles of a cluster that one task confirms together.
@@ -127,71 +130,66 @@ def bytes_of(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(strings_of(t.column("sig").combine_chunks())), np.uint8).reshape(-1, COMPONENTS)
 
 
+def within(t: pa.Table, at: np.ndarray) -> np.ndarray:
+    """For each row the first row of its group that it hangs together with by candidates."""
+    n, sig, size = t.column("n").to_numpy(), bytes_of(t), np.diff(at)
+    label = np.arange(t.num_rows)
+    two = at[:-1][size == 2]
+    ok = ((sig[two] == sig[two + 1]).sum(axis=1) >= AGREE) & (100 * np.minimum(n[two], n[two + 1]) >= PERCENT * np.maximum(n[two], n[two + 1]))
+    label[two[ok] + 1] = two[ok]
+    for i in np.flatnonzero(size > 2).tolist():
+        x, y = at[i], at[i + 1]
+        label[x:y] = x + settle(y - x, *np.nonzero(np.triu(agreeing(sig[x:y], n[x:y], sig[x:y], n[x:y]), 1)))
+    return label
+
+
+def cross(own: pa.Table, there: pa.Table) -> np.ndarray:
+    return agreeing(bytes_of(own), own.column("n").to_numpy(), bytes_of(there), there.column("n").to_numpy())
+
+
+def order_of(sig: np.ndarray, sequence: np.ndarray) -> np.ndarray:
+    """The place of signatures in a tree's sorted order, by the low bytes of up to six components of its sequence."""
+    o = np.zeros(len(sig), np.int64)
+    for c in sequence[:6].tolist():
+        o = o << 8 | sig[:, c]
+    return o
+
+
+#: Sequences of components of the deep trees; the others take ``BASE`` components each, one after the other, and then go on.
+SEQUENCES = np.array([_rng.permutation(COMPONENTS) for _ in range(DEEP_TREES)])
+
+
 def forest(reps: DataFrame) -> DataFrame:
     """(v, label) of the representatives in candidate clusters: connected components of the candidates of all trees."""
-    rows = reps.select("rep", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).filter("size > 1")
-    blocks = F.ceil(F.col("size") / DENSE).cast("int")
-    leads = (F.col("rep") == F.col("first")) | (F.pmod(F.xxhash64(F.lit(3), "rep", "key"), F.col("size")) < LEADERS)
-    home = F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int")
-    placed = materialize(rows.join(sizes, "key").select("key", "rep", blocks.alias("blocks"), leads.alias("leads")).withColumn("home", home))
-    to = F.when((F.col("blocks") > 1) & F.col("leads"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
-    members = placed.select("key", "rep", F.explode(to).alias("part")).join(reps.select("rep", "n", "sig"), "rep")
-    dealt = members.select("key", "part", "sig", "rep", "n").repartition("key", "part").sortWithinPartitions("key", "part")
-
-    def link(batches):
-        for t in groups(batches, ["key", "part"]):
-            at = starts_of(t, ["key", "part"])
-            rep, n, sig = t.column("rep").to_numpy(), t.column("n").to_numpy(), bytes_of(t)
-            size = np.diff(at)
-            two = at[:-1][size == 2]
-            ok = ((sig[two] == sig[two + 1]).sum(axis=1) >= AGREE) & (100 * np.minimum(n[two], n[two + 1]) >= PERCENT * np.maximum(n[two], n[two + 1]))
-            a, b = [rep[two[ok]]], [rep[two[ok] + 1]]
-            for i in np.flatnonzero(size > 2).tolist():
-                x, y = at[i], at[i + 1]
-                label = settle(y - x, *np.nonzero(np.triu(agreeing(sig[x:y], n[x:y], sig[x:y], n[x:y]), 1)))
-                least = np.full(y - x, rep[x:y].max())
-                np.minimum.at(least, label, rep[x:y])
-                a.append(least[label])
-                b.append(rep[x:y])
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    links = materialize(dealt.mapInArrow(link, "a bigint, b bigint").filter("a <> b").distinct())
-    labels = components(links)
-    large = placed.filter("blocks > 1")
-    if large.isEmpty():
-        return labels
-    # Pairs that blocks have kept apart: whoever is not in its region's largest component, against every block.
-    inside = large.join(labels, F.col("rep") == F.col("v"), "left").select("key", "rep", "home", "blocks", F.coalesce("label", "rep").alias("label"))
-    inside = materialize(inside)
-    main = inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    apart = materialize(inside.join(main, "key").filter("label <> main"))
-    if apart.isEmpty():
-        return labels
-    shares = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("shares"))
-    share = F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("shares")).cast("int")
-    base = inside.join(shares, "key").select("key", "rep", "label", "home", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(False).alias("asked"))
-    asked = apart.join(shares, "key").select("key", "rep", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("home"), share.alias("share"), F.lit(True).alias("asked"))
-    met = base.unionByName(asked).join(reps.select("rep", "n", "sig"), "rep").drop("rep")
-    met = met.repartition("key", "home", "share").sortWithinPartitions("key", "home", "share")
-
-    def meet(batches):
-        for t in groups(batches, ["key", "home", "share"]):
-            at = starts_of(t, ["key", "home", "share"])
-            label, n, sig, asks = t.column("label").to_numpy(), t.column("n").to_numpy(), bytes_of(t), t.column("asked").to_numpy()
-            pairs = [np.zeros((0, 2), np.int64)]
-            for x, y in zip(at.tolist(), at[1:].tolist(), strict=False):
-                own, there = x + np.flatnonzero(asks[x:y]), x + np.flatnonzero(~asks[x:y])
-                for k in range(0, len(own), DENSE):
-                    some = own[k : k + DENSE]
-                    i, j = np.nonzero(agreeing(sig[some], n[some], sig[there], n[there]) & (label[some][:, None] != label[there][None]))
-                    pairs.append(np.unique(np.stack([label[some[i]], label[there[j]]], axis=1), axis=0))
-            a, b = np.concatenate(pairs).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    more = met.select("key", "home", "share", "label", "n", "sig", "asked").mapInArrow(meet, "a bigint, b bigint").distinct()
-    return components(links.unionByName(more))
+    attach = lambda rows: rows.join(reps.select(F.col("rep").alias("v"), "n", "sig"), "v")
+    tree_row = "key bigint, v bigint, o bigint"
+
+    def rows_of(v: pa.Array, keys: list[np.ndarray], orders: list[np.ndarray]) -> pa.RecordBatch:
+        # Rows at one place are told apart by bits of their hash, so that many of them can be cut into blocks.
+        apart = (mix(v.to_numpy().view(np.uint64)) & np.uint64(0x7FFF)).view(np.int64)
+        order = np.concatenate(orders) << 15 | np.tile(apart, len(orders))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(v.to_numpy(), len(keys))), pa.array(order)], names=["key", "v", "o"])
+
+    def base(batches):
+        for b in batches:
+            if b.num_rows:
+                sig = np.frombuffer(b"".join(strings_of(b.column("sig"))), np.uint8).reshape(-1, COMPONENTS)
+                keys = b.column("keys").flatten().to_numpy().reshape(-1, TREES)
+                yield rows_of(b.column("rep"), [keys[:, t] for t in range(TREES)], [order_of(sig, (np.arange(BASE, BASE + 6) + BASE * t) % COMPONENTS) for t in range(TREES)])
+
+    def deep(batches):
+        for b in batches:
+            if b.num_rows:
+                sig = np.frombuffer(b"".join(strings_of(b.column("sig"))), np.uint8).reshape(-1, COMPONENTS)
+                keys = [mix(order_of(sig, s[:DEEP]).view(np.uint64) * np.uint64(DEEP_TREES) + np.uint64(t)).view(np.int64) for t, s in enumerate(SEQUENCES)]
+                yield rows_of(b.column("v"), keys, [order_of(sig, s[DEEP:]) for s in SEQUENCES])
+
+    def deeper(open_: DataFrame) -> DataFrame:
+        rows = attach(open_).select("v", "sig").mapInArrow(deep, tree_row)
+        return region_links(rows, DENSE, within, cross, attach)
+
+    rows = reps.select("rep", "keys", "sig").mapInArrow(base, tree_row)
+    return components(region_links(rows, DENSE, within, cross, attach, deeper))
 
 
 def linked(sets: list[np.ndarray]) -> np.ndarray:

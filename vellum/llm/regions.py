@@ -13,6 +13,8 @@ from vellum.llm.shared import discard, materialize
 
 #: Leaders in all blocks of a large region, and rows that one task compares with a block afterwards.
 LEADERS, ASKED = 8, 8192
+#: Ranges into which a large region's sorted order is cut at most, and the share of a region outside its largest component up to which it is settled by comparing them with all.
+RANGES, APART = 64, 8
 LINK = "a bigint, b bigint"
 
 
@@ -63,34 +65,55 @@ def linked_batch(v: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(v[other])], names=["a", "b"])
 
 
+def by_order(large: DataFrame) -> DataFrame:
+    """Add ``home``, the block of a row in its region: ranges of the sorted order ``o``, cut at the region's quantiles; ranges with more rows than a block should have are dealt by hash."""
+    cuts = large.groupBy("key").agg(F.percentile_approx("o", [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("cuts"))
+    place = F.size(F.filter("cuts", lambda c: c <= F.col("o")))
+    shares = F.ceil(F.col("blocks") / RANGES).cast("int")
+    home = F.floor(place * F.least(F.col("blocks"), F.lit(RANGES)) / RANGES).cast("int") * shares + F.pmod(F.xxhash64("v", "key"), shares).cast("int")
+    return large.join(cuts, "key").withColumn("home", home).withColumn("blocks", F.least(F.col("blocks"), F.lit(RANGES)) * shares).drop("cuts")
+
+
 def region_links(
-    rows: DataFrame, dense: int, within: Callable[[pa.Table, np.ndarray], np.ndarray], cross: Callable[[pa.Table, pa.Table], np.ndarray], attach: Callable[[DataFrame], DataFrame] = lambda df: df
+    rows: DataFrame, dense: int, within: Callable[[pa.Table, np.ndarray], np.ndarray], cross: Callable[[pa.Table, pa.Table], np.ndarray], attach: Callable[[DataFrame], DataFrame] = lambda df: df, deeper: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """Links (a, b) that connect whatever is alike among rows (key, v) of one key.
+    """Links (a, b) that connect whatever is alike among rows (key, v, o) of one key, a region; ``o`` sorts a region such that what is alike stands together.
 
     Regions of up to ``dense`` are compared whole: ``within`` labels the rows of a table by groups (given their starts). Larger ones are
-    compared in blocks that share a few leaders; then whoever is not in its region's largest component meets all its blocks
-    (``cross`` gives a matrix for two tables). Every pair of a region has met or hangs together anyway. ``attach`` adds what the comparisons need to rows with ``v``.
+    compared in blocks of neighbours in sorted order, which share a few leaders. Then, where no more than one in ``APART`` is outside its region's largest component, these
+    meet all its blocks (``cross`` gives a matrix for two tables), so every pair of the region has met or hangs together anyway. Other regions hold much that is unlike: their rows (v) are
+    given to ``deeper``, which links them by finer regions, or, where there is none, handled alike. ``attach`` adds what the comparisons need to rows with ``v``.
     """
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("first")).filter("size > 1")
     blocks = F.ceil(F.col("size") / dense).cast("int")
     leads = (F.col("v") == F.col("first")) | (F.pmod(F.xxhash64(F.lit(3), "v", "key"), F.col("size")) < LEADERS)
-    home = F.pmod(F.xxhash64("v", "key"), F.col("blocks")).cast("int")
-    placed = materialize(rows.join(sizes, "key").select("key", "v", blocks.alias("blocks"), leads.alias("leads")).withColumn("home", home))
-    to = F.when((F.col("blocks") > 1) & F.col("leads"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
-    dealt = attach(placed.select("key", "v", F.explode(to).alias("part"))).repartition("key", "part").sortWithinPartitions("key", "part")
+    placed = materialize(rows.join(sizes, "key").select("key", "v", "o", "size", blocks.alias("blocks"), leads.alias("leads")))
+    large = placed.filter("blocks > 1")
+    small = placed.filter("blocks = 1").select("key", "v", "o", F.lit(0).alias("part"))
+    any_large = not large.isEmpty()
+    if any_large:
+        large = materialize(by_order(large))
+        to = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))
+        small = small.unionByName(large.select("key", "v", "o", F.explode(to).alias("part")))
+    dealt = attach(small).repartition("key", "part").sortWithinPartitions("key", "part", "o")
 
     def link(batches):
         for t in groups(batches, ["key", "part"]):
             yield linked_batch(t.column("v").to_numpy(), within(t, starts_of(t, ["key", "part"])))
 
     links = materialize(dealt.mapInArrow(link, LINK).distinct())
-    large = placed.filter("blocks > 1")
-    if large.isEmpty():
+    if not any_large:
         return links
-    inside = materialize(large.join(components(links).select("v", "label"), "v", "left").select("key", "v", "home", "blocks", F.coalesce("label", "v").alias("label")))
-    main = inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    apart = materialize(inside.join(main, "key").filter("label <> main"))
+    inside = materialize(large.join(components(links).select("v", "label"), "v", "left").select("key", "v", "home", "blocks", "size", F.coalesce("label", "v").alias("label")))
+    main = inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"))
+    apart = inside.join(main, "key").filter("label <> main")
+    if deeper:
+        unlike = APART * (F.col("size") - F.col("most")) > F.col("size")
+        open_ = materialize(inside.join(main.drop("main"), "key").filter(unlike).select("v").distinct())
+        if not open_.isEmpty():
+            links = links.unionByName(deeper(open_))
+        apart = apart.filter(~unlike)
+    apart = materialize(apart.drop("most"))
     if apart.isEmpty():
         return links
     shares = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("shares"))

@@ -9,7 +9,8 @@
    another within 2, or both differ in 1 and the third in at most 2. Keys are therefore an equal segment with a codeword index of another one (all six ways) and
    indices of the first two segments together: about 60 keys, of 24 to 34 bits, and no pair is missed.
 4. Fingerprints that share a key meet and are verified by counting differing bits; a task reports only who hangs together. A key with more than ``DENSE`` fingerprints is
-   cut further, by which of five pieces of the fingerprint are equal (four differing bits leave one of five untouched); what is still large is compared in blocks that share leaders.
+   cut further, by which of five pieces of the fingerprint are equal (four differing bits leave one of five untouched); what is still large is
+   sorted and compared in blocks of neighbours that share leaders.
 5. Connected components over all links name each document's class.
 
 Documents without words (null or empty text) have the fingerprint zero and link like any other. A text of fewer than four words is one shingle. Repeated rows are copies. Rows without
@@ -38,6 +39,8 @@ LENGTH, CHECKS, RADIUS = 23, 11, 4
 DENSE, SMALL = 8192, 48
 #: First bit and width of the pieces of which ``DISTANCE`` differing bits leave one equal.
 PIECES = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Fingerprints of which a task makes keys.
+EACH = 1 << 16
 #: Shingles hashed at once.
 STEP = 1 << 20
 
@@ -191,7 +194,9 @@ def links_of(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     def large(rows: DataFrame) -> DataFrame:
         return materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > dense).select("key"))
 
-    rows = distinct.select("v").mapInArrow(keyed, "key bigint, v bigint")
+    # A fingerprint gives some 60 keys, so a task gets few of them.
+    parts = max(1, -(-distinct.count() // EACH))
+    rows = distinct.select("v").repartition(parts).mapInArrow(keyed, "key bigint, v bigint")
     hot = large(rows)
     if hot.isEmpty():
         return materialize(met(rows).distinct())
@@ -201,7 +206,7 @@ def links_of(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     still = large(cut)
     links = met(rows.join(hot, "key", "left_anti")).union(met(cut.join(still, "key", "left_anti")))
     if not still.isEmpty():
-        links = links.union(region_links(cut.join(still, "key"), dense, within, cross))
+        links = links.union(region_links(cut.join(still, "key").withColumn("o", F.col("v")), dense, within, cross))
     return materialize(links.distinct())
 
 
