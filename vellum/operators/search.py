@@ -107,14 +107,6 @@ def top(scored: DataFrame, k: int, *by: str, threshold: float = 0.0) -> DataFram
     return scored.filter(F.col("score") >= threshold).withColumn("__place", place).filter(F.col("__place") <= k).drop("__place")
 
 
-def nearest_products(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = 0.5, candidates: int = 2) -> DataFrame:
-    """(query_id, product_id, score) of the ``k`` nearest products of each query vector: the best ``candidates * k`` chunks (id, product_id, embedding),
-    of which the best of each product counts; the score is rounded last."""
-    chunks = top(scores(vectors, queries).filter("id <> query_id"), candidates * k, "query_id", threshold=threshold)
-    best = top(best_chunks(chunks, "query_id"), k, "query_id")
-    return best.select("query_id", "product_id", F.round("score", 4).alias("score"))
-
-
 def without_product(vectors: DataFrame, product_id: int) -> DataFrame:
     return vectors.filter(F.col("product_id") != product_id)
 

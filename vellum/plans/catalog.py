@@ -453,10 +453,11 @@ def lines(s, d):
 @query("vec02_search", """WITH s AS (SELECT q.vec_id AS query_id, e.label AS product_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
     FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) SELECT query_id, product_id, round(max(score), 4) AS score FROM s WHERE score >= 0.1 GROUP BY ALL""")
 def vector_search(s, d):
-    v = src.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("product_id"), "embedding")
-    asked = v.filter("id % 100 = 0").withColumnRenamed("id", "query_id").drop("product_id")
-    scored = search.scores(v, asked).filter("id <> query_id and score >= 0.1")
-    return search.best_chunks(scored, "query_id").select("query_id", "product_id", F.round("score", 4).alias("score"))
+    from vellum.operators import vectors as vec
+    from vellum.plans.search import asked, vectors
+
+    v = vectors(s, d)
+    return vec.best_of_each(v, asked(v), 0.1).select("query_id", F.col("own").alias("product_id"), F.round("score", 4).alias("score"))
 
 
 @query("stm04_trailing_rate", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS recent FROM events")

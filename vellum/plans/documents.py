@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import numeric
 from vellum.operators import catalog as ops
-from vellum.operators import changes, keyword_index, scanner, search
+from vellum.operators import changes, keyword_index, scanner, search, vectors
 from vellum.operators import documents as docs
 from vellum.plans.catalog import query
 from vellum.sources import catalog as src
@@ -324,6 +324,7 @@ def index_health(s, d):
     SELECT query_id, product_id, round(max(score), 4) AS score FROM v JOIN items i ON i.id = product_id WHERE score >= 0.4 AND (level_max >= 2 OR level_max IS NULL) GROUP BY ALL""", "items")
 def filtered(s, d):
     v = src.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("product_id"), "embedding")
-    best = search.best_chunks(search.scores(v, v.filter("id % 100 = 0").withColumnRenamed("id", "query_id").drop("product_id")).filter("score >= 0.4"), "query_id")
+    asked = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.lit(-1).alias("not_own"), "embedding")
+    best = vectors.best_of_each(v.withColumnRenamed("product_id", "own"), asked, 0.4).withColumnRenamed("own", "product_id")
     wanted = ops.overlaps(src.items(s, d), "level_min", "level_max", low=2).select(F.col("id").alias("product_id"))
     return best.join(wanted, "product_id", "left_semi").select("query_id", "product_id", F.round("score", 4).alias("score"))

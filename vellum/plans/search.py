@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.operators import keyword_index, search, substrings
+from vellum.operators import vectors as vec
 from vellum.plans.catalog import query
 from vellum.sources import catalog as src
 from vellum.sources.shared import new_folder, stored_once
@@ -114,13 +115,46 @@ def nearest_sql(k: int, threshold: float, candidates: int) -> str:
 
 
 def vectors(s, d):
-    return src.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("product_id"), "embedding")
+    return src.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("own"), "embedding")
+
+
+def asked(v):
+    """Every row whose id is divisible by 100, as a query that does not meet itself."""
+    return v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("not_own"), "embedding")
+
+
+def by_id(v):
+    return v.select("id", F.col("id").alias("own"), "embedding")
+
+
+def products_of(near, v):
+    """Products of the nearest chunks by their ids."""
+    return near.join(v.select("id", F.col("own").alias("product_id")), "id")
 
 
 @query("vec02_top", f"WITH {VECTORS}, {nearest_sql(3, 0.2, 2)} SELECT * FROM nearest")
 def vec02(s, d):
     v = vectors(s, d)
-    return search.nearest_products(v, v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 3, 0.2)
+    return vec.best_products(products_of(vec.nearest(by_id(v), asked(v), 6, 0.2), v), 3)
+
+
+@query("vec02_inverted_lists")
+def vec02_inverted_lists(s, d):
+    """The nearest three rows of each query from inverted lists, most but not always all of the true ones."""
+    v, at = vectors(s, d), new_folder(s, "lists")
+    vec.write_lists(v, at)
+    return vec.search_lists(s, at, asked(v).withColumn("not_own", F.lit(-1)), 3).select("query_id", "id", F.round("score", 4).alias("score"))
+
+
+@query("vec03_products", """WITH e AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL),
+    c AS (SELECT label, list(m ORDER BY pos) AS v FROM e GROUP BY label),
+    s AS (SELECT c.label AS product_id, b.label AS similar_id, b.vec_id AS id, list_cosine_similarity(c.v, b.embedding::DOUBLE[]) AS score FROM c JOIN embeddings b ON c.label <> b.label),
+    best AS (SELECT * FROM s WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY score DESC, id) <= 15),
+    chunk AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY product_id, similar_id ORDER BY score DESC, id) = 1)
+    SELECT product_id, similar_id, round(score, 4) AS score FROM chunk QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY score DESC, id) <= 5""")
+def vec03_products(s, d):
+    """Each product's mean vector against the chunks of all others."""
+    return vec.similar_products(vectors(s, d), 5, 0.1)
 
 
 @query("vec04_top", f", {VECTORS}, {nearest_sql(9, 0.2, 3)} SELECT query_id, product_id, score FROM nearest JOIN items i ON i.id = product_id WHERE (level_max >= 2 OR level_max IS NULL) AND (publisher IS NULL OR contains(lower(publisher), 'd#1'))", "items")
@@ -129,17 +163,17 @@ def vec04(s, d):
     from vellum.operators.catalog import overlaps
 
     v = vectors(s, d)
-    near = search.nearest_products(v, v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding"), 9, 0.2, 3)
+    near = vec.best_products(products_of(vec.nearest(by_id(v), asked(v), 27, 0.2), v), 9)
     wanted = overlaps(src.items(s, d), "level_min", "level_max", low=2).filter(F.coalesce(F.contains(F.lower("publisher"), F.lit("d#1")), F.lit(True)))
     return near.join(wanted.select(F.col("id").cast("int").alias("product_id")), "product_id", "left_semi").select("query_id", "product_id", "score")
 
 
 @query("srt04_similar", f"WITH {VECTORS}, pairs AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(v.e, q.e) AS score FROM v JOIN v q ON q.id % 100 = 0) SELECT query_id, id FROM pairs WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5")
 def srt04(s, d):
-    v = vectors(s, d).drop("product_id")
-    return search.top(search.scores(v, v.filter("id % 100 = 0").withColumnRenamed("id", "query_id")), 5, "query_id", threshold=0.3).select("query_id", "id")
+    v = by_id(vectors(s, d))
+    return vec.nearest(v, asked(v).withColumn("not_own", F.lit(-1)), 5, 0.3).select("query_id", "id")
 
 
 @query("vec05_without", "SELECT label AS product_id, count(*) AS n FROM embeddings WHERE label <> 0 GROUP BY 1")
 def vec05(s, d):
-    return search.without_product(vectors(s, d), 0).groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    return search.without_product(vectors(s, d).withColumnRenamed("own", "product_id"), 0).groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
