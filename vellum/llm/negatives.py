@@ -103,8 +103,8 @@ class Block:
         v = np.zeros((t.num_rows, width), np.int64)
         rows = np.repeat(np.arange(t.num_rows), size)
         v[rows, np.arange(len(rows)) - (at - at[0])[rows]] = lists.flatten().to_numpy()
-        ids, labels = t.column("vec_id").to_numpy(), t.column("label").to_numpy()
-        extra = [t.column(c).to_numpy() for c in more]
+        whole = lambda c: t.column(c).to_numpy().astype(np.int64)  # noqa: E731  (a table without rows has no type)
+        ids, labels, extra = whole("vec_id"), whole("label"), [whole(c) for c in more]
         order = np.lexsort((labels, ids))
         if len(order) > 1 and (np.diff(ids[order]) == 0).any():
             order = np.lexsort((*v.T[::-1], *extra, labels, ids))
