@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vellum.llm import merkle, negatives, simhash
+from vellum.llm import merkle, negatives, regions, simhash
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fingerprint string, v string, idx string, tree string, n string, digest string"
 
@@ -106,6 +106,23 @@ def test_simhash_dense_families_keep_every_link(spark):
     assert len(set(zip(own, wanted, strict=True))) == len(set(own)) == len(set(wanted))
 
 
+@pytest.mark.parametrize("held", [40, 1 << 20])
+def test_components_in_parts(spark, monkeypatch, held):
+    monkeypatch.setattr(regions, "LINKS", held)
+    rng = random.Random(9)
+    links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(300, 900), rng.randrange(300, 900)) for _ in range(250)] + [(7, 7), (2, 1), (2, 1)]
+    label = {v: v for link in links for v in link}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    found = regions.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(4)).collect()
+    assert {r["v"]: r["label"] for r in found} == label and len(found) == len(label)
+
+
 def test_empty_tables(spark):
     empty = documents(spark, []).filter("doc_id > 0")
     assert simhash.find(empty).count() == 0 and merkle.manifest(empty).count() == 0

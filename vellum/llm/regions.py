@@ -15,6 +15,8 @@ from vellum.llm.shared import discard, materialize
 LEADERS, ASKED = 8, 8192
 #: Ranges into which a large region's sorted order is cut at most, and the share of a region outside its largest component up to which it is settled by comparing them with all.
 RANGES, APART = 64, 8
+#: Links that a task contracts.
+LINKS = 1 << 20
 LINK = "a bigint, b bigint"
 
 
@@ -139,9 +141,28 @@ def region_links(
     return links.unionByName(materialize(met.mapInArrow(meet, LINK).distinct()))
 
 
+def contracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each vertex of a partition's links to the smallest one that it is connected with by them."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        t = pa.Table.from_batches(held)
+        v, place = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)
+        label = settle(len(v), place[: t.num_rows], place[t.num_rows :])
+        yield pa.RecordBatch.from_arrays([pa.array(v[label]), pa.array(v)], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(v, label): the smallest vertex that each vertex of the links is connected with. Rounds of smallest neighbour and shortcut."""
-    both = materialize(links.select("a", "b").union(links.select("b", "a")))
+    """(v, label): the smallest vertex that each vertex of the links is connected with.
+
+    Tasks of up to ``LINKS`` links contract what they hold; where there are several, rounds of smallest neighbour and shortcut connect the rest.
+    """
+    given = materialize(links.select("a", "b"))
+    parts = max(1, -(-given.count() // LINKS))
+    stars = materialize(given.repartition(parts).mapInArrow(contracted, LINK))
+    discard(given)
+    if parts == 1:
+        return stars.select(F.col("b").alias("v"), F.col("a").alias("label"))
+    both = materialize(stars.union(stars.select("b", "a")))
     labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
     table = labels
     while True:
