@@ -23,7 +23,12 @@ ACTOR = {
     "name": "name", "system.attributes.ac.flat": "armor_class", "system.attributes.hp.value": "hit_points", "system.attributes.hp.max": "hit_points",
     "system.attributes.hp.formula": "hit_dice", "system.details.alignment": "alignment", "system.details.cr": "challenge_rating",
     "system.details.xp.value": "experience_points", "system.details.type.value": "creature_type", "system.details.type.subtype": "subtype",
+    "system.traits.di.value": "damage_immunities", "system.traits.dr.value": "damage_resistances", "system.traits.dv.value": "damage_vulnerabilities", "system.traits.ci.value": "condition_immunities",
+    "system.traits.languages.value": "languages",
 }
+#: Ways to move, senses, and the lists of a creature's parts, each with how it is activated in a tabletop.
+MOVES, SENSES = ["walk", "fly", "swim", "climb", "burrow"], ["darkvision", "blindsight", "tremorsense", "truesight"]
+PARTS = {"traits": None, "actions": "action", "bonus_actions": "bonus", "reactions": "reaction", "legendary_actions": "legendary"}
 #: Where a spell's fields go.
 SPELL = {"name": "name", "system.description.value": "description", "system.level": "level", "system.duration.concentration": "concentration"}
 #: Where an item's fields go.
@@ -31,7 +36,10 @@ ITEM = {"name": "name", "system.description.value": "description", "system.rarit
 
 #: Front matter and sections of the notes, by kind: (key in the note, field).
 NOTES = {
-    "monster": ([("size", "size"), ("creature_type", "creature_type"), ("alignment", "alignment"), ("cr", "challenge_rating"), ("ac", "armor_class"), ("hp", "hit_points")], [("Description", "description")]),
+    "monster": ([("size", "size"), ("creature_type", "creature_type"), ("alignment", "alignment"), ("cr", "challenge_rating"), ("ac", "armor_class"), ("hp", "hit_points")], [
+        ("Description", "description"), ("Abilities", "abilities"), ("Speed", "speed"), ("Saving throws", "saving_throws"), ("Skills", "skills"), ("Senses", "senses"), ("Languages", "languages"),
+        ("Traits", "traits"), ("Actions", "actions"), ("Bonus actions", "bonus_actions"), ("Reactions", "reactions"), ("Legendary actions", "legendary_actions"),
+    ]),
     "spell": ([("level", "level"), ("school", "school")], [("Casting time", "casting_time"), ("Range", "range"), ("Duration", "duration"), ("Description", "description"), ("At higher levels", "higher_levels")]),
     "item": ([("rarity", "rarity"), ("item_type", "item_type")], [("Attunement", "attunement_requirements"), ("Description", "description")]),
     "npc": ([("role", "role"), ("race", "race"), ("location", "location")], [("Description", "description"), ("Personality", "personality"), ("Motivation", "motivation"), ("Secret", "secret")]),
@@ -59,10 +67,52 @@ def placed_fields(df: DataFrame, table: dict[str, str]) -> dict[str, Column]:
 
 
 def actors(creatures: DataFrame) -> DataFrame:
-    """(id, json): creatures (id, name, size and fields of ``ACTOR``, abilities as an array of six scores) as actors; nulls are left out."""
+    """(id, json): creatures (id, name, size and fields of ``ACTOR``, abilities as an array of six scores, speed and senses as maps, and arrays of parts, each with name and description) as
+    actors; nulls are left out. Parts become the actor's items, in the order of ``PARTS``."""
+    has = set(creatures.columns)
     fixed = {"type": F.lit("npc"), "system.traits.size": code_of(F.coalesce("size", F.lit("")), SIZE_CODES, "med")}
-    scores = {f"system.abilities.{a}.value": F.get("abilities", F.lit(k)) for k, a in enumerate(ABILITIES)} if "abilities" in creatures.columns else {}
-    return creatures.select("id", F.to_json(nested(placed_fields(creatures, ACTOR) | fixed | scores)).alias("json"))
+    scores = {f"system.abilities.{a}.value": F.get("abilities", F.lit(k)) for k, a in enumerate(ABILITIES)} if "abilities" in has else {}
+    moves = {f"system.attributes.movement.{m}": F.try_element_at("speed", F.lit(m)) for m in MOVES} | {"system.attributes.movement.units": F.lit("ft")} if "speed" in has else {}
+    senses = {f"system.attributes.senses.{n}": first_integer(F.try_element_at("senses", F.lit(n))) for n in SENSES} | {"system.attributes.senses.units": F.lit("ft")} if "senses" in has else {}
+    lists = [F.coalesce(F.transform(name, part_item(activation)), F.lit([]).cast(PART)) for name, activation in PARTS.items() if name in has]
+    parts = {"items": F.concat(*lists)} if lists else {}
+    return creatures.select("id", F.to_json(nested(placed_fields(creatures, ACTOR) | fixed | scores | moves | senses | parts)).alias("json"))
+
+
+PART = "array<struct<name:string, type:string, system:struct<description:struct<value:string>, activation:struct<type:string, cost:int>>>>"
+
+
+def part_item(activation: str | None):
+    """A part of a creature as an item: a feat with its description and, but for traits, how it is activated."""
+
+    def made(part: Column) -> Column:
+        how = F.lit(None).cast("struct<type:string, cost:int>") if activation is None else F.struct(F.lit(activation).alias("type"), F.lit(1).alias("cost"))
+        return F.struct(
+            F.coalesce(part["name"], F.lit("Unnamed")).alias("name"), F.lit("feat").alias("type"),
+            F.struct(F.struct(F.coalesce(part["description"], F.lit("")).alias("value")).alias("description"), how.alias("activation")).alias("system"),
+        )
+
+    return made
+
+
+def part_lines(parts: Column) -> Column:
+    """An array of parts as Markdown paragraphs, each with its name in front; null where there is none."""
+    line = lambda p: F.concat(F.lit("***"), F.coalesce(p["name"], F.lit("Unnamed")), F.lit(".*** "), F.coalesce(p["description"], F.lit("")))
+    return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, line), "\n\n"))
+
+
+def pair_lines(pairs: Column) -> Column:
+    """A map as ``name value`` by name, between commas; null where there is none."""
+    entries = F.array_sort(F.map_entries(F.map_filter(pairs, lambda _, v: v.isNotNull())))
+    return F.when(F.size(entries) > 0, F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(" "), e["value"].cast("string"))), ", "))
+
+
+def score_table(scores: Column) -> Column:
+    """Six scores as a Markdown table, each with its modifier."""
+    modifier = lambda x: F.floor((x - 10) / 2)
+    cell = lambda x: F.coalesce(F.concat(x.cast("string"), F.lit(" ("), F.when(x >= 10, "+").otherwise(""), modifier(x).cast("string"), F.lit(")")), F.lit("-"))
+    head = f"| {' | '.join(a.upper() for a in ABILITIES)} |\n|{' --- |' * len(ABILITIES)}\n| "
+    return F.when(F.size(scores) > 0, F.concat(F.lit(head), F.array_join(F.transform(scores, cell), " | "), F.lit(" |")))
 
 
 def spells(rows: DataFrame) -> DataFrame:
@@ -95,10 +145,17 @@ def bullets(values: Column) -> Column:
 
 
 def notes(rows: DataFrame, kind: str) -> DataFrame:
-    """(id, name, content): a Markdown note per entity, with what its kind's table names and the rows have; arrays become lists."""
+    """(id, name, content): a Markdown note per entity, with what its kind's table names and the rows have; arrays become lists, maps pairs,
+    a creature's parts paragraphs and its scores a table."""
     front, sections = NOTES[kind]
     kinds = dict(rows.dtypes)
-    shown = lambda f: table_lines(F.col(f)) if f == "entries" else bullets(F.col(f)) if kinds[f].startswith("array") else F.nullif(F.col(f).cast("string"), F.lit(""))
+
+    def shown(f: str) -> Column:
+        special = {"entries": table_lines, "abilities": score_table} | dict.fromkeys(PARTS, part_lines)
+        if f in special:
+            return special[f](F.col(f))
+        return pair_lines(F.col(f)) if kinds[f].startswith("map") else bullets(F.col(f)) if kinds[f].startswith("array") else F.nullif(F.col(f).cast("string"), F.lit(""))
+
     head = {"type": F.lit(kind)} | {k: shown(f) for k, f in front if f in kinds}
     return rows.select("id", "name", note(F.col("name"), head, {k: shown(f) for k, f in sections if f in kinds}).alias("content"))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.functions.text import normalize_name, outermost_json, stem
 from vellum.operators.catalog import fill_fields, fuzzy_titles
@@ -95,6 +96,75 @@ def run_model(rows: DataFrame, ask: Callable[[list[str]], list[str]], schema: st
     return answered.withColumn("r", parsed).select("id", "r.*", F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("r").isNull(), "no JSON in the answer").alias("error"))
 
 
+def run_model_once(rows: DataFrame, ask: Callable[[list[str]], list[str]], schema: str, store: str, model: str, prompt: Column, slices: int = 8, batch: int = 64, tries: int = 2) -> DataFrame:
+    """``id``, the fields of the JSON that a model answers, and ``error``, with every different prompt asked once, whatever runs how often.
+
+    Answers lie in ``store`` (key, slice, answer, error, asked), by a digest of model and prompt. Prompts that are not there are asked slice by slice, each one job that adds
+    its answers whole or not at all, so that what breaks off loses a slice at most and the next run goes on from there. A batch that raises is asked once more prompt by
+    prompt; what fails ``tries`` times is stored as an error.
+    """
+    spark = rows.sparkSession
+    keyed = rows.select("id", prompt.alias("prompt")).withColumn("key", F.sha2(F.concat_ws("\x00", F.lit(model), F.coalesce("prompt", F.lit(""))), 256))
+    stored_as = "key string, answer string, error string, asked int, slice int"
+
+    def ask_some(prompts: list[str]) -> list[tuple[str | None, str | None, int]]:
+        try:
+            return [(a, None, 1) for a in ask(prompts)]
+        except Exception as e:  # noqa: BLE001 (a model may fail in any way)
+            if len(prompts) > 1:
+                return [r for p in prompts for r in ask_some([p])]
+            error = str(e)
+        for n in range(2, tries + 1):
+            try:
+                return [(ask(prompts)[0], None, n)]
+            except Exception as e:  # noqa: BLE001
+                error = str(e)
+        return [(None, error, tries)]
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k in range(0, len(frame), batch):
+                part = frame.iloc[k : k + batch]
+                answers = ask_some(part["prompt"].fillna("").tolist())
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "answer": [a for a, _, _ in answers], "error": [e for _, e, _ in answers], "asked": [n for _, _, n in answers]})
+
+    spark.createDataFrame([], stored_as).write.mode("append").partitionBy("slice").parquet(store)
+    for n in range(slices):
+        known = spark.read.schema(stored_as).parquet(store).filter(F.col("slice") == n)
+        wanted = keyed.filter(F.pmod(F.crc32("key"), F.lit(slices)) == n).groupBy("key").agg(F.first("prompt").alias("prompt")).join(known, "key", "left_anti")
+        found = wanted.mapInPandas(work, "key string, answer string, error string, asked int")
+        found.withColumn("slice", F.lit(n)).write.mode("append").partitionBy("slice").parquet(store)
+    answers = spark.read.schema(stored_as).parquet(store).groupBy("key").agg(F.first("answer").alias("answer"), F.first("error").alias("failed"))
+    answered = keyed.join(answers, "key").withColumn("r", F.from_json(outermost_json(F.col("answer")), schema))
+    return answered.select("id", "r.*", F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("r").isNull(), "no JSON in the answer").alias("error"))
+
+
+#: What the structured extractors ask for: the list in the answer and its fields. Lists of pairs have a name and a text.
+_PARTS = "array<struct<name:string, description:string>>"
+_SCORES = "struct<strength:int, dexterity:int, constitution:int, intelligence:int, wisdom:int, charisma:int>"
+EXTRACTED = {
+    "monsters": f"name string, size string, creature_type string, alignment string, armor_class int, armor_type string, hit_points int, hit_dice string, speed map<string,string>, abilities {_SCORES}, saving_throws map<string,int>, skills map<string,int>, damage_vulnerabilities array<string>, "
+    f"damage_resistances array<string>, damage_immunities array<string>, condition_immunities array<string>, senses string, languages string, challenge_rating string, experience_points int, traits {_PARTS}, actions {_PARTS}, bonus_actions {_PARTS}, reactions {_PARTS}, legendary_actions {_PARTS}",
+    "spells": "name string, level int, school string, ritual boolean, casting_time string, `range` string, duration string, concentration boolean, components struct<verbal:boolean, somatic:boolean, material:boolean, material_description:string, material_cost:string, material_consumed:boolean>, "
+    "description string, higher_levels string, classes array<string>, subclasses array<string>, damage struct<dice:string, damage_type:string, average:int>, save string",
+    "magic_items": "name string, rarity string, item_type string, requires_attunement boolean, attunement_requirements string, description string, properties array<string>, charges int, recharge string",
+    "npcs": "name string, role string, race string, occupation string, location string, description string, personality string, motivation string, secret string",
+}
+
+
+def asks_for(kind: str, text: Column) -> Column:
+    """The prompt of a structured extractor: the fields wanted, and the beginning of a text that a model takes."""
+    wanted = ", ".join(f.name for f in T.DataType.fromDDL(EXTRACTED[kind]).fields)
+    return F.concat(F.lit(f'List all {kind.replace("_", " ")} of this text as JSON {{"{kind}": [...]}}, an empty list if there are none. Fields of each: {wanted}.\n\n'), F.substring(F.coalesce(text, F.lit("")), 1, PROMPT_CHARS["structured"]))
+
+
+def extracted(rows: DataFrame, ask: Callable[[list[str]], list[str]], store: str, model: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """What a model finds of a kind in texts (id, text): (id, place, the fields of ``EXTRACTED``), and (id, error) of texts without a usable answer. Entries without a name are left out."""
+    answers = run_model_once(rows, ask, f"{kind} array<struct<{', '.join(f.simpleString() for f in T.DataType.fromDDL(EXTRACTED[kind]).fields)}>>", store, model, asks_for(kind, F.col("text")))
+    found = answers.select("id", F.posexplode(kind).alias("place", "entry")).select("id", "place", "entry.*").filter("name is not null")
+    return found, answers.filter("error is not null").select("id", "error")
+
+
 def suggested(answer: Column, groups: tuple[str, ...] = ("themes", "content_types", "settings", "tone")) -> Column:
     """The tags of all groups of a struct of arrays, in order; null groups are empty."""
     return F.flatten(F.array(*(F.coalesce(answer[g], F.array().cast("array<string>")) for g in groups)))

@@ -201,6 +201,13 @@ def admission(s, d):
     return jobs.admit(s, src.read(s, d, "events").select(F.col("event_id").cast("bigint").alias("id"), F.col("user_id").cast("bigint").alias("client"), at), 2, 86400)
 
 
+@query("stm06_progress", "SELECT count(*) AS seen, count(*) FILTER (event_type = 'error') AS failed FROM events")
+def progress(s, d):
+    """What a listener was told of the batches, together."""
+    _, told = jobs.watched(s, jobs.arriving(s, d, "events"), {"seen": F.count(F.lit(1)), "failed": F.count_if(F.col("event_type") == "error")})
+    return told.agg(F.sum("seen").alias("seen"), F.sum("failed").alias("failed"))
+
+
 @query("stm06_live_counts", "SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type")
 def live_counts(s, d):
     return jobs.live_counts(s, jobs.arriving(s, d, "events"), "event_type")

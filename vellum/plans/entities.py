@@ -52,13 +52,48 @@ def spells(s, d):
     return entities.spells(rows).select("id", at("school").alias("school"), at("activation.type").alias("activation"), at("duration.value", "int").alias("duration"), at("duration.units").alias("units"))
 
 
+def whole_creatures(s, d):
+    """Creatures with nested fields: speeds, senses, saves, resistances and parts, some of them missing."""
+    k, size = F.col("id"), F.col("armor_class")
+    part = lambda name, text: F.struct(F.lit(name).alias("name"), text.cast("string").alias("description"))
+    return creatures(s, d).withColumns({
+        "speed": F.create_map(F.lit("walk"), F.concat(size, F.lit(" ft.")), F.lit("fly"), F.when(k % 2 == 0, "60 ft.")), "senses": F.when(k % 3 > 0, F.create_map(F.lit("darkvision"), F.concat(size * 10, F.lit(" ft.")))),
+        "saving_throws": F.create_map(F.lit("wis"), size, F.lit("dex"), size + 1), "damage_resistances": F.when(k % 4 > 0, F.array(F.lit("fire"), F.lit("cold"))),
+        "traits": F.when(k % 5 > 0, F.array(part("Keen", F.lit("sees")))), "actions": F.array(part("Bite", size), part("Claw", F.lit(None))), "legendary_actions": F.when(k % 2 == 1, F.array(part("Roar", k))),
+    })
+
+
+@query(
+    "str13_whole_actors",
+    """SELECT p_partkey AS id, p_size || ' ft.' AS walk, CASE WHEN p_partkey % 2 = 0 THEN '60 ft.' END AS fly, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_size * 10 AS INTEGER) END AS darkvision, CASE WHEN p_partkey % 4 > 0 THEN 'fire,cold' END AS resists,
+    CASE WHEN p_partkey % 5 > 0 THEN 'Keen:sees:-;' ELSE '' END || 'Bite:' || p_size || ':action;Claw::action' || CASE WHEN p_partkey % 2 = 1 THEN ';Roar:' || p_partkey || ':legendary' ELSE '' END AS items FROM part""",
+)
+def whole_actors(s, d):
+    schema = "system struct<attributes:struct<movement:struct<walk:string,fly:string>,senses:struct<darkvision:int>>,traits:struct<dr:struct<value:array<string>>>>, items array<struct<name:string,type:string,system:struct<description:struct<value:string>,activation:struct<type:string>>>>"
+    at = entities.actors(whole_creatures(s, d)).select("id", F.from_json("json", schema).alias("a"))
+    item = lambda i: F.concat_ws(":", i["name"], i["system"]["description"]["value"], F.coalesce(i["system"]["activation"]["type"], F.lit("-")))
+    a = "a.system.attributes"
+    return at.select("id", F.col(f"{a}.movement.walk").alias("walk"), F.col(f"{a}.movement.fly").alias("fly"), F.col(f"{a}.senses.darkvision").alias("darkvision"), F.array_join("a.system.traits.dr.value", ",").alias("resists"), F.array_join(F.transform("a.items", item), ";").alias("items"))
+
+
+@query(
+    "str12_whole_notes",
+    """WITH c AS (SELECT p_partkey AS k, p_size AS s, [p_size, p_size + 1, p_size + 2, p_size + 3, p_size + 4, p_size + 5] AS scores FROM part)
+    SELECT k AS id, '| STR | DEX | CON | INT | WIS | CHA |' || chr(10) || '| --- | --- | --- | --- | --- | --- |' || chr(10) || '| ' || array_to_string(list_transform(scores, lambda x: x || ' (' || CASE WHEN x >= 10 THEN '+' ELSE '' END || CAST(floor((x - 10) / 2) AS INTEGER) || ')'), ' | ') || ' |' AS abilities,
+    CASE WHEN k % 2 = 0 THEN 'fly 60 ft., ' ELSE '' END || 'walk ' || s || ' ft.' AS speed, 'dex ' || (s + 1) || ', wis ' || s AS saves, '***Bite.*** ' || s || chr(10) || chr(10) || '***Claw.*** ' AS actions, CASE WHEN k % 5 > 0 THEN '***Keen.*** sees' END AS traits FROM c""",
+)
+def whole_notes(s, d):
+    part = lambda title: F.nullif(F.regexp_extract("content", rf"(?s)\n## {title}\n(.*?)(?=\n\n## |$)", 1), F.lit(""))
+    return entities.notes(whole_creatures(s, d), "monster").select("id", part("Abilities").alias("abilities"), part("Speed").alias("speed"), part("Saving throws").alias("saves"), part("Actions").alias("actions"), part("Traits").alias("traits"))
+
+
 @query(
     "str12_monster_notes",
     f"""WITH {CREATURES_SQL} SELECT id, '---' || chr(10) || 'type: monster' || coalesce(chr(10) || 'size: ' || size, '') || chr(10) || 'creature_type: ' || creature_type || chr(10) || 'ac: ' || armor_class || coalesce(chr(10) || 'hp: ' || hit_points, '')
     || chr(10) || '---' || chr(10) || chr(10) || '# ' || name AS content FROM creatures""",
 )
 def monster_notes(s, d):
-    return entities.notes(creatures(s, d), "monster").select("id", "content")
+    return entities.notes(creatures(s, d).drop("abilities"), "monster").select("id", "content")
 
 
 @query(

@@ -115,6 +115,38 @@ def aij01(s, d):
     return registry.run_model(src.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), tell, "first string, words bigint")
 
 
+def bestiary(prompts: list[str]) -> list[str]:
+    """A stand-in for a model that extracts: a creature for each line ``name|size|brand`` of a text; texts without one give no JSON."""
+    out = []
+    for p in prompts:
+        found = [line.split("|") for line in p.split("\n") if line.count("|") == 2]
+        each = [{"name": n, "armor_class": int(k), "abilities": {"strength": int(k) + 1}, "speed": {"walk": f"{k} ft."}, "traits": [{"name": "Keen", "description": b}, {"name": "Old"}], "senses": None, "more": 1} for n, k, b in found]
+        out.append(f"Here: {json.dumps({'monsters': each})} Done." if each else "nothing")
+    return out
+
+
+@query(
+    "aij01_extracted",
+    """SELECT p_partkey AS id, CAST(v.k AS INTEGER) AS place, p_name || v.k AS name, CAST(p_size AS INTEGER) AS armor_class, CAST(p_size + 1 AS INTEGER) AS strength, p_size || ' ft.' AS walk, 'Keen:' || p_brand || ';Old:' AS traits, NULL AS error
+    FROM part, (VALUES (0), (1)) v(k) WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, 'no JSON in the answer' FROM part WHERE p_partkey % 5 = 0""",
+)
+def extracted(s, d):
+    """Creatures with nested fields from answers that are kept by prompt; a second run asks nothing."""
+    p = src.read(s, d, "part")
+    line = lambda k: F.concat("p_name", F.lit(f"{k}|"), "p_size", F.lit("|"), "p_brand")
+    rows = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 != 0, F.concat(line(0), F.lit("\n"), line(1))).otherwise(F.lit("none here")).alias("text"))
+    store = new_folder(s, "answers")
+    registry.extracted(rows, bestiary, store, "stand-in", "monsters")
+
+    def never(prompts):
+        raise ValueError("asked again")
+
+    found, failed = registry.extracted(rows, never, store, "stand-in", "monsters")
+    traits = F.array_join(F.transform("traits", lambda t: F.concat_ws(":", t["name"], F.coalesce(t["description"], F.lit("")))), ";")
+    told = found.select("id", "place", "name", "armor_class", "abilities.strength", F.element_at("speed", "walk").alias("walk"), traits.alias("traits"), F.lit(None).cast("string").alias("error"))
+    return told.unionByName(failed, allowMissingColumns=True)
+
+
 @query(
     "aij02_tags",
     """SELECT DISTINCT product_id, lower(name) AS tag, lower(name) NOT IN (SELECT lower(r_name) FROM region) AS made FROM (SELECT product_id, trim(raw) AS name FROM (SELECT p_partkey AS product_id, unnest([p_brand, CASE WHEN p_size % 2 = 0 THEN 'Asia' END, ' europe ', '']) AS raw FROM part))
@@ -157,6 +189,20 @@ def stm02_watermark(s, d):
     return jobs.arrivals(s, rows, ["user_id", "event_type"], "ts", "365 days").select("user_id", "event_type")
 
 
+@query(
+    "stm02_expiring",
+    """WITH RECURSIVE e AS (SELECT event_id, coalesce(user_id::VARCHAR, '') || event_type AS f, epoch_ms(ts::TIMESTAMP) AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+    s AS (SELECT event_id, f, k, ms AS since, true AS first FROM e WHERE k = 1
+      UNION ALL SELECT e.event_id, e.f, e.k, CASE WHEN e.ms >= s.since + 864000000 THEN e.ms ELSE s.since END, e.ms >= s.since + 864000000 FROM s JOIN e ON e.f = s.f AND e.k = s.k + 1)
+    SELECT event_id FROM s WHERE first""",
+)
+def stm02_expiring(s, d):
+    """A kind of event of a user counts anew ten days after the last one that counted."""
+    f = F.concat(F.coalesce(F.col("user_id").cast("string"), F.lit("")), "event_type")
+    rows = jobs.arriving(s, d, "events").select(F.col("event_id").alias("id"), f.alias("fingerprint"), F.col("ts").alias("at"))
+    return jobs.expiring_arrivals(s, rows, 864000, "365 days").select(F.col("id").alias("event_id"))
+
+
 @query(
     "stm05_drain",
     """, order_ AS (SELECT *, row_number() OVER (ORDER BY created_at, id) AS k FROM queue WHERE status = 'pending' AND attempts < 3)

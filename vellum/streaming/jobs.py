@@ -6,13 +6,16 @@ and the stream's own checkpoint lie in ``spark.checkpoint.dir``. Jobs drain what
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from vellum.sources.shared import new_folder
@@ -33,11 +36,11 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataF
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{at}/rows")
 
 
-def drain_in_order(spark: SparkSession, rows: DataFrame, time: str, job: Callable[[DataFrame], DataFrame], spans: int, mode: str = "append") -> DataFrame:
+def drain_in_order(spark: SparkSession, rows: DataFrame, time_col: str, job: Callable[[DataFrame], DataFrame], spans: int, mode: str = "append") -> DataFrame:
     """What ``job`` (a stream to a stream) gives for a table, fed to it in spans of time, oldest first, so that a batch holds one span and state carries
-    over from one to the next. Spans are quantiles of ``time``; rows without a time come first. Every span is one run of the same query."""
+    over from one to the next. Spans are quantiles of ``time_col``; rows without a time come first. Every span is one run of the same query."""
     at = new_folder(spark, "stream")
-    key = F.coalesce(F.col(time).cast("double"), F.lit(float("-inf")))
+    key = F.coalesce(F.col(time_col).cast("double"), F.lit(float("-inf")))
     bounds = rows.agg(F.percentile_approx(key, [k / spans for k in range(1, spans)], 10_000)).first()[0] if spans > 1 else []
     edges = [None, *sorted(set(bounds or [])), None]
     made = job(spark.readStream.schema(rows.schema).parquet(f"{_feed(spark, rows, at)}"))
@@ -118,9 +121,9 @@ def live_counts(spark: SparkSession, rows: DataFrame, by: Column | str) -> DataF
     return seen.groupBy("value").agg(F.max_by("n", "batch").alias("n"))
 
 
-def arrivals(spark: SparkSession, rows: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
+def arrivals(spark: SparkSession, rows: DataFrame, key: list[str], time_col: str, delay: str) -> DataFrame:
     """The rows of a stream (with an event time) of which no other of the same key arrived before; copies are known for ``delay``."""
-    return drain(spark, rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)).drop("batch")
+    return drain(spark, rows.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(key)).drop("batch")
 
 
 def first_arrivals(spark: SparkSession, rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -130,6 +133,107 @@ def first_arrivals(spark: SparkSession, rows: DataFrame, key: list[str], order:
     return seen.groupBy(*key).agg(F.min_by("r", "batch").alias("r")).select(*key, "r.*")
 
 
+class FirstSeen(StatefulProcessor):
+    """Lets the first row of a key through and forgets the key ``keep`` seconds of event time after it, by a timer; the state of a key is one flag."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "since bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for first in [pd.concat(list(rows)).sort_values(["at", "id"])]:
+            out, since = [], self.seen.get()[0] if self.seen.exists() else None
+            for row in first.itertuples():
+                at = int(row.at.timestamp() * 1000)
+                if since is None or at >= since + 1000 * self.keep:
+                    since = at
+                    out.append(row.id)
+            if since is not None and out:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.seen.update((since,))
+                self.handle.registerTimer(since + 1000 * self.keep)
+            yield pd.DataFrame({"id": out, "fingerprint": [key[0]] * len(out)}).astype({"id": "int64", "fingerprint": "object"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        yield pd.DataFrame({"id": [], "fingerprint": []}).astype({"id": "int64", "fingerprint": "object"})
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keeps timers and typed state.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def expiring_arrivals(spark: SparkSession, rows: DataFrame, keep: int, delay: str, at: str | None = None) -> DataFrame:
+    """(id, fingerprint, batch) of the arrivals (id, fingerprint, at) that are first of their fingerprint, or first since the last one let through is ``keep`` seconds old.
+
+    A row later than ``delay`` behind the newest is let go. State expires by event time, so it holds the fingerprints of ``keep`` seconds and no more. ``at`` names a folder in which
+    the stream goes on from its checkpoint; null fingerprints are one.
+    """
+    at = at or new_folder(spark, "arrivals")
+    given = rows.select(F.col("id").cast("bigint").alias("id"), "fingerprint", F.col("at").cast("timestamp").alias("at")).withWatermark("at", delay)
+    made = given.groupBy("fingerprint").transformWithStateInPandas(FirstSeen(keep), "id bigint, fingerprint string", "Append", "EventTime")
+    write = lambda out, n: out.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        query = made.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
+    query.awaitTermination()
+    return spark.read.schema("id bigint, fingerprint string, batch int").parquet(f"{at}/rows")
+
+
+class Progress(StreamingQueryListener):
+    """Gathers a row of observed metrics per batch of the queries named ``name``."""
+
+    def __init__(self, name: str):
+        self.name, self.rows = name, []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if progress.name == self.name and self.name in progress.observedMetrics:
+            self.rows.append((progress.batchId, progress.observedMetrics[self.name].asDict()))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def watched(spark: SparkSession, stream: DataFrame, metrics: dict[str, Column], patience: float = 30.0) -> tuple[DataFrame, DataFrame]:
+    """The rows of a stream as ``drain`` gives them, and (batch, a column per metric): whole numbers that Spark observes while a batch is written, told by a listener."""
+    name, at = f"progress-{uuid.uuid4().hex}", new_folder(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/rows/batch=-1")
+    listener = Progress(name)
+    spark.streams.addListener(listener)
+    try:
+        write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
+        seen = stream.observe(name, *(c.cast("bigint").alias(m) for m, c in metrics.items()))
+        query = seen.writeStream.queryName(name).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        # Listeners are told a little later than the query ends.
+        wanted, end = {p["batchId"] for p in query.recentProgress if p["numInputRows"]}, time.time() + patience
+        while not wanted <= {n for n, _ in listener.rows} and time.time() < end:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    told = {n: row for n, row in listener.rows if n in wanted}
+    found = spark.createDataFrame([(n, *(row[m] for m in metrics)) for n, row in sorted(told.items())], ", ".join(["batch int", *(f"{m} bigint" for m in metrics)]))
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{at}/rows"), found
+
+
 def drain_contributions(spark: SparkSession, queue: DataFrame, send, polls: int, most: int = 50, tries: int = 3) -> DataFrame:
     """The queue (id, status, attempts, created_at) after ``polls`` bounded polls: each sends the oldest ``most`` rows that are pending with tries left.
     ``send`` maps a DataFrame (id) to (id, ok). What was not sent is what it was."""
