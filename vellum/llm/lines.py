@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import materialize, without
+from vellum.llm.shared import free_names, materialize, without
 
 SITES = 10
 LEAST_CHARS = 16
@@ -44,12 +44,13 @@ def remove(docs: DataFrame, sites: int = SITES, doc_id: str = "doc_id", text: st
     """``docs`` with boilerplate lines gone from ``text``, and the number of lines gone; a column of that name is replaced."""
     lines = line_rows(docs, doc_id, text, site)
     gone = lines.drop("site").join(boilerplate(lines, sites), ["h1", "h2"]).filter(F.col("doc_id").isNull() | F.col("first_id").isNull() | (F.col("doc_id") != F.col("first_id")))
-    places = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("place").alias("__gone"))
     given = without(docs, [removed_col])
-    joined = given.join(places, (F.col(f"`{doc_id}`").eqNullSafe(F.col("__id"))) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__hash")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    changed = {text: F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(kept)}
-    return joined.select([changed[c].alias(c) if c == text else F.col(f"`{c}`") for c in given.columns] + [F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(removed_col)])
+    of, hashed, cut = free_names(docs, "__id", "__hash", "__gone")
+    places = gone.groupBy(F.col("doc_id").alias(of), F.col("text_hash").alias(hashed)).agg(F.collect_set("place").alias(cut))
+    joined = given.join(places, (F.col(f"`{doc_id}`").eqNullSafe(F.col(of))) & (F.xxhash64(F.col(f"`{text}`")) == F.col(hashed)), "left")
+    kept = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda line, i: ~F.array_contains(cut, i)), "\n")
+    changed = {text: F.when(F.col(cut).isNull(), F.col(f"`{text}`")).otherwise(kept)}
+    return joined.select([changed[c].alias(c) if c == text else F.col(f"`{c}`") for c in given.columns] + [F.coalesce(F.size(cut), F.lit(0)).cast("long").alias(removed_col)])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.regions import components, groups, region_links, settle, starts_of
-from vellum.llm.shared import add_columns, materialize, mix, ragged, split_words, strings_of, word_hashes
+from vellum.llm.shared import add_columns, free_names, materialize, mix, ragged, split_words, strings_of, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -347,5 +347,6 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those that have a near duplicate with a smaller id; rows without an id stay."""
-    gone = find(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    (name,) = free_names(docs, "__gone")
+    gone = find(docs, doc_id, text).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(name), "left_anti")
