@@ -10,7 +10,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import glob_regex
+from vellum.functions.text import glob_regex, stem
 from vellum.operators.containment import containing
 
 UNKNOWN = "Unknown"
@@ -212,11 +212,13 @@ def outline_parents(outline: DataFrame) -> DataFrame:
     return outline.join(found.withColumn("seq", F.col("seq").cast(outline.schema["seq"].dataType)), ["doc", "seq"])
 
 
-def fill_fields(target: DataFrame, source: DataFrame, key: str, fields: list[str], overwrite: bool = False) -> DataFrame:
-    """Fill empty fields (or overwrite all) from a second table, with the names of fields that changed; null never overwrites."""
+def fill_fields(target: DataFrame, source: DataFrame, key: str, fields: list[str], overwrite: bool = False, named_by: str | None = None) -> DataFrame:
+    """Fill empty fields (or overwrite all) from a second table, with the names of fields that changed; null never overwrites. With ``named_by``, a file name, a
+    title that is no more than that name without its ending counts as empty."""
     s = source.select(key, *(F.col(f).alias(f"__{f}") for f in fields))
     j = target.join(s, key, "left")
-    empty = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("")) == ""
+    blank = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("")) == ""
+    empty = lambda f: blank(f) | F.coalesce(F.col(f) == stem(F.col(named_by)), F.lit(False)) if named_by and f == "title" else blank(f)
     takes = {f: F.col(f"__{f}").isNotNull() & ((F.lit(overwrite) | empty(f)) & ~F.col(f).eqNullSafe(F.col(f"__{f}"))) for f in fields}
     changed = F.array_compact(F.array(*(F.when(takes[f], F.lit(f)) for f in fields)))
     kept = [F.when(takes[c], F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in takes else F.col(c) for c in target.columns]

@@ -104,6 +104,22 @@ def edit_queue(queue: DataFrame, retry: bool = False, reset_stuck: Column | None
     return kept.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in queue.columns))
 
 
+def dismiss_failed(queue: DataFrame, products: DataFrame, task_type: str | None = None, mark_as: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(queue, products) after all failed rows (of a type of task) are dismissed. With ``mark_as``, their products get that type if they have none, and count as extracted, so that
+    they are not queued again."""
+    gone = (F.col("status") == "failed") & (F.lit(True) if task_type is None else F.col("task_type") == task_type)
+    kept = queue.filter(~F.coalesce(gone, F.lit(False)))
+    if mark_as is None:
+        return kept, products
+    hit = queue.filter(gone).select(F.col("product_id").alias("id"), F.lit(True).alias("__hit")).distinct()
+    marked = products.join(hit, "id", "left")
+    changed = {
+        "product_type": F.when(F.col("__hit") & (F.coalesce("product_type", F.lit("")) == ""), mark_as).otherwise(F.col("product_type")),
+        "text_extracted": F.coalesce(F.col("__hit"), F.lit(False)) | F.col("text_extracted"),
+    }
+    return kept, marked.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in products.columns))
+
+
 def resolve_duplicates(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(remaining, totals) of rows with ``keep`` (null: no duplicate): losers go, keepers lose their mark; totals are rows gone and bytes freed."""
     gone = F.coalesce(~F.col("keep"), F.lit(False))

@@ -401,6 +401,16 @@ def snapshot(s, d):
     return ops.snapshot_diff(of(rows.filter("doc_id % 10 <> 0"), F.col("text")), of(rows.filter("doc_id % 10 <> 1"), F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text"))))
 
 
+@query("txt10_applied", """SELECT id, CASE WHEN id % 4 < 2 THEN 'found' ELSE title || '!' END AS title, CASE WHEN id % 2 = 0 THEN 'p' ELSE publisher END AS publisher,
+    concat_ws(',', CASE WHEN id % 4 < 2 THEN 'title' END, CASE WHEN id % 2 = 0 THEN 'publisher' END) AS changed FROM items""", "items")
+def applied(s, d):
+    """Metadata onto products: a missing title and one that only repeats the file's name are filled, others stay."""
+    i, k = src.items(s, d), F.col("id") % 4
+    target = i.select("id", "file_name", F.when(k == 1, F.col("title")).when(k > 1, F.concat("title", F.lit("!"))).alias("title"), F.when(k % 2 == 1, F.col("publisher")).alias("publisher"))
+    out = ops.fill_fields(target, i.select("id", F.lit("found").alias("title"), F.lit("p").alias("publisher")), "id", ["title", "publisher"], named_by="file_name")
+    return out.select("id", "title", "publisher", F.array_join("changed", ",").alias("changed"))
+
+
 @query("cnd01_fill", """SELECT id, CASE WHEN id % 3 = 0 THEN 'filled' ELSE title END AS title, msrp, CASE WHEN id % 3 = 0 THEN 'title' ELSE '' END AS changed FROM items""", "items")
 def fill(s, d):
     i = src.items(s, d)

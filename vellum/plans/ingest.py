@@ -202,6 +202,19 @@ def blk05(s, d):
     return edited.select("id", "status", "attempts", F.col("started_at").isNotNull().alias("started"))
 
 
+@query(
+    "blk05_dismissed",
+    """, f AS (SELECT DISTINCT product_id FROM queue WHERE status = 'failed' AND task_type = 'click'), q AS (SELECT count(*) AS n FROM queue WHERE NOT (status = 'failed' AND task_type = 'click'))
+    SELECT id, coalesce(CASE WHEN id % 3 > 0 THEN system END, CASE WHEN product_id IS NOT NULL THEN 'Art/Maps' END) AS product_type, product_id IS NOT NULL OR text_extracted AS text_extracted, n AS queued FROM products LEFT JOIN f ON product_id = id, q""",
+    "products", "queue",
+)
+def blk05_dismissed(s, d):
+    """Failed clicks are dismissed and their products marked as art."""
+    p = src.products(s, d).select("id", F.when(F.col("id") % 3 > 0, F.col("system")).alias("product_type"), "text_extracted")
+    left, marked = ingest.dismiss_failed(src.queue(s, d), p, "click", "Art/Maps")
+    return marked.crossJoin(F.broadcast(left.agg(F.count(F.lit(1)).alias("queued"))))  # one row
+
+
 @query("src05_texts", "SELECT id, CASE WHEN id % 7 <> 0 AND id % 5 <> 0 THEN text END AS markdown FROM products", "products")
 def src05(s, d):
     """Extracted texts are written as JSON in buckets and read back; a product without a file, or with an unreadable one, has none."""
