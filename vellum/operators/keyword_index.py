@@ -25,6 +25,8 @@ from vellum.functions.text import tokens
 from vellum.operators import search
 
 CAP, BLOCK, SHARDS = 16, 1024, 64
+#: Changes with the tables' columns, so that stored ones of another layout are not taken for these.
+LAYOUT = 1
 #: Blocks scored first, to know what a hit has to beat, and so many at most are named in the scan's filter.
 FIRST, NAMED = 16, 1000
 POSTING = "array<struct<id:bigint,len:int,tf:bigint>>"

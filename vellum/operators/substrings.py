@@ -15,6 +15,8 @@ from vellum.operators.keyword_index import spread
 
 #: Bits for each different trigram, before rounding up to a power of two, and longs of the largest bitmap.
 BITS, MOST = 8, 1 << 15
+#: Changes with the table's columns.
+LAYOUT = 1
 
 
 def trigrams(text: np.ndarray) -> np.ndarray:

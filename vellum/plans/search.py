@@ -23,13 +23,13 @@ def hits_sql(words: list[str], source: str = "products") -> str:
 
 def index(s, d, asked):
     """A search in the stored index of the catalog, which the first one builds."""
-    root = stored_once(src.read(s, d, "documents"), "keyword-index", lambda at: keyword_index.write(src.products(s, d), FIELDS, at))
+    root = stored_once(src.read(s, d, "documents"), f"keyword-index-{keyword_index.LAYOUT}", lambda at: keyword_index.write(src.products(s, d), FIELDS, at))
     return keyword_index.Search(s, root, asked)
 
 
 def texts(s, d):
     """The folder of stored texts with bitmaps, which the first search fills."""
-    return stored_once(src.read(s, d, "documents"), "texts", lambda at: substrings.write(src.products(s, d), at))
+    return stored_once(src.read(s, d, "documents"), f"texts-{substrings.LAYOUT}", lambda at: substrings.write(src.products(s, d), at))
 
 
 VISIBLE = "shown AS (SELECT id, title, system FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY created_at, id) AS k FROM products WHERE NOT is_missing) WHERE k = 1)"
