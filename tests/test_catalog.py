@@ -51,7 +51,7 @@ def test_cosine_of_a_zero_vector_is_null(spark):
 def test_chunks_by_hand(spark):
     text_ = "a" * 450 + ". " + "b" * 300
     rows = [(1, text_), (2, " short "), (3, None), (4, ""), (5, "x" * 1200)]
-    found = {(r[0], r[1]): r[2] for r in extraction.chunks(spark.createDataFrame(rows, "id bigint, text string")).collect()}
+    found = {(r["id"], r["chunk_index"]): r["chunk"] for r in extraction.chunks(spark.createDataFrame(rows, "id bigint, text string")).collect()}
     assert found[1, 0] == "a" * 450 + "." and found[1, 1] == "a" * 48 + ". " + "b" * 300 and (1, 2) not in found
     assert found[2, 0] == " short " and not any(k[0] in (3, 4) for k in found)
     assert [len(found[5, i]) for i in range(3)] == [500, 500, 300]

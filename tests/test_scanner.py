@@ -65,5 +65,8 @@ def test_containment_equals_nested_loop(spark):
 def test_overlap_must_leave_room():
     with pytest.raises(ValueError):
         list(extraction.cuts("a" * 2000, 100, 200))
-    pieces = list(extraction.cuts(" ".join(f"word{i}" for i in range(300)), 300, 50))
+    text = " ".join(f"word{i}" for i in range(300))
+    found = list(extraction.cuts(text, 300, 50))
+    pieces = [p for _, p in found]
+    assert all(text[at : at + len(p)] == p for at, p in found)
     assert all(len(p) <= 300 for p in pieces) and not pieces[-2].endswith(pieces[-1])

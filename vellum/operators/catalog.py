@@ -180,9 +180,16 @@ def keep_policy(products: DataFrame, source_of_truth: str) -> DataFrame:
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, action) between two listings (path, size, hash): new, changed, unchanged, missing."""
-    o, n = (d.select("path", F.col("size").alias(f"{x}_size"), F.col("hash").alias(f"{x}_hash")) for d, x in ((old, "old"), (new, "new")))
+    """(path, action) between two listings (path, size, hash): new, changed, unchanged, missing. Where both have ``modified_at``, a file that is the same but later is touched;
+    where the old one has ``is_missing``, a file that was missing and is the same as before has reappeared."""
+    timed, known = "modified_at" in old.columns and "modified_at" in new.columns, "is_missing" in old.columns
+    more = {"old": ["modified_at"] * timed + ["is_missing"] * known, "new": ["modified_at"] * timed}
+    o, n = (d.select("path", *(F.col(c).alias(f"{x}_{c}") for c in ["size", "hash", *more[x]])) for d, x in ((old, "old"), (new, "new")))
     action = F.when(F.col("old_hash").isNull(), "new").when(F.col("new_hash").isNull(), "missing").when((F.col("old_hash") != F.col("new_hash")) | (F.col("old_size") != F.col("new_size")), "changed")
+    if known:
+        action = action.when(F.col("old_is_missing"), "reappeared")
+    if timed:
+        action = action.when(F.col("old_modified_at").isNull() | (F.col("new_modified_at") > F.col("old_modified_at")), "touched")
     return o.join(n, "path", "full_outer").select("path", action.otherwise("unchanged").alias("action"))
 
 

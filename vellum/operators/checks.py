@@ -63,10 +63,14 @@ def cascade(methods: dict[str, Column]) -> Column:
     return F.coalesce(*tries, F.struct(F.lit("none").alias("method"), F.lit(None).cast("string").alias("text")))
 
 
+def low_text(chars: Column, pages: Column) -> Column:
+    """Whether a text is short: under 100 characters a page and 500 in all."""
+    return (chars / F.greatest(pages, F.lit(1)) < 100) & (chars < 500)
+
+
 def low_text_type(chars: Column, pages: Column, product_type: Column) -> Column:
-    """The type, or ``Art/Maps`` where it is unset and the text is short: under 100 characters a page and 500 in all."""
-    low = (chars / F.greatest(pages, F.lit(1)) < 100) & (chars < 500)
-    return F.coalesce(F.nullif(product_type, F.lit("")), F.when(low, "Art/Maps"))
+    """The type, or ``Art/Maps`` where it is unset and the text is short."""
+    return F.coalesce(F.nullif(product_type, F.lit("")), F.when(low_text(chars, pages), "Art/Maps"))
 
 
 def share_notes(notes: DataFrame, requested: DataFrame) -> tuple[DataFrame, DataFrame]:

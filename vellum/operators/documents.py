@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as names
 from vellum.operators import dictionary
+from vellum.operators.catalog import chapter_ends, outline_parents
 from vellum.operators.changes import sparse_json
 
 #: Codes of sizes in virtual tabletops.
@@ -102,6 +103,19 @@ def contents(pages: DataFrame, gap: int = 1) -> DataFrame:
     return rows.filter("entry").join(inside, ["doc", "page"], "left_semi").select("doc", "page", "pos", "found.title", "found.target")
 
 
+def whole_outlines(documents: DataFrame, outlines: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc, source, seq, level, title, page, end_page, parent_seq) of documents (doc): the entries of a document's outline (doc, seq, level, title, page), else the contents lines of its pages (doc, page,
+    text), all of level 1, else one row of source ``none``. A page that is not positive is unknown; a null or blank page text holds no entries."""
+    marks = outlines.select("doc", F.lit("outline").alias("source"), F.col("seq").cast("bigint").alias("seq"), F.col("level").cast("int").alias("level"), F.trim("title").alias("title"), F.when(F.col("page") > 0, F.col("page").cast("int")).alias("page"))
+    found = contents(pages.join(marks.select("doc").distinct(), "doc", "left_anti"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("page", "pos")).cast("bigint")
+    told = found.select("doc", F.lit("text").alias("source"), place.alias("seq"), F.lit(1).alias("level"), "title", F.col("target").alias("page"))
+    rows = marks.unionByName(told)
+    parents = outline_parents(rows).select("doc", "seq", "parent_seq")
+    out = documents.select("doc").distinct().join(chapter_ends(rows).join(parents, ["doc", "seq"], "left"), "doc", "left")
+    return out.select("doc", F.coalesce("source", F.lit("none")).alias("source"), "seq", "level", "title", "page", "end_page", "parent_seq")
+
+
 def first_entry(text: Column, dictionary: dict[str, list[str]]) -> Column:
     """First name, in order, of which an alias occurs anywhere in the text, inside words too."""
     low = F.lower(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,39 @@ def registry_json(products: DataFrame) -> DataFrame:
     return products.select("id", F.to_json(entry).alias("json"))
 
 
+#: The fields of an entry in a seed document, with their types.
+SEED_FIELDS = {
+    "file_hashes": "array<string>", "file_size": "bigint", "page_count": "int", "title": "string", "publisher": "string", "publication_year": "int", "game_system": "string", "product_type": "string",
+    "level_range": "struct<min:int,max:int>", "description": "string", "external_links": "map<string,string>", "tags": "array<string>", "confidence": "double", "source": "string",
+}
+
+
+def seed_schema() -> str:
+    return f"version string, generated_at string, source string, products array<struct<{','.join(f'{f}:{t}' for f, t in SEED_FIELDS.items())}>>"
+
+
+def seed_documents(products: DataFrame, source: str, at: Column, version: str = "1.0", blocks: int = 64) -> DataFrame:
+    """(json) seed documents of products (id, level_min, level_max and fields of ``SEED_FIELDS``) in blocks by id, so that no document has to hold all. Fields that the products lack are null, but
+    links and tags are empty, the confidence is 1 and the source of an entry ``manual``; nulls are written."""
+    usual = {"external_links": F.create_map().cast("map<string,string>"), "tags": F.array().cast("array<string>"), "confidence": F.lit(1.0), "source": F.lit("manual")}
+
+    def value(f: str) -> Column:
+        given = level_range(F.col("level_min"), F.col("level_max")) if f == "level_range" else F.col(f) if f in products.columns else F.lit(None)
+        return (F.coalesce(given, usual[f]) if f in usual else given).cast(SEED_FIELDS[f]).alias(f)
+
+    rows = products.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.struct(*map(value, SEED_FIELDS)).alias("entry"))
+    parts = rows.groupBy("block").agg(F.collect_list("entry").alias("products"))
+    head = [F.lit(version).alias("version"), at.cast("string").alias("generated_at"), F.lit(source).alias("source")]
+    return parts.select(F.to_json(F.struct(*head, "products"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def read_seed(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    """Entries of seed documents, one document a line, or with ``pretty`` one document a file over many lines, with ``version``, ``generated_at`` and ``seed_source``. An unreadable document
+    gives no entries."""
+    docs = spark.read.schema(seed_schema()).option("multiLine", pretty).json(path)
+    return docs.select("version", "generated_at", F.col("source").alias("seed_source"), F.inline("products"))
+
+
 def pull(products: DataFrame, registry: DataFrame, patterns: DataFrame, fields: list[str], everything: bool = False) -> DataFrame:
     """Products (id, file_hash, title, identified, fields...) after a pull: by hash, and what is left by title pattern (pattern, confidence, pattern_id,
     fields...). Empty fields are filled; ``changed`` names them, ``confidence`` is stamped where anything changed. Identified products are

@@ -401,6 +401,20 @@ def snapshot(s, d):
     return ops.snapshot_diff(of(rows.filter("doc_id % 10 <> 0"), F.col("text")), of(rows.filter("doc_id % 10 <> 1"), F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text"))))
 
 
+@query("ing02_snapshot_states", """, o AS (SELECT id, file_size AS size, modified_at AS at, is_missing, file_hash AS h FROM products WHERE id % 10 <> 0),
+    n AS (SELECT id, file_size AS size, coalesce(modified_at, created_at) + to_days((id % 10 = 3)::INTEGER) AS at, sha256(CASE WHEN id % 10 = 2 THEN text || 'x' ELSE text END) AS h FROM products WHERE id % 10 <> 1)
+    SELECT id AS path, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'missing' WHEN o.h <> n.h THEN 'changed' WHEN is_missing THEN 'reappeared' WHEN o.at IS NULL OR n.at > o.at THEN 'touched' ELSE 'unchanged' END AS action
+    FROM o FULL JOIN n USING (id)""", "products")
+def snapshot_states(s, d):
+    """The same with times and with rows that were missing: some files are only touched, some are back."""
+    p = src.products(s, d).withColumnRenamed("id", "path")
+    k = F.col("path") % 10
+    old = p.filter(k != 0).select("path", F.col("file_size").alias("size"), F.col("file_hash").alias("hash"), "modified_at", "is_missing")
+    later = F.coalesce("modified_at", "created_at") + F.when(k == 3, F.expr("interval 1 day")).otherwise(F.expr("interval 0 day"))
+    new = p.filter(k != 1).select("path", F.col("file_size").alias("size"), F.sha2(F.when(k == 2, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("hash"), later.alias("modified_at"))
+    return ops.snapshot_diff(old, new)
+
+
 @query("txt10_applied", """SELECT id, CASE WHEN id % 4 < 2 THEN 'found' ELSE title || '!' END AS title, CASE WHEN id % 2 = 0 THEN 'p' ELSE publisher END AS publisher,
     concat_ws(',', CASE WHEN id % 4 < 2 THEN 'title' END, CASE WHEN id % 2 = 0 THEN 'publisher' END) AS changed FROM items""", "items")
 def applied(s, d):
@@ -460,6 +474,14 @@ def lines(s, d):
     return search.matching_lines(substrings.holding(s, texts(s, d), "tion"), "tion").select("id", F.col("line_no").cast("long").alias("line_no"), "context")
 
 
+@query("src08_vectors", "SELECT vec_id, len(embedding) * 4 AS bytes, unnest(range(len(embedding))) AS place, unnest(embedding)::DOUBLE AS x FROM embeddings")
+def blobs(s, d):
+    """Vectors become blobs and are decoded again."""
+    v = src.encode_vectors(src.read(s, d, "embeddings").select("vec_id", "embedding"), "embedding").drop("embedding")
+    back = src.decode_vectors(v, "blob").select("vec_id", F.octet_length("blob").cast("long").alias("bytes"), F.posexplode("embedding").alias("place", "x"))
+    return back.select("vec_id", "bytes", F.col("place").cast("long").alias("place"), F.col("x").cast("double").alias("x"))
+
+
 @query("vec02_search", """WITH s AS (SELECT q.vec_id AS query_id, e.label AS product_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
     FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) SELECT query_id, product_id, round(max(score), 4) AS score FROM s WHERE score >= 0.1 GROUP BY ALL""")
 def vector_search(s, d):

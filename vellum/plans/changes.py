@@ -171,11 +171,33 @@ def entries(s, d):
     return scanner.table_entries(src.read(s, d, "part").select(F.col("p_partkey").alias("id"), body.alias("text"))).select("id", "title", "low", "high", "result")
 
 
-@query("txt01_chunks")
+BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+@query(
+    "txt01_chunks",
+    f"""WITH RECURSIVE d AS (SELECT doc_id AS id, text AS t, length(text) AS n FROM documents WHERE trim(text, {BLANKS}) <> ''),
+    c AS (SELECT id, 0 AS k, -1::BIGINT AS start, 0::BIGINT AS before, 0::BIGINT AS fin, n FROM d UNION ALL
+      SELECT id, k + 1, s, fin, CASE WHEN e >= n THEN e WHEN contains(w, '. ') THEN e - length(list_last(string_split(w, '. '))) WHEN contains(w, '! ') THEN e - length(list_last(string_split(w, '! ')))
+        WHEN contains(w, '? ') THEN e - length(list_last(string_split(w, '? '))) WHEN contains(w, chr(10) || chr(10)) THEN e - length(regexp_extract(w, '\n\n((?:[^\n]+\n)*[^\n]*)$', 1))
+        WHEN contains(w, chr(10)) THEN e - length(list_last(string_split(w, chr(10)))) ELSE e END, n
+      FROM (SELECT id, k, fin, n, s, least(s + 500, n) AS e, substring(t, least(s + 500, n) - 99, 100) AS w FROM (SELECT *, greatest(fin - 50, start + 1) AS s FROM c WHERE fin < n) JOIN (SELECT id, t FROM d) USING (id)))
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS chunk_index, CASE WHEN n <= 500 THEN 0 ELSE start + length(p) - length(ltrim(p, {BLANKS})) END AS start, CASE WHEN n <= 500 THEN p ELSE trim(p, {BLANKS}) END AS chunk
+    FROM (SELECT c.*, substring(t, start + 1, fin - start) AS p FROM c JOIN (SELECT id, t FROM d) USING (id) WHERE k > 0 AND fin > before) WHERE trim(p, {BLANKS}) <> ''""",
+)
 def chunks(s, d):
     return extraction.chunks(src.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
+@query(
+    "txt01_strides",
+    f"""SELECT id, (s / 450)::BIGINT AS chunk_index, s AS start, CASE WHEN n <= 500 THEN t ELSE trim(substring(t, s + 1, 500), {BLANKS}) END AS chunk
+    FROM (SELECT doc_id AS id, text AS t, length(text) AS n, unnest(range(0, greatest(length(text) - 50, 1), 450)) AS s FROM documents) WHERE trim(t, {BLANKS}) <> '' AND (n > 500 OR s = 0) AND trim(substring(t, s + 1, 500), {BLANKS}) <> ''""",
+)
+def strides(s, d):
+    return extraction.strides(src.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 @query("vec01_embed")
 def embed(s, d):
     return extraction.encode(chunks(s, d)).select("id", "chunk_index", F.substring("chunk", 1, 1000).alias("chunk_text"), "embedding")

@@ -8,7 +8,9 @@ import re
 from pyspark.sql import functions as F
 
 from vellum.functions.text import sanitize
-from vellum.operators import changes, entities, ingest, registry
+from vellum.operators import changes, documents, entities, extraction, ingest, registry
+from vellum.plans import catalog
+from vellum.plans import changes as changes_plan
 from vellum.plans.catalog import query
 from vellum.sources import catalog as src
 from vellum.sources import snapshots
@@ -40,6 +42,26 @@ def src07(s, d):
     return registry.registry_json(i)
 
 
+@query("src07_seed_entries", """SELECT hash, size::BIGINT AS file_size, CASE WHEN id % 7 <> 0 THEN size + 1 END AS page_count, title, publisher, (1990 + size % 30)::INTEGER AS publication_year, CASE WHEN id % 5 <> 0 THEN 'G' || id % 3 END AS game_system, product_type,
+    CASE WHEN coalesce(level_min, 0) <> 0 OR coalesce(level_max, 0) <> 0 THEN level_min END AS low, CASE WHEN coalesce(level_min, 0) <> 0 OR coalesce(level_max, 0) <> 0 THEN level_max END AS high,
+    CASE WHEN id % 2 = 1 THEN 'about "' || title || '"' || chr(10) || 'and more' END AS description, CASE WHEN id % 3 = 0 THEN '/' || id END AS shop, CASE WHEN id % 4 = 0 THEN publisher || '|' || product_type ELSE '' END AS tags, 1.0::DOUBLE AS confidence, 'manual' AS source, 'parts' AS seed_source
+    FROM items, LATERAL (SELECT unnest(['h' || id, 'v' || id]) AS hash)""", "items")
+def src07_entries(s, d):
+    """Seed documents are written and read back, a row for each hash of an entry."""
+    k, at = F.col("id"), new_folder(s, "seed")
+    about = F.concat(F.lit('about "'), "title", F.lit('"\nand more'))
+    i = src.items(s, d).select(
+        "id", F.array(F.concat(F.lit("h"), k), F.concat(F.lit("v"), k)).alias("file_hashes"), F.col("size").alias("file_size"), F.when(k % 7 != 0, F.col("size") + 1).alias("page_count"), "title", "publisher",
+        (1990 + F.col("size") % 30).alias("publication_year"), F.when(k % 5 != 0, F.concat(F.lit("G"), k % 3)).alias("game_system"), "product_type", "level_min", "level_max", F.when(k % 2 == 1, about).alias("description"),
+        F.when(k % 3 == 0, F.create_map(F.lit("shop"), F.concat(F.lit("/"), k))).alias("external_links"), F.when(k % 4 == 0, F.array("publisher", "product_type")).alias("tags"),
+    )
+    registry.seed_documents(i, "parts", F.lit("2024-01-01T00:00:00Z")).write.text(at)
+    plain = ["file_size", "page_count", "title", "publisher", "publication_year", "game_system", "product_type", "description", "confidence", "source", "seed_source"]
+    return registry.read_seed(s, at).select(
+        F.explode("file_hashes").alias("hash"), *plain, F.col("level_range.min").alias("low"), F.col("level_range.max").alias("high"), F.try_element_at("external_links", F.lit("shop")).alias("shop"), F.array_join("tags", "|").alias("tags"),
+    )
+
+
 #: Title patterns of the registry with what it knows of them.
 TITLES = [("the", 0.6, 1, "T-the", "en"), ("ein", 0.7, 2, "T-ein", "de"), ("zzzz", 0.95, 3, "T-none", "xx"), ("a", 0.4, 4, "T-a", "xx")]
 
@@ -271,6 +293,25 @@ def txt12(s, d):
     return registry.first_source(o.filter("doc % 2 = 0"), o.filter("doc % 3 = 0"))
 
 
+@query(
+    "txt12_outlines",
+    f"""WITH {catalog.OUTLINE_SQL}, lines AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_partkey) AS k FROM lineitem GROUP BY ALL),
+    told AS (SELECT doc, n AS page, CASE WHEN n % 3 = 1 THEN k || '. ' ELSE '' END || 'Section ' || k AS title FROM lines QUALIFY n >= min(n) FILTER (n % 3 = 0) OVER (PARTITION BY doc)),
+    rows AS (SELECT o.doc, 'outline' AS source, o.seq, o.level, o.title, CASE WHEN o.seq % 5 > 0 THEN o.page END AS page, max(b.seq) AS parent_seq FROM o LEFT JOIN o b ON b.doc = o.doc AND b.seq < o.seq AND b.level < o.level WHERE o.doc % 3 = 0 GROUP BY ALL
+      UNION ALL SELECT doc, 'text', row_number() OVER (PARTITION BY doc ORDER BY page), 1, title, page, NULL FROM told WHERE doc % 3 = 1)
+    SELECT DISTINCT lines.doc, coalesce(source, 'none') AS source, seq::BIGINT AS seq, level::INTEGER AS level, title, page::INTEGER AS page, end_page::INTEGER AS end_page, parent_seq::BIGINT AS parent_seq
+    FROM lines LEFT JOIN (SELECT *, min(page) OVER (PARTITION BY doc ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1 AS end_page FROM rows) USING (doc)""",
+)
+def txt12_outlines(s, d):
+    """Every third document has an outline, with some pages that are none; the next has a contents in its text only, and one in three has neither."""
+    marks = catalog.outline(s, d).filter("doc % 3 = 0").withColumn("title", F.concat(F.lit(" "), "title", F.lit(" "))).withColumn("page", F.when(F.col("seq") % 5 == 0, F.lit(-1)).otherwise(F.col("page")))
+    lines = src.read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page")).agg(F.min("l_partkey").alias("key"))
+    n, key = F.col("page"), F.col("key")
+    entry = F.when(n % 3 == 0, F.concat(F.lit("Section "), key, F.lit(" .... "), n)).when(n % 3 == 1, F.concat(key, F.lit(". Section "), key, F.lit(" "), n)).otherwise(F.concat(F.lit("Section "), key, F.lit("    "), n))
+    text = F.when(F.col("doc") % 3 < 2, F.concat(F.when(n % 3 == 0, "Contents\n").otherwise(""), entry, F.lit("\nplain words"))).otherwise("plain words")
+    return documents.whole_outlines(lines, marks, lines.select("doc", "page", text.alias("text")))
+
+
 @query("snk02_versions", "SELECT p_partkey AS id, p_size + 1 AS size FROM part WHERE p_partkey % 2 = 0")
 def snk02(s, d):
     """Two versions of a table are committed; the second is computed from the first and read back."""
@@ -290,6 +331,41 @@ def snk04(s, d):
     return s.read.parquet(at).filter("content like '%type: monster%'").select("kind", "id", "path")
 
 
+@query("snk04_contents", """SELECT 'monster' AS kind, 'Monsters/' || replace(p_name, ' ', '_') || '-' || p_partkey || '.md' AS path,
+    '---' || chr(10) || 'type: monster' || chr(10) || CASE WHEN p_size % 3 > 0 THEN 'size: Large' || chr(10) ELSE '' END || 'creature_type: ' || p_type || chr(10) || 'ac: ' || p_size || chr(10) || '---' || chr(10) || chr(10) || '# ' || p_name AS content FROM part
+    UNION ALL SELECT 'location', 'Locations/' || n_name || '.md', '---' || chr(10) || 'type: location' || chr(10) || 'number: ' || n_nationkey || chr(10) || '---' || chr(10) || chr(10) || '# ' || n_name || chr(10) || chr(10) || '## Features' || chr(10) || '- one' || chr(10) || '- r' || n_regionkey FROM nation""")
+def snk04_contents(s, d):
+    """Notes of two kinds are stored and read back whole."""
+    at, file = new_folder(s, "vault"), lambda name: F.concat(sanitize(name), F.lit(".md"))
+    parts = src.read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 > 0, "Large").alias("size"), F.col("p_type").alias("creature_type"), F.col("p_size").alias("armor_class"))
+    places = src.read(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("number"), F.array(F.lit("one"), F.concat(F.lit("r"), "n_regionkey")).alias("features"))
+    monsters = entities.notes(parts, "monster").select(F.lit("monster").alias("kind"), F.concat(F.lit("Monsters/"), file(F.concat("name", F.lit("-"), "id"))).alias("path"), "content")
+    locations = entities.notes(places, "location").select(F.lit("location").alias("kind"), F.concat(F.lit("Locations/"), file(F.col("name"))).alias("path"), "content")
+    entities.write_vault(monsters.unionByName(locations), at)
+    return s.read.parquet(at).select("kind", "path", "content")
+
+
+@query(
+    "snk01_extracted",
+    f"""SELECT doc_id AS id, CASE WHEN pages > 0 THEN pages END AS total_pages, '1-' || pages AS pages_extracted, CASE WHEN doc_id % 2 = 0 THEN 'layout' ELSE 'plain' END AS method, length(text) AS char_count, sha256(text) AS sha, low AS is_low_text, low AS auto_marked_art,
+      CASE WHEN doc_id % 5 = 0 THEN 'zine' WHEN low THEN 'Art/Maps' END AS product_type FROM (SELECT *, CASE WHEN c / greatest(pages, 1) < 100 AND c < 500 THEN true END AS low
+      FROM (SELECT *, doc_id % 4 AS pages, length(trim(text, {changes_plan.BLANKS})) AS c FROM documents WHERE doc_id % 9 <> 0))""",
+)
+def snk01(s, d):
+    """Extracted texts are written with what is known of their extraction, and read back; one in nine failed."""
+    at, k = new_folder(s, "texts"), F.col("doc_id")
+    pages = (k % 4).cast("int")
+    given = src.read(s, d, "documents").select(
+        k.alias("id"), F.when(k % 9 != 0, F.col("text")).alias("markdown"), F.struct(F.lit(1).alias("first"), pages.alias("last")).alias("pages"), F.when(pages > 0, pages).alias("total_pages"),
+        F.when(k % 2 == 0, "layout").otherwise("plain").alias("method"), F.when(k % 5 == 0, "zine").otherwise("").alias("product_type"),
+    )
+    done = extraction.extracted(given)
+    src.write_texts(done.select("id", "value"), at)
+    told = F.from_json("value", "markdown string, total_pages bigint, pages_extracted string, method string, char_count bigint, is_low_text boolean, auto_marked_art boolean").alias("v")
+    back = s.read.parquet(at).select("id", told).select("id", "v.*").withColumn("sha", F.sha2("markdown", 256)).drop("markdown")
+    return back.join(done.select("id", "product_type"), "id")
+
+
 @query("src01_listing")
 def src01(s, d):
     return src.listing(s, d, "parquet").select("path", "file_size").filter("file_size > 0")

@@ -98,6 +98,17 @@ def decode_vectors(df: DataFrame, column: str, out: str = "embedding") -> DataFr
     return df.withColumn(out, decode(column))
 
 
+def encode_vectors(df: DataFrame, column: str, out: str = "blob") -> DataFrame:
+    """Arrays to little-endian float32 blobs; null stays null, a null component becomes NaN."""
+    @F.pandas_udf("binary")
+    def encode(vectors: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return df.withColumn(out, encode(column))
+
+
 EXPORT_SCHEMA = (
     "status string, data array<struct<products_id:string, products_name:string, publishers_name:string, p_id:string, "
     "files:array<struct<filename:string>>, product:struct<title:string, files:array<struct<title:string>>>, publisher:struct<title:string>>>"
