@@ -135,3 +135,47 @@ def test_first_arrivals_over_batches(spark, tmp_path):
 def test_path_parts(spark):
     df = spark.createDataFrame([("/a/blog/x.tar.gz",), (None,)], "p string")
     assert [tuple(r) for r in df.select(text.has_part(F.col("p"), "blog"), text.stem(text.base_name(F.col("p")))).collect()] == [(True, "x.tar"), (None, None)]
+
+
+def test_seed_documents_one_a_file_or_one_a_line(spark, tmp_path):
+    import json
+
+    entry = {"file_hashes": ["a", "b"], "file_size": 7, "page_count": None, "title": "T", "publisher": None, "level_range": {"min": None, "max": 3}, "external_links": {}, "tags": ["x"], "confidence": 1.0, "source": "manual", "more": 1}
+    (tmp_path / "seed.json").write_text(json.dumps({"version": "1.0", "generated_at": "now", "source": "s", "products": [entry, entry | {"level_range": None}]}, indent=2))
+    found = registry.read_seed(spark, str(tmp_path / "seed.json"), pretty=True).collect()
+    assert [(r["seed_source"], r["title"], r["level_range"] and tuple(r["level_range"]), r["external_links"], r["game_system"]) for r in found] == [("s", "T", (None, 3), {}, None), ("s", "T", None, {}, None)]
+    rows = spark.createDataFrame([(1, ["h"], "A", None, 0), (2, ["i"], None, None, 4)], "id int, file_hashes array<string>, title string, level_min int, level_max int")
+    docs = registry.seed_documents(rows, "s", F.lit("now"), blocks=1)
+    assert '"level_range":null' in docs.first()["json"] and '"level_range":{"min":null,"max":4}' in docs.first()["json"] and '"tags":[]' in docs.first()["json"]
+    docs.write.text(f"{tmp_path}/lines")
+    assert {r["title"]: (r["file_hashes"], r["confidence"], r["source"]) for r in registry.read_seed(spark, f"{tmp_path}/lines").collect()} == {"A": (["h"], 1.0, "manual"), None: (["i"], 1.0, "manual")}
+    (tmp_path / "bad.json").write_text("{broken")
+    assert registry.read_seed(spark, str(tmp_path / "bad.json")).count() == 0 and registry.seed_documents(rows.limit(0), "s", F.lit("now")).count() == 0
+
+
+def test_extracted_texts(spark):
+    from vellum.operators import extraction
+
+    rows = [(1, "  short ", (1, 2), 2, "plain", ""), (2, "x" * 600, (1, 9), 9, "ocr", None), (3, None, (1, 1), 1, "plain", None), (4, "", None, None, None, "zine")]
+    docs = spark.createDataFrame(rows, "id int, markdown string, pages struct<first:int,last:int>, total_pages int, method string, product_type string")
+    found = {r["id"]: (r["value"], r["product_type"]) for r in extraction.extracted(docs).collect()}
+    assert found[1] == ('{"markdown":"  short ","total_pages":2,"pages_extracted":"1-2","method":"plain","char_count":8,"is_low_text":true,"auto_marked_art":true}', "Art/Maps")
+    assert "is_low_text" not in found[2][0] and found[2][1] is None and 3 not in found and found[4][1] == "zine"
+
+
+def test_states_of_a_snapshot(spark):
+    from vellum.operators import catalog as ops
+
+    old = spark.createDataFrame([("a", 1, "h", 5, False), ("b", 1, "h", 5, True), ("c", 1, "h", None, None), ("d", 1, "h", 9, False), ("e", 1, "h", 5, True), ("f", 1, "h", 5, False)], "path string, size int, hash string, modified_at int, is_missing boolean")
+    new = spark.createDataFrame([("a", 1, "h", 6), ("b", 1, "h", 5), ("c", 1, "h", 5), ("d", 1, "h", 9), ("e", 2, "h", 5), ("g", 1, "h", 1)], "path string, size int, hash string, modified_at int")
+    assert {r[0]: r[1] for r in ops.snapshot_diff(old, new).collect()} == {"a": "touched", "b": "reappeared", "c": "touched", "d": "unchanged", "e": "changed", "f": "missing", "g": "new"}
+
+
+def test_outlines_of_documents_without_any(spark):
+    from vellum.operators import documents as docs
+
+    marks = spark.createDataFrame([(1, 1, 1, " A ", 3), (1, 2, 2, "B", 0), (1, 3, 1, "C", 9)], "doc int, seq int, level int, title string, page int")
+    pages = spark.createDataFrame([(1, 1, "Contents\nX .... 4"), (2, 1, "Contents\nX .... 4\nY .... 6"), (3, 1, None)], "doc int, page int, text string")
+    found = docs.whole_outlines(pages.select("doc"), marks, pages).orderBy("doc", "seq").collect()
+    assert [tuple(r) for r in found] == [(1, "outline", 1, 1, "A", 3, 8, None), (1, "outline", 2, 2, "B", None, 8, 1), (1, "outline", 3, 1, "C", 9, None, None), (2, "text", 1, 1, "X", 4, 5, None), (2, "text", 2, 1, "Y", 6, None, None), (3, "none", None, None, None, None, None, None)]
+    assert docs.whole_outlines(pages.select("doc").limit(0), marks.limit(0), pages.limit(0)).count() == 0

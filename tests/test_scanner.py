@@ -70,3 +70,26 @@ def test_overlap_must_leave_room():
     pieces = [p for _, p in found]
     assert all(text[at : at + len(p)] == p for at, p in found)
     assert all(len(p) <= 300 for p in pieces) and not pieces[-2].endswith(pieces[-1])
+
+
+def test_strides_by_hand(spark):
+    rows = [(1, "ab" * 10), (2, " x "), (3, None), (4, " \n "), (5, "".join(chr(0x1F600 + i) for i in range(23))), (6, "y" * 11), (7, "a" * 8 + " " * 30)]
+    found = {(r["id"], r["chunk_index"]): (r["start"], r["chunk"]) for r in extraction.strides(spark.createDataFrame(rows, "id bigint, text string"), 10, 2).collect()}
+    assert {k[0] for k in found} == {1, 2, 5, 6, 7} and found[2, 0] == (0, " x ") and found[7, 0] == (0, "a" * 8) and (7, 1) not in found
+    for i, text in ((1, rows[0][1]), (5, rows[4][1]), (6, rows[5][1])):
+        starts = [a for a in range(0, len(text), 8) if a == 0 or len(text) - a > 2]
+        assert [found[i, n] for n in range(len(starts))] == [(a, text[a : a + 10]) for a in starts] and (i, len(starts)) not in found
+    with pytest.raises(ValueError):
+        extraction.strides(spark.createDataFrame(rows, "id bigint, text string"), 10, 5)
+
+
+def test_chunks_are_a_lateral_join_and_equal_a_loop(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(["word", " ", ". ", "! ", "\n", "\n\n", "é", "? "], k=rng.randint(0, 900))) for _ in range(40)]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "id bigint, text string")
+    out = extraction.chunks(df, 300, 60)
+    want = {(i, n): cut for i, t in enumerate(texts) for n, cut in enumerate(extraction.cuts(t, 300, 60))}
+    assert {(r["id"], r["chunk_index"]): (r["start"], r["chunk"]) for r in out.collect()} == want and len(want) > 100
+    assert "ArrowEvalPythonUDTF" in out._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        extraction.chunks(df, 300, 200)

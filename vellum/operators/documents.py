@@ -111,7 +111,7 @@ def whole_outlines(documents: DataFrame, outlines: DataFrame, pages: DataFrame)
     place = F.row_number().over(Window.partitionBy("doc").orderBy("page", "pos")).cast("bigint")
     told = found.select("doc", F.lit("text").alias("source"), place.alias("seq"), F.lit(1).alias("level"), "title", F.col("target").alias("page"))
     rows = marks.unionByName(told)
-    parents = outline_parents(rows).select("doc", "seq", "parent_seq")
+    parents = outline_parents(marks).select("doc", "seq", "parent_seq")  # lines of one level have none
     out = documents.select("doc").distinct().join(chapter_ends(rows).join(parents, ["doc", "seq"], "left"), "doc", "left")
     return out.select("doc", F.coalesce("source", F.lit("none")).alias("source"), "seq", "level", "title", "page", "end_page", "parent_seq")
 

@@ -81,16 +81,19 @@ def extracted(docs: DataFrame) -> DataFrame:
 
 
 def hashed_words(texts: list[str], width: int = 64) -> list[list[float]]:
-    """Unit vectors of word counts by hash; a stand-in where no encoder is given."""
-    import zlib
+    """Unit vectors of word counts by hash; a stand-in where no encoder is given. The first 32 bits of a word's MD5 give its place and, by the highest bit, its sign; a text
+    without words is a zero vector."""
+    import hashlib
+    from itertools import chain
 
     import numpy as np
 
+    words = [t.lower().split() for t in texts]
+    flat = list(chain.from_iterable(words))
+    codes = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in set(flat)}
+    h = np.fromiter(map(codes.__getitem__, flat), np.int64, len(flat))
     out = np.zeros((len(texts), width))
-    for row, t in zip(out, texts, strict=True):
-        for w in t.lower().split():
-            h = zlib.crc32(w.encode())
-            row[h % width] += 1 if h >> 31 else -1
+    np.add.at(out, (np.repeat(np.arange(len(words)), [len(w) for w in words]), h % width), np.where(h >> 31, 1, -1))
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norms == 0, 1, norms)).tolist()
 

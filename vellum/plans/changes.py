@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text
 from vellum.operators import catalog as ops, scanner
 from vellum.operators import changes, extraction
-from vellum.plans.catalog import query
+from vellum.plans.catalog import ORACLE_SQL, query
 from vellum.sources import catalog as src
 from vellum.streaming import jobs
 
@@ -198,9 +198,17 @@ def strides(s, d):
     return extraction.strides(src.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("vec01_embed")
+@query(
+    "vec01_embed",
+    f"""WITH c AS ({ORACLE_SQL['txt01_chunks']}), w AS (SELECT id, chunk_index, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT id, chunk_index, unnest(regexp_split_to_array(lower(chunk), '\\s+')) AS w FROM c) WHERE w <> ''),
+    v AS (SELECT id, chunk_index, h % 64 AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS x FROM w GROUP BY ALL), n AS (SELECT id, chunk_index, sqrt(sum(x * x)) AS n FROM v GROUP BY ALL)
+    SELECT id, chunk_index, substring(chunk, 1, 1000) AS chunk_text, string_agg(coalesce(round((x / CASE WHEN n > 0 THEN n ELSE 1 END)::FLOAT::DOUBLE * 1000000)::BIGINT, 0), ',' ORDER BY place) AS embedding
+    FROM c CROSS JOIN (SELECT unnest(range(64)) AS place) LEFT JOIN v USING (id, chunk_index, place) LEFT JOIN n USING (id, chunk_index) GROUP BY id, chunk_index, chunk""",
+)
 def embed(s, d):
-    return extraction.encode(chunks(s, d)).select("id", "chunk_index", F.substring("chunk", 1, 1000).alias("chunk_text"), "embedding")
+    """Vectors are shown in millionths."""
+    shown = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("bigint")), ",")
+    return extraction.encode(chunks(s, d)).select("id", "chunk_index", F.substring("chunk", 1, 1000).alias("chunk_text"), shown.alias("embedding"))
 
 
 @query("stm01_changes", """SELECT user_id AS path, arg_max(event_type, (ts, event_id)) AS kind, arg_max(event_id, (ts, event_id)) AS id FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) <> 'error'""")
@@ -217,7 +225,14 @@ def queue_state(s, d):
     return jobs.queue_state(s, tries)
 
 
-@query("stm04_admission")
+@query(
+    "stm04_admission",
+    """WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS client, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    s AS (SELECT id, client, k, true AS admitted, 0::BIGINT AS wait, [us] AS log FROM e WHERE k = 1 UNION ALL
+      SELECT id, client, k, len(near) < 2, CASE WHEN len(near) < 2 THEN 0 ELSE near[1] + 86400000000 - us END, CASE WHEN len(near) < 2 THEN list_append(near, us) ELSE near END
+      FROM (SELECT e.*, list_filter(s.log, lambda t: t > e.us - 86400000000) AS near FROM s JOIN e ON e.client = s.client AND e.k = s.k + 1))
+    SELECT id, client, admitted, wait FROM s""",
+)
 def admission(s, d):
     at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
     return jobs.admit(s, src.read(s, d, "events").select(F.col("event_id").cast("bigint").alias("id"), F.col("user_id").cast("bigint").alias("client"), at), 2, 86400)
