@@ -179,3 +179,11 @@ def test_outlines_of_documents_without_any(spark):
     found = docs.whole_outlines(pages.select("doc"), marks, pages).orderBy("doc", "seq").collect()
     assert [tuple(r) for r in found] == [(1, "outline", 1, 1, "A", 3, 8, None), (1, "outline", 2, 2, "B", None, 8, 1), (1, "outline", 3, 1, "C", 9, None, None), (2, "text", 1, 1, "X", 4, 5, None), (2, "text", 2, 1, "Y", 6, None, None), (3, "none", None, None, None, None, None, None)]
     assert docs.whole_outlines(pages.select("doc").limit(0), marks.limit(0), pages.limit(0)).count() == 0
+
+
+def test_cards_of_what_is_unknown(spark):
+    row = spark.createDataFrame([(1, None, None, [0, None, 9, 10, 11, 30], [("Bite", "x" * 120), (None, None)])], "id int, name string, armor_class int, abilities array<int>, actions array<struct<name:string,description:string>>")
+    card = entities.encounter_cards(row).first()["card"]
+    assert card == "\n## Unknown\n**AC** ? | **HP** ? | **CR** ?\n\n| STR | DEX | CON | INT | WIS | CHA |\n|:---:|:---:|:---:|:---:|:---:|:---:|\n| — | — | 9 (-1) | 10 (+0) | 11 (+0) | 30 (+10) |\n\n### Actions\n- **Bite**: " + "x" * 100 + "...\n- **Action**: ...\n"
+    assert entities.encounter_cards(row.select("id")).first()["card"].endswith("| — | — | — | — | — | — |\n")
+    assert entities.npc_cards(row.select("id", "name")).first()["card"] == "\n## Unknown\n* * \n\n"

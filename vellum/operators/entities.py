@@ -115,6 +115,35 @@ def score_table(scores: Column) -> Column:
     return F.when(F.size(scores) > 0, F.concat(F.lit(head), F.array_join(F.transform(scores, cell), " | "), F.lit(" |")))
 
 
+def known(rows: DataFrame, field: str) -> Column:
+    """A field as text; null where the rows lack it or it is empty."""
+    return F.nullif(F.col(field).cast("string"), F.lit("")) if field in rows.columns else F.lit(None).cast("string")
+
+
+def encounter_cards(creatures: DataFrame, actions: int = 3, chars: int = 100) -> DataFrame:
+    """(id, card): a creature (id, name and what there is of armor_class, hit_points, challenge_rating, abilities: six scores, actions: array of name and description) in
+    short for play. Unknown figures are question marks, unknown or zero scores dashes; of the first ``actions`` the first ``chars`` characters are shown."""
+    score = lambda x: F.when(F.coalesce(x, F.lit(0)) == 0, "—").otherwise(F.concat(x.cast("string"), F.lit(" ("), F.format_string("%+d", F.floor((x - 10) / 2).cast("bigint")), F.lit(")")))
+    cells = [score(F.get("abilities", F.lit(i))) if "abilities" in creatures.columns else F.lit("—") for i in range(len(ABILITIES))]
+    figures = F.concat_ws(" | ", *(F.concat(F.lit(f"**{label}** "), F.coalesce(known(creatures, f), F.lit("?"))) for label, f in (("AC", "armor_class"), ("HP", "hit_points"), ("CR", "challenge_rating"))))
+    head = f"\n\n| {' | '.join(a.upper() for a in ABILITIES)} |\n|{':---:|' * len(ABILITIES)}\n| "
+    card = F.concat(F.lit("\n## "), F.coalesce(known(creatures, "name"), F.lit("Unknown")), F.lit("\n"), figures, F.lit(head), F.concat_ws(" | ", *cells), F.lit(" |\n"))
+    if "actions" in creatures.columns:
+        line = lambda a: F.concat(F.lit("- **"), F.coalesce(a["name"], F.lit("Action")), F.lit("**: "), F.substring(F.coalesce(a["description"], F.lit("")), 1, chars), F.lit("...\n"))
+        shown = F.array_join(F.transform(F.slice("actions", 1, actions), line), "")
+        card = F.concat(card, F.when(F.size("actions") > 0, F.concat(F.lit("\n### Actions\n"), shown)).otherwise(""))
+    return creatures.select("id", card.alias("card"))
+
+
+def npc_cards(npcs: DataFrame) -> DataFrame:
+    """(id, card): a person (id, name and what there is of race, occupation, role, description, personality, motivation, secret) in short for play; what is unknown is left out."""
+    some = lambda f: F.coalesce(known(npcs, f), F.lit(""))
+    about = F.concat(F.lit("*"), some("race"), F.lit(" "), some("occupation"), F.lit("* "), F.coalesce(F.concat(F.lit("("), known(npcs, "role"), F.lit(")")), F.lit("")), F.lit("\n\n"))
+    parts = [("**Appearance**: ", "description", "\n\n"), ("**Personality**: ", "personality", "\n\n"), ("**Wants**: ", "motivation", "\n\n"), ("> **Secret**: ", "secret", "\n")]
+    told = [F.coalesce(F.concat(F.lit(label), known(npcs, f), F.lit(end)), F.lit("")) for label, f, end in parts]
+    return npcs.select("id", F.concat(F.lit("\n## "), F.coalesce(known(npcs, "name"), F.lit("Unknown")), F.lit("\n"), about, *told).alias("card"))
+
+
 def spells(rows: DataFrame) -> DataFrame:
     """(id, json): spells (id, name, school, casting_time, duration, range and fields of ``SPELL``) as items of a tabletop."""
     some = lambda c: F.coalesce(c, F.lit(""))

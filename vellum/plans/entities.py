@@ -241,3 +241,32 @@ def txt06(s, d):
     credit = F.when(k % 3 == 0, "Written by: Ann Lee, Layout by Someone Else").when(k % 3 == 1, "Designer: Bo Ray and Cy Dee").otherwise("no credits here")
     body = F.concat(credit, F.lit("\n"), F.when(k % 2 == 0, F.concat(F.lit("Copyright "), F.year("o_orderdate"))).otherwise("in 1850"))
     return src.read(s, d, "orders").select(k.alias("id"), docs.author_of(body).alias("author"), text.year_of_text(body).alias("year"))
+
+
+CARD_SCORES = " || ' | ' || ".join(f"CASE WHEN armor_class + {k} = 0 THEN '—' ELSE (armor_class + {k}) || printf(' (%+d)', floor((armor_class + {k} - 10) / 2.0)::BIGINT) END" for k in range(6))
+
+
+@query(
+    "str12_encounter_cards",
+    f"""WITH {CREATURES_SQL} SELECT id, chr(10) || '## ' || name || chr(10) || '**AC** ' || armor_class || ' | **HP** ' || coalesce(hit_points::VARCHAR, '?') || ' | **CR** ?' || chr(10) || chr(10) || '| STR | DEX | CON | INT | WIS | CHA |' || chr(10)
+      || '|:---:|:---:|:---:|:---:|:---:|:---:|' || chr(10) || '| ' || {CARD_SCORES} || ' |' || chr(10) || CASE WHEN id % 4 > 0 THEN chr(10) || '### Actions' || chr(10) || (SELECT string_agg('- **' || CASE WHEN k = 2 THEN 'Action' ELSE 'A' || k END
+      || '**: ' || repeat(name || ' ', 8)[:100] || '...' || chr(10), '' ORDER BY k) FROM range(1, least(id % 4 + 2, 4)) r(k)) ELSE '' END AS card FROM creatures""",
+)
+def encounter_cards(s, d):
+    """Creatures with none to four actions, one of them without a name."""
+    action = lambda k: F.struct(F.when(k != 2, F.concat(F.lit("A"), k)).alias("name"), F.repeat(F.concat("name", F.lit(" ")), 8).alias("description"))
+    given = F.when(F.col("id") % 4 > 0, F.transform(F.sequence(F.lit(1), (F.col("id") % 4 + 1).cast("int")), action))
+    return entities.encounter_cards(creatures(s, d).withColumn("actions", given))
+
+
+@query(
+    "str12_npc_cards",
+    """SELECT c_custkey AS id, chr(10) || '## ' || c_name || chr(10) || '*' || CASE WHEN c_custkey % 2 = 0 THEN 'elf' ELSE '' END || ' smith* ' || CASE WHEN c_custkey % 3 > 0 THEN '(' || c_mktsegment || ')' ELSE '' END || chr(10) || chr(10)
+      || CASE WHEN c_custkey % 5 > 0 THEN '**Appearance**: tall' || chr(10) || chr(10) ELSE '' END || '**Wants**: ' || c_nationkey || chr(10) || chr(10) || CASE WHEN c_custkey % 7 = 0 THEN '> **Secret**: none' || chr(10) ELSE '' END AS card FROM customer""",
+)
+def npc_cards(s, d):
+    k = F.col("c_custkey")
+    return entities.npc_cards(src.read(s, d, "customer").select(
+        k.alias("id"), F.col("c_name").alias("name"), F.when(k % 2 == 0, "elf").otherwise("").alias("race"), F.lit("smith").alias("occupation"), F.when(k % 3 > 0, F.col("c_mktsegment")).alias("role"),
+        F.when(k % 5 > 0, "tall").alias("description"), F.col("c_nationkey").alias("motivation"), F.when(k % 7 == 0, "none").alias("secret"),
+    ))
