@@ -71,3 +71,13 @@ def test_missing_rows_keep_their_time_and_return(spark):
     p = spark.createDataFrame([(1, "a", False, None), (2, "b", True, 5), (3, "c", True, 6)], "id int, file_path string, is_missing boolean, missing_since int")
     found = changes.mark_missing(p, spark.createDataFrame([("c",), ("c",)], "path string"), F.lit(9)).collect()
     assert {r["id"]: (r["is_missing"], r["missing_since"]) for r in found} == {1: (True, 9), 2: (True, 5), 3: (False, None)}
+
+
+def test_credits_of_a_text_are_told_once(spark, tmp_path):
+    """txt06_text_metadata takes author and year from the line it adds, so a credit in the text itself is not told beside it."""
+    from vellum.plans.documents import text_metadata
+
+    rows = [(0, "the tale by Max Brod and others"), (1, "plain"), (3, "by Max Brod")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["id"]: (r["author"], r["told"]) for r in text_metadata(spark, str(tmp_path)).collect()}
+    assert found == {0: ("Jane Doe", "system,author,year"), 1: ("Ann Lee and Bo Ray-Smith", "author"), 3: ("Jane Doe", "author")}
