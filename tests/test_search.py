@@ -42,6 +42,17 @@ def test_index_takes_changes(spark, tmp_path):
         assert {r["id"]: round(r["score"], 6) for r in keyword_index.Search(spark, f"{tmp_path}/j", query).hits().collect()} == scan(later, ["a", "b"], query)
 
 
+def test_index_holds_a_word_of_a_document_once(spark, tmp_path):
+    """The postings do not grow with the length of the words: prefixes have figures only, and no table of all prefixes is written on the way."""
+    words = ["extraordinarily", "extraordinary", "extra", "be", "x" * 40]
+    df = spark.createDataFrame([(i, " ".join(words[: i % 6])) for i in range(60)], "id bigint, a string")
+    keyword_index.write(df, ["a"], f"{tmp_path}/i")
+    stored = spark.read.parquet(f"{tmp_path}/i/postings")
+    assert stored.selectExpr("sum(size(ids))").first()[0] == sum(i % 6 for i in range(60))
+    assert {r["key"] for r in stored.filter("kind = 'prefixes'").collect()} == {w[:i] for w in words for i in range(1, min(len(w), keyword_index.CAP) + 1)}
+    assert sorted(f.name for f in tmp_path.joinpath("i").iterdir()) == ["classes", "counts", "postings", "totals"]
+
+
 def test_empty_index(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, " ;")], "id bigint, a string")
     keyword_index.write(df, ["a"], f"{tmp_path}/i")

@@ -1,47 +1,52 @@
 """A stored keyword index: blocks of postings with their greatest weights, and ranked search that leaves out blocks which cannot enter.
 
-Every word of a query is a prefix and words are alternatives, so the index is keyed by prefix: each of up to ``CAP`` characters of every word, and words longer than that
-whole. A block holds the postings (id, length, count) of one prefix in some ``BLOCK`` documents of about equal length, with the highest count and the smallest
-length, from which the greatest BM25 weight follows for any average length: the index needs no rewrite when the average moves. As documents of one block have like
-lengths, weights differ between blocks, and ranked search reads few of them.
+Every word of a query is a prefix and words are alternatives. Documents are dealt to blocks, some ``BLOCK`` documents of about equal length each. For every block the
+index has the postings (id, length, count) of each whole word, and for each prefix of up to ``CAP`` characters only the number of documents, the highest count and the
+smallest length, from which the greatest BM25 weight follows for any average length: the index needs no rewrite when the average moves. As
+documents of one block have like lengths, weights differ between blocks, and ranked search reads few of them. The same of a query's longer words, which begin few words, is added up from these
+words' postings.
 
-Tables under ``root``: ``postings`` (shard, key, block, n, max_tf, min_len, postings) sorted by key, ``documents`` (id, len, block), ``classes`` (the number of blocks
-of each class of lengths) and ``totals`` (one row). Documents without words are not in the index.
+Texts are counted once, documents go to the tasks of their blocks, and a block is inverted there; postings are never rows of a shuffle.
+
+Tables under ``root``: ``postings`` (kind, shard, key, block and, for a prefix, n, max_tf, min_len, for a word ids, lens, tfs) sorted by key, ``counts`` (id, len, words, tfs), ``classes``
+(the number of blocks of each class of lengths) and ``totals`` (one row). Documents without words are not in the index.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.text import tokens
 from vellum.operators import search
 
-CAP, BLOCK, SHARDS = 16, 1024, 64
+#: Documents of a block, and words of a block whose documents are long; blocks inverted by one task.
+CAP, BLOCK, WORDS, TASK, SHARDS = 4, 1024, 1 << 20, 32, 16
 #: Changes with the tables' columns, so that stored ones of another layout are not taken for these.
-LAYOUT = 1
+LAYOUT = 2
 #: Blocks scored first, to know what a hit has to beat, and so many at most are named in the scan's filter.
 FIRST, NAMED = 16, 1000
-POSTING = "array<struct<id:bigint,len:int,tf:bigint>>"
-STORED = f"key string, block bigint, n bigint, max_tf bigint, min_len int, postings {POSTING}, shard int"
+BLOCKS = "kind string, key string, block bigint, n bigint, max_tf bigint, min_len int, ids array<bigint>, lens array<int>, tfs array<int>"
+STORED = f"{BLOCKS}, shard int"
 
 
 def shard_of(key: Column) -> Column:
-    """Keys that begin with the same two characters share a shard."""
-    return (F.crc32(F.substring(key, 1, 2)) % SHARDS).cast("int")
+    """Keys that begin with the same character share a shard."""
+    return (F.crc32(F.substring(key, 1, 1)) % SHARDS).cast("int")
 
 
-def occurrences(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """(key, id, len, tf) of whole texts. Words are counted and cut to prefixes document by document within a batch, so nothing is shuffled."""
+def counted(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, len, words, tfs) of whole texts: the number of words, the different words and how often each stands there. Texts without words are left out."""
     text = F.concat_ws(" ", *(F.coalesce(F.col(f), F.lit("")) for f in fields))
-    words = docs.select(F.col("id").cast("bigint").alias("id"), tokens(text).alias("t"))
+    words = docs.select(F.col("id").cast("bigint").alias("id"), tokens(text).alias("t")).filter("size(t) > 0")
 
     def count(batches):
         for batch in batches:
@@ -50,26 +55,14 @@ def occurrences(docs: DataFrame, fields: list[str]) -> DataFrame:
                 lists = part.column("t")
                 length = np.diff(lists.offsets.to_numpy())
                 coded = lists.flatten().dictionary_encode()
-                vocabulary = coded.dictionary.to_pylist()
-                # All prefixes of the different words, and which words have which.
-                keys, begins = {}, []
-                for w in vocabulary:
-                    own = [w[:i] for i in range(1, min(len(w), CAP) + 1)]
-                    begins.append([keys.setdefault(p, len(keys)) for p in (own + [w] if len(w) > CAP else own)])
-                size = np.fromiter(map(len, begins), np.int64, len(begins))
-                flat = np.fromiter((p for b in begins for p in b), np.int64, int(size.sum()))
-                first = np.cumsum(size) - size
                 word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                pair, tf = np.unique(np.repeat(np.arange(part.num_rows), length) * len(vocabulary) + word, return_counts=True)
-                row, word = np.divmod(pair, len(vocabulary))
-                n = size[word]
-                at = np.repeat(first[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                pair, of = np.unique(np.repeat(row, n) * len(keys) + flat[at], return_inverse=True)
-                total = np.bincount(of, weights=np.repeat(tf, n)).astype(np.int64)
-                row, key = np.divmod(pair, len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.string()).take(pa.array(key)), part.column("id").take(pa.array(row)), pa.array(length[row].astype(np.int32)), pa.array(total)], names=["key", "id", "len", "tf"])
+                pair, tf = np.unique(np.repeat(np.arange(part.num_rows), length) * len(coded.dictionary) + word, return_counts=True)
+                row, word = np.divmod(pair, len(coded.dictionary))
+                at = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+                own, often = pa.ListArray.from_arrays(at, coded.dictionary.take(pa.array(word))), pa.ListArray.from_arrays(at, pa.array(tf.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(length.astype(np.int32)), own, often], names=["id", "len", "words", "tfs"])
 
-    return words.mapInArrow(count, "key string, id bigint, len int, tf bigint")
+    return words.mapInArrow(count, "id bigint, len int, words array<string>, tfs array<int>")
 
 
 def class_of(length: Column) -> Column:
@@ -83,47 +76,69 @@ def in_blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.withColumn("class", class_of(F.col("len"))).join(F.broadcast(classes), "class", "left").withColumn("block", F.col("class") * (1 << 40) + share).drop("class", "shares")
 
 
-def blocks_of(rows: DataFrame) -> DataFrame:
-    """Blocks of rows (key, block, id, len, tf), sorted by shard, key and block across all partitions."""
+def inverted(block: int, docs: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The stored rows of one block of documents (id, len, words, tfs): its words, then its prefixes."""
+    lists, often = docs.column("words").combine_chunks(), docs.column("tfs").combine_chunks()
+    ids, length = docs.column("id").to_numpy(), docs.column("len").to_numpy()
+    row = np.repeat(np.arange(docs.num_rows), np.diff(lists.offsets.to_numpy()))
+    coded = lists.flatten().dictionary_encode()
+    word, tf = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), often.flatten().to_numpy()
+    order = np.argsort(word, kind="stable")
+    row, word, tf = row[order], word[order], tf[order]
+    at = pa.array(np.searchsorted(word, np.arange(len(coded.dictionary) + 1)).astype(np.int32))
+    yield stored("words", coded.dictionary, block, postings=[pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids[row], length[row], tf)])
+    # All prefixes of the different words, and which words have which.
+    keys, begins = {}, []
+    for w in coded.dictionary.to_pylist():
+        begins.append([keys.setdefault(w[:i], len(keys)) for i in range(1, min(len(w), CAP) + 1)])
+    size = np.fromiter(map(len, begins), np.int64, len(begins))
+    flat = np.fromiter((p for b in begins for p in b), np.int64, int(size.sum()))
+    n = size[word]
+    at = np.repeat((np.cumsum(size) - size)[word] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    pair = flat[at] * docs.num_rows + np.repeat(row, n)
+    order = np.argsort(pair)
+    pair = pair[order]
+    new = np.flatnonzero(np.diff(pair, prepend=-1))
+    total = np.add.reduceat(np.repeat(tf, n)[order].astype(np.int64), new)
+    key, row = np.divmod(pair[new], docs.num_rows)
+    at = np.searchsorted(key, np.arange(len(keys) + 1))
+    bounds = [pa.array(np.diff(at)), pa.array(np.maximum.reduceat(total, at[:-1])), pa.array(np.minimum.reduceat(length[row], at[:-1]))]
+    yield stored("prefixes", pa.array(list(keys), pa.string()), block, bounds=bounds)
+
+
+def stored(kind: str, keys: pa.Array, block: int, bounds: list | None = None, postings: list | None = None) -> pa.RecordBatch:
+    none = lambda *types: [pa.nulls(len(keys), t) for t in types]
+    columns = [pa.repeat(pa.scalar(kind), len(keys)), keys, pa.repeat(pa.scalar(block, pa.int64()), len(keys))]
+    columns += (bounds or none(pa.int64(), pa.int64(), pa.int32())) + (postings or none(pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())))
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "block", "n", "max_tf", "min_len", "ids", "lens", "tfs"])
+
+
+def blocks_of(documents: DataFrame, n_blocks: int) -> DataFrame:
+    """The stored rows of documents (id, len, words, tfs, block). Whole blocks meet in a task, some ``TASK`` of them."""
 
     def fold(batches):
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
-            at = starts(t)
-            held = t.slice(at[-2])  # the last group may go on in the next batch
-            if len(at) > 2:
-                yield listed(t.slice(0, at[-2]), at[:-1])
+            t = t if held is None else pa.concat_tables([held, t])
+            block = t.column("block").to_numpy()
+            at = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist()]
+            for low, high in pairwise(at):
+                yield from inverted(int(block[low]), t.slice(low, high - low))
+            held = t.slice(at[-1])  # the last block may go on in the next batch
         if held is not None and held.num_rows:
-            yield listed(held.combine_chunks(), starts(held))
-
-    def starts(t: pa.Table) -> np.ndarray:
-        key, block = t.column("key").combine_chunks(), t.column("block").to_numpy()
-        new = np.ones(t.num_rows, bool)
-        if t.num_rows > 1:
-            new[1:] = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False) | (np.diff(block) != 0)
-        return np.append(np.flatnonzero(new), t.num_rows)
+            yield from inverted(held.column("block")[0].as_py(), held)
 
-    def listed(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
-        id_, length, tf = (t.column(c).combine_chunks() for c in ("id", "len", "tf"))
-        first = pa.array(at[:-1])
-        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([id_, length, tf], ["id", "len", "tf"]))
-        most, least = np.maximum.reduceat(tf.to_numpy(), at[:-1]), np.minimum.reduceat(length.to_numpy(), at[:-1])
-        columns = [t.column("key").take(first).combine_chunks(), t.column("block").take(first).combine_chunks(), pa.array(np.diff(at)), pa.array(most), pa.array(least), lists, t.column("shard").take(first).combine_chunks()]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "block", "n", "max_tf", "min_len", "postings", "shard"])
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-n_blocks // TASK), min(n_blocks, cores), 1)
+    return documents.select("block", "id", "len", "words", "tfs").repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(fold, BLOCKS).withColumn("shard", shard_of(F.col("key")))
 
-    given = rows.select(shard_of(F.col("key")).alias("shard"), "key", "block", F.col("id").cast("bigint").alias("id"), F.col("len").cast("int").alias("len"), F.col("tf").cast("bigint").alias("tf"))
-    order = ["shard", "key", "block"]
-    return given.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(fold, STORED)
 
-
-def store(blocks: DataFrame, documents: DataFrame, classes: DataFrame, root: str) -> None:
-    blocks.write.partitionBy("shard").parquet(f"{root}/postings")
-    documents.write.parquet(f"{root}/documents")
-    classes.write.parquet(f"{root}/classes")
-    stored = documents.sparkSession.read.parquet(f"{root}/documents")
-    stored.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")).write.parquet(f"{root}/totals")
+def store(blocks: DataFrame, root: str) -> None:
+    """Write the blocks and the totals of the counts that lie there."""
+    blocks.sortWithinPartitions("kind", "shard", "key", "block").write.partitionBy("kind", "shard").parquet(f"{root}/postings")
+    counts = blocks.sparkSession.read.parquet(f"{root}/counts")
+    counts.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")).write.parquet(f"{root}/totals")
 
 
 def spread(docs: DataFrame) -> DataFrame:
@@ -135,27 +150,28 @@ def spread(docs: DataFrame) -> DataFrame:
 def write(docs: DataFrame, fields: list[str], root: str) -> None:
     """Index documents (id and text fields; ids are distinct)."""
     spark = docs.sparkSession
-    occurrences(spread(docs.select("id", *fields)), fields).write.parquet(f"{root}/occurrences")
-    rows = spark.read.parquet(f"{root}/occurrences")
-    # Every document has a key of one character.
-    documents = rows.filter(F.length("key") == 1).groupBy("id").agg(F.first("len").alias("len"))
-    classes = documents.groupBy(class_of(F.col("len")).alias("class")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("shares"))
-    classes.write.parquet(f"{root}/classes0")
-    classes = spark.read.parquet(f"{root}/classes0")
-    store(blocks_of(in_blocks(rows, classes)), in_blocks(documents, classes), classes, root)
+    counted(spread(docs.select("id", *fields)), fields).write.parquet(f"{root}/counts")
+    counts = spark.read.parquet(f"{root}/counts")
+    shares = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("len") / WORDS))
+    counts.groupBy(class_of(F.col("len")).alias("class")).agg(shares.alias("shares")).write.parquet(f"{root}/classes")
+    classes = spark.read.parquet(f"{root}/classes")
+    store(blocks_of(in_blocks(counts, classes), classes.agg(F.sum("shares")).first()[0] or 0), root)
 
 
 def update(spark: SparkSession, old: str, new: str, docs: DataFrame, fields: list[str], gone: DataFrame) -> None:
-    """A new version of an index: ``docs`` replace the documents of their ids, and ``gone`` (id) are taken out. Only ``docs`` and the blocks of documents that change are opened."""
-    classes, documents, postings = (spark.read.parquet(f"{old}/{t}") for t in ("classes", "documents", "postings"))
+    """A new version of an index: ``docs`` replace the documents of their ids, and ``gone`` (id) are taken out. Only texts of ``docs`` are counted and only blocks of documents that change made anew."""
+    classes, before, postings = (spark.read.parquet(f"{old}/{t}") for t in ("classes", "counts", "postings"))
+    classes.write.parquet(f"{new}/classes")
+    added = counted(spread(docs.select("id", *fields)), fields)
     out = gone.select("id").unionByName(docs.select("id")).distinct()
-    touched = documents.join(out, "id", "left_semi").select("block").distinct()
-    added = in_blocks(occurrences(docs, fields), classes)
-    more = added.filter(F.length("key") == 1).groupBy("id").agg(F.first("len").alias("len"), F.first("block").alias("block"))
-    changed = touched.unionByName(more.select("block")).distinct()
-    opened = postings.join(changed, "block", "left_semi").select("key", "block", F.inline("postings")).join(out, "id", "left_anti")
-    blocks = postings.join(changed, "block", "left_anti").unionByName(blocks_of(opened.unionByName(added.select("key", "block", "id", "len", "tf"))))
-    store(blocks, documents.join(out, "id", "left_anti").unionByName(more.select("id", "len", "block")), classes, new)
+    before.join(out, "id", "left_anti").unionByName(added).write.parquet(f"{new}/counts")
+    after = in_blocks(spark.read.parquet(f"{new}/counts"), classes)
+    touched = in_blocks(before.select("id", "len"), classes).join(out, "id", "left_semi").select("block")
+    more = after.select("id", "block").join(docs.select("id"), "id", "left_semi").select("block")
+    changed = F.broadcast(touched.unionByName(more).distinct())  # a row for some BLOCK documents
+    kept = postings.join(changed, "block", "left_anti").select(*spark.read.schema(STORED).parquet(f"{old}/postings").columns)
+    made = blocks_of(after.join(changed, "block", "left_semi"), after.select("block").distinct().count())
+    store(kept.unionByName(made), new)
 
 
 @dataclass
@@ -167,33 +183,38 @@ class Search:
     query: str
 
     def __post_init__(self):
-        self.words = search.query_words(self.query)
-        short, long = [w for w in self.words if len(w) <= CAP], [w for w in self.words if len(w) > CAP]
-        rows = self.spark.read.schema(STORED).parquet(f"{self.root}/postings").filter(F.col("shard").isin(sorted({zlib.crc32(w[:2].encode()) % SHARDS for w in self.words})))
-        self.rows = rows.filter(F.col("key").isin(short)).select(F.col("key").alias("word"), "block", "n", "max_tf", "min_len", "postings")
-        if long:  # a longer word stands for all whole words that it begins, whose postings are added up first
-            any_word = reduce(lambda a, b: a | b, (F.col("key").startswith(w) for w in long))
-            word = F.explode(F.filter(F.array(*(F.when(F.col("key").startswith(w), F.lit(w)) for w in long)), lambda w: w.isNotNull()))
-            found = rows.filter(any_word & (F.length("key") > CAP)).select("block", "postings", word.alias("key")).select("key", "block", F.inline("postings"))
-            summed = blocks_of(found.groupBy("key", "block", "id", "len").agg(F.sum("tf").alias("tf")))
-            self.rows = self.rows.unionByName(summed.select(F.col("key").alias("word"), "block", "n", "max_tf", "min_len", "postings"))
+        words = search.query_words(self.query)
+        short, long = [w for w in words if len(w) <= CAP], [w for w in words if len(w) > CAP]
+        rows = self.spark.read.schema(STORED).parquet(f"{self.root}/postings").filter(F.col("shard").isin(sorted({zlib.crc32(w[:1].encode()) % SHARDS for w in words})))
+        any_word = reduce(lambda a, b: a | b, (F.startswith("key", F.lit(w)) for w in words), F.lit(False))
+        self.rows = rows.filter((F.col("kind") == "words") & any_word).select("key", "block", "ids", "lens", "tfs")
+        self.blocks = rows.filter((F.col("kind") == "prefixes") & F.col("key").isin(short)).select(F.col("key").alias("word"), "block", "n", "max_tf", "min_len")
+        for w in long:  # a longer word stands for all whole words that it begins, whose postings are added up
+            each = self.postings(self.rows.filter(F.startswith("key", F.lit(w)))).groupBy("block", "id").agg(F.sum("tf").alias("tf"), F.min("len").alias("len"))
+            self.blocks = self.blocks.unionByName(each.groupBy(F.lit(w).alias("word"), "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len")))
         totals = self.spark.read.schema("n_docs bigint, avg_len double").parquet(f"{self.root}/totals").first()
-        counts = {r["word"]: r["n"] for r in self.rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per word of the query
+        counts = {r["word"]: r["n"] for r in self.blocks.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per word of the query
         self.n_docs, self.average = totals["n_docs"], totals["avg_len"] or 1.0
-        self.words = [w for w in self.words if w in counts]
+        self.words = [w for w in words if w in counts]
         self.counts = counts
 
-    def weighted(self, tf: str, length: str) -> Column:
-        rare = [F.when(F.col("word") == w, search.idf(F.lit(self.n_docs), F.lit(self.counts[w]))) for w in self.words]
-        return F.coalesce(*rare, F.lit(0.0)) * search.weight(F.col(tf), F.col(length), F.lit(self.average))
+    def postings(self, rows: DataFrame) -> DataFrame:
+        """(key, block, id, len, tf)"""
+        return rows.select("key", "block", F.inline(F.arrays_zip("ids", "lens", "tfs"))).toDF("key", "block", "id", "len", "tf")
+
+    def idf(self, word: str) -> Column:
+        return search.idf(F.lit(self.n_docs), F.lit(self.counts[word]))
 
     def found(self) -> bool:
         """Whether any document has a word of the query; known from the blocks' counts."""
         return bool(self.words)
 
     def score(self, rows: DataFrame) -> DataFrame:
-        each = rows.select("word", F.inline("postings")).withColumn("part", self.weighted("tf", "len"))
-        return each.groupBy("id").agg(F.sum("part").alias("score"))
+        """(id, score): the counts of the words that a word of the query begins are added up before they are weighed."""
+        tfs = [F.sum(F.when(F.startswith("key", F.lit(w)), F.col("tf"))).alias(f"tf{i}") for i, w in enumerate(self.words)]
+        each = self.postings(rows).groupBy("id").agg(F.min("len").alias("len"), *tfs)
+        parts = [F.coalesce(self.idf(w) * search.weight(F.col(f"tf{i}"), F.col("len"), F.lit(self.average)), F.lit(0.0)) for i, w in enumerate(self.words)]
+        return each.select("id", reduce(lambda a, b: a + b, parts, F.lit(0.0)).alias("score"))
 
     def hits(self) -> DataFrame:
         """(id, score) of all documents with a word of the query."""
@@ -201,7 +222,8 @@ class Search:
 
     def bounds(self) -> DataFrame:
         """(block, bound): no document of a block scores higher."""
-        return self.rows.withColumn("part", self.weighted("max_tf", "min_len")).groupBy("block").agg(F.sum("part").alias("bound"))
+        part = F.coalesce(*(F.when(F.col("word") == w, self.idf(w)) for w in self.words), F.lit(0.0)) * search.weight(F.col("max_tf"), F.col("min_len"), F.lit(self.average))
+        return self.blocks.withColumn("part", part).groupBy("block").agg(F.sum("part").alias("bound"))
 
     def top(self, k: int, shown: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
         """The best ``k`` (id, score, columns of ``shown``) among ``shown`` by score to six decimals, then id; and how many blocks there are and were read.
@@ -218,7 +240,7 @@ class Search:
         if len(named) <= NAMED:
             rows, read = self.rows.filter(F.col("block").isin(first + named)), len(first) + len(named)
         else:
-            rows, read = self.rows.join(rest.unionByName(self.rows.filter(F.col("block").isin(first)).select("block").distinct()), "block", "left_semi"), len(first) + rest.count()
+            rows, read = self.rows.join(rest.unionByName(bounds.filter(F.col("block").isin(first)).select("block")), "block", "left_semi"), len(first) + rest.count()
         return search.best_hits(kept(self.score(rows)), k), {"blocks": bounds.count(), "read": read}
 
 
