@@ -93,3 +93,11 @@ def test_chunks_are_a_lateral_join_and_equal_a_loop(spark):
     assert "ArrowEvalPythonUDTF" in out._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         extraction.chunks(df, 300, 200)
+
+
+def test_pages_of_a_small_file_go_to_all_tasks(spark):
+    """One file of many short rows is one split, whose pages one task would scan."""
+    pages = spark.range(40).coalesce(1).selectExpr("id", "concat('Finds (d4)\n1. one ', id, '\n2. two') as text")
+    found = scanner.table_entries(pages)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {(r["id"], r["low"], r["result"]) for r in found.collect()} == {(i, n, f"one {i}" if n == 1 else "two") for i in range(40) for n in (1, 2)}

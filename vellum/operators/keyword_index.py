@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import tokens
 from vellum.operators import search
+from vellum.sources.shared import spread
 
 #: Documents of a block, and words of a block whose documents are long; blocks inverted by one task.
 CAP, BLOCK, WORDS, TASK, SHARDS = 4, 1024, 1 << 20, 32, 16
@@ -141,12 +142,6 @@ def store(blocks: DataFrame, root: str) -> None:
     counts.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")).write.parquet(f"{root}/totals")
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """A table that fills fewer splits than there are cores is dealt to all of them; it is small then."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-
-
 def write(docs: DataFrame, fields: list[str], root: str) -> None:
     """Index documents (id and text fields; ids are distinct)."""
     spark = docs.sparkSession

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators.keyword_index import spread
+from vellum.sources.shared import spread
 
 #: Bits for each different trigram, before rounding up to a power of two, and longs of the largest bitmap.
 BITS, MOST = 8, 1 << 15
