@@ -34,3 +34,16 @@ def test_progress_equals_counts(spark, tmp_path):
     rows, told = jobs.watched(spark, stream, {"seen": F.count(F.lit(1)), "failed": F.count_if("bad")})
     counted = {r["batch"]: (r["seen"], r["failed"]) for r in rows.groupBy("batch").agg(F.count(F.lit(1)).alias("seen"), F.count_if("bad").alias("failed")).collect()}
     assert {r["batch"]: (r["seen"], r["failed"]) for r in told.collect()} == counted and len(counted) == 4
+
+
+def test_clients_share_a_state(spark):
+    """Many clients, null too, meet in few states, and each is admitted by its own times only."""
+    rows = [(i, i % 7 or None, 1_000_000 * (i * 37 % 200)) for i in range(200)]
+    wanted, logs = {}, {}
+    for i, client, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        log = logs[client] = [t for t in logs.get(client, []) if t > at - 60_000_000]
+        wanted[i] = (client, len(log) < 2, 0 if len(log) < 2 else log[0] + 60_000_000 - at)
+        if wanted[i][1]:
+            log.append(at)
+    found = jobs.admit(spark, spark.createDataFrame(rows, "id bigint, client bigint, at bigint"), 2, 60, spans=2, buckets=2).collect()
+    assert {r["id"]: (r["client"], r["admitted"], r["wait"]) for r in found} == wanted and len(found) == 200

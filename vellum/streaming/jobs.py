@@ -21,6 +21,14 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from vellum.sources.shared import new_folder
 
 
+#: Keys are grouped by hash into so many states, as a call of a Python state function costs as much as many rows.
+BUCKETS = 1024
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+
+
 def arriving(spark: SparkSession, sf_dir: str, name: str, files: int = 8) -> DataFrame:
     """A table as a stream of its files. The pattern matches the name alone; a plain path has to be a folder, and a table may be one file."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -91,26 +99,31 @@ def queue_state(spark: SparkSession, outcomes: DataFrame, most: int = 3, spans:
     return found.groupBy("item").agg(F.max_by(F.struct("status", "attempts"), "batch").alias("s")).select("item", "s.status", "s.attempts")
 
 
-def admit(spark: SparkSession, requests: DataFrame, limit: int, seconds: int, spans: int = 4) -> DataFrame:
+def admit(spark: SparkSession, requests: DataFrame, limit: int, seconds: int, spans: int = 4, buckets: int = BUCKETS) -> DataFrame:
     """(id, client, admitted, wait) of requests (id, client, at in microseconds): admitted while fewer than ``limit`` were admitted in the last
-    ``seconds``; ``wait`` is the time until one would be. The state of a client holds at most ``limit`` times. A table is fed in spans of
+    ``seconds``; ``wait`` is the time until one would be. Clients share the state of a bucket, which holds at most ``limit`` times of each. A table is fed in spans of
     time; in a stream, requests of a client must not arrive in a batch before older ones."""
     window = seconds * 1_000_000
 
     def check(key, frames, state):
-        log = list(state.get[0]) if state.exists else []
+        logs: dict[str | None, list[int]] = {}
+        for client, at in zip(*state.get, strict=True) if state.exists else ():
+            logs.setdefault(client, []).append(at)
         rows, admitted, wait = pd.concat(frames).sort_values(["at", "id"]), [], []
-        for at in rows["at"].tolist():
-            log = [t for t in log if t > at - window]
+        for client, at in zip(rows["client"].tolist(), rows["at"].tolist(), strict=True):
+            log = [t for t in logs.get(client, ()) if t > at - window]
             admitted.append(len(log) < limit)
             wait.append(0 if admitted[-1] else log[0] + window - at)
             if admitted[-1]:
                 log.append(at)
-        state.update((log,))
-        yield pd.DataFrame({"id": rows["id"], "client": key[0], "admitted": admitted, "wait": wait})
+            logs[client] = log
+        state.update(([c for c, log in logs.items() for _ in log], [t for log in logs.values() for t in log]))
+        yield pd.DataFrame({"id": rows["id"], "client": rows["client"], "admitted": admitted, "wait": wait})
 
     def job(stream: DataFrame) -> DataFrame:
-        return stream.groupBy("client").applyInPandasWithState(check, "id bigint, client bigint, admitted boolean, wait bigint", "log array<bigint>", "append", GroupStateTimeout.NoTimeout)
+        given = stream.select("id", F.col("client").cast("string").alias("client"), "at", bucket_of("client", buckets))
+        made = given.groupBy("bucket").applyInPandasWithState(check, "id bigint, client string, admitted boolean, wait bigint", "client array<string>, at array<bigint>", "append", GroupStateTimeout.NoTimeout)
+        return made.withColumn("client", F.col("client").cast("bigint"))
 
     return (drain(spark, job(requests)) if requests.isStreaming else drain_in_order(spark, requests, "at", job, spans)).drop("batch")
 
@@ -134,32 +147,42 @@ def first_arrivals(spark: SparkSession, rows: DataFrame, key: list[str], order:
 
 
 class FirstSeen(StatefulProcessor):
-    """Lets the first row of a key through and forgets the key ``keep`` seconds of event time after it, by a timer; the state of a key is one flag."""
+    """Lets the first row of a key through and forgets the key ``keep`` seconds of event time after it. Keys share the state of a bucket, a time for each; a timer of the bucket
+    drops what has expired."""
 
     def __init__(self, keep: int):
-        self.keep = keep
+        self.keep = 1000 * keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "since bigint")
+        self.seen = handle.getValueState("seen", "fingerprints array<string>, since array<bigint>")
+
+    def known(self) -> dict[str | None, int]:
+        return dict(zip(*self.seen.get(), strict=True)) if self.seen.exists() else {}
+
+    def hold(self, seen: dict[str | None, int]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if seen:
+            self.seen.update((list(seen), list(seen.values())))
+            self.handle.registerTimer(min(seen.values()) + self.keep)
+        else:
+            self.seen.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for first in [pd.concat(list(rows)).sort_values(["at", "id"])]:
-            out, since = [], self.seen.get()[0] if self.seen.exists() else None
-            for row in first.itertuples():
-                at = int(row.at.timestamp() * 1000)
-                if since is None or at >= since + 1000 * self.keep:
-                    since = at
-                    out.append(row.id)
-            if since is not None and out:
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                self.seen.update((since,))
-                self.handle.registerTimer(since + 1000 * self.keep)
-            yield pd.DataFrame({"id": out, "fingerprint": [key[0]] * len(out)}).astype({"id": "int64", "fingerprint": "object"})
+        given, seen, out = pd.concat(list(rows)).sort_values(["us", "id"]), self.known(), []
+        for id_, fingerprint, us in zip(given["id"].tolist(), given["fingerprint"].tolist(), given["us"].tolist(), strict=True):
+            ms, since = us // 1000, seen.get(fingerprint)
+            if since is None or ms >= since + self.keep:
+                seen[fingerprint] = ms
+                out.append((id_, fingerprint))
+        if out:
+            self.hold(seen)
+        yield pd.DataFrame({"id": [i for i, _ in out], "fingerprint": [f for _, f in out]}).astype({"id": "int64", "fingerprint": "object"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        self.hold({f: since for f, since in self.known().items() if since + self.keep > now})
         yield pd.DataFrame({"id": [], "fingerprint": []}).astype({"id": "int64", "fingerprint": "object"})
 
     def close(self) -> None:
@@ -170,15 +193,16 @@ class FirstSeen(StatefulProcessor):
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def expiring_arrivals(spark: SparkSession, rows: DataFrame, keep: int, delay: str, at: str | None = None) -> DataFrame:
+def expiring_arrivals(spark: SparkSession, rows: DataFrame, keep: int, delay: str, at: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(id, fingerprint, batch) of the arrivals (id, fingerprint, at) that are first of their fingerprint, or first since the last one let through is ``keep`` seconds old.
 
     A row later than ``delay`` behind the newest is let go. State expires by event time, so it holds the fingerprints of ``keep`` seconds and no more. ``at`` names a folder in which
-    the stream goes on from its checkpoint; null fingerprints are one.
+    the stream goes on from its checkpoint, with as many buckets as before; null fingerprints are one.
     """
     at = at or new_folder(spark, "arrivals")
-    given = rows.select(F.col("id").cast("bigint").alias("id"), "fingerprint", F.col("at").cast("timestamp").alias("at")).withWatermark("at", delay)
-    made = given.groupBy("fingerprint").transformWithStateInPandas(FirstSeen(keep), "id bigint, fingerprint string", "Append", "EventTime")
+    given = rows.select(F.col("id").cast("bigint").alias("id"), F.col("fingerprint").cast("string").alias("fingerprint"), F.col("at").cast("timestamp").alias("at")).withWatermark("at", delay)
+    given = given.select("*", F.unix_micros("at").alias("us"), bucket_of("fingerprint", buckets))
+    made = given.groupBy("bucket").transformWithStateInPandas(FirstSeen(keep), "id bigint, fingerprint string", "Append", "EventTime")
     write = lambda out, n: out.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
