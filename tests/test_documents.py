@@ -81,3 +81,14 @@ def test_credits_of_a_text_are_told_once(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["id"]: (r["author"], r["told"]) for r in text_metadata(spark, str(tmp_path)).collect()}
     assert found == {0: ("Jane Doe", "system,author,year"), 1: ("Ann Lee and Bo Ray-Smith", "author"), 3: ("Jane Doe", "author")}
+
+
+def test_contents_deal_pages_once(spark):
+    """A page stays one row, dealt and sorted once; a header may end a page, and a page of blanks does not count."""
+    pages = [(1, 1, "A .... 3\nTable of contents"), (1, 2, " \n\t\n"), (1, 3, " \n "), (1, 4, "B .... 4"), (2, 1, "contents"), (2, 2, "words\nC .... 5")]
+    made = docs.contents(spark.createDataFrame(pages, "doc int, page int, text string"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert [tuple(r) for r in made.collect()] == []
+    made = docs.contents(spark.createDataFrame([p for p in pages if p[1] != 2 or p[0] != 1], "doc int, page int, text string"))
+    assert [tuple(r) for r in made.collect()] == [(1, 4, 0, "B", 4)]
