@@ -75,3 +75,12 @@ def test_bitmaps_lose_no_text(spark, tmp_path, query):
     df = spark.createDataFrame(rows, "id bigint, text string")
     substrings.write(df, f"{tmp_path}/t")
     assert {r["id"] for r in substrings.holding(spark, f"{tmp_path}/t", query).collect()} == {i for i, t in rows if t is not None and query.lower() in t.lower()}
+
+
+def test_bitmaps_are_made_a_few_texts_at_a_time(spark, tmp_path, monkeypatch):
+    """A batch is cut to pieces, so a task's Python does not hold bitmaps and copies of all its texts; the last piece may be short."""
+    monkeypatch.setattr(substrings, "ROWS", 3)
+    texts = {i: "ab" * (i % 5) + f"Word{i}" * (i % 7) for i in range(40)}
+    substrings.write(spark.createDataFrame(list(texts.items()), "id int, text string"), f"{tmp_path}/t")
+    found = {r["id"]: (r["text"], r["grams"]) for r in spark.read.parquet(f"{tmp_path}/t").collect()}
+    assert found == {i: (t, substrings.bitmap(t.lower().encode()).tolist()) for i, t in texts.items()}

@@ -15,6 +15,8 @@ from vellum.sources.shared import spread
 
 #: Bits for each different trigram, before rounding up to a power of two, and longs of the largest bitmap.
 BITS, MOST = 8, 1 << 15
+#: Texts of a piece of a batch.
+ROWS = 128
 #: Changes with the table's columns.
 LAYOUT = 1
 
@@ -26,7 +28,7 @@ def trigrams(text: np.ndarray) -> np.ndarray:
     return (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
 
 
-def bitmap(text: bytes) -> np.ndarray:
+def bitmap(text: pa.Buffer | bytes) -> np.ndarray:
     """Longs with a bit per different trigram; a text without any has one empty long."""
     grams = np.unique(trigrams(np.frombuffer(text, np.uint8))) if len(text) > 2 else np.zeros(0, np.int64)
     width = min(MOST, max(1, 1 << (len(grams) * BITS // 64).bit_length()))
@@ -40,10 +42,12 @@ def write(docs: DataFrame, root: str) -> None:
 
     def run(batches):
         for batch in batches:
-            maps = [bitmap(t) for t in batch.column("low").cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()]
-            at = np.cumsum([0, *map(len, maps)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(maps) if maps else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), lists], names=["id", "text", "grams"])
+            for k in range(0, batch.num_rows, ROWS):  # a few texts at a time, as copies of theirs and their bitmaps are as long as they are
+                part = batch.slice(k, ROWS)
+                maps = [bitmap(t.as_buffer()) for t in part.column("low").cast(pa.binary())]
+                at = np.cumsum([0, *map(len, maps)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(maps)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), lists], names=["id", "text", "grams"])
 
     given = spread(docs.select("id", "text")).filter("text is not null").select(F.col("id").cast("bigint").alias("id"), "text", F.lower("text").alias("low"))
     given.mapInArrow(run, "id bigint, text string, grams array<bigint>").write.parquet(root)
